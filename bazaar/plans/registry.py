@@ -73,3 +73,123 @@ QUERIES: dict[str, Query] = {
     "cart_quote": _q_cart_quote,
     "cart_shortages": _q_cart_shortages,
 }
+
+
+# Catalog ----------------------------------------------------------------------
+from bazaar.operators import catalog as C  # noqa: E402
+from bazaar.operators import users as U  # noqa: E402
+from bazaar.sources.tables import AS_OF  # noqa: E402
+
+SEARCH_KEYWORD = " Small "     # trimmed and lowercased by the operator
+REGEX_KEYWORD = "^red"
+CATALOG_PAGE = 10
+SEARCH_PAGE = 2
+CATEGORY_PAGE = 2
+
+
+def _q_catalog(spark, d):
+    return C.catalog(load_shop(spark, d), AS_OF)
+
+
+def _q_catalog_best(spark, d):
+    return C.catalog(load_shop(spark, d), AS_OF, policy="best")
+
+
+def _q_product_details(spark, d):
+    shop = load_shop(spark, d)
+    return C.product_details(shop, shop.products.select("ProductID"), AS_OF)
+
+
+def _q_catalog_by_category(spark, d):
+    shop = load_shop(spark, d)
+    return C.catalog_by_category(shop, shop.categories, AS_OF)
+
+
+def _q_search_products(spark, d):
+    return C.search_products(load_shop(spark, d), SEARCH_KEYWORD, AS_OF)
+
+
+def _q_promocodes(spark, d):
+    return C.promocodes(load_shop(spark, d))
+
+
+def _q_promo_by_code(spark, d):
+    shop = load_shop(spark, d)
+    return C.promo_by_code(shop, shop.promocodes.select("Code"), AS_OF)
+
+
+def _q_category_id_by_name(spark, d):
+    shop = load_shop(spark, d)
+    return C.category_id_by_name(shop, shop.categories.select("CategoryName"))
+
+
+def _q_catalog_plain(spark, d):
+    return C.catalog_plain(load_shop(spark, d))
+
+
+def _q_products_by_category(spark, d):
+    shop = load_shop(spark, d)
+    return C.products_by_category(shop, shop.categories)
+
+
+def _q_search_products_regex(spark, d):
+    return C.search_products_regex(load_shop(spark, d), REGEX_KEYWORD)
+
+
+def _q_catalog_page(spark, d):
+    return C.catalog_page(load_shop(spark, d), CATALOG_PAGE, 52, AS_OF)
+
+
+def _q_search_page(spark, d):
+    return C.search_page(load_shop(spark, d), SEARCH_KEYWORD, SEARCH_PAGE, 52, AS_OF)
+
+
+def _q_category_page(spark, d):
+    shop = load_shop(spark, d)
+    return C.category_page(shop, shop.categories, CATEGORY_PAGE, 52, AS_OF)
+
+
+def _q_categories(spark, d):
+    return C.categories(load_shop(spark, d))
+
+
+def _q_products_by_category_order(spark, d):
+    return C.products_by_category_order(load_shop(spark, d))
+
+
+def _q_user_roles(spark, d):
+    shop = load_shop(spark, d)
+    return U.user_roles(shop.users, shop.user_roles, shop.roles)
+
+
+def _q_users_with_role(spark, d):
+    shop = load_shop(spark, d)
+    return U.users_with_role(shop.user_roles, shop.roles, "User")
+
+
+def _q_primary_role(spark, d):
+    shop = load_shop(spark, d)
+    return U.primary_role(U.user_roles(shop.users, shop.user_roles, shop.roles))
+
+
+QUERIES.update({
+    "catalog": _q_catalog,
+    "catalog_best": _q_catalog_best,
+    "product_details": _q_product_details,
+    "catalog_by_category": _q_catalog_by_category,
+    "search_products": _q_search_products,
+    "promocodes": _q_promocodes,
+    "promo_by_code": _q_promo_by_code,
+    "category_id_by_name": _q_category_id_by_name,
+    "catalog_plain": _q_catalog_plain,
+    "products_by_category": _q_products_by_category,
+    "search_products_regex": _q_search_products_regex,
+    "catalog_page": _q_catalog_page,
+    "search_page": _q_search_page,
+    "category_page": _q_category_page,
+    "categories": _q_categories,
+    "products_by_category_order": _q_products_by_category_order,
+    "user_roles": _q_user_roles,
+    "users_with_role": _q_users_with_role,
+    "primary_role": _q_primary_role,
+})
