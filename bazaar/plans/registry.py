@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bazaar.operators import orders as O
 from bazaar.sources.tables import load_shop
@@ -15,6 +16,19 @@ from bazaar.sources.tables import load_shop
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def present(df: DataFrame) -> DataFrame:
+    """Presentation step of a registered query: top-level money columns
+    leave as double, as the shop's JSON API hands them out.  All money
+    arithmetic before this point is exact decimal."""
+    cols = [F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
+            else F.col(f.name) for f in df.schema.fields]
+    return df.select(*cols)
+
+
+def presented(queries: dict[str, Query]) -> dict[str, Query]:
+    return {name: (lambda fn: lambda spark, d: present(fn(spark, d)))(fn) for name, fn in queries.items()}
+
+
 def _q_top_products(spark, d):
     return O.top_products(load_shop(spark, d), 100)
 
