@@ -10,7 +10,7 @@ splitting skewed partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A dimension with at most this many rows is broadcast (a few MB at most
@@ -39,22 +39,30 @@ def literal_dimension(df: DataFrame) -> DataFrame:
 
 
 def lookup(left: DataFrame, right: DataFrame, local_field: str, foreign_field: str,
-           as_: str, null_matches_null: bool = False, sort_by: list[str] | None = None) -> DataFrame:
-    """Document ``$lookup``: every left row gets an array of matching right rows.
-
-    The right side is grouped by its key first (partial aggregation
-    map-side, one shuffle), then left-joined on a unique key, so the left
-    side never fans out.  Left rows with no match get ``[]``.  With
-    ``null_matches_null`` a missing local key matches a missing foreign key.
+           as_: str, null_matches_null: bool = False, fields: list[str] | None = None,
+           split_docs: int | None = None) -> DataFrame:
+    """Document ``$lookup`` for a one-to-many key: every left row gets the
+    array of matching right rows (``[]`` when none).
+
+    The right side is grouped by its key first -- ``collect_list`` runs
+    as a partial aggregate in every map task, then one shuffle -- and the
+    left join then meets a unique key, so the left side never fans out.
+    Arrays are sorted (struct order = ``fields`` order) for stable output.
+    With ``null_matches_null`` a missing local key matches a missing
+    foreign key, as ``$lookup`` does.
+
+    ``split_docs=n`` bounds document size for a hot key: each left row's
+    matches are spread over up to ``n`` rows (column ``part``) by a hash
+    of the matched row, so no single array holds a hot key's whole group.
+    Nothing is dropped; the union of the parts is the full array.
     """
-    rcols = [c for c in right.columns]
-    elem = F.struct(*[F.col(c) for c in rcols])
-    grouped = (right.groupBy(F.col(foreign_field).alias("__lk"))
-               .agg(F.collect_list(elem).alias("__docs")))
-    if sort_by:
-        grouped = grouped.withColumn(
-            "__docs", F.array_sort(F.col("__docs"),
-                                   lambda a, b: _cmp_structs(a, b, sort_by)))
+    fields = fields or [c for c in right.columns if c != foreign_field]
+    elem = F.struct(*[F.col(c) for c in fields])
+    keys = [F.col(foreign_field).alias("__lk")]
+    if split_docs:
+        keys.append(F.pmod(F.xxhash64(*[F.col(c) for c in fields]), F.lit(split_docs)).alias("part"))
+    grouped = (right.groupBy(*keys)
+               .agg(F.sort_array(F.collect_list(elem)).alias("__docs")))
     cond = (F.col(local_field).eqNullSafe(F.col("__lk")) if null_matches_null
             else F.col(local_field) == F.col("__lk"))
     joined = left.join(grouped, cond, "left")
@@ -62,15 +70,6 @@ def lookup(left: DataFrame, right: DataFrame, local_field: str, foreign_field: s
     return joined.drop("__lk").withColumn(as_, F.coalesce(F.col("__docs"), empty)).drop("__docs")
 
 
-def _cmp_structs(a: Column, b: Column, fields: list[str]) -> Column:
-    out = F.lit(0)
-    for f in reversed(fields):
-        out = (F.when(a[f] < b[f], F.lit(-1))
-               .when(a[f] > b[f], F.lit(1))
-               .otherwise(out))
-    return out
-
-
 def unwind(df: DataFrame, col: str, keep_empty: bool = False) -> DataFrame:
     """Document ``$unwind``: one row per array element (``keep_empty``
     keeps rows whose array is empty or null, with a null element)."""

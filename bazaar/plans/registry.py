@@ -11,22 +11,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.operators import orders as O
+from bazaar.plans.presentation import DOUBLE_COLS
 from bazaar.sources.tables import load_shop
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def present(df: DataFrame) -> DataFrame:
-    """Presentation step of a registered query: top-level money columns
-    leave as double, as the shop's JSON API hands them out.  All money
-    arithmetic before this point is exact decimal."""
-    cols = [F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-            else F.col(f.name) for f in df.schema.fields]
-    return df.select(*cols)
+def present(name: str, df: DataFrame) -> DataFrame:
+    """Presentation step of a registered query: the columns listed in
+    ``presentation.DOUBLE_COLS`` leave as double (the SQL twin does the
+    same).  All money arithmetic before this point is exact decimal."""
+    wanted = set(DOUBLE_COLS.get(name, []))
+    undeclared = [f.name for f in df.schema.fields
+                  if isinstance(f.dataType, T.DecimalType) and f.name not in wanted]
+    if undeclared:
+        raise ValueError(f"{name}: decimal columns {undeclared} missing from DOUBLE_COLS")
+    return df.select(*[F.col(c).cast("double").alias(c) if c in wanted else F.col(c) for c in df.columns])
 
 
 def presented(queries: dict[str, Query]) -> dict[str, Query]:
-    return {name: (lambda fn: lambda spark, d: present(fn(spark, d)))(fn) for name, fn in queries.items()}
+    return {name: (lambda n, fn: lambda spark, d: present(n, fn(spark, d)))(name, fn)
+            for name, fn in queries.items()}
 
 
 def _q_top_products(spark, d):
@@ -207,3 +212,41 @@ QUERIES.update({
     "users_with_role": _q_users_with_role,
     "primary_role": _q_primary_role,
 })
+
+
+# Nested documents ---------------------------------------------------------------
+from bazaar.operators import nested as N  # noqa: E402
+
+
+def _q_orders_nested(spark, d):
+    return N.orders_nested(load_shop(spark, d))
+
+
+def _q_order_document(spark, d):
+    return N.order_document(load_shop(spark, d))
+
+
+def _q_favorites_nested(spark, d):
+    return N.favorites_nested(load_shop(spark, d))
+
+
+def _q_cart_nested(spark, d):
+    return N.cart_nested(load_shop(spark, d))
+
+
+def _q_users_nested(spark, d):
+    return N.users_nested(load_shop(spark, d))
+
+
+def _q_orders_unwound(spark, d):
+    return N.orders_unwound(load_shop(spark, d))
+
+
+QUERIES.update({
+    "orders_nested": _q_orders_nested,
+    "order_document": _q_order_document,
+    "favorites_nested": _q_favorites_nested,
+    "cart_nested": _q_cart_nested,
+    "users_nested": _q_users_nested,
+    "orders_unwound": _q_orders_unwound,
+})
