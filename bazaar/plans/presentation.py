@@ -18,4 +18,7 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "products_by_category_order": ["Price"],
     "orders_nested": ["PromoID"], "order_document": ["PromoID"],
     "orders_unwound": ["ProductID", "Quantity", "UnitPrice"],
+    "checkout_orders": ["PromoID"], "checkout_order_items": ["UnitPrice"],
+    "checkout_rejects": ["PromoID"], "checkout_simple_orders": ["PromoID"],
+    "checkout_simple_order_items": ["UnitPrice"], "checkout_simple_rejects": ["PromoID"],
 }

@@ -250,3 +250,41 @@ QUERIES.update({
     "users_nested": _q_users_nested,
     "orders_unwound": _q_orders_unwound,
 })
+
+
+# Checkout -----------------------------------------------------------------------
+from bazaar.operators import checkout as K  # noqa: E402
+
+
+def checkout_requests(shop) -> DataFrame:
+    """One checkout request per user seen in the cart events: promo
+    UserID % 9 (0 means none), requested at AS_OF + UserID seconds.
+    Users without the User role or with an empty cart are included on
+    purpose, so every reject reason is exercised."""
+    users = shop.cart_events.select("UserID").distinct()
+    promo_id = F.when(F.col("UserID") % 9 == 0, F.lit(None)).otherwise(F.col("UserID") % 9)
+    ts = F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) + F.col("UserID"))
+    return users.select("UserID", promo_id.cast("long").alias("PromoID"), ts.alias("request_ts"))
+
+
+def _checkout(spark, d):
+    shop = load_shop(spark, d)
+    return K.checkout(shop, checkout_requests(shop), AS_OF)
+
+
+def _checkout_simple(spark, d):
+    shop = load_shop(spark, d)
+    return K.checkout_simple(shop, checkout_requests(shop))
+
+
+QUERIES.update({
+    "checkout_orders": lambda spark, d: _checkout(spark, d).orders,
+    "checkout_order_items": lambda spark, d: _checkout(spark, d).order_items,
+    "checkout_stock": lambda spark, d: _checkout(spark, d).stock,
+    "checkout_carts": lambda spark, d: _checkout(spark, d).carts,
+    "checkout_rejects": lambda spark, d: _checkout(spark, d).rejects,
+    "checkout_oversold": lambda spark, d: _checkout(spark, d).oversold,
+    "checkout_simple_orders": lambda spark, d: _checkout_simple(spark, d).orders,
+    "checkout_simple_order_items": lambda spark, d: _checkout_simple(spark, d).order_items,
+    "checkout_simple_rejects": lambda spark, d: _checkout_simple(spark, d).rejects,
+})
