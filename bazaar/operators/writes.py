@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bazaar.operators.users import users_with_role
 
@@ -85,3 +86,340 @@ def fold_cart_events(events: DataFrame, base: DataFrame | None = None,
     items = (folded.filter(present)
              .select(*KEYS, quantity.cast("int").alias("Quantity")))
     return CartFold(items=items, rejects=rejects)
+
+
+# Shared -------------------------------------------------------------------------
+NOT_FOUND = "unknown id"
+DUPLICATE_CODE = "duplicate code"
+CODE_AND_PERCENT_REQUIRED = "code and percent required"
+PERCENT_RANGE = "percent must be 1-100"
+DATES_IN_PAST = "dates in the past"
+USED_IN_ORDERS = "product used in orders"
+REQUIRED_FIELDS = "required fields missing"
+USERNAME_TAKEN = "username taken"
+EMAIL_TAKEN = "email taken"
+DUPLICATE_IN_BATCH = "duplicate in batch"
+UNKNOWN_ROLE = "unknown role"
+
+
+@dataclass
+class WriteResult:
+    tables: dict          # name -> new state (DataFrame)
+    rejects: DataFrame    # rejected request rows + reason
+
+
+def first_per_key(requests: DataFrame, key: list[str], order: list[str],
+                  last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Split requests into the first (``last``: the last) one per key by
+    ``order`` (a total order) and the others.  ``min``/``max`` of the
+    order struct is a partial aggregate; the others are found by a join
+    back on key + order -- no per-key window, so a hot key is combined
+    in every map task instead of sorted whole in one."""
+    pos = F.struct(*[F.col(c) for c in order])
+    pick = F.max if last else F.min
+    firsts = requests.groupBy(*key).agg(pick(pos).alias("__first"))
+    tagged = requests.join(firsts, key, "inner").withColumn("__is_first", pos == F.col("__first"))
+    first = tagged.filter("__is_first").drop("__first", "__is_first")
+    later = tagged.filter(~F.col("__is_first")).drop("__first", "__is_first")
+    return first, later
+
+
+def _gate_actor(requests: DataFrame, user_roles: DataFrame | None, roles: DataFrame | None,
+                role: str, actor_col: str = "ActorID") -> tuple[DataFrame, DataFrame]:
+    """Requests whose actor holds ``role``; the others become rejects."""
+    if user_roles is None or roles is None or actor_col not in requests.columns:
+        return requests, requests.limit(0).withColumn("reason", F.lit(None).cast("string"))
+    allowed = users_with_role(user_roles, roles, role).withColumnRenamed("UserID", actor_col)
+    ok = requests.join(allowed, actor_col, "left_semi")
+    bad = requests.join(allowed, actor_col, "left_anti").withColumn(
+        "reason", F.lit(NOT_A_SHOP_USER if role == "User" else NOT_AN_ADMIN))
+    return ok, bad
+
+
+def _reject(df: DataFrame, cond, reason: str) -> tuple[DataFrame, DataFrame]:
+    """Split off rows where ``cond`` is true as rejects with ``reason``."""
+    c = F.coalesce(cond, F.lit(False))
+    return df.filter(~c), df.filter(c).withColumn("reason", F.lit(reason))
+
+
+# D3 -----------------------------------------------------------------------------
+def add_promocodes(existing: DataFrame, requests: DataFrame, as_of, rules: str = "sql",
+                   user_roles: DataFrame | None = None, roles: DataFrame | None = None,
+                   order: list[str] | None = None) -> WriteResult:
+    """New promo codes.  ``requests``: Code, DiscountPercent, IsGlobal,
+    CategoryID, ValidFrom, ValidTo (nullable), optional ActorID, plus the
+    ``order`` columns that rank requests of one batch (first wins).
+
+    sql rules: admin actor; code and a non-zero percent required; percent
+    1-100; category nulled when global; defaults from = as_of, to =
+    as_of + 1 year; code already taken or used earlier in the batch ->
+    reject; from or to before as_of -> reject.  document rules: only the
+    duplicate-code test.
+    """
+    from bazaar.functions.exprs import _ts
+    from bazaar.operators.ids import max_id, next_ids
+
+    order = order or ["Code"]
+    now = _ts(as_of)
+    req, rej_actor = _gate_actor(requests, user_roles, roles, "Admin")
+    rejects = [rej_actor]
+    if rules == "sql":
+        req, r = _reject(req, F.col("Code").isNull() | (F.col("Code") == "")
+                         | F.col("DiscountPercent").isNull() | (F.col("DiscountPercent") == 0),
+                         CODE_AND_PERCENT_REQUIRED)
+        rejects.append(r)
+        req, r = _reject(req, (F.col("DiscountPercent") <= 0) | (F.col("DiscountPercent") > 100), PERCENT_RANGE)
+        rejects.append(r)
+        req = (req.withColumn("CategoryID", F.when(F.coalesce(F.col("IsGlobal"), F.lit(False)),
+                                                   F.lit(None).cast("long")).otherwise(F.col("CategoryID")))
+               .withColumn("ValidFrom", F.coalesce(F.col("ValidFrom"), now))
+               .withColumn("ValidTo", F.coalesce(F.col("ValidTo"), now + F.expr("INTERVAL 12 MONTHS"))))
+    req, r = _reject(req.join(existing.select("Code").withColumn("__taken", F.lit(True)), "Code", "left"),
+                     F.col("__taken"), DUPLICATE_CODE)
+    req, r = req.drop("__taken"), r.drop("__taken")
+    rejects.append(r)
+    first, later = first_per_key(req, ["Code"], order)
+    rejects.append(later.withColumn("reason", F.lit(DUPLICATE_CODE)))
+    if rules == "sql":
+        first, r = _reject(first, (F.col("ValidFrom") < now) | (F.col("ValidTo") < now), DATES_IN_PAST)
+        rejects.append(r)
+    cols = ["Code", "DiscountPercent", "IsGlobal", "CategoryID", "ValidFrom", "ValidTo"]
+    added = next_ids(first.select(*cols, *[c for c in order if c not in cols]), order,
+                     max_id(existing, "PromoID"), "PromoID").select("PromoID", *cols)
+    out = existing.select("PromoID", *cols).unionByName(added)
+    return WriteResult(tables={"promocodes": out, "added": added}, rejects=_union_rejects(rejects))
+
+
+def _union_rejects(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+# D4 -----------------------------------------------------------------------------
+def delete_promocodes(promocodes: DataFrame, orders: DataFrame, ids: DataFrame,
+                      rules: str = "sql") -> WriteResult:
+    """Remove promos by id.  sql: unknown id rejected, orders that used a
+    removed promo get PromoID null.  document: orders keep the dead id,
+    unknown ids are a no-op."""
+    want = ids.select("PromoID").distinct()
+    known = want.join(promocodes.select("PromoID"), "PromoID", "left_semi")
+    rejects = (want.join(promocodes.select("PromoID"), "PromoID", "left_anti")
+               .withColumn("reason", F.lit(NOT_FOUND)))
+    if rules != "sql":
+        rejects = rejects.limit(0)
+    new_promos = promocodes.join(known, "PromoID", "left_anti")
+    if rules == "sql":
+        gone = known.select(F.col("PromoID").alias("__gone"))
+        new_orders = (orders.join(gone, orders["PromoID"] == gone["__gone"], "left")
+                      .withColumn("PromoID", F.when(F.col("__gone").isNotNull(), F.lit(None).cast("long"))
+                                  .otherwise(F.col("PromoID")))
+                      .drop("__gone"))
+    else:
+        new_orders = orders
+    return WriteResult(tables={"promocodes": new_promos, "orders": new_orders}, rejects=rejects)
+
+
+# D5 -----------------------------------------------------------------------------
+def delete_products(products: DataFrame, ids: DataFrame, favorites: DataFrame, cart_items: DataFrame,
+                    order_items: DataFrame, mode: str = "restrict") -> WriteResult:
+    """Remove products.  restrict: a product named by an order line is
+    rejected, the rest are removed with their favorites and cart lines.
+    cascade_all: order lines go too.  plain: products only."""
+    want = ids.select("ProductID").distinct()
+    rejects = want.limit(0).withColumn("reason", F.lit(None).cast("string"))
+    if mode == "restrict":
+        used = order_items.select("ProductID")
+        rejects = want.join(used, "ProductID", "left_semi").withColumn("reason", F.lit(USED_IN_ORDERS))
+        want = want.join(used, "ProductID", "left_anti")
+    elif mode not in ("cascade_all", "plain"):
+        raise ValueError(f"unknown mode {mode!r}")
+    tables = {"products": products.join(want, "ProductID", "left_anti")}
+    if mode != "plain":
+        tables["favorites"] = favorites.join(want, "ProductID", "left_anti")
+        tables["cart_items"] = cart_items.join(want, "ProductID", "left_anti")
+    tables["order_items"] = (order_items.join(want, "ProductID", "left_anti") if mode == "cascade_all"
+                             else order_items)
+    return WriteResult(tables=tables, rejects=rejects)
+
+
+# D6 -----------------------------------------------------------------------------
+def delete_users(shop, ids: DataFrame, cart_items: DataFrame | None = None) -> WriteResult:
+    """Remove accounts with everything that hangs off them: favorites,
+    cart lines, roles, the lines of their orders, their orders."""
+    want = ids.select("UserID").distinct()
+    gone_orders = shop.orders.join(want, "UserID", "left_semi").select("OrderID")
+    carts = cart_items if cart_items is not None else shop.cart_items
+    return WriteResult(tables={
+        "users": shop.users.join(want, "UserID", "left_anti"),
+        "favorites": shop.favorites.join(want, "UserID", "left_anti"),
+        "cart_items": carts.join(want, "UserID", "left_anti"),
+        "user_roles": shop.user_roles.join(want, "UserID", "left_anti"),
+        "order_items": shop.order_items.join(gone_orders, "OrderID", "left_anti"),
+        "orders": shop.orders.join(want, "UserID", "left_anti"),
+    }, rejects=want.limit(0).withColumn("reason", F.lit(None).cast("string")))
+
+
+# D7 -----------------------------------------------------------------------------
+PRODUCT_COLS = ["ProductName", "Description", "CategoryID", "Price", "StockQuantity", "ImageURL"]
+
+
+def upsert_products(existing: DataFrame, rows: DataFrame, order: list[str] | None = None) -> WriteResult:
+    """Add rows without ProductID (new ids), overwrite every column of
+    rows with a known ProductID; an unknown id is a no-op.  Required
+    fields must be non-empty and non-zero (so price or stock 0 is refused)."""
+    from bazaar.operators.ids import max_id, next_ids
+
+    def blank(c):     # JS falsy: null, "" or 0
+        if isinstance(rows.schema[c].dataType, T.StringType):
+            return F.col(c).isNull() | (F.col(c) == "")
+        return F.col(c).isNull() | (F.col(c) == 0)
+    missing = blank("ProductName") | blank("Description") | blank("CategoryID") | blank("Price") \
+        | blank("StockQuantity")
+    ok, rejects = _reject(rows, missing, REQUIRED_FIELDS)
+    updates = ok.filter(F.col("ProductID").isNotNull())
+    adds = ok.filter(F.col("ProductID").isNull())
+    if order:
+        # Several updates of one id: the last one in ``order`` wins.
+        updates, _ = first_per_key(updates, ["ProductID"], order, last=True)
+    upd = updates.select("ProductID", *[F.col(c).alias(f"__new_{c}") for c in PRODUCT_COLS])
+    merged = existing.join(upd, "ProductID", "left")
+    has = F.col("__new_ProductName").isNotNull()
+    updated = merged.select("ProductID", *[F.when(has, F.col(f"__new_{c}")).otherwise(F.col(c))
+                                           .cast(existing.schema[c].dataType).alias(c) for c in PRODUCT_COLS])
+    order_cols = order or ["ProductName", "Description"]
+    new_rows = next_ids(adds.select(*PRODUCT_COLS, *[c for c in order_cols if c not in PRODUCT_COLS]),
+                        order_cols, max_id(existing, "ProductID"), "ProductID")
+    new_rows = new_rows.select("ProductID", *[F.col(c).cast(existing.schema[c].dataType).alias(c)
+                                              for c in PRODUCT_COLS])
+    return WriteResult(tables={"products": updated.unionByName(new_rows), "added": new_rows},
+                       rejects=rejects)
+
+
+# D8 -----------------------------------------------------------------------------
+def patch_products(existing: DataFrame, patches: DataFrame, as_of) -> WriteResult:
+    """Partial update: ``patches`` = (ProductID, patch map<string,string>).
+    Only the keys present in a patch change (a key with a null value sets
+    null); ``updated_at`` is set on patched rows; unknown ids are a no-op.
+    One patch per product (several patches of one id are not merged)."""
+    from bazaar.functions.exprs import _ts
+
+    p = patches.select("ProductID", "patch").withColumn("__patched", F.lit(True))
+    merged = existing.join(p, "ProductID", "left")
+    cols = []
+    for c in PRODUCT_COLS:
+        present = F.coalesce(F.map_contains_key(F.col("patch"), F.lit(c)), F.lit(False))
+        new = F.col("patch").getItem(c).cast(existing.schema[c].dataType)
+        cols.append(F.when(present, new).otherwise(F.col(c)).alias(c))
+    updated_at = F.when(F.col("__patched"), _ts(as_of)).cast("timestamp").alias("updated_at")
+    out = merged.select("ProductID", *cols, updated_at)
+    rejects = (patches.join(existing.select("ProductID"), "ProductID", "left_anti")
+               .withColumn("reason", F.lit(NOT_FOUND)))
+    return WriteResult(tables={"products": out}, rejects=rejects)
+
+
+# D9 -----------------------------------------------------------------------------
+def edit_favorites(existing: DataFrame, adds: DataFrame, removes: DataFrame,
+                   user_roles: DataFrame | None = None, roles: DataFrame | None = None) -> WriteResult:
+    """Adds are appended (duplicates kept); a remove deletes every copy
+    of its (user, product).  Only role-User users may do either."""
+    a = adds.select("UserID", "ProductID").withColumn("op", F.lit("add"))
+    r = removes.select("UserID", "ProductID").withColumn("op", F.lit("remove"))
+    if user_roles is not None and roles is not None:
+        shop_users = users_with_role(user_roles, roles, "User")
+        rejects = (a.unionByName(r).join(shop_users, "UserID", "left_anti")
+                   .withColumn("reason", F.lit(NOT_A_SHOP_USER)))
+        a = a.join(shop_users, "UserID", "left_semi")
+        r = r.join(shop_users, "UserID", "left_semi")
+    else:
+        rejects = a.limit(0).withColumn("reason", F.lit(None).cast("string"))
+    out = (existing.select("UserID", "ProductID").unionByName(a.drop("op"))
+           .join(r.select(*KEYS).distinct(), KEYS, "left_anti"))
+    return WriteResult(tables={"favorites": out}, rejects=rejects)
+
+
+# D10 ----------------------------------------------------------------------------
+def register_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame, rows: DataFrame,
+                   rules: str = "sql", order: list[str] | None = None) -> WriteResult:
+    """New accounts with one role each (``RoleName``, default 'User').
+
+    sql: Username and Email must be new (against the table and earlier
+    rows of the batch); an unknown role rejects the account.  document:
+    no uniqueness test, and the account is kept even when its role is
+    unknown (it is written before the role lookup), just without a role.
+    """
+    from bazaar.operators.ids import max_id, next_ids
+
+    order = order or ["Username", "Email"]
+    req = rows.withColumn("RoleName", F.coalesce(F.col("RoleName"), F.lit("User")))
+    role_ids = roles.select("RoleName", "RoleID")
+    rejects = []
+    if rules == "sql":
+        req, r = _reject(req.join(users.select("Username").withColumn("__t", F.lit(True)), "Username", "left"),
+                         F.col("__t"), USERNAME_TAKEN)
+        req, r = req.drop("__t"), r.drop("__t")
+        rejects.append(r)
+        req, r = _reject(req.join(users.select("Email").withColumn("__t", F.lit(True)), "Email", "left"),
+                         F.col("__t"), EMAIL_TAKEN)
+        req, r = req.drop("__t"), r.drop("__t")
+        rejects.append(r)
+        req, later = first_per_key(req, ["Username"], order)
+        rejects.append(later.withColumn("reason", F.lit(DUPLICATE_IN_BATCH)))
+        req, later = first_per_key(req, ["Email"], order)
+        rejects.append(later.withColumn("reason", F.lit(DUPLICATE_IN_BATCH)))
+        known = req.join(role_ids, "RoleName", "left_semi")
+        rejects.append(req.join(role_ids, "RoleName", "left_anti").withColumn("reason", F.lit(UNKNOWN_ROLE)))
+        req = known
+    else:
+        rejects.append(req.join(role_ids, "RoleName", "left_anti").withColumn("reason", F.lit(UNKNOWN_ROLE)))
+    cols = ["Username", "PasswordHash", "Email", "RoleName"]
+    new = next_ids(req.select(*cols, *[c for c in order if c not in cols]), order,
+                   max_id(users, "UserID"), "UserID")
+    new_users = new.select("UserID", "Username", "PasswordHash", "Email")
+    new_roles = new.join(role_ids, "RoleName", "inner").select("UserID", "RoleID")
+    return WriteResult(tables={"users": users.select("UserID", "Username", "PasswordHash", "Email")
+                               .unionByName(new_users),
+                               "user_roles": user_roles.select("UserID", "RoleID").unionByName(new_roles),
+                               "added_users": new_users, "added_roles": new_roles},
+                       rejects=_union_rejects(rejects))
+
+
+# D12 ----------------------------------------------------------------------------
+def integrity_report(shop, cart_items: DataFrame | None = None) -> DataFrame:
+    """Rows (check, key, n): duplicates against the shop's unique
+    indexes, orphan foreign keys and inverted promo windows -- what the
+    database enforced and parquet does not."""
+    carts = cart_items if cart_items is not None else shop.cart_items
+
+    def dups(df, cols, name):
+        k = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+        return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+                .select(F.lit(name).alias("check"), k.alias("key"), "n"))
+
+    def orphans(df, col, parent, pcol, name):
+        child = df.select(F.col(col).alias("__k")).filter(F.col("__k").isNotNull())
+        par = parent.select(F.col(pcol).alias("__k"))
+        return (child.join(par, "__k", "left_anti").groupBy("__k").agg(F.count(F.lit(1)).alias("n"))
+                .select(F.lit(name).alias("check"), F.col("__k").cast("string").alias("key"), "n"))
+
+    parts = [
+        dups(shop.users, ["Username"], "duplicate Users.Username"),
+        dups(shop.users, ["Email"], "duplicate Users.Email"),
+        dups(shop.user_roles, ["UserID", "RoleID"], "duplicate UserRoles"),
+        dups(carts, ["UserID", "ProductID"], "duplicate CartItems"),
+        dups(shop.promocodes, ["Code"], "duplicate Promocodes.Code"),
+        orphans(shop.products, "CategoryID", shop.categories, "CategoryID", "orphan Products.CategoryID"),
+        orphans(shop.order_items, "ProductID", shop.products, "ProductID", "orphan OrderItems.ProductID"),
+        orphans(shop.order_items, "OrderID", shop.orders, "OrderID", "orphan OrderItems.OrderID"),
+        orphans(shop.orders, "UserID", shop.users, "UserID", "orphan Orders.UserID"),
+        orphans(shop.orders, "PromoID", shop.promocodes, "PromoID", "orphan Orders.PromoID"),
+        orphans(shop.favorites, "UserID", shop.users, "UserID", "orphan Favorites.UserID"),
+        orphans(shop.favorites, "ProductID", shop.products, "ProductID", "orphan Favorites.ProductID"),
+        orphans(carts, "ProductID", shop.products, "ProductID", "orphan CartItems.ProductID"),
+        orphans(shop.user_roles, "RoleID", shop.roles, "RoleID", "orphan UserRoles.RoleID"),
+        (shop.promocodes.filter(F.col("ValidTo") < F.col("ValidFrom"))
+         .select(F.lit("inverted promo window").alias("check"), F.col("PromoID").cast("string").alias("key"),
+                 F.lit(1).cast("long").alias("n"))),
+    ]
+    return _union_rejects(parts)

@@ -21,4 +21,9 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "checkout_orders": ["PromoID"], "checkout_order_items": ["UnitPrice"],
     "checkout_rejects": ["PromoID"], "checkout_simple_orders": ["PromoID"],
     "checkout_simple_order_items": ["UnitPrice"], "checkout_simple_rejects": ["PromoID"],
+    "delete_promocodes_orders": ["PromoID"], "delete_promocodes_doc_orders": ["PromoID"],
+    "delete_products_products": ["Price"], "delete_products_cascade_order_items": ["UnitPrice"],
+    "delete_users_orders": ["PromoID"], "delete_users_order_items": ["UnitPrice"],
+    "upsert_products_products": ["Price"], "patch_products_products": ["Price"],
+    "add_promocodes_added": ["CategoryID"], "add_promocodes_doc_added": ["CategoryID"],
 }

@@ -288,3 +288,164 @@ QUERIES.update({
     "checkout_simple_order_items": lambda spark, d: _checkout_simple(spark, d).order_items,
     "checkout_simple_rejects": lambda spark, d: _checkout_simple(spark, d).rejects,
 })
+
+
+# Writes -------------------------------------------------------------------------
+from bazaar.operators import writes as Wr  # noqa: E402
+
+
+def promo_requests(spark, d) -> DataFrame:
+    """One add-promo request per event row; values chosen so every reject
+    rule fires (taken code, blank code, percent out of range, dates in
+    the past, non-admin actor, duplicates inside the batch)."""
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    code = (F.when(F.col("event_type") == "purchase", F.lit("ECO10"))
+            .when((F.col("event_type") == "view") & (F.col("event_id") % 11 == 0), F.lit(""))
+            .otherwise(F.concat(F.lit("EV-"), F.col("event_type"), F.lit("-"),
+                                (F.col("event_id") % 97).cast("string"))))
+    return ev.select(
+        "event_id", "ts", F.col("user_id").alias("ActorID"), code.alias("Code"),
+        ((F.floor("value").cast("long") % 110) - 3).cast("int").alias("DiscountPercent"),
+        (F.col("event_type") == "signup").alias("IsGlobal"),
+        (F.col("event_id") % 6 + 1).cast("long").alias("CategoryID"),
+        F.when(F.col("event_type") == "error", F.lit(None).cast("timestamp")).otherwise(F.col("ts")).alias("ValidFrom"),
+        F.when(F.col("event_type") == "click", F.lit(None).cast("timestamp"))
+        .otherwise(F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ValidTo"))
+
+
+def _add_promos(spark, d):
+    shop = load_shop(spark, d)
+    return Wr.add_promocodes(shop.promocodes, promo_requests(spark, d), AS_OF, rules="sql",
+                             user_roles=shop.user_roles, roles=shop.roles, order=["ts", "event_id"])
+
+
+def _add_promos_doc(spark, d):
+    shop = load_shop(spark, d)
+    return Wr.add_promocodes(shop.promocodes, promo_requests(spark, d).drop("ActorID"), AS_OF,
+                             rules="document", order=["ts", "event_id"])
+
+
+def _delete_promos(spark, d, rules="sql"):
+    shop = load_shop(spark, d)
+    ids = spark.read.parquet(f"{d}/orders.parquet").select(
+        (F.col("o_orderkey") % 10 + 1).cast("long").alias("PromoID"))
+    return Wr.delete_promocodes(shop.promocodes, shop.orders, ids, rules=rules)
+
+
+def _delete_products(spark, d, mode):
+    shop = load_shop(spark, d)
+    if mode == "restrict":
+        ids = shop.products.select("ProductID")
+    else:
+        promo_line = shop.categories.filter(F.col("CategoryName") == "PROMO").select("CategoryID")
+        ids = shop.products.join(promo_line, "CategoryID", "left_semi").select("ProductID")
+    return Wr.delete_products(shop.products, ids, shop.favorites, shop.cart_items, shop.order_items, mode=mode)
+
+
+def _delete_users(spark, d):
+    shop = load_shop(spark, d)
+    ids = (spark.read.parquet(f"{d}/customer.parquet").filter(F.col("c_mktsegment") == "BUILDING")
+           .select(F.col("c_custkey").alias("UserID")))
+    return Wr.delete_users(shop, ids)
+
+
+def product_rows(shop) -> DataFrame:
+    """One upsert row per product: adds (no id), updates, unknown ids and
+    rows with a zero price (refused)."""
+    p = shop.products
+    pid = (F.when(F.col("StockQuantity") > 44, F.lit(None).cast("long"))
+           .when(F.col("StockQuantity") < 2, F.col("ProductID") + F.lit(1_000_000_000))
+           .otherwise(F.col("ProductID")))
+    price = (F.when(F.col("StockQuantity") == 10, F.lit(0).cast("decimal(10,2)"))
+             .otherwise((F.col("Price") * F.lit(1.1).cast("decimal(2,1)")).cast("decimal(10,2)")))
+    return p.select(F.col("ProductID").alias("src_id"), pid.alias("ProductID"),
+                    F.upper("ProductName").alias("ProductName"),
+                    F.concat("Description", F.lit(" (v2)")).alias("Description"), "CategoryID",
+                    price.alias("Price"), (F.col("StockQuantity") + 5).alias("StockQuantity"),
+                    F.when(F.col("ProductID") % 2 == 0, F.lit(None).cast("string"))
+                    .otherwise(F.col("ImageURL")).alias("ImageURL"))
+
+
+def _upsert(spark, d):
+    shop = load_shop(spark, d)
+    return Wr.upsert_products(shop.products, product_rows(shop), order=["src_id"])
+
+
+def product_patches(shop) -> DataFrame:
+    p = shop.products
+    k = F.col("StockQuantity") % 3
+    patch = (F.when(k == 0, F.create_map(F.lit("Price"),
+                                         (F.col("Price") * F.lit(0.9).cast("decimal(2,1)"))
+                                         .cast("decimal(10,2)").cast("string")))
+             .when(k == 1, F.create_map(F.lit("ProductName"), F.upper("ProductName"),
+                                        F.lit("ImageURL"), F.lit(None).cast("string")))
+             .otherwise(F.create_map(F.lit("StockQuantity"), F.lit("0"))))
+    pid = F.when(F.col("StockQuantity") == 0, F.col("ProductID") + F.lit(1_000_000_000)).otherwise(F.col("ProductID"))
+    return p.select(pid.alias("ProductID"), patch.alias("patch"))
+
+
+def _patch(spark, d):
+    shop = load_shop(spark, d)
+    return Wr.patch_products(shop.products, product_patches(shop), AS_OF)
+
+
+def _favorites_edit(spark, d):
+    shop = load_shop(spark, d)
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    key = F.regexp_extract("props", "[0-9]+", 0).cast("long")
+    adds = ev.filter(F.col("event_type") == "purchase").select(F.col("user_id").alias("UserID"), key.alias("ProductID"))
+    removes = ev.filter(F.col("event_type") == "click").select(F.col("user_id").alias("UserID"), key.alias("ProductID"))
+    return Wr.edit_favorites(shop.favorites, adds, removes, shop.user_roles, shop.roles)
+
+
+def user_rows(spark, d) -> DataFrame:
+    """One registration per customer row: taken names and e-mails,
+    duplicates inside the batch, unknown and missing roles."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    name = F.when(F.col("c_custkey") % 7 == 0, F.col("c_name")).otherwise(
+        F.concat(F.lit("new_"), F.col("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string")))
+    email = F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lower("c_name"), F.lit("@example.com"))).otherwise(
+        F.concat(F.lit("n"), F.col("c_custkey").cast("string"), F.lit("@shop.test")))
+    role = (F.when(F.col("c_mktsegment") == "BUILDING", F.lit("Admin"))
+            .when(F.col("c_mktsegment") == "FURNITURE", F.lit("Guest"))
+            .when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit(None).cast("string"))
+            .otherwise(F.lit("User")))
+    return c.select(F.col("c_custkey").alias("src_id"), name.alias("Username"),
+                    F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("PasswordHash"),
+                    email.alias("Email"), role.alias("RoleName"))
+
+
+def _register(spark, d, rules="sql"):
+    shop = load_shop(spark, d)
+    return Wr.register_users(shop.users, shop.user_roles, shop.roles, user_rows(spark, d),
+                             rules=rules, order=["src_id"])
+
+
+QUERIES.update({
+    "add_promocodes_added": lambda spark, d: _add_promos(spark, d).tables["added"],
+    "add_promocodes_rejects": lambda spark, d: _add_promos(spark, d).rejects.select("event_id", "reason"),
+    "add_promocodes_doc_added": lambda spark, d: _add_promos_doc(spark, d).tables["added"],
+    "delete_promocodes_promos": lambda spark, d: _delete_promos(spark, d).tables["promocodes"],
+    "delete_promocodes_orders": lambda spark, d: _delete_promos(spark, d).tables["orders"],
+    "delete_promocodes_rejects": lambda spark, d: _delete_promos(spark, d).rejects,
+    "delete_promocodes_doc_orders": lambda spark, d: _delete_promos(spark, d, "document").tables["orders"],
+    "delete_products_products": lambda spark, d: _delete_products(spark, d, "restrict").tables["products"],
+    "delete_products_favorites": lambda spark, d: _delete_products(spark, d, "restrict").tables["favorites"],
+    "delete_products_rejects": lambda spark, d: _delete_products(spark, d, "restrict").rejects,
+    "delete_products_cascade_order_items":
+        lambda spark, d: _delete_products(spark, d, "cascade_all").tables["order_items"],
+    "delete_users_orders": lambda spark, d: _delete_users(spark, d).tables["orders"],
+    "delete_users_order_items": lambda spark, d: _delete_users(spark, d).tables["order_items"],
+    "delete_users_user_roles": lambda spark, d: _delete_users(spark, d).tables["user_roles"],
+    "upsert_products_products": lambda spark, d: _upsert(spark, d).tables["products"],
+    "upsert_products_rejects": lambda spark, d: _upsert(spark, d).rejects.select("src_id", "reason"),
+    "patch_products_products": lambda spark, d: _patch(spark, d).tables["products"],
+    "patch_products_rejects": lambda spark, d: _patch(spark, d).rejects.select("ProductID", "reason"),
+    "edit_favorites_favorites": lambda spark, d: _favorites_edit(spark, d).tables["favorites"],
+    "edit_favorites_rejects": lambda spark, d: _favorites_edit(spark, d).rejects,
+    "register_users_added": lambda spark, d: _register(spark, d).tables["added_users"],
+    "register_users_roles": lambda spark, d: _register(spark, d).tables["added_roles"],
+    "register_users_rejects": lambda spark, d: _register(spark, d).rejects.select("src_id", "reason"),
+    "register_users_doc_added": lambda spark, d: _register(spark, d, "document").tables["added_users"],
+    "integrity_report": lambda spark, d: Wr.integrity_report(load_shop(spark, d)),
+})
