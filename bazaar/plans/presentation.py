@@ -26,4 +26,5 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "delete_users_orders": ["PromoID"], "delete_users_order_items": ["UnitPrice"],
     "upsert_products_products": ["Price"], "patch_products_products": ["Price"],
     "add_promocodes_added": ["CategoryID"], "add_promocodes_doc_added": ["CategoryID"],
+    "export_products": ["Price"], "import_products_added": ["Price"],
 }

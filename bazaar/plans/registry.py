@@ -449,3 +449,108 @@ QUERIES.update({
     "register_users_doc_added": lambda spark, d: _register(spark, d, "document").tables["added_users"],
     "integrity_report": lambda spark, d: Wr.integrity_report(load_shop(spark, d)),
 })
+
+
+# Audit, logs, JSON and streams ------------------------------------------------------
+from bazaar.operators import audit as Au  # noqa: E402
+from bazaar.sources import json_io as J  # noqa: E402
+from bazaar.streaming import audit_stream as AS  # noqa: E402
+from bazaar.streaming import cart_stream as CS  # noqa: E402
+
+ADMIN_ACTOR = 0    # customer 0 holds the Admin role
+
+
+def new_products(shop) -> DataFrame:
+    """Product snapshot after the upsert batch and after removing the
+    products with stock 5 (inserts, updates and deletes)."""
+    up = Wr.upsert_products(shop.products, product_rows(shop), order=["src_id"]).tables["products"]
+    gone = shop.products.filter(F.col("StockQuantity") == 5).select("ProductID")
+    return Wr.delete_products(up, gone, shop.favorites, shop.cart_items, shop.order_items,
+                              mode="plain").tables["products"]
+
+
+def new_promocodes(spark, d, shop) -> DataFrame:
+    """Promo snapshot after the add-promo batch and removing expired codes."""
+    added = Wr.add_promocodes(shop.promocodes, promo_requests(spark, d), AS_OF, rules="sql",
+                              user_roles=shop.user_roles, roles=shop.roles,
+                              order=["ts", "event_id"]).tables["promocodes"]
+    expired = shop.promocodes.filter(F.col("ValidTo") < F.lit(AS_OF)).select("PromoID")
+    return Wr.delete_promocodes(added, shop.orders, expired).tables["promocodes"]
+
+
+def _audit_products(spark, d):
+    shop = load_shop(spark, d)
+    return Au.audit_products(shop.products, new_products(shop), ADMIN_ACTOR, AS_OF)
+
+
+def _audit_promocodes(spark, d):
+    shop = load_shop(spark, d)
+    return Au.audit_promocodes(shop.promocodes, new_promocodes(spark, d, shop), ADMIN_ACTOR, AS_OF)
+
+
+def _audit_log(spark, d):
+    return Au.logs(Au.append_logs(None, _audit_products(spark, d).unionByName(_audit_promocodes(spark, d))))
+
+
+def _logs_json_roundtrip(spark, d):
+    path = AS.stream_root(spark, "logs-json")
+    J.export_logs(_audit_log(spark, d), path)
+    return J.read_logs_json(spark, path, multi_line=False)
+
+
+def _import_logs_dedup(spark, d):
+    existing = _audit_log(spark, d)
+    path = AS.stream_root(spark, "logs-json")
+    J.export_logs(existing, path)
+    return J.import_logs(existing, J.read_logs_json(spark, path, multi_line=False), dedup=True)
+
+
+def _export_products(spark, d):
+    return J.export_frame(load_shop(spark, d).products)
+
+
+def _import_products_added(spark, d):
+    shop = load_shop(spark, d)
+    path = AS.stream_root(spark, "products-json")
+    J.export_products(shop.products, path)
+    return J.import_products(spark, shop.products, path)[1]
+
+
+def _audit_stream(spark, d):
+    shop = load_shop(spark, d)
+    feed = AS.product_change_feed(shop.products, new_products(shop), ADMIN_ACTOR, AS_OF)
+    root = AS.stream_root(spark, "audit-stream")
+    feed.repartitionByRange(4, "Key").write.parquet(f"{root}/source")
+    AS.run_audit_stream(spark, f"{root}/source", f"{root}/sink", f"{root}/checkpoint", max_files_per_trigger=1)
+    return spark.read.parquet(f"{root}/sink").select("UserID", "Action", "Timestamp", "Key")
+
+
+def _cart_stream(spark, d):
+    """Cart events written as four time slices, one micro-batch each."""
+    shop = load_shop(spark, d)
+    events = shop.cart_events
+    root = AS.stream_root(spark, "cart-stream")
+    bounds = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    lo, hi = bounds["lo"], bounds["hi"]
+    step = (hi - lo) / 4
+    for i in range(4):
+        cond = F.lit(True)
+        if i > 0:
+            cond = cond & (F.col("ts") >= F.lit(lo + step * i))
+        if i < 3:
+            cond = cond & (F.col("ts") < F.lit(lo + step * (i + 1)))
+        events.filter(cond).coalesce(1).write.mode("append").parquet(f"{root}/source")
+    return CS.run_cart_stream(spark, f"{root}/source", root, shop.user_roles, shop.roles)
+
+
+QUERIES.update({
+    "audit_products": _audit_products,
+    "audit_promocodes": _audit_promocodes,
+    "audit_log": _audit_log,
+    "logs_json_roundtrip": _logs_json_roundtrip,
+    "import_logs_dedup": _import_logs_dedup,
+    "export_products": _export_products,
+    "import_products_added": _import_products_added,
+    "audit_stream": _audit_stream,
+    "cart_stream": _cart_stream,
+})
