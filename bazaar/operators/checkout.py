@@ -127,7 +127,7 @@ def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
         (F.col("StockQuantity") - F.coalesce(F.col("Sold"), F.lit(0))).cast(T.IntegerType()).alias("StockQuantity"))
     oversold = with_sold.filter(F.col("Sold") > F.col("StockQuantity")).select("ProductID", "StockQuantity", "Sold")
 
-    remaining = carts.join(accepted.select("UserID"), "UserID", "left_anti")
+    remaining = carts.join(accepted.select("UserID"), "UserID", "left_anti").select(*carts.columns)
     return Checkout(orders=orders, order_items=order_items, stock=stock, carts=remaining,
                     rejects=rejects, oversold=oversold)
 
@@ -171,6 +171,6 @@ def checkout_simple(shop: Shop, requests: DataFrame, cart: DataFrame | None = No
         .otherwise(F.col("Price").cast(T.DecimalType(14, 4)))
     order_items = items.select("OrderID", "ProductID", "Quantity", unit.alias("UnitPrice"))
     stock = shop.products.select("ProductID", "StockQuantity")
-    remaining = carts.join(accepted.select("UserID"), "UserID", "left_anti")
+    remaining = carts.join(accepted.select("UserID"), "UserID", "left_anti").select(*carts.columns)
     return Checkout(orders=orders, order_items=order_items, stock=stock, carts=remaining,
                     rejects=rejects, oversold=stock.limit(0).withColumn("Sold", F.lit(0).cast("long")))

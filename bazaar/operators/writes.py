@@ -136,6 +136,12 @@ def _gate_actor(requests: DataFrame, user_roles: DataFrame | None, roles: DataFr
     return ok, bad
 
 
+def _minus(table: DataFrame, keys: DataFrame, on) -> DataFrame:
+    """``table`` without the rows matching ``keys`` (anti join), in the
+    table's own column order."""
+    return table.join(keys, on, "left_anti").select(*table.columns)
+
+
 def _reject(df: DataFrame, cond, reason: str) -> tuple[DataFrame, DataFrame]:
     """Split off rows where ``cond`` is true as rejects with ``reason``."""
     c = F.coalesce(cond, F.lit(False))
@@ -209,13 +215,13 @@ def delete_promocodes(promocodes: DataFrame, orders: DataFrame, ids: DataFrame,
                .withColumn("reason", F.lit(NOT_FOUND)))
     if rules != "sql":
         rejects = rejects.limit(0)
-    new_promos = promocodes.join(known, "PromoID", "left_anti")
+    new_promos = _minus(promocodes, known, "PromoID")
     if rules == "sql":
         gone = known.select(F.col("PromoID").alias("__gone"))
         new_orders = (orders.join(gone, orders["PromoID"] == gone["__gone"], "left")
                       .withColumn("PromoID", F.when(F.col("__gone").isNotNull(), F.lit(None).cast("long"))
                                   .otherwise(F.col("PromoID")))
-                      .drop("__gone"))
+                      .select(*orders.columns))
     else:
         new_orders = orders
     return WriteResult(tables={"promocodes": new_promos, "orders": new_orders}, rejects=rejects)
@@ -235,11 +241,11 @@ def delete_products(products: DataFrame, ids: DataFrame, favorites: DataFrame, c
         want = want.join(used, "ProductID", "left_anti")
     elif mode not in ("cascade_all", "plain"):
         raise ValueError(f"unknown mode {mode!r}")
-    tables = {"products": products.join(want, "ProductID", "left_anti")}
+    tables = {"products": _minus(products, want, "ProductID")}
     if mode != "plain":
-        tables["favorites"] = favorites.join(want, "ProductID", "left_anti")
-        tables["cart_items"] = cart_items.join(want, "ProductID", "left_anti")
-    tables["order_items"] = (order_items.join(want, "ProductID", "left_anti") if mode == "cascade_all"
+        tables["favorites"] = _minus(favorites, want, "ProductID")
+        tables["cart_items"] = _minus(cart_items, want, "ProductID")
+    tables["order_items"] = (_minus(order_items, want, "ProductID") if mode == "cascade_all"
                              else order_items)
     return WriteResult(tables=tables, rejects=rejects)
 
@@ -252,12 +258,12 @@ def delete_users(shop, ids: DataFrame, cart_items: DataFrame | None = None) -> W
     gone_orders = shop.orders.join(want, "UserID", "left_semi").select("OrderID")
     carts = cart_items if cart_items is not None else shop.cart_items
     return WriteResult(tables={
-        "users": shop.users.join(want, "UserID", "left_anti"),
-        "favorites": shop.favorites.join(want, "UserID", "left_anti"),
-        "cart_items": carts.join(want, "UserID", "left_anti"),
-        "user_roles": shop.user_roles.join(want, "UserID", "left_anti"),
-        "order_items": shop.order_items.join(gone_orders, "OrderID", "left_anti"),
-        "orders": shop.orders.join(want, "UserID", "left_anti"),
+        "users": _minus(shop.users, want, "UserID"),
+        "favorites": _minus(shop.favorites, want, "UserID"),
+        "cart_items": _minus(carts, want, "UserID"),
+        "user_roles": _minus(shop.user_roles, want, "UserID"),
+        "order_items": _minus(shop.order_items, gone_orders, "OrderID"),
+        "orders": _minus(shop.orders, want, "UserID"),
     }, rejects=want.limit(0).withColumn("reason", F.lit(None).cast("string")))
 
 
@@ -334,8 +340,8 @@ def edit_favorites(existing: DataFrame, adds: DataFrame, removes: DataFrame,
         r = r.join(shop_users, "UserID", "left_semi")
     else:
         rejects = a.limit(0).withColumn("reason", F.lit(None).cast("string"))
-    out = (existing.select("UserID", "ProductID").unionByName(a.drop("op"))
-           .join(r.select(*KEYS).distinct(), KEYS, "left_anti"))
+    out = _minus(existing.select("UserID", "ProductID").unionByName(a.drop("op")),
+                 r.select(*KEYS).distinct(), KEYS)
     return WriteResult(tables={"favorites": out}, rejects=rejects)
 
 
