@@ -52,7 +52,9 @@ def priced_products(shop: Shop, as_of, policy: str = "all", products: DataFrame
     left join to the active promos of its category.
     """
     prods = products if products is not None else shop.products
-    promos = checked_broadcast(active_promos(shop.promocodes, as_of, policy))
+    # Promo tables are small and file- or literal-backed, so Spark's own
+    # size estimate (autoBroadcastJoinThreshold) decides the broadcast.
+    promos = active_promos(shop.promocodes, as_of, policy)
     price = (discounted_price_raw if raw else discounted_price)("Price", "DiscountPercent")
     return (prods.join(checked_broadcast(shop.categories), "CategoryID", "inner")
             .join(promos, "CategoryID", "left")

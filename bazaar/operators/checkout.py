@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from bazaar.functions.exprs import MONEY, discounted_price, promo_active, promo_applies
 from bazaar.operators.ids import max_id, next_ids
-from bazaar.operators.joins import checked_broadcast
 from bazaar.operators.users import users_with_role
 from bazaar.sources.tables import Shop
 
@@ -108,7 +107,7 @@ def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
 
     orders = _with_status(numbered, shop.order_statuses)
 
-    promos = checked_broadcast(
+    promos = (
         shop.promocodes.filter(promo_active("ValidFrom", "ValidTo", as_of))
         .select("PromoID", F.col("DiscountPercent").alias("pct"), "IsGlobal",
                 F.col("CategoryID").alias("PromoCategoryID"), F.lit(True).alias("promo_counts")))
@@ -161,7 +160,7 @@ def checkout_simple(shop: Shop, requests: DataFrame, cart: DataFrame | None = No
     start = start_id if start_id is not None else max_id(shop.orders, "OrderID")
     numbered = next_ids(accepted, ["request_ts", "UserID"], start, "OrderID")
     orders = _with_status(numbered, shop.order_statuses)
-    promos = checked_broadcast(shop.promocodes.select("PromoID", F.col("DiscountPercent").alias("pct")))
+    promos = shop.promocodes.select("PromoID", F.col("DiscountPercent").alias("pct"))
     price = shop.products.select("ProductID", "Price")
     items = (carts.join(numbered.select("UserID", "OrderID", "PromoID"), "UserID", "inner")
              .join(price, "ProductID", "left")

@@ -1,15 +1,25 @@
 """Join helpers: size-checked broadcast, and the document-style
 ``lookup`` / ``unwind`` pair (N6).
 
-Broadcast policy: a side is hinted for broadcast only after a bounded
-count proves it small (``limit(max_rows + 1).count()`` never reads more
-than ``max_rows + 1`` rows past the side's own plan).  Beyond the bound
-the side is left alone, so Catalyst/AQE choose a shuffle join, with AQE
-splitting skewed partitions.
+Broadcast policy, in order of preference:
+
+* sides whose size Spark can bound itself -- parquet scans, literal
+  rows, and filters/projections of them -- are joined plainly: Spark's
+  ``autoBroadcastJoinThreshold`` compares its size estimate (an upper
+  bound for these plans) and broadcasts only below it;
+* sides that come out of an aggregate over a large table (Spark's
+  estimate is then the whole input) or from a caller's key list are
+  hinted only after a bounded count proves them small
+  (``checked_broadcast``: ``limit(max_rows + 1).count()`` never reads
+  more than ``max_rows + 1`` rows past the side's own plan).
+
+Beyond either bound Catalyst/AQE choose a shuffle join, and AQE splits
+skewed partitions (``spark.sql.adaptive.skewJoin.enabled``).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +31,23 @@ _SMALL = "_bazaar_small"
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind a bounded row count; unchanged df otherwise."""
+    """Broadcast hint behind a bounded row count; unchanged df otherwise.
+
+    The side is persisted while it is counted, so the broadcast reads the
+    rows the check computed instead of recomputing the side (and Spark's
+    cache manager hands the same entry to later plans of the same side).
+    A side over the bound is unpersisted and left to a shuffle join.
+    """
     verdict = getattr(df, _SMALL, None)
     if verdict is not None:
         return df
-    small = df.limit(max_rows + 1).count() <= max_rows
-    out = F.broadcast(df) if small else df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    small = kept.limit(max_rows + 1).count() <= max_rows
+    if small:
+        out = F.broadcast(kept)
+    else:
+        kept.unpersist()
+        out = df
     setattr(out, _SMALL, small)
     return out
 

@@ -75,7 +75,7 @@ def order_totals(shop: Shop, user_id=None, gate: bool = True) -> DataFrame:
     totals = (shop.order_items.groupBy("OrderID")
               .agg(F.sum(line_total("Quantity", "UnitPrice")).cast(SUM_MONEY).alias("TotalPrice")))
     return (orders.join(totals, "OrderID", "inner")
-            .join(checked_broadcast(shop.order_statuses.select("StatusID", "DisplayName")), "StatusID")
+            .join(shop.order_statuses.select("StatusID", "DisplayName"), "StatusID")
             .select("UserID", "OrderID", "TotalPrice", "DisplayName"))
 
 
@@ -112,7 +112,7 @@ def order_details(shop: Shop, user_id=None, order_id=None) -> DataFrame:
     if order_id is not None:
         orders = orders.filter(F.col("OrderID") == F.lit(order_id))
     orders = role_gate(orders, shop.user_roles, shop.roles, "User")
-    statuses = checked_broadcast(shop.order_statuses.select("StatusID", F.col("DisplayName").alias("Status")))
+    statuses = shop.order_statuses.select("StatusID", F.col("DisplayName").alias("Status"))
     return (orders.join(statuses, "StatusID", "inner")
             .join(shop.order_items, "OrderID", "inner")
             .join(shop.products.select("ProductID", "ProductName"), "ProductID", "inner")
@@ -133,7 +133,7 @@ def cart_quote_lines(shop: Shop, requests: DataFrame, cart: DataFrame | None = N
     promos = (shop.promocodes.join(checked_broadcast(shop.categories), "CategoryID", "left")
               .select("Code", "DiscountPercent", "IsGlobal",
                       F.col("CategoryName").alias("PromoCategoryName")))
-    chosen = requests.select("UserID", "Code").join(checked_broadcast(promos), "Code", "left")
+    chosen = requests.select("UserID", "Code").join(promos, "Code", "left")
     applies = F.col("DiscountPercent").isNotNull() & promo_applies(
         "IsGlobal", "PromoCategoryName", "CategoryName")
     unit = F.when(applies, discounted_price_raw("Price", "DiscountPercent")).otherwise(

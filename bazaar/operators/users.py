@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.operators.joins import checked_broadcast
-
 
 def users_with_role(user_roles: DataFrame, roles: DataFrame, role: str) -> DataFrame:
     """UserIDs that hold ``role`` (the gate in front of most calls).
@@ -14,7 +12,7 @@ def users_with_role(user_roles: DataFrame, roles: DataFrame, role: str) -> DataF
     Returns one row per (user, role) pair; callers use it as the right
     side of a ``left_semi`` join, so duplicates never multiply rows.
     """
-    wanted = checked_broadcast(roles.filter(F.col("RoleName") == role).select("RoleID"))
+    wanted = roles.filter(F.col("RoleName") == role).select("RoleID")
     return user_roles.join(wanted, "RoleID", "left_semi").select("UserID")
 
 
@@ -30,7 +28,7 @@ def user_roles(users: DataFrame, user_roles_df: DataFrame, roles: DataFrame,
     if username is not None:
         u = u.filter(F.col("Username") == username)
     return (u.join(user_roles_df, "UserID", "inner")
-            .join(checked_broadcast(roles), "RoleID", "inner")
+            .join(roles, "RoleID", "inner")
             .select("UserID", "Username", "Email", "RoleName"))
 
 

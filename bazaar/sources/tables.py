@@ -10,7 +10,6 @@ pushdown, because each operator selects only what it reads.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +41,22 @@ ORDER_STATUSES = _schema(("StatusID", L), ("StatusCode", S), ("DisplayName", S))
 ORDER_ITEMS = _schema(("OrderID", L), ("ProductID", L), ("Quantity", I), ("UnitPrice", MONEY))
 LOGS = _schema(("LogID", L), ("UserID", L), ("Action", S), ("Timestamp", TS))
 
+# Schemas of the driver tables read here (explicit: no footer inference).
+DRIVER_SCHEMAS = {
+    "part": _schema(("p_partkey", L), ("p_name", S), ("p_brand", S), ("p_type", S), ("p_size", I),
+                    ("p_retailprice", T.DoubleType())),
+    "customer": _schema(("c_custkey", L), ("c_name", S), ("c_nationkey", I), ("c_acctbal", T.DoubleType()),
+                        ("c_mktsegment", S)),
+    "orders": _schema(("o_orderkey", L), ("o_custkey", L), ("o_orderstatus", S), ("o_totalprice", T.DoubleType()),
+                      ("o_orderdate", TS), ("o_orderpriority", S)),
+    "lineitem": _schema(("l_orderkey", L), ("l_partkey", L), ("l_suppkey", L), ("l_linenumber", I),
+                        ("l_quantity", T.DoubleType()), ("l_extendedprice", T.DoubleType()),
+                        ("l_discount", T.DoubleType()), ("l_tax", T.DoubleType()), ("l_returnflag", S),
+                        ("l_linestatus", S), ("l_shipdate", TS)),
+    "events": _schema(("event_id", L), ("ts", TS), ("user_id", L), ("event_type", S), ("value", T.DoubleType()),
+                      ("props", S)),
+}
+
 # Role names and order statuses of the shop.
 ROLE_ROWS = [(1, "Admin"), (2, "User")]
 STATUS_ROWS = [(1, "pending", "Pending"), (2, "processing", "Processing"), (3, "completed", "Completed")]
@@ -60,32 +75,44 @@ PROMO_ROWS = [
 ]
 
 
-@dataclass
 class Shop:
-    """The shop's tables as lazy DataFrames."""
-
-    products: DataFrame
-    categories: DataFrame
-    promocodes: DataFrame
-    users: DataFrame
-    roles: DataFrame
-    user_roles: DataFrame
-    favorites: DataFrame
-    orders: DataFrame
-    order_statuses: DataFrame
-    order_items: DataFrame
-    cart_events: DataFrame | None = None
-    logs: DataFrame | None = None
-    _cart_items: DataFrame | None = field(default=None, repr=False)
+    """The shop's tables as lazy DataFrames.
+
+    Each table is built on first use, so a query touching two tables
+    never lists or plans the others.
+    """
+
+    TABLES = ("products", "categories", "promocodes", "users", "roles", "user_roles", "favorites",
+              "orders", "order_statuses", "order_items", "cart_events", "logs")
+
+    def __init__(self, **tables):
+        self._made: dict[str, DataFrame | None] = {}
+        self._factories = {}
+        for name in self.TABLES:
+            v = tables.pop(name, None)
+            if callable(v) and not isinstance(v, DataFrame):
+                self._factories[name] = v
+            else:
+                self._made[name] = v
+        self._made["_cart_items"] = tables.pop("_cart_items", None)
+        if tables:
+            raise TypeError(f"unknown shop tables {sorted(tables)}")
+
+    def __getattr__(self, name):
+        if name.startswith("_") or name not in self.TABLES:
+            raise AttributeError(name)
+        if name not in self._made:
+            self._made[name] = self._factories[name]()
+        return self._made[name]
 
     @property
     def cart_items(self) -> DataFrame:
         """Current carts: the fold (D2) of the cart events, role-gated."""
-        if self._cart_items is None:
+        if self._made.get("_cart_items") is None:
             from bazaar.operators.writes import fold_cart_events
-            self._cart_items = fold_cart_events(self.cart_events, user_roles=self.user_roles,
-                                                roles=self.roles).items
-        return self._cart_items
+            self._made["_cart_items"] = fold_cart_events(self.cart_events, user_roles=self.user_roles,
+                                                         roles=self.roles).items
+        return self._made["_cart_items"]
 
 
 def roles_frame(spark: SparkSession) -> DataFrame:
@@ -100,8 +127,12 @@ def promo_fixture(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROMO_ROWS, PROMOCODES)
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table with its explicit schema."""
+    return spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_read = read_table
 
 
 def categories_from_part(part: DataFrame) -> DataFrame:
@@ -117,15 +148,20 @@ def categories_from_part(part: DataFrame) -> DataFrame:
 
 
 def load_shop(spark: SparkSession, sf_dir: str, promocodes: DataFrame | None = None) -> Shop:
-    """Shop view of the driver's tables (FIXTURES.md section 2)."""
-    part = _read(spark, sf_dir, "part")
-    customer = _read(spark, sf_dir, "customer")
-    orders = _read(spark, sf_dir, "orders")
-    lineitem = _read(spark, sf_dir, "lineitem")
-    events = _read(spark, sf_dir, "events")
-
-    categories = checked_broadcast(categories_from_part(part))
-    products = (part.join(categories, part["p_type"] == categories["CategoryName"], "inner")
+    """Shop view of the driver's tables (FIXTURES.md section 2), built lazily."""
+    def rd(name):
+        return read_table(spark, sf_dir, name)
+
+    made: dict[str, DataFrame] = {}
+
+    def categories():
+        if "categories" not in made:
+            made["categories"] = checked_broadcast(categories_from_part(rd("part")))
+        return made["categories"]
+
+    def products():
+        part, cats = rd("part"), categories()
+        return (part.join(cats, part["p_type"] == cats["CategoryName"], "inner")
                 .select(
                     F.col("p_partkey").alias("ProductID"),
                     F.col("p_name").alias("ProductName"),
@@ -138,58 +174,60 @@ def load_shop(spark: SparkSession, sf_dir: str, promocodes: DataFrame | None = N
                            F.concat(F.lit("C:/shop/images/"), F.col("p_partkey").cast("string"),
                                     F.lit(".jpg"))).alias("ImageURL")))
 
-    users = customer.select(
-        F.col("c_custkey").alias("UserID"),
-        F.col("c_name").alias("Username"),
-        F.lit(None).cast("string").alias("PasswordHash"),
-        F.concat(F.lower(F.col("c_name")), F.lit("@example.com")).alias("Email"))
-
-    user_roles = (customer.filter(F.col("c_custkey") % 50 != 49)
-                  .select(F.col("c_custkey").alias("UserID"), F.lit(2).cast("long").alias("RoleID"))
-                  .unionByName(customer.filter(F.col("c_custkey") % 20 == 0)
-                               .select(F.col("c_custkey").alias("UserID"),
-                                       F.lit(1).cast("long").alias("RoleID"))))
-
-    shop_orders = orders.select(
-        F.col("o_orderkey").alias("OrderID"),
-        F.col("o_custkey").alias("UserID"),
-        F.when(F.col("o_orderkey") % 4 == 0, (F.col("o_orderkey") % 8 + 1).cast("long")).alias("PromoID"),
-        F.when(F.col("o_orderstatus") == "O", F.lit(1)).when(F.col("o_orderstatus") == "P", F.lit(2))
-        .otherwise(F.lit(3)).cast("long").alias("StatusID"))
-
-    order_items = lineitem.select(
-        F.col("l_orderkey").alias("OrderID"),
-        F.col("l_partkey").alias("ProductID"),
-        F.col("l_quantity").cast("int").alias("Quantity"),
-        F.col("l_extendedprice").cast(MONEY).alias("UnitPrice"))
+    def users():
+        return rd("customer").select(
+            F.col("c_custkey").alias("UserID"),
+            F.col("c_name").alias("Username"),
+            F.lit(None).cast("string").alias("PasswordHash"),
+            F.concat(F.lower(F.col("c_name")), F.lit("@example.com")).alias("Email"))
+
+    def user_roles():
+        customer = rd("customer")
+        return (customer.filter(F.col("c_custkey") % 50 != 49)
+                .select(F.col("c_custkey").alias("UserID"), F.lit(2).cast("long").alias("RoleID"))
+                .unionByName(customer.filter(F.col("c_custkey") % 20 == 0)
+                             .select(F.col("c_custkey").alias("UserID"),
+                                     F.lit(1).cast("long").alias("RoleID"))))
+
+    def orders():
+        return rd("orders").select(
+            F.col("o_orderkey").alias("OrderID"),
+            F.col("o_custkey").alias("UserID"),
+            F.when(F.col("o_orderkey") % 4 == 0, (F.col("o_orderkey") % 8 + 1).cast("long")).alias("PromoID"),
+            F.when(F.col("o_orderstatus") == "O", F.lit(1)).when(F.col("o_orderstatus") == "P", F.lit(2))
+            .otherwise(F.lit(3)).cast("long").alias("StatusID"))
+
+    def order_items():
+        return rd("lineitem").select(
+            F.col("l_orderkey").alias("OrderID"),
+            F.col("l_partkey").alias("ProductID"),
+            F.col("l_quantity").cast("int").alias("Quantity"),
+            F.col("l_extendedprice").cast(MONEY).alias("UnitPrice"))
 
     product_key = F.regexp_extract(F.col("props"), "[0-9]+", 0).cast("long")
-    cart_events = (events.filter(F.col("event_type").isin("click", "error", "signup"))
-                   .select(
-                       "event_id", "ts",
-                       F.col("user_id").alias("UserID"),
-                       product_key.alias("ProductID"),
-                       F.when(F.col("event_type") == "click", F.lit("delta"))
-                       .when(F.col("event_type") == "error", F.lit("set"))
-                       .otherwise(F.lit("remove")).alias("op"),
-                       F.when(F.col("event_type") == "click", F.col("event_id") % 5 - 1)
-                       .when(F.col("event_type") == "error", F.col("event_id") % 4)
-                       .cast("int").alias("qty")))
-
-    favorites = (events.filter(F.col("event_type") == "view")
-                 .select(F.col("user_id").alias("UserID"), product_key.alias("ProductID")))
+
+    def cart_events():
+        return (rd("events").filter(F.col("event_type").isin("click", "error", "signup"))
+                .select(
+                    "event_id", "ts",
+                    F.col("user_id").alias("UserID"),
+                    product_key.alias("ProductID"),
+                    F.when(F.col("event_type") == "click", F.lit("delta"))
+                    .when(F.col("event_type") == "error", F.lit("set"))
+                    .otherwise(F.lit("remove")).alias("op"),
+                    F.when(F.col("event_type") == "click", F.col("event_id") % 5 - 1)
+                    .when(F.col("event_type") == "error", F.col("event_id") % 4)
+                    .cast("int").alias("qty")))
+
+    def favorites():
+        return (rd("events").filter(F.col("event_type") == "view")
+                .select(F.col("user_id").alias("UserID"), product_key.alias("ProductID")))
 
     return Shop(
-        products=products,
-        categories=categories,
-        promocodes=promocodes if promocodes is not None else promo_fixture(spark),
-        users=users,
-        roles=roles_frame(spark),
-        user_roles=user_roles,
-        favorites=favorites,
-        orders=shop_orders,
-        order_statuses=statuses_frame(spark),
-        order_items=order_items,
+        products=products, categories=categories,
+        promocodes=(lambda: promocodes) if promocodes is not None else (lambda: promo_fixture(spark)),
+        users=users, roles=lambda: roles_frame(spark), user_roles=user_roles, favorites=favorites,
+        orders=orders, order_statuses=lambda: statuses_frame(spark), order_items=order_items,
         cart_events=cart_events,
     )
 
