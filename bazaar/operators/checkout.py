@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,12 @@ class Checkout:
     carts: DataFrame        # UserID, ProductID, Quantity (what is left)
     rejects: DataFrame      # UserID, PromoID, request_ts, reason, detail
     oversold: DataFrame     # ProductID, StockQuantity, Sold
+    kept: tuple = ()        # intermediates persisted for the outputs
+
+    def release(self) -> None:
+        """Unpersist the shared intermediates once the outputs are written."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def _first_request_per_user(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +79,10 @@ def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
       when global or of the line's category (F5 + F1); the order keeps
       the requested PromoID even when the promo did not count.
     """
-    carts = (cart if cart is not None else shop.cart_items).select("UserID", "ProductID", "Quantity")
+    # The carts and the priced cart lines feed all five outputs: persist
+    # them once (a lost executor recomputes its blocks from lineage).
+    carts = (cart if cart is not None else shop.cart_items).select(
+        "UserID", "ProductID", "Quantity").persist(StorageLevel.MEMORY_AND_DISK)
     first, dup = _first_request_per_user(requests)
     shop_users = users_with_role(shop.user_roles, shop.roles, "User")
     not_user = first.join(shop_users, "UserID", "left_anti")
@@ -80,7 +90,7 @@ def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
 
     products = shop.products.select("ProductID", "ProductName", "CategoryID", "Price", "StockQuantity")
     lines = (carts.join(eligible.select("UserID"), "UserID", "left_semi")
-             .join(products, "ProductID", "inner"))
+             .join(products, "ProductID", "inner")).persist(StorageLevel.MEMORY_AND_DISK)
 
     short = F.col("StockQuantity") < F.col("Quantity")
     verdict = (lines.groupBy("UserID")
@@ -128,7 +138,7 @@ def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
 
     remaining = carts.join(accepted.select("UserID"), "UserID", "left_anti").select(*carts.columns)
     return Checkout(orders=orders, order_items=order_items, stock=stock, carts=remaining,
-                    rejects=rejects, oversold=oversold)
+                    rejects=rejects, oversold=oversold, kept=(carts, lines))
 
 
 def _with_status(numbered: DataFrame, statuses: DataFrame) -> DataFrame:

@@ -115,16 +115,43 @@ class Shop:
         return self._made["_cart_items"]
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    if isinstance(v, dt.datetime):
+        return f"TIMESTAMP '{v.strftime('%Y-%m-%d %H:%M:%S.%f')}'"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A small fixed table as an inline ``VALUES`` relation.
+
+    Unlike ``createDataFrame(list)`` (an RDD of unknown size) this is a
+    LocalRelation: Spark knows its exact size, so its joins are size-
+    checked and broadcast by the planner itself.
+    """
+    body = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    names = [f.name for f in schema.fields]
+    cols = ", ".join(f"CAST(c{i} AS {f.dataType.simpleString()}) AS {f.name}"
+                     for i, f in enumerate(schema.fields))
+    aliases = ", ".join(f"c{i}" for i in range(len(names)))
+    return spark.sql(f"SELECT {cols} FROM VALUES {body} AS t({aliases})")
+
+
 def roles_frame(spark: SparkSession) -> DataFrame:
-    return literal_dimension(spark.createDataFrame(ROLE_ROWS, ROLES))
+    return literal_dimension(literal_frame(spark, ROLE_ROWS, ROLES))
 
 
 def statuses_frame(spark: SparkSession) -> DataFrame:
-    return literal_dimension(spark.createDataFrame(STATUS_ROWS, ORDER_STATUSES))
+    return literal_dimension(literal_frame(spark, STATUS_ROWS, ORDER_STATUSES))
 
 
 def promo_fixture(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROMO_ROWS, PROMOCODES)
+    return literal_frame(spark, PROMO_ROWS, PROMOCODES)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

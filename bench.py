@@ -65,6 +65,7 @@ def q_checkout(spark):
     res = K.checkout(shop, checkout_requests(shop), AS_OF)
     for df in (res.orders, res.order_items, res.stock, res.carts, res.rejects):
         _sink(df)
+    res.release()
 
 
 QUERIES = {
