@@ -17,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.functions.exprs import (discounted_price, discounted_price_raw, keyword_match,
-                                    keyword_pattern, promo_active, regex_match)
+from bazaar.functions.exprs import (discounted_price, discounted_price_raw, display_price, keyword_match,
+                                    keyword_pattern, promo_active, promo_active_open, regex_match,
+                                    stock_label)
 from bazaar.operators.joins import checked_broadcast
 from bazaar.sources.tables import Shop
 
@@ -114,6 +115,21 @@ def promocodes(shop: Shop) -> DataFrame:
                     "ValidFrom", "ValidTo"))
 
 
+def promo_choices(shop: Shop, as_of) -> DataFrame:
+    """The client's promo list: J8 filtered by the open-bound validity
+    test (F4), where a missing bound does not exclude a promo."""
+    return promocodes(shop).filter(promo_active_open("ValidFrom", "ValidTo", as_of))
+
+
+def product_cards(shop: Shop, as_of, policy: str = "all") -> DataFrame:
+    """What a product card shows: the price to pay (F11: discounted price
+    when there is one, else the list price) and the stock label (F10)."""
+    rows = priced_products(shop, as_of, policy)
+    return rows.select("ProductID", "ProductName", "CategoryName", "StockQuantity",
+                       display_price("DiscountedPrice", "Price").alias("ShownPrice"),
+                       stock_label("StockQuantity").alias("StockLabel"))
+
+
 # J9 -------------------------------------------------------------------------
 def promo_by_code(shop: Shop, codes: DataFrame, as_of) -> DataFrame:
     """Id and percent of each requested code (a Code frame) that is

@@ -5,13 +5,16 @@ into one task.  Instead the rows are range-partitioned on the order
 columns and sorted inside each partition; each row's id is the count of
 rows in earlier partitions (a table with one row per partition, so its
 broadcast is bounded by the partition count) plus its index inside its
-own partition.  The tagged rows are checkpointed to the reliable
-checkpoint folder before counting, so a lost executor cannot renumber
-them.
+own partition.  The tagged rows are written as a parquet table under
+the reliable checkpoint folder before counting (one pass; a Dataset
+checkpoint would compute its input twice), so a lost executor cannot
+renumber them.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +38,10 @@ def next_ids(df: DataFrame, order_by: list[str], start: int, id_col: str,
     tagged = (ranked.withColumn("__pid", F.spark_partition_id())
               .withColumn("__row", F.monotonically_increasing_id()))
     if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        tagged = tagged.checkpoint(eager=True)
+        spark = df.sparkSession
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+        tagged.write.parquet(path)
+        tagged = spark.read.schema(tagged.schema).parquet(path)
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", "__first",

@@ -27,4 +27,5 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "upsert_products_products": ["Price"], "patch_products_products": ["Price"],
     "add_promocodes_added": ["CategoryID"], "add_promocodes_doc_added": ["CategoryID"],
     "export_products": ["Price"], "import_products_added": ["Price"],
+    "product_cards": ["ShownPrice"], "catalog_page_after": PRICE2, "delete_products_plain": ["Price"],
 }

@@ -554,3 +554,34 @@ QUERIES.update({
     "audit_stream": _audit_stream,
     "cart_stream": _cart_stream,
 })
+
+
+# Client-side views and keyset paging -----------------------------------------------------
+KEYSET_AFTER = 500
+
+
+def _q_promo_choices(spark, d):
+    return C.promo_choices(load_shop(spark, d), AS_OF)
+
+
+def _q_product_cards(spark, d):
+    return C.product_cards(load_shop(spark, d), AS_OF)
+
+
+def _q_catalog_page_after(spark, d):
+    return C.catalog_page_after(load_shop(spark, d), KEYSET_AFTER, 52, AS_OF)
+
+
+def _q_delete_products_plain(spark, d):
+    shop = load_shop(spark, d)
+    gone = shop.products.filter(F.col("StockQuantity") == 5).select("ProductID")
+    return Wr.delete_products(shop.products, gone, shop.favorites, shop.cart_items, shop.order_items,
+                              mode="plain").tables["products"]
+
+
+QUERIES.update({
+    "promo_choices": _q_promo_choices,
+    "product_cards": _q_product_cards,
+    "catalog_page_after": _q_catalog_page_after,
+    "delete_products_plain": _q_delete_products_plain,
+})

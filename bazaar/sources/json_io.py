@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaar.functions.exprs import MONEY
+from bazaar.functions.exprs import MONEY, to_number
 from bazaar.operators.ids import max_id, next_ids
 
 LOG_JSON_SCHEMA = T.StructType([
@@ -91,8 +91,11 @@ def import_products(spark: SparkSession, existing: DataFrame, path: str, multi_l
     """
     raw = (spark.read.schema(PRODUCT_JSON_SCHEMA).option("multiLine", multi_line)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    price = F.col("Price").try_cast(MONEY)
-    stock = F.col("StockQuantity").try_cast("int")
+    # Lenient numbers, as the shop's API parses them (F12): blank or
+    # non-numeric -> null (then rejected below); "12.0" is a valid 12.
+    price = to_number("Price").try_cast(MONEY)
+    stock = F.when(to_number("StockQuantity") == F.floor(to_number("StockQuantity")),
+                   to_number("StockQuantity")).cast("int")
     typed = raw.select("ProductID", "ProductName", "Description", "CategoryID", price.alias("Price"),
                        stock.alias("StockQuantity"), "ImageURL", "_corrupt_record",
                        F.col("Price").alias("__price_raw"), F.col("StockQuantity").alias("__stock_raw"))
