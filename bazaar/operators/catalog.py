@@ -131,12 +131,13 @@ def product_cards(shop: Shop, as_of, policy: str = "all") -> DataFrame:
 
 
 # J9 -------------------------------------------------------------------------
-def promo_by_code(shop: Shop, codes: DataFrame, as_of) -> DataFrame:
-    """Id and percent of each requested code (a Code frame) that is
-    active at ``as_of``; exact, case-sensitive match."""
-    act = shop.promocodes.filter(promo_active("ValidFrom", "ValidTo", as_of))
-    return (act.join(codes.select("Code").distinct(), "Code", "left_semi")
-            .select("Code", "PromoID", "DiscountPercent"))
+def promo_by_code(shop: Shop, requests: DataFrame, as_of) -> DataFrame:
+    """Each request row (with a ``Code`` column) that names a promo active
+    at ``as_of``, with its PromoID and percent; exact, case-sensitive
+    match.  Unknown or inactive codes give no row, as the shop's lookup."""
+    act = (shop.promocodes.filter(promo_active("ValidFrom", "ValidTo", as_of))
+           .select("Code", "PromoID", "DiscountPercent"))
+    return requests.join(act, "Code", "inner")
 
 
 # J12 ------------------------------------------------------------------------

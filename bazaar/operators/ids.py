@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +35,17 @@ def next_ids(df: DataFrame, order_by: list[str], start: int, id_col: str,
     ``order_by`` must be a total order (a unique key) for the numbering
     to be reproducible.
     """
-    ranked = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    # Range partitioning samples its input in a job of its own before the
+    # write runs it again: keep the input for the two passes.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if checkpoint else df
+    ranked = src.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     tagged = (ranked.withColumn("__pid", F.spark_partition_id())
               .withColumn("__row", F.monotonically_increasing_id()))
     if checkpoint:
         spark = df.sparkSession
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
         tagged.write.parquet(path)
+        src.unpersist()
         tagged = spark.read.schema(tagged.schema).parquet(path)
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -303,6 +303,24 @@ def upsert_products(existing: DataFrame, rows: DataFrame, order: list[str] | Non
                        rejects=rejects)
 
 
+def add_products_document(existing: DataFrame, rows: DataFrame, as_of, order: list[str] | None = None
+                          ) -> WriteResult:
+    """Document twin of D7's add: every row is inserted with a new id and
+    stamped ``created_at`` = ``updated_at`` = ``as_of``; no field test."""
+    from bazaar.functions.exprs import _ts
+    from bazaar.operators.ids import max_id, next_ids
+
+    order_cols = order or ["ProductName", "Description"]
+    new_rows = next_ids(rows.select(*PRODUCT_COLS, *[c for c in order_cols if c not in PRODUCT_COLS]),
+                        order_cols, max_id(existing, "ProductID"), "ProductID")
+    stamp = _ts(as_of).cast("timestamp")
+    added = new_rows.select("ProductID", *[F.col(c).cast(existing.schema[c].dataType).alias(c)
+                                           for c in PRODUCT_COLS],
+                            stamp.alias("created_at"), stamp.alias("updated_at"))
+    return WriteResult(tables={"added": added},
+                       rejects=rows.limit(0).withColumn("reason", F.lit(None).cast("string")))
+
+
 # D8 -----------------------------------------------------------------------------
 def patch_products(existing: DataFrame, patches: DataFrame, as_of) -> WriteResult:
     """Partial update: ``patches`` = (ProductID, patch map<string,string>).

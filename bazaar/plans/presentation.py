@@ -28,4 +28,6 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "add_promocodes_added": ["CategoryID"], "add_promocodes_doc_added": ["CategoryID"],
     "export_products": ["Price"], "import_products_added": ["Price"],
     "product_cards": ["ShownPrice"], "catalog_page_after": PRICE2, "delete_products_plain": ["Price"],
+    "add_products_doc_added": ["Price"],
+    "promocodes_doc": ["CategoryID"],
 }

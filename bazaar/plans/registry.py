@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from bazaar.operators import orders as O
 from bazaar.plans.presentation import DOUBLE_COLS
-from bazaar.sources.tables import load_shop
+from bazaar.sources.tables import load_shop, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,13 +128,30 @@ def _q_search_products(spark, d):
     return C.search_products(load_shop(spark, d), SEARCH_KEYWORD, AS_OF)
 
 
+def _batch_shop(spark, d):
+    """The shop with its promo table after the events-driven promo batch."""
+    shop = load_shop(spark, d)
+    return load_shop(spark, d, promocodes=new_promocodes(spark, d, shop))
+
+
 def _q_promocodes(spark, d):
-    return C.promocodes(load_shop(spark, d))
+    return C.promocodes(_batch_shop(spark, d))
+
+
+# The codes customers type in the code requests (two unknown, one wrong case).
+REQUESTED_CODES = ["ECO10", "LARGE25", "MED15", "MED33", "OLD50", "ALL20", "ZERO", "SOON30", "eco10", "NOPE"]
+
+
+def code_requests(spark, d) -> DataFrame:
+    """One promo-code lookup per event row."""
+    ev = read_table(spark, d, "events")
+    code = F.element_at(F.array(*[F.lit(c) for c in REQUESTED_CODES]),
+                        (F.col("event_id") % len(REQUESTED_CODES) + 1).cast("int"))
+    return ev.select("event_id", code.alias("Code"))
 
 
 def _q_promo_by_code(spark, d):
-    shop = load_shop(spark, d)
-    return C.promo_by_code(shop, shop.promocodes.select("Code"), AS_OF)
+    return C.promo_by_code(_batch_shop(spark, d), code_requests(spark, d), AS_OF)
 
 
 def _q_category_id_by_name(spark, d):
@@ -298,7 +315,7 @@ def promo_requests(spark, d) -> DataFrame:
     """One add-promo request per event row; values chosen so every reject
     rule fires (taken code, blank code, percent out of range, dates in
     the past, non-admin actor, duplicates inside the batch)."""
-    ev = spark.read.parquet(f"{d}/events.parquet")
+    ev = read_table(spark, d, "events")
     code = (F.when(F.col("event_type") == "purchase", F.lit("ECO10"))
             .when((F.col("event_type") == "view") & (F.col("event_id") % 11 == 0), F.lit(""))
             .otherwise(F.concat(F.lit("EV-"), F.col("event_type"), F.lit("-"),
@@ -327,7 +344,7 @@ def _add_promos_doc(spark, d):
 
 def _delete_promos(spark, d, rules="sql"):
     shop = load_shop(spark, d)
-    ids = spark.read.parquet(f"{d}/orders.parquet").select(
+    ids = read_table(spark, d, "orders").select(
         (F.col("o_orderkey") % 10 + 1).cast("long").alias("PromoID"))
     return Wr.delete_promocodes(shop.promocodes, shop.orders, ids, rules=rules)
 
@@ -344,7 +361,7 @@ def _delete_products(spark, d, mode):
 
 def _delete_users(spark, d):
     shop = load_shop(spark, d)
-    ids = (spark.read.parquet(f"{d}/customer.parquet").filter(F.col("c_mktsegment") == "BUILDING")
+    ids = (read_table(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING")
            .select(F.col("c_custkey").alias("UserID")))
     return Wr.delete_users(shop, ids)
 
@@ -391,7 +408,7 @@ def _patch(spark, d):
 
 def _favorites_edit(spark, d):
     shop = load_shop(spark, d)
-    ev = spark.read.parquet(f"{d}/events.parquet")
+    ev = read_table(spark, d, "events")
     key = F.regexp_extract("props", "[0-9]+", 0).cast("long")
     adds = ev.filter(F.col("event_type") == "purchase").select(F.col("user_id").alias("UserID"), key.alias("ProductID"))
     removes = ev.filter(F.col("event_type") == "click").select(F.col("user_id").alias("UserID"), key.alias("ProductID"))
@@ -401,7 +418,7 @@ def _favorites_edit(spark, d):
 def user_rows(spark, d) -> DataFrame:
     """One registration per customer row: taken names and e-mails,
     duplicates inside the batch, unknown and missing roles."""
-    c = spark.read.parquet(f"{d}/customer.parquet")
+    c = read_table(spark, d, "customer")
     name = F.when(F.col("c_custkey") % 7 == 0, F.col("c_name")).otherwise(
         F.concat(F.lit("new_"), F.col("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string")))
     email = F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lower("c_name"), F.lit("@example.com"))).otherwise(
@@ -561,7 +578,7 @@ KEYSET_AFTER = 500
 
 
 def _q_promo_choices(spark, d):
-    return C.promo_choices(load_shop(spark, d), AS_OF)
+    return C.promo_choices(_batch_shop(spark, d), AS_OF)
 
 
 def _q_product_cards(spark, d):
@@ -585,3 +602,22 @@ QUERIES.update({
     "catalog_page_after": _q_catalog_page_after,
     "delete_products_plain": _q_delete_products_plain,
 })
+
+
+# Document twins -------------------------------------------------------------------------
+
+
+def _q_add_products_doc(spark, d):
+    shop = load_shop(spark, d)
+    rows = product_rows(shop).filter(F.col("ProductID").isNull())
+    return Wr.add_products_document(shop.products, rows.drop("ProductID"), AS_OF, order=["src_id"]).tables["added"]
+
+
+def _q_promocodes_doc(spark, d):
+    return _batch_shop(spark, d).promocodes
+
+
+QUERIES.update({
+    "add_products_doc_added": _q_add_products_doc,
+    "promocodes_doc": _q_promocodes_doc,
+})
