@@ -27,7 +27,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _ts(as_of) -> Column:
+def as_timestamp(as_of) -> Column:
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, str):
@@ -57,13 +57,13 @@ def discounted_price_raw(price, pct) -> Column:
 # F3 -------------------------------------------------------------------------
 def promo_active(valid_from, valid_to, as_of) -> Column:
     """Inclusive validity test; a null bound is never active."""
-    return _ts(as_of).between(_col(valid_from), _col(valid_to))
+    return as_timestamp(as_of).between(_col(valid_from), _col(valid_to))
 
 
 # F4 -------------------------------------------------------------------------
 def promo_active_open(valid_from, valid_to, as_of) -> Column:
     """Client form: a missing bound is unbounded."""
-    t, lo, hi = _ts(as_of), _col(valid_from), _col(valid_to)
+    t, lo, hi = as_timestamp(as_of), _col(valid_from), _col(valid_to)
     return (lo.isNull() | (t >= lo)) & (hi.isNull() | (t <= hi))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.functions.exprs import _ts, product_audit_text, promo_audit_text
+from bazaar.functions.exprs import as_timestamp, product_audit_text, promo_audit_text
 from bazaar.operators.ids import max_id, next_ids
 
 # The audit log's action prefixes.
@@ -52,7 +52,7 @@ def audit_products(old: DataFrame, new: DataFrame, actor_id, as_of) -> DataFrame
               .otherwise(F.concat(F.lit(UPDATE_PRODUCT), text_o, F.lit(ARROW), text_n)))
     return (d.filter(F.col("o").isNull() | F.col("n").isNull() | changed)
             .select(_actor(actor_id).alias("UserID"), action.alias("Action"),
-                    _ts(as_of).alias("Timestamp"), F.col("__key").alias("Key")))
+                    as_timestamp(as_of).alias("Timestamp"), F.col("__key").alias("Key")))
 
 
 def audit_promocodes(old: DataFrame, new: DataFrame, actor_id, as_of) -> DataFrame:
@@ -65,7 +65,7 @@ def audit_promocodes(old: DataFrame, new: DataFrame, actor_id, as_of) -> DataFra
               .when(F.col("n").isNull(), F.concat(F.lit(DELETE_PROMO), promo_audit_text("o.Code", "o.DiscountPercent"))))
     return (d.filter(F.col("o").isNull() | F.col("n").isNull())
             .select(_actor(actor_id).alias("UserID"), action.alias("Action"),
-                    _ts(as_of).alias("Timestamp"), F.col("__key").alias("Key")))
+                    as_timestamp(as_of).alias("Timestamp"), F.col("__key").alias("Key")))
 
 
 def append_logs(logs: DataFrame | None, entries: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bazaar.functions.exprs import as_timestamp
+from bazaar.operators.ids import max_id, next_ids
 from bazaar.operators.users import users_with_role
 
 KEYS = ["UserID", "ProductID"]
@@ -162,11 +164,8 @@ def add_promocodes(existing: DataFrame, requests: DataFrame, as_of, rules: str =
     reject; from or to before as_of -> reject.  document rules: only the
     duplicate-code test.
     """
-    from bazaar.functions.exprs import _ts
-    from bazaar.operators.ids import max_id, next_ids
-
     order = order or ["Code"]
-    now = _ts(as_of)
+    now = as_timestamp(as_of)
     req, rej_actor = _gate_actor(requests, user_roles, roles, "Admin")
     rejects = [rej_actor]
     if rules == "sql":
@@ -275,8 +274,6 @@ def upsert_products(existing: DataFrame, rows: DataFrame, order: list[str] | Non
     """Add rows without ProductID (new ids), overwrite every column of
     rows with a known ProductID; an unknown id is a no-op.  Required
     fields must be non-empty and non-zero (so price or stock 0 is refused)."""
-    from bazaar.operators.ids import max_id, next_ids
-
     def blank(c):     # JS falsy: null, "" or 0
         if isinstance(rows.schema[c].dataType, T.StringType):
             return F.col(c).isNull() | (F.col(c) == "")
@@ -307,13 +304,10 @@ def add_products_document(existing: DataFrame, rows: DataFrame, as_of, order: li
                           ) -> WriteResult:
     """Document twin of D7's add: every row is inserted with a new id and
     stamped ``created_at`` = ``updated_at`` = ``as_of``; no field test."""
-    from bazaar.functions.exprs import _ts
-    from bazaar.operators.ids import max_id, next_ids
-
     order_cols = order or ["ProductName", "Description"]
     new_rows = next_ids(rows.select(*PRODUCT_COLS, *[c for c in order_cols if c not in PRODUCT_COLS]),
                         order_cols, max_id(existing, "ProductID"), "ProductID")
-    stamp = _ts(as_of).cast("timestamp")
+    stamp = as_timestamp(as_of).cast("timestamp")
     added = new_rows.select("ProductID", *[F.col(c).cast(existing.schema[c].dataType).alias(c)
                                            for c in PRODUCT_COLS],
                             stamp.alias("created_at"), stamp.alias("updated_at"))
@@ -327,8 +321,6 @@ def patch_products(existing: DataFrame, patches: DataFrame, as_of) -> WriteResul
     Only the keys present in a patch change (a key with a null value sets
     null); ``updated_at`` is set on patched rows; unknown ids are a no-op.
     One patch per product (several patches of one id are not merged)."""
-    from bazaar.functions.exprs import _ts
-
     p = patches.select("ProductID", "patch").withColumn("__patched", F.lit(True))
     merged = existing.join(p, "ProductID", "left")
     cols = []
@@ -336,7 +328,7 @@ def patch_products(existing: DataFrame, patches: DataFrame, as_of) -> WriteResul
         present = F.coalesce(F.map_contains_key(F.col("patch"), F.lit(c)), F.lit(False))
         new = F.col("patch").getItem(c).cast(existing.schema[c].dataType)
         cols.append(F.when(present, new).otherwise(F.col(c)).alias(c))
-    updated_at = F.when(F.col("__patched"), _ts(as_of)).cast("timestamp").alias("updated_at")
+    updated_at = F.when(F.col("__patched"), as_timestamp(as_of)).cast("timestamp").alias("updated_at")
     out = merged.select("ProductID", *cols, updated_at)
     rejects = (patches.join(existing.select("ProductID"), "ProductID", "left_anti")
                .withColumn("reason", F.lit(NOT_FOUND)))
@@ -373,8 +365,6 @@ def register_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame, ro
     no uniqueness test, and the account is kept even when its role is
     unknown (it is written before the role lookup), just without a role.
     """
-    from bazaar.operators.ids import max_id, next_ids
-
     order = order or ["Username", "Email"]
     req = rows.withColumn("RoleName", F.coalesce(F.col("RoleName"), F.lit("User")))
     role_ids = roles.select("RoleName", "RoleID")

@@ -542,6 +542,16 @@ def _audit_stream(spark, d):
     return spark.read.parquet(f"{root}/sink").select("UserID", "Action", "Timestamp", "Key")
 
 
+def _audit_promo_stream(spark, d):
+    shop = load_shop(spark, d)
+    feed = AS.promo_change_feed(shop.promocodes, new_promocodes(spark, d, shop), ADMIN_ACTOR, AS_OF)
+    root = AS.stream_root(spark, "audit-promo-stream")
+    feed.repartitionByRange(3, "Key").write.parquet(f"{root}/source")
+    AS.run_audit_stream(spark, f"{root}/source", f"{root}/sink", f"{root}/checkpoint",
+                        max_files_per_trigger=1, kind="promo")
+    return spark.read.parquet(f"{root}/sink").select("UserID", "Action", "Timestamp", "Key")
+
+
 def _cart_stream(spark, d):
     """Cart events written as four time slices, one micro-batch each."""
     shop = load_shop(spark, d)
@@ -569,6 +579,7 @@ QUERIES.update({
     "export_products": _export_products,
     "import_products_added": _import_products_added,
     "audit_stream": _audit_stream,
+    "audit_promo_stream": _audit_promo_stream,
     "cart_stream": _cart_stream,
 })
 
