@@ -28,12 +28,17 @@ def _col(c) -> Column:
 
 
 def as_timestamp(as_of) -> Column:
+    """``as_of`` as a timestamp Column.  A naive datetime is a wall-clock
+    value in the session time zone (it is sent as text, so the Python
+    process's own zone never shifts it)."""
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, str):
         return F.to_timestamp(F.lit(as_of))
     if isinstance(as_of, _dt.datetime):
-        return F.lit(as_of).cast("timestamp")
+        if as_of.tzinfo is not None:
+            return F.lit(as_of).cast("timestamp")
+        return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
     raise TypeError(f"as_of must be a timestamp, string or Column, got {type(as_of)!r}")
 
 

@@ -30,4 +30,5 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "product_cards": ["ShownPrice"], "catalog_page_after": PRICE2, "delete_products_plain": ["Price"],
     "add_products_doc_added": ["Price"],
     "promocodes_doc": ["CategoryID"],
+    "cart_quote_lines": ["Price", "ItemPrice"],
 }

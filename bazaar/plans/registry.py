@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bazaar.functions.exprs import as_timestamp
 from bazaar.operators import orders as O
 from bazaar.plans.presentation import DOUBLE_COLS
 from bazaar.sources.tables import load_shop, read_table
@@ -30,8 +31,15 @@ def present(name: str, df: DataFrame) -> DataFrame:
 
 
 def presented(queries: dict[str, Query]) -> dict[str, Query]:
-    return {name: (lambda n, fn: lambda spark, d: present(n, fn(spark, d)))(name, fn)
-            for name, fn in queries.items()}
+    """The registered queries as handed to a caller's session: time zone
+    pinned to UTC (the shop's timestamps are UTC wall-clock values, as in
+    the SQL twins), then ``present``."""
+    def wrap(name, fn):
+        def run(spark, d):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return present(name, fn(spark, d))
+        return run
+    return {name: wrap(name, fn) for name, fn in queries.items()}
 
 
 def _q_top_products(spark, d):
@@ -77,6 +85,11 @@ def _q_cart_quote(spark, d):
     return O.cart_quote(shop, quote_requests(shop))
 
 
+def _q_cart_quote_lines(spark, d):
+    shop = load_shop(spark, d)
+    return O.cart_quote_lines(shop, quote_requests(shop))
+
+
 def _q_cart_shortages(spark, d):
     return O.cart_shortages(load_shop(spark, d))
 
@@ -90,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "fold_cart_events": _q_fold_cart_events,
     "cart_items": _q_cart_items,
     "cart_quote": _q_cart_quote,
+    "cart_quote_lines": _q_cart_quote_lines,
     "cart_shortages": _q_cart_shortages,
 }
 
@@ -280,7 +294,7 @@ def checkout_requests(shop) -> DataFrame:
     purpose, so every reject reason is exercised."""
     users = shop.cart_events.select("UserID").distinct()
     promo_id = F.when(F.col("UserID") % 9 == 0, F.lit(None)).otherwise(F.col("UserID") % 9)
-    ts = F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) + F.col("UserID"))
+    ts = F.timestamp_seconds(F.unix_timestamp(as_timestamp(AS_OF)) + F.col("UserID"))
     return users.select("UserID", promo_id.cast("long").alias("PromoID"), ts.alias("request_ts"))
 
 
@@ -491,7 +505,7 @@ def new_promocodes(spark, d, shop) -> DataFrame:
     added = Wr.add_promocodes(shop.promocodes, promo_requests(spark, d), AS_OF, rules="sql",
                               user_roles=shop.user_roles, roles=shop.roles,
                               order=["ts", "event_id"]).tables["promocodes"]
-    expired = shop.promocodes.filter(F.col("ValidTo") < F.lit(AS_OF)).select("PromoID")
+    expired = shop.promocodes.filter(F.col("ValidTo") < as_timestamp(AS_OF)).select("PromoID")
     return Wr.delete_promocodes(added, shop.orders, expired).tables["promocodes"]
 
 
