@@ -6,10 +6,14 @@ reason.  Per-user verdicts are aggregates over the cart lines (partial
 aggregation per map task), never a window over a user's lines; stock is
 decremented by the sold quantity per product, an aggregate as well.
 
-Stock rule (``stock="snapshot"``): every cart is tested against the same
-stock, as a single call would be; ``oversold`` lists the products whose
-accepted demand exceeds it.  The shop's one-by-one order (a later cart
-sees the earlier decrement) is sequential by nature and not offered.
+Stock rules.  ``stock="snapshot"`` (default): every cart is tested
+against the same stock, as a single call would be; ``oversold`` lists the
+products whose accepted demand exceeds it.  ``stock="prefix"``: a line
+passes only if the running demand for its product -- all eligible carts'
+lines up to this request in (request_ts, UserID) order, rejected carts
+included -- fits the stock; this never oversells and needs no sequence.
+The shop's one-by-one order (a later cart sees only the accepted earlier
+decrements) is sequential by nature and not offered.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import types as T
 
 from bazaar.functions.exprs import MONEY, discounted_price, promo_active, promo_applies
 from bazaar.operators.ids import max_id, next_ids
+from bazaar.operators.scan import running_total
 from bazaar.operators.users import users_with_role
 from bazaar.sources.tables import Shop
 
@@ -69,7 +74,8 @@ def _first_request_per_user(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
-             strict: bool = True, cart: DataFrame | None = None, start_id: int | None = None) -> Checkout:
+             strict: bool = True, cart: DataFrame | None = None, start_id: int | None = None,
+             stock: str = "snapshot") -> Checkout:
     """Per request (UserID, PromoID nullable, request_ts).
 
     * not role User -> reject; a cart line above stock rejects the whole
@@ -92,8 +98,18 @@ def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
     lines = (carts.join(eligible.select("UserID"), "UserID", "left_semi")
              .join(products, "ProductID", "inner")).persist(StorageLevel.MEMORY_AND_DISK)
 
-    short = F.col("StockQuantity") < F.col("Quantity")
-    verdict = (lines.groupBy("UserID")
+    if stock == "snapshot":
+        judged_lines = lines
+        short = F.col("StockQuantity") < F.col("Quantity")
+    elif stock == "prefix":
+        # Running demand per product in request order (skew-safe scan).
+        ordered = (lines.join(eligible.select("UserID", "request_ts"), "UserID", "inner")
+                   .withColumn("__demand_qty", F.greatest(F.col("Quantity"), F.lit(0))))
+        judged_lines = running_total(ordered, ["ProductID"], ["request_ts", "UserID"], "__demand_qty", "Demand")
+        short = F.col("StockQuantity") < F.col("Demand")
+    else:
+        raise ValueError(f"unknown stock rule {stock!r}")
+    verdict = (judged_lines.groupBy("UserID")
                .agg(F.count(F.lit(1)).alias("n_lines"),
                     F.min(F.when(short, F.col("ProductName"))).alias("short_name"),
                     F.max(short.cast("int")).alias("any_short"),

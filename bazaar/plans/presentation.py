@@ -31,4 +31,5 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "add_products_doc_added": ["Price"],
     "promocodes_doc": ["CategoryID"],
     "cart_quote_lines": ["Price", "ItemPrice"],
+    "checkout_prefix_orders": ["PromoID"], "checkout_prefix_rejects": ["PromoID"],
 }

@@ -303,6 +303,11 @@ def _checkout(spark, d):
     return K.checkout(shop, checkout_requests(shop), AS_OF)
 
 
+def _checkout_prefix(spark, d):
+    shop = load_shop(spark, d)
+    return K.checkout(shop, checkout_requests(shop), AS_OF, stock="prefix")
+
+
 def _checkout_simple(spark, d):
     shop = load_shop(spark, d)
     return K.checkout_simple(shop, checkout_requests(shop))
@@ -315,6 +320,8 @@ QUERIES.update({
     "checkout_carts": lambda spark, d: _checkout(spark, d).carts,
     "checkout_rejects": lambda spark, d: _checkout(spark, d).rejects,
     "checkout_oversold": lambda spark, d: _checkout(spark, d).oversold,
+    "checkout_prefix_orders": lambda spark, d: _checkout_prefix(spark, d).orders,
+    "checkout_prefix_rejects": lambda spark, d: _checkout_prefix(spark, d).rejects,
     "checkout_simple_orders": lambda spark, d: _checkout_simple(spark, d).orders,
     "checkout_simple_order_items": lambda spark, d: _checkout_simple(spark, d).order_items,
     "checkout_simple_rejects": lambda spark, d: _checkout_simple(spark, d).rejects,

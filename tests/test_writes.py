@@ -199,3 +199,29 @@ def test_edit_favorites_and_register(spark):
     assert rows(r.tables["added_roles"]) == [(13, 2), (14, 1)]
     doc = W.register_users(shop.users, shop.user_roles, shop.roles, reg, rules="document", order=["seq"])
     assert doc.tables["added_users"].count() == 6 and doc.tables["added_roles"].count() == 5
+
+
+def test_running_total_matches_brute_force_with_hot_key(spark):
+    from bazaar.operators.scan import running_total
+    rnd = random.Random(5)
+    data = [(0 if i % 2 == 0 else rnd.randint(1, 30), i, rnd.randint(-2, 9)) for i in range(4000)]
+    df = spark.createDataFrame(data, "k long, pos long, v long").repartition(6)
+    got = {(r.k, r.pos): r.run for r in running_total(df, ["k"], ["pos"], "v", "run").collect()}
+    acc, want = {}, {}
+    for k, pos, v in sorted(data, key=lambda t: (t[0], t[1])):
+        acc[k] = acc.get(k, 0) + v
+        want[(k, pos)] = acc[k]
+    assert got == want
+
+
+def test_checkout_prefix_never_oversells(spark):
+    shop = small_shop(spark, cart=[(10, 1, 3), (11, 1, 3)],
+                      user_roles=[(10, 2), (11, 2)])
+    req = spark.createDataFrame([(10, None, AS_OF), (11, None, AS_OF + dt.timedelta(seconds=1))],
+                                "UserID long, PromoID long, request_ts timestamp")
+    snap = K.checkout(shop, req, AS_OF)
+    assert snap.orders.count() == 2 and rows(snap.oversold, "ProductID", "Sold") == [(1, 6)]
+    pre = K.checkout(shop, req, AS_OF, stock="prefix")
+    assert rows(pre.orders, "UserID") == [(10,)]
+    assert rows(pre.rejects, "UserID", "reason") == [(11, K.OUT_OF_STOCK)]
+    assert {r.ProductID: r.StockQuantity for r in pre.stock.collect()}[1] == 2
