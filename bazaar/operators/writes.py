@@ -47,9 +47,9 @@ def fold_cart_events(events: DataFrame, base: DataFrame | None = None,
 
     The fold is exact without ordering the events of a key: the last
     reset (set / remove / starting line) per key is a ``max`` aggregate,
-    and the deltas after it are a ``sum`` aggregate behind a join with
-    that one-row-per-key result.  Both aggregates combine partially in
-    every map task, so a key holding a third of all events is never
+    and the deltas after it are a ``sum`` aggregate behind a left join
+    with that one-row-per-key result.  Both aggregates combine partially
+    in every map task, so a key holding a third of all events is never
     sorted or buffered whole in one task (a per-key window would be).
     """
     ev = events.select("event_id", "ts", "UserID", "ProductID", "op", "qty")
@@ -61,32 +61,31 @@ def fold_cart_events(events: DataFrame, base: DataFrame | None = None,
     else:
         rejects = ev.limit(0).withColumn("reason", F.lit(None).cast("string"))
 
-    keep = ((F.col("op") == "set") & (F.col("qty") > 0)) | (F.col("op") == "base")
-    resets = ev.filter(F.col("op") != "delta").select(
-        *KEYS, _pos(F.col("ts"), F.col("event_id")).alias("pos"),
-        keep.alias("keep"), F.col("qty").alias("value"))
     if base is not None:
-        start = base.select(*KEYS, _pos(F.lit(dt.datetime(1, 1, 1)).cast("timestamp"),
-                                        F.lit(-(2 ** 63)).cast("long")).alias("pos"),
-                            F.lit(True).alias("keep"), F.col("Quantity").cast("int").alias("value"))
-        resets = resets.unionByName(start)
-    last_reset = (resets.groupBy(*KEYS)
-                  .agg(F.max(F.struct("pos", "keep", "value")).alias("r")))
-
-    deltas = ev.filter(F.col("op") == "delta").select(
-        *KEYS, _pos(F.col("ts"), F.col("event_id")).alias("pos"), "qty")
-    after = (deltas.join(last_reset, KEYS, "left")
-             .filter(F.col("r").isNull() | (F.col("pos") > F.col("r.pos")))
-             .groupBy(*KEYS)
-             .agg(F.sum("qty").alias("added"), F.count(F.lit(1)).alias("n_after")))
-
-    folded = last_reset.join(after, KEYS, "full_outer")
-    kept = F.coalesce(F.col("r.keep"), F.lit(False))
-    present = kept | F.col("n_after").isNotNull()
-    quantity = (F.when(kept, F.col("r.value")).otherwise(F.lit(0))
+        start = base.select(F.lit(-(2 ** 63)).cast("long").alias("event_id"),
+                            F.lit(dt.datetime(1, 1, 1)).cast("timestamp").alias("ts"), *KEYS,
+                            F.lit("base").alias("op"), F.col("Quantity").cast("int").alias("qty"))
+        ev = ev.unionByName(start)
+    pos = _pos(F.col("ts"), F.col("event_id"))
+    keep = ((F.col("op") == "set") & (F.col("qty") > 0)) | (F.col("op") == "base")
+    # Pass 1: the last reset (set / remove / starting line) of every key.
+    last_reset = (ev.filter(F.col("op") != "delta")
+                  .select(*KEYS, F.struct(pos.alias("pos"), keep.alias("keep"), F.col("qty").alias("value")).alias("r"))
+                  .groupBy(*KEYS).agg(F.max("r").alias("r")))
+    # Pass 2: every event meets its key's last reset once (a left join the
+    # skew handling can split); one aggregate then gives the reset's
+    # verdict and the deltas after it, so no key needs a second join.
+    after = (F.col("op") == "delta") & (F.col("r").isNull() | (pos > F.col("r.pos")))
+    folded = (ev.join(last_reset, KEYS, "left")
+              .groupBy(*KEYS)
+              .agg(F.max(F.coalesce(F.col("r.keep"), F.lit(False))).alias("kept"),
+                   F.max(F.col("r.value")).alias("value"),
+                   F.sum(F.when(after, F.col("qty"))).alias("added"),
+                   F.count(F.when(after, F.lit(1))).alias("n_after")))
+    present = F.col("kept") | (F.col("n_after") > 0)
+    quantity = (F.when(F.col("kept"), F.col("value")).otherwise(F.lit(0))
                 + F.coalesce(F.col("added"), F.lit(0)))
-    items = (folded.filter(present)
-             .select(*KEYS, quantity.cast("int").alias("Quantity")))
+    items = folded.filter(present).select(*KEYS, quantity.cast("int").alias("Quantity"))
     return CartFold(items=items, rejects=rejects)
 
 
