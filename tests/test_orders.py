@@ -65,3 +65,13 @@ def test_lookup_split_docs_covers_everything(spark):
     parts = lookup(left, right, "k", "fk", "docs", split_docs=8)
     total = parts.select(F.explode("docs")).count()
     assert total == 1000 and parts.groupBy("k").count().filter("count > 1").count() == 2
+
+
+def test_lookup_null_keys(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "b")], "k long, name string")
+    right = spark.createDataFrame([(1, 10), (None, 20), (None, 21)], "fk long, v long")
+    plain = {r.name: [x.v for x in r.docs] for r in lookup(left, right, "k", "fk", "docs").collect()}
+    assert plain == {"a": [10], "b": []}
+    nulls = {r.name: [x.v for x in r.docs] for r in lookup(left, right, "k", "fk", "docs",
+                                                            null_matches_null=True).collect()}
+    assert nulls == {"a": [10], "b": [20, 21]}

@@ -225,3 +225,33 @@ def test_checkout_prefix_never_oversells(spark):
     assert rows(pre.orders, "UserID") == [(10,)]
     assert rows(pre.rejects, "UserID", "reason") == [(11, K.OUT_OF_STOCK)]
     assert {r.ProductID: r.StockQuantity for r in pre.stock.collect()}[1] == 2
+
+
+def test_integrity_report_finds_duplicates_orphans_and_inverted_windows(spark):
+    shop = small_shop(spark, users=[(10, "ann", None, "a@x"), (11, "ann", None, "b@x")],
+                      user_roles=[(10, 2), (10, 2), (11, 9)],
+                      promos=[(1, "A", 5, False, 1, dt.datetime(2024, 2, 1), dt.datetime(2024, 1, 1)),
+                              (2, "A", 5, False, 1, dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1))],
+                      cart=[(10, 1, 1), (10, 1, 2)])
+    got = {(r["check"], r["key"]) for r in W.integrity_report(shop).collect()}
+    assert {("duplicate Users.Username", "ann"), ("duplicate UserRoles", "10|2"), ("duplicate CartItems", "10|1"),
+            ("duplicate Promocodes.Code", "A"), ("orphan UserRoles.RoleID", "9"),
+            ("orphan OrderItems.OrderID", "102"), ("inverted promo window", "1")} <= got
+
+
+def test_add_products_document_stamps_and_ids(spark):
+    shop = small_shop(spark)
+    rows_df = spark.createDataFrame([("B", "", None, D("0.00"), 0, None), ("A", "d", 1, D("1.00"), 1, "u")],
+                                    "ProductName string, Description string, CategoryID long, Price decimal(10,2), "
+                                    "StockQuantity int, ImageURL string")
+    res = W.add_products_document(shop.products, rows_df, AS_OF)
+    assert rows(res.tables["added"], "ProductID", "ProductName", "created_at") == [(5, "A", AS_OF), (6, "B", AS_OF)]
+
+
+def test_append_logs_numbers_after_existing(spark):
+    from bazaar.operators import audit as A
+    existing = spark.createDataFrame([(41, 1, "x", AS_OF)], Tb.LOGS)
+    entries = spark.createDataFrame([(1, "b", AS_OF, 2), (1, "a", AS_OF, 1)],
+                                    "UserID long, Action string, Timestamp timestamp, Key long")
+    out = A.append_logs(existing, entries)
+    assert rows(out, "LogID", "Action") == [(41, "x"), (42, "a"), (43, "b")]
