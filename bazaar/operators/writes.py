@@ -277,8 +277,9 @@ def upsert_products(existing: DataFrame, rows: DataFrame, order: list[str] | Non
         if isinstance(rows.schema[c].dataType, T.StringType):
             return F.col(c).isNull() | (F.col(c) == "")
         return F.col(c).isNull() | (F.col(c) == 0)
+    # An update names its product; id 0 counts as missing, as in the API.
     missing = blank("ProductName") | blank("Description") | blank("CategoryID") | blank("Price") \
-        | blank("StockQuantity")
+        | blank("StockQuantity") | (F.col("ProductID") == 0)
     ok, rejects = _reject(rows, missing, REQUIRED_FIELDS)
     updates = ok.filter(F.col("ProductID").isNotNull())
     adds = ok.filter(F.col("ProductID").isNull())

@@ -81,7 +81,8 @@ QUERIES = {
 
 
 def main() -> None:
-    spark = build_session(master=f"local[{CPUS}]", shuffle_partitions=max(8, CPUS * 2), app_name="bazaar-bench",
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, CPUS * 2))))
+    spark = build_session(master=f"local[{CPUS}]", shuffle_partitions=shuffle, app_name="bazaar-bench",
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     only = [a for a in sys.argv[1:] if a in QUERIES]
     times = {}
