@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaar.functions.exprs import LINE_MONEY, SUM_MONEY, discounted_price_raw, line_total, promo_applies
+from bazaar.functions.exprs import SUM_MONEY, discounted_price_raw, line_total, promo_applies
 from bazaar.operators.joins import checked_broadcast
 from bazaar.operators.users import role_gate
 from bazaar.sources.tables import Shop
@@ -163,6 +163,3 @@ def cart_shortages(shop: Shop, cart: DataFrame | None = None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("ShortLines"),
                  F.concat_ws(", ", F.sort_array(F.collect_list("ProductName"))).alias("ShortProducts")))
 
-
-__all__ = ["top_products", "top_products_keyed", "order_totals", "favorites", "cart_items",
-           "order_details", "cart_quote_lines", "cart_quote", "cart_shortages", "LINE_MONEY"]

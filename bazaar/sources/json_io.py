@@ -97,8 +97,7 @@ def import_products(spark: SparkSession, existing: DataFrame, path: str, multi_l
     stock = F.when(to_number("StockQuantity") == F.floor(to_number("StockQuantity")),
                    to_number("StockQuantity")).cast("int")
     typed = raw.select("ProductID", "ProductName", "Description", "CategoryID", price.alias("Price"),
-                       stock.alias("StockQuantity"), "ImageURL", "_corrupt_record",
-                       F.col("Price").alias("__price_raw"), F.col("StockQuantity").alias("__stock_raw"))
+                       stock.alias("StockQuantity"), "ImageURL", "_corrupt_record")
     bad = (F.col("_corrupt_record").isNotNull() | F.col("ProductName").isNull() | F.col("CategoryID").isNull()
            | F.col("Price").isNull() | F.col("StockQuantity").isNull())
     rejects = typed.filter(bad).select(

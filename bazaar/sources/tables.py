@@ -159,8 +159,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_read = read_table
-
 
 def categories_from_part(part: DataFrame) -> DataFrame:
     """One category per distinct p_type, numbered in name order.
