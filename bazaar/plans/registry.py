@@ -588,7 +588,7 @@ def _cart_stream(spark, d):
         if i < 3:
             cond = cond & (F.col("ts") < F.lit(lo + step * (i + 1)))
         events.filter(cond).coalesce(1).write.mode("append").parquet(f"{root}/source")
-    return CS.run_cart_stream(spark, f"{root}/source", root, shop.user_roles, shop.roles)
+    return CS.run_cart_stream(spark, f"{root}/source", root, shop.user_roles, shop.roles, buckets=8)
 
 
 QUERIES.update({

@@ -2,38 +2,87 @@
 
 Each micro-batch of cart events is folded onto the cart state left by
 the previous batch with the same aggregate fold as the batch operator
-(``foreachBatch``), and the new state is written as version
-``v=<batch id>`` next to the older ones.  Batch ids are consecutive, so
-batch n always starts from version n-1: a batch replayed after a
-failure rewrites the same version from the same input (idempotent),
-and nothing lives only in a task's memory.
+(``foreachBatch``).
+
+State layout: the cart lines are split into ``buckets`` by a hash of
+(UserID, ProductID).  Batch n rewrites only the buckets its events
+touch, under ``state/v=<n>/__b=<bucket>``, and writes a manifest
+``manifest/v=<n>`` that names, for every bucket, the version holding its
+latest lines.  Batch n always starts from manifest n-1, so a batch
+replayed after a failure rewrites the same version from the same input
+(idempotent); untouched buckets are never copied, so the cost of a batch
+follows the buckets it touches rather than the whole state.  The
+manifest has one row per bucket, so reading it on the driver is bounded.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bazaar.operators.writes import fold_cart_events
+from bazaar.operators.writes import KEYS, fold_cart_events
 from bazaar.sources.tables import CART_EVENTS, CART_ITEMS
 
+MANIFEST = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("path", T.StringType())])
+_BUCKET_DIR = re.compile(r"/__b=(\d+)/")
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64(*[F.col(k) for k in KEYS]), F.lit(buckets)).cast("int")
+
+
+def _version(root: str, kind: str, batch_id: int) -> str:
+    return f"{root.rstrip('/')}/{kind}/v={batch_id:012d}"
+
+
+def read_manifest(spark: SparkSession, root: str, batch_id: int) -> dict[int, str]:
+    rows = spark.read.schema(MANIFEST).parquet(_version(root, "manifest", batch_id)).collect()
+    return {r["bucket"]: r["path"] for r in rows}
+
 
-def state_path(root: str, batch_id: int) -> str:
-    return f"{root.rstrip('/')}/state/v={batch_id:012d}"
+def read_state(spark: SparkSession, manifest: dict[int, str], buckets: list[int] | None = None) -> DataFrame:
+    paths = sorted({p for b, p in manifest.items() if p and (buckets is None or b in buckets)})
+    if not paths:
+        return spark.createDataFrame([], CART_ITEMS)
+    return spark.read.schema(CART_ITEMS).parquet(*paths)
 
 
 def make_batch_folder(root: str, user_roles: DataFrame | None = None, roles: DataFrame | None = None,
-                      initial: DataFrame | None = None, done: list | None = None):
+                      initial: DataFrame | None = None, done: list | None = None, buckets: int = 16):
     """The ``foreachBatch`` function: fold one micro-batch onto the state
     (``done`` collects the batch ids written, on the driver)."""
 
     def fold_batch(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
         if batch_id == 0:
-            base = initial if initial is not None else spark.createDataFrame([], CART_ITEMS)
+            manifest: dict[int, str] = {}
+            start = initial
         else:
-            base = spark.read.schema(CART_ITEMS).parquet(state_path(root, batch_id - 1))
-        folded = fold_cart_events(events, base=base, user_roles=user_roles, roles=roles).items
-        folded.write.mode("overwrite").parquet(state_path(root, batch_id))
+            manifest = read_manifest(spark, root, batch_id - 1)
+            start = None
+        ev = events.withColumn("__b", _bucket(buckets))
+        touched = sorted(r["__b"] for r in ev.select("__b").distinct().collect())   # at most `buckets`
+        if start is not None:
+            touched = sorted(set(touched) | {r["__b"] for r in start.select(_bucket(buckets).alias("__b"))
+                                             .distinct().collect()})
+        base = start if start is not None else read_state(spark, manifest, touched)
+        base = base.filter(_bucket(buckets).isin(touched))
+        folded = fold_cart_events(ev.drop("__b"), base=base, user_roles=user_roles, roles=roles).items
+        out = _version(root, "state", batch_id)
+        folded.withColumn("__b", _bucket(buckets)).write.mode("overwrite").partitionBy("__b").parquet(out)
+        written = {}
+        for f in spark.read.schema(CART_ITEMS).parquet(out).inputFiles():
+            m = _BUCKET_DIR.search(f)
+            if m:
+                written[int(m.group(1))] = f"{out}/__b={m.group(1)}"
+        for b in touched:
+            manifest[b] = written.get(b)          # None: the bucket became empty
+        rows = [(b, p) for b, p in sorted(manifest.items())]
+        spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(
+            _version(root, "manifest", batch_id))
         if done is not None:
             done.append(batch_id)
 
@@ -42,7 +91,7 @@ def make_batch_folder(root: str, user_roles: DataFrame | None = None, roles: Dat
 
 def run_cart_stream(spark: SparkSession, source_dir: str, root: str, user_roles: DataFrame | None = None,
                     roles: DataFrame | None = None, max_files_per_trigger: int | None = 1,
-                    initial: DataFrame | None = None) -> DataFrame:
+                    initial: DataFrame | None = None, buckets: int = 16) -> DataFrame:
     """Fold every cart-event parquet file under ``source_dir`` (in file
     order, ``max_files_per_trigger`` files per micro-batch) and return
     the final cart state."""
@@ -51,7 +100,7 @@ def run_cart_stream(spark: SparkSession, source_dir: str, root: str, user_roles:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     done: list[int] = []
     q = (reader.parquet(source_dir).writeStream
-         .foreachBatch(make_batch_folder(root, user_roles, roles, initial, done))
+         .foreachBatch(make_batch_folder(root, user_roles, roles, initial, done, buckets))
          .option("checkpointLocation", f"{root.rstrip('/')}/checkpoint")
          .trigger(availableNow=True)
          .start())
@@ -60,4 +109,4 @@ def run_cart_stream(spark: SparkSession, source_dir: str, root: str, user_roles:
         raise RuntimeError(str(q.exception()))
     if not done:
         return initial if initial is not None else spark.createDataFrame([], CART_ITEMS)
-    return spark.read.schema(CART_ITEMS).parquet(state_path(root, max(done)))
+    return read_state(spark, read_manifest(spark, root, max(done)))

@@ -101,3 +101,18 @@ def test_cart_stream_equals_batch(spark):
     state = CS.run_cart_stream(spark, f"{root}/src", root)
     batch = W.fold_cart_events(spark.createDataFrame(ev, Tb.CART_EVENTS)).items
     assert rows(state) == rows(batch)
+
+
+def test_cart_stream_rewrites_only_touched_buckets(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    first = [(i, t0, u, p, "delta", 1) for i, (u, p) in enumerate((u, p) for u in range(1, 9) for p in range(1, 9))]
+    second = [(1000, t0 + dt.timedelta(1), 1, 1, "delta", 5)]
+    root = AS.stream_root(spark, "test-cart-buckets")
+    spark.createDataFrame(first, Tb.CART_EVENTS).coalesce(1).write.mode("append").parquet(f"{root}/src")
+    spark.createDataFrame(second, Tb.CART_EVENTS).coalesce(1).write.mode("append").parquet(f"{root}/src")
+    state = CS.run_cart_stream(spark, f"{root}/src", root, buckets=8)
+    m0, m1 = CS.read_manifest(spark, root, 0), CS.read_manifest(spark, root, 1)
+    changed = [b for b in m1 if m1[b] != m0.get(b)]
+    assert len(changed) == 1 and "/v=000000000001/" in m1[changed[0]]
+    batch = W.fold_cart_events(spark.createDataFrame(first + second, Tb.CART_EVENTS)).items
+    assert rows(state) == rows(batch) and (1, 1, 6) in rows(state)
