@@ -72,7 +72,10 @@ def make_batch_folder(root: str, user_roles: DataFrame | None = None, roles: Dat
         base = base.filter(_bucket(buckets).isin(touched))
         folded = fold_cart_events(ev.drop("__b"), base=base, user_roles=user_roles, roles=roles).items
         out = _version(root, "state", batch_id)
-        folded.withColumn("__b", _bucket(buckets)).write.mode("overwrite").partitionBy("__b").parquet(out)
+        # One file per touched bucket: state has one row per key, so a
+        # bucket cannot be skewed by a hot key.
+        (folded.withColumn("__b", _bucket(buckets)).repartition(len(touched) or 1, "__b")
+         .write.mode("overwrite").partitionBy("__b").parquet(out))
         written = {}
         for f in spark.read.schema(CART_ITEMS).parquet(out).inputFiles():
             m = _BUCKET_DIR.search(f)
