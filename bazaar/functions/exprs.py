@@ -84,6 +84,21 @@ def line_total(qty, unit_price) -> Column:
     return (_col(qty).cast(T.DecimalType(10, 0)) * _col(unit_price)).cast(LINE_MONEY)
 
 
+def money_cents(price) -> Column:
+    """A two-place money value as a long number of cents (exact)."""
+    return (_col(price) * F.lit(100)).cast("long")
+
+
+def sum_line_totals(qty, unit_price) -> Column:
+    """Sum of quantity x unit price as ``decimal(38,2)``, added up in long
+    cents.  Exact like decimal arithmetic, but it stays on Spark's
+    primitive fast path (a decimal(21,2) product would be summed with
+    BigDecimal); under ANSI mode (Spark's default) an overflow past
+    9.2e16 per group raises instead of wrapping."""
+    cents = F.sum(_col(qty).cast("long") * money_cents(unit_price))
+    return (cents.cast(T.DecimalType(38, 0)) / F.lit(100)).cast(SUM_MONEY)
+
+
 # F7 -------------------------------------------------------------------------
 def keyword_pattern(keyword: str | None, escape: bool = False) -> str | None:
     """Trimmed, lowercased '%kw%' pattern; None when the keyword is blank."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaar.functions.exprs import SUM_MONEY, discounted_price_raw, line_total, promo_applies
+from bazaar.functions.exprs import SUM_MONEY, discounted_price_raw, line_total, promo_applies, sum_line_totals
 from bazaar.operators.joins import checked_broadcast
 from bazaar.operators.users import role_gate
 from bazaar.sources.tables import Shop
@@ -34,7 +34,7 @@ def top_products(shop: Shop, n: int = 100) -> DataFrame:
     sold = (shop.order_items
             .groupBy("ProductID")
             .agg(F.sum("Quantity").cast("long").alias("TotalSold"),
-                 F.sum(line_total("Quantity", "UnitPrice")).cast(SUM_MONEY).alias("TotalRevenue")))
+                 sum_line_totals("Quantity", "UnitPrice").alias("TotalRevenue")))
     products = shop.products.select("ProductID", "ProductName", "Description", "ImageURL",
                                     "Price", "StockQuantity", "CategoryID")
     return (sold.join(products, "ProductID", "inner")
@@ -52,7 +52,7 @@ def top_products_keyed(shop: Shop, n: int = 100) -> DataFrame:
     sold = (shop.order_items
             .groupBy("ProductID")
             .agg(F.sum("Quantity").cast("long").alias("totalSold"),
-                 F.sum(line_total("Quantity", "UnitPrice")).cast(SUM_MONEY).alias("totalRevenue")))
+                 sum_line_totals("Quantity", "UnitPrice").alias("totalRevenue")))
     products = shop.products.select("ProductID", F.col("ProductName").alias("productName"),
                                     F.col("CategoryID").alias("categoryId"))
     return (sold.join(products, "ProductID", "inner")
@@ -73,7 +73,7 @@ def order_totals(shop: Shop, user_id=None, gate: bool = True) -> DataFrame:
     if gate:
         orders = role_gate(orders, shop.user_roles, shop.roles, "User")
     totals = (shop.order_items.groupBy("OrderID")
-              .agg(F.sum(line_total("Quantity", "UnitPrice")).cast(SUM_MONEY).alias("TotalPrice")))
+              .agg(sum_line_totals("Quantity", "UnitPrice").alias("TotalPrice")))
     return (orders.join(totals, "OrderID", "inner")
             .join(shop.order_statuses.select("StatusID", "DisplayName"), "StatusID")
             .select("UserID", "OrderID", "TotalPrice", "DisplayName"))

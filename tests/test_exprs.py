@@ -87,3 +87,15 @@ def test_normalize_image_url(spark):
     got = df.select(normalize_image_url("u").alias("g"), "e").collect()
     assert all(r.g == r.e for r in got)
     assert df.select(F.count("*")).first()[0] == 5
+
+
+def test_sum_line_totals_equals_decimal_sum(spark):
+    import random
+    rnd = random.Random(9)
+    data = [(k % 7, rnd.randint(-5, 10_000), D(rnd.randint(0, 99_999_999)) / 100) for k in range(3000)]
+    df = spark.createDataFrame(data, "k long, q int, p decimal(10,2)")
+    got = {r.k: r.t for r in df.groupBy("k").agg(X.sum_line_totals("q", "p").alias("t")).collect()}
+    want = {}
+    for k, q, p in data:
+        want[k] = want.get(k, D(0)) + q * p
+    assert got == want and all(v.as_tuple().exponent == -2 for v in got.values())
