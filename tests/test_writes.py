@@ -255,3 +255,25 @@ def test_append_logs_numbers_after_existing(spark):
                                     "UserID long, Action string, Timestamp timestamp, Key long")
     out = A.append_logs(existing, entries)
     assert rows(out, "LogID", "Action") == [(41, "x"), (42, "a"), (43, "b")]
+
+
+def test_fold_property_based(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    event = st.tuples(st.integers(0, 30),                      # minute
+                      st.integers(1, 3), st.integers(1, 3),      # user, product
+                      st.sampled_from(["delta", "set", "remove"]),
+                      st.integers(-3, 4))
+
+    @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(event, min_size=1, max_size=40),
+           st.dictionaries(st.tuples(st.integers(1, 3), st.integers(1, 3)), st.integers(-2, 5), max_size=4))
+    def check(evs, base):
+        ev = [(i, T0 + dt.timedelta(minutes=m), u, p, op, None if op == "remove" else q)
+              for i, (m, u, p, op, q) in enumerate(evs)]
+        df = spark.createDataFrame(ev, Tb.CART_EVENTS)
+        base_df = spark.createDataFrame([(u, p, q) for (u, p), q in base.items()], Tb.CART_ITEMS)
+        assert rows(W.fold_cart_events(df, base=base_df).items) == brute_fold(ev, base)
+
+    check()
