@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 DIM_MAX_ROWS = 100_000
 
 _SMALL = "_bazaar_small"
+_VERDICTS: dict[tuple, bool] = {}
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
@@ -41,8 +42,15 @@ def checked_broadcast(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
     verdict = getattr(df, _SMALL, None)
     if verdict is not None:
         return df
+    # The verdict of an identical plan is remembered for the session: its
+    # rows come from the same cache entry, so they cannot have changed
+    # unless the cache is refreshed (when Spark itself re-reads them).
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    small = kept.limit(max_rows + 1).count() <= max_rows
+    small = _VERDICTS.get(key)
+    if small is None:
+        small = kept.limit(max_rows + 1).count() <= max_rows
+        _VERDICTS[key] = small
     if small:
         out = F.broadcast(kept)
     else:
