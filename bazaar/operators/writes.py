@@ -89,6 +89,47 @@ def fold_cart_events(events: DataFrame, base: DataFrame | None = None,
     return CartFold(items=items, rejects=rejects)
 
 
+def fold_cart_events_document(events: DataFrame, user_roles: DataFrame | None = None,
+                              roles: DataFrame | None = None) -> CartFold:
+    """D2, document twin: every add (``delta``) inserts a new cart line
+    with its quantity, even for a product already in the cart; a
+    ``remove`` deletes one line of that product -- the oldest -- or
+    nothing when there is none.  ``set`` has no document form and is
+    ignored.  Result: one row per surviving line (``LineID`` = the
+    inserting event).
+
+    Exact and order-free per key: with +1 per add and -1 per remove in
+    (ts, event_id) order, the number of surviving lines is the final
+    running sum minus its lowest prefix below zero (a queue that cannot
+    go negative), and removal from the front leaves the newest lines.
+    Both running sums use ``running_total``, which cuts a hot key into
+    slices instead of holding it in one task.
+    """
+    from bazaar.operators.scan import running_total
+
+    ev = events.select("event_id", "ts", "UserID", "ProductID", "op", "qty")
+    if user_roles is not None and roles is not None:
+        shop_users = users_with_role(user_roles, roles, "User")
+        rejects = (ev.join(shop_users, "UserID", "left_anti")
+                   .withColumn("reason", F.lit(NOT_A_SHOP_USER)))
+        ev = ev.join(shop_users, "UserID", "left_semi")
+    else:
+        rejects = ev.limit(0).withColumn("reason", F.lit(None).cast("string"))
+    ops = (ev.filter(F.col("op").isin("delta", "remove"))
+           .withColumn("step", F.when(F.col("op") == "delta", F.lit(1)).otherwise(F.lit(-1)).cast("long")))
+    running = running_total(ops, KEYS, ["ts", "event_id"], "step", "depth")
+    survivors = (running.groupBy(*KEYS)
+                 .agg((F.sum("step") - F.least(F.min("depth"), F.lit(0))).alias("kept")))
+    adds = (running.filter(F.col("op") == "delta")
+            .select(*KEYS, "event_id", "qty", (-F.unix_micros("ts")).alias("__back_ts"),
+                    (-F.col("event_id")).alias("__back_id"), F.lit(1).cast("long").alias("__one")))
+    newest_first = running_total(adds, KEYS, ["__back_ts", "__back_id"], "__one", "from_newest")
+    items = (newest_first.join(survivors, KEYS, "inner")
+             .filter(F.col("from_newest") <= F.col("kept"))
+             .select(*KEYS, F.col("event_id").alias("LineID"), F.col("qty").alias("Quantity")))
+    return CartFold(items=items, rejects=rejects)
+
+
 # Shared -------------------------------------------------------------------------
 NOT_FOUND = "unknown id"
 DUPLICATE_CODE = "duplicate code"

@@ -66,6 +66,12 @@ def _q_fold_cart_events(spark, d):
     return load_shop(spark, d).cart_items
 
 
+def _q_fold_cart_events_doc(spark, d):
+    from bazaar.operators.writes import fold_cart_events_document
+    shop = load_shop(spark, d)
+    return fold_cart_events_document(shop.cart_events, shop.user_roles, shop.roles).items
+
+
 def _q_cart_items(spark, d):
     return O.cart_items(load_shop(spark, d))
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "favorites": _q_favorites,
     "order_details": _q_order_details,
     "fold_cart_events": _q_fold_cart_events,
+    "fold_cart_events_doc": _q_fold_cart_events_doc,
     "cart_items": _q_cart_items,
     "cart_quote": _q_cart_quote,
     "cart_quote_lines": _q_cart_quote_lines,

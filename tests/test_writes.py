@@ -277,3 +277,24 @@ def test_fold_property_based(spark):
         assert rows(W.fold_cart_events(df, base=base_df).items) == brute_fold(ev, base)
 
     check()
+
+
+def test_document_cart_fold_matches_queue_brute_force(spark):
+    from collections import deque
+    rnd = random.Random(17)
+    ev = []
+    for i in range(2500):
+        u, p = (1, 1) if i % 3 == 0 else (rnd.randint(2, 6), rnd.randint(1, 4))
+        op = rnd.choice(["delta", "delta", "remove", "set"])
+        ev.append((i, T0 + dt.timedelta(seconds=rnd.randint(0, 900)), u, p, op,
+                   None if op == "remove" else rnd.randint(-1, 3)))
+    queues = {}
+    for eid, ts, u, p, op, q in sorted(ev, key=lambda e: (e[1], e[0])):
+        dq = queues.setdefault((u, p), deque())
+        if op == "delta":
+            dq.append((eid, q))
+        elif op == "remove" and dq:
+            dq.popleft()
+    want = sorted((u, p, eid, q) for (u, p), dq in queues.items() for eid, q in dq)
+    got = rows(W.fold_cart_events_document(spark.createDataFrame(ev, Tb.CART_EVENTS)).items)
+    assert got == want
