@@ -396,6 +396,29 @@ def edit_favorites(existing: DataFrame, adds: DataFrame, removes: DataFrame,
     return WriteResult(tables={"favorites": out}, rejects=rejects)
 
 
+def edit_favorites_document(existing: DataFrame, adds: DataFrame, removes: DataFrame,
+                            user_roles: DataFrame | None = None, roles: DataFrame | None = None) -> WriteResult:
+    """D9, document twin: favorites carry their own ``FavoriteID``.  Adds
+    (UserID, ProductID, FavoriteID) are appended; a remove (UserID,
+    FavoriteID) deletes that one favorite when it belongs to that user,
+    and is a no-op otherwise.  Only role-User users may do either."""
+    a = adds.select("FavoriteID", "UserID", "ProductID")
+    r = removes.select("UserID", "FavoriteID")
+    if user_roles is not None and roles is not None:
+        shop_users = users_with_role(user_roles, roles, "User")
+        rejects = (a.select("UserID", "FavoriteID").withColumn("op", F.lit("add"))
+                   .unionByName(r.withColumn("op", F.lit("remove")))
+                   .join(shop_users, "UserID", "left_anti").withColumn("reason", F.lit(NOT_A_SHOP_USER)))
+        a = a.join(shop_users, "UserID", "left_semi")
+        r = r.join(shop_users, "UserID", "left_semi")
+    else:
+        rejects = r.limit(0).withColumn("op", F.lit(None).cast("string")).withColumn(
+            "reason", F.lit(None).cast("string"))
+    table = existing.select("FavoriteID", "UserID", "ProductID").unionByName(a)
+    out = _minus(table, r.distinct(), ["FavoriteID", "UserID"])
+    return WriteResult(tables={"favorites": out}, rejects=rejects)
+
+
 # D10 ----------------------------------------------------------------------------
 def register_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame, rows: DataFrame,
                    rules: str = "sql", order: list[str] | None = None) -> WriteResult:

@@ -443,6 +443,25 @@ def _favorites_edit(spark, d):
     return Wr.edit_favorites(shop.favorites, adds, removes, shop.user_roles, shop.roles)
 
 
+def _favorites_edit_doc(spark, d):
+    """Favorites keyed by the id of the view event that made them; adds are
+    purchase events; every click removes the oldest favorite of its
+    (user, product), named by id."""
+    shop = load_shop(spark, d)
+    ev = read_table(spark, d, "events")
+    key = F.regexp_extract("props", "[0-9]+", 0).cast("long")
+
+    def of(kind):
+        return ev.filter(F.col("event_type") == kind).select(
+            F.col("event_id").alias("FavoriteID"), F.col("user_id").alias("UserID"), key.alias("ProductID"))
+    favs, adds, clicks = of("view"), of("purchase"), of("click")
+    removes = (clicks.select("UserID", "ProductID", F.col("FavoriteID").alias("click_id"))
+               .join(favs, ["UserID", "ProductID"], "inner")
+               .groupBy("click_id", "UserID").agg(F.min("FavoriteID").alias("FavoriteID"))
+               .select("UserID", "FavoriteID"))
+    return Wr.edit_favorites_document(favs, adds, removes, shop.user_roles, shop.roles)
+
+
 def user_rows(spark, d) -> DataFrame:
     """One registration per customer row: taken names and e-mails,
     duplicates inside the batch, unknown and missing roles."""
@@ -488,6 +507,7 @@ QUERIES.update({
     "patch_products_rejects": lambda spark, d: _patch(spark, d).rejects.select("ProductID", "reason"),
     "edit_favorites_favorites": lambda spark, d: _favorites_edit(spark, d).tables["favorites"],
     "edit_favorites_rejects": lambda spark, d: _favorites_edit(spark, d).rejects,
+    "edit_favorites_doc_favorites": lambda spark, d: _favorites_edit_doc(spark, d).tables["favorites"],
     "register_users_added": lambda spark, d: _register(spark, d).tables["added_users"],
     "register_users_roles": lambda spark, d: _register(spark, d).tables["added_roles"],
     "register_users_rejects": lambda spark, d: _register(spark, d).rejects.select("src_id", "reason"),

@@ -298,3 +298,13 @@ def test_document_cart_fold_matches_queue_brute_force(spark):
     want = sorted((u, p, eid, q) for (u, p), dq in queues.items() for eid, q in dq)
     got = rows(W.fold_cart_events_document(spark.createDataFrame(ev, Tb.CART_EVENTS)).items)
     assert got == want
+
+
+def test_edit_favorites_document_removes_one_own_favorite(spark):
+    shop = small_shop(spark)
+    favs = spark.createDataFrame([(1, 10, 1), (2, 10, 1), (3, 11, 3)], "FavoriteID long, UserID long, ProductID long")
+    adds = spark.createDataFrame([(4, 10, 2), (5, 12, 2)], "FavoriteID long, UserID long, ProductID long")
+    removes = spark.createDataFrame([(10, 1), (10, 3), (12, 2)], "UserID long, FavoriteID long")
+    res = W.edit_favorites_document(favs, adds, removes, shop.user_roles, shop.roles)
+    assert rows(res.tables["favorites"]) == [(2, 10, 1), (3, 11, 3), (4, 10, 2)]   # 10 cannot remove 11's favorite
+    assert rows(res.rejects, "UserID", "op") == [(12, "add"), (12, "remove")]
