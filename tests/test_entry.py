@@ -10,7 +10,8 @@ from tools.check_oracle import rows_of
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["top_products", "catalog", "search_page", "order_totals", "orders_nested", "fold_cart_events",
-          "checkout_order_items", "add_promocodes_rejects", "register_users_rejects", "audit_log"]
+          "checkout_order_items", "add_promocodes_rejects", "register_users_rejects", "audit_log",
+          "fold_cart_events_doc", "edit_favorites_doc_favorites"]
 
 
 def test_entry_smoke(spark):
