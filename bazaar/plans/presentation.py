@@ -32,4 +32,5 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "promocodes_doc": ["CategoryID"],
     "cart_quote_lines": ["Price", "ItemPrice"],
     "checkout_prefix_orders": ["PromoID"], "checkout_prefix_rejects": ["PromoID"],
+    "orders_nested_split_lines": ["UnitPrice"],
 }

@@ -276,6 +276,10 @@ def _q_users_nested(spark, d):
     return N.users_nested(load_shop(spark, d))
 
 
+def _q_orders_nested_split_lines(spark, d):
+    return N.orders_nested_split_lines(load_shop(spark, d), 4)
+
+
 def _q_orders_unwound(spark, d):
     return N.orders_unwound(load_shop(spark, d))
 
@@ -287,6 +291,7 @@ QUERIES.update({
     "cart_nested": _q_cart_nested,
     "users_nested": _q_users_nested,
     "orders_unwound": _q_orders_unwound,
+    "orders_nested_split_lines": _q_orders_nested_split_lines,
 })
 
 
