@@ -86,11 +86,10 @@ def orders_nested_split_lines(shop: Shop, parts: int = 4) -> DataFrame:
     """N1 with ``split_docs=parts`` unwound back to lines: the check that
     spreading a hot order over several documents keeps every line once."""
     docs = orders_nested(shop, split_docs=parts)
-    return (unwind(docs, "items").select("OrderID", "UserID", "part",
-                                         F.col("items.ProductID").alias("ProductID"),
-                                         F.col("items.Quantity").alias("Quantity"),
-                                         F.col("items.UnitPrice").alias("UnitPrice"))
-            .drop("part"))
+    return unwind(docs, "items").select("OrderID", "UserID",
+                                        F.col("items.ProductID").alias("ProductID"),
+                                        F.col("items.Quantity").alias("Quantity"),
+                                        F.col("items.UnitPrice").alias("UnitPrice"))
 
 
 # N6 (flat view) -------------------------------------------------------------
