@@ -5,17 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bazaar.llm import simhash
+from bazaar.llm import embed_dedup, html_extract, simhash
 from bazaar.llm.common import table
 from bazaar.session import ensure_checkpoint_dir
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_extract.main_text(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return g.select(g.id.alias("doc_id"), simhash.hex64(g.fp).alias("fingerprint"), g.component.alias("component_id"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = embed_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+    return g.select(g.id.alias("vec_id"), "n_links", g.component.alias("component_id"), "kept")
+
+
 def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
@@ -27,7 +38,7 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _prepared(f) for f in (op4_simhash,)
+    f.__name__: _prepared(f) for f in (op2_html_extraction, op4_simhash, op9_embedding_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
