@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import embed_dedup, html_extract, simhash
+from bazaar.llm import embed_dedup, html_extract, simhash, toxicity
 from bazaar.llm.common import table
 from bazaar.session import ensure_checkpoint_dir
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html_extract.main_text(F.col("html")).alias("text"))
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -38,7 +42,7 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _prepared(f) for f in (op2_html_extraction, op4_simhash, op9_embedding_dedup)
+    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op4_simhash, op9_embedding_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
