@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import embed_dedup, html_extract, simhash, toxicity
+from bazaar.llm import decontam, embed_dedup, html_extract, simhash, toxicity
 from bazaar.llm.common import table
 from bazaar.session import ensure_checkpoint_dir
 
@@ -31,6 +31,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(g.id.alias("vec_id"), "n_links", g.component.alias("component_id"), "kept")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
@@ -42,7 +46,7 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op4_simhash, op9_embedding_dedup)
+    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op4_simhash, op9_embedding_dedup, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
