@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import decontam, embed_dedup, html_extract, simhash, toxicity
+from bazaar.llm import decontam, embed_dedup, html_extract, packing, simhash, toxicity
 from bazaar.llm.common import table
 from bazaar.session import ensure_checkpoint_dir
 
@@ -26,6 +26,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(g.id.alias("doc_id"), simhash.hex64(g.fp).alias("fingerprint"), g.component.alias("component_id"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = embed_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
     return g.select(g.id.alias("vec_id"), "n_links", g.component.alias("component_id"), "kept")
@@ -46,7 +50,7 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op4_simhash, op9_embedding_dedup, op10_decontamination)
+    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op4_simhash, op7_best_fit_packing, op9_embedding_dedup, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
