@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import decontam, embed_dedup, html_extract, packing, quality, simhash, toxicity
+from bazaar.llm import decontam, embed_dedup, html_extract, line_dedup, packing, quality, simhash, toxicity
 from bazaar.llm.common import table
 from bazaar.session import ensure_checkpoint_dir
 
@@ -26,6 +26,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(g.id.alias("doc_id"), simhash.hex64(g.fp).alias("fingerprint"), g.component.alias("component_id"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op4_simhash, op6_quality, op7_best_fit_packing, op9_embedding_dedup, op10_decontamination)
+    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op4_simhash, op5_line_dedup, op6_quality, op7_best_fit_packing, op9_embedding_dedup, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
