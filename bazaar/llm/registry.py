@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import decontam, embed_dedup, html_extract, line_dedup, packing, quality, simhash, toxicity
+from bazaar.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, packing, quality, simhash, toxicity
 from bazaar.llm.common import table
 from bazaar.session import ensure_checkpoint_dir
 
@@ -38,6 +38,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = embed_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
     return g.select(g.id.alias("vec_id"), "n_links", g.component.alias("component_id"), "kept")
@@ -58,7 +62,7 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op4_simhash, op5_line_dedup, op6_quality, op7_best_fit_packing, op9_embedding_dedup, op10_decontamination)
+    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op4_simhash, op5_line_dedup, op6_quality, op7_best_fit_packing, op8_license_scan, op9_embedding_dedup, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
