@@ -192,31 +192,29 @@ def score(text: Column, model: Model) -> Column:
     return toxic(text)
 
 
-def learn(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id",
-          sample_rows: int = 20_000, max_stems: int = 400, prefix: tuple[int, int] = (3, 10)) -> Model:
-    """Insult stems and feature weights from labelled rows.
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = 20_000, max_stems: int = 400,
+          prefix: tuple[int, int] = (3, 10)) -> Model:
+    """Insult stems and feature weights from labelled documents.
 
-    At most ``sample_rows`` labelled rows are used (those of the smallest
+    At most ``sample_rows`` labelled ids are used (those of the smallest
     key hashes); half of them give the stems, half the feature weights.  A
     stem is a word or word beginning that is over-represented in toxic rows
     (log-likelihood ratio), counted once per distinct context (the word
     before and after), so copies of a text add nothing.  Rows without a
-    label or text are left out; without rows of both labels the default
+    label, id or text are left out; without rows of both labels the default
     weights stand, with no stems.
     """
-    use = rows.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("double").alias("y"))
-    use = use.where("t is not null and y is not null and k is not null")
-    use = use.withColumn("h", F.xxhash64("k")).orderBy("h").limit(sample_rows).persist()
-    try:
-        counts = use.groupBy((F.col("y") > 0.5).alias("y")).count().collect()
-        if len(counts) < 2:
-            return Model()
-        model = Model(_stems(use.where("h & 1 = 0"), max_stems, prefix))
-        got = use.where("h & 1 = 1").select("y", _features_col("t", model).alias("f")).collect()
-    finally:
-        use.unpersist()
+    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
+    ids = known.groupBy("doc_id").agg((F.max(label_col).cast("double") > 0.5).alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    ids = ids.orderBy("h", "doc_id").limit(sample_rows)
+    # the ids, at most sample_rows rows of three numbers, are broadcast; the texts stay where they are read
+    use = (docs.select("doc_id", F.col("text").alias("t")).where("t is not null").join(F.broadcast(ids), "doc_id")
+           .select("doc_id", "t", "y", "h"))
+    model = Model(_stems(use.where("h & 1 = 0"), max_stems, prefix))
+    got = (use.where("h & 1 = 1").select("doc_id", "y", _features_col("t", model).alias("f"))
+           .dropDuplicates(["doc_id"]).orderBy("doc_id").collect())
     x = np.array([r.f for r in got], dtype=float).reshape(len(got), len(model.beta))
-    y = np.array([r.y > 0.5 for r in got], dtype=float)
+    y = np.array([float(r.y) for r in got])
     if len(set(y.tolist())) == 2:
         model.beta = tuple(fit_logistic(x, y, ridge=0.02).tolist())
     return model
@@ -237,7 +235,7 @@ def _stems(use: DataFrame, max_stems: int, prefix: tuple[int, int]) -> dict[str,
             for t, y in zip(pdf.t, pdf.y):
                 w = re.findall(r"[^\W\d_]+", t.lower())
                 if w:
-                    yield pd.DataFrame({"w": w, "a": [""] + w[:-1], "b": w[1:] + [""], "y": y > 0.5})
+                    yield pd.DataFrame({"w": w, "a": [""] + w[:-1], "b": w[1:] + [""], "y": y})
 
     each = use.select("t", "y").mapInPandas(contexts, "w string, a string, b string, y boolean")
     each = (each.select("w", "y", F.xxhash64("a", "w", "b").alias("c")).groupBy("c", "w").agg(F.max("y").alias("y"))
@@ -274,8 +272,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: in
     matches; null ids are scored but never learnt from.  Repeated rows give
     repeated results.
     """
-    train = (labels.where(crc_bucket(F.col("doc_id"), folds) != 0).where("toxic is not null and doc_id is not null")
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    model = learn(docs.select("doc_id", "text").join(train, "doc_id"), sample_rows=sample_rows)
+    model = learn(docs, labels.where(crc_bucket(F.col("doc_id"), folds) != 0), sample_rows=sample_rows)
     out = docs.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), score(F.col("text"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
