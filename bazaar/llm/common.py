@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,16 @@ def release(spark: SparkSession) -> None:
     drop_scratch(spark, scratch_since(spark, 0))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs whose frames are gone.
+
+    Its cleaner works on garbage-collected references, which on an idle
+    driver may take long; called between phases that each move the corpus.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_bucket(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo ``n`` (a null key counts as empty)."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, packing, quality, simhash, toxicity
+from bazaar.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, lm_score, packing, quality, simhash, toxicity
 from bazaar.llm.common import table
 from bazaar.session import ensure_checkpoint_dir
 
@@ -21,6 +21,11 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores; the sum is rounded to 3 decimals (its order of addition is free)."""
+    return lm_score.score(table(spark, sf_dir, "documents"), order=2).withColumn("score", F.round("score", 3) + F.lit(0.0))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return g.select(g.id.alias("doc_id"), simhash.hex64(g.fp).alias("fingerprint"), g.component.alias("component_id"))
@@ -62,7 +67,32 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op4_simhash, op5_line_dedup, op6_quality, op7_best_fit_packing, op8_license_scan, op9_embedding_dedup, op10_decontamination)
+    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op3_lm_scoring, op4_simhash, op5_line_dedup, op6_quality, op7_best_fit_packing, op8_license_scan, op9_embedding_dedup, op10_decontamination)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LM_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+t AS (SELECT rid, len(ws) AS size, unnest(ws) AS w, unnest([NULL] || ws[:-2]) AS p FROM d WHERE len(ws) > 0),
+c1 AS (SELECT w, count(*) AS n FROM t GROUP BY w), o1 AS (SELECT rid, w, count(*) AS n FROM t GROUP BY rid, w),
+c2 AS (SELECT p, w, count(*) AS n FROM t WHERE p IS NOT NULL GROUP BY p, w),
+o2 AS (SELECT rid, p, w, count(*) AS n FROM t WHERE p IS NOT NULL GROUP BY rid, p, w),
+total AS (SELECT count(*) AS n FROM t),
+s AS (
+  SELECT t.rid, t.p, total.n - t.size AS rest, c1.n - o1.n AS one, cp.n - op.n AS ctx, c2.n - o2.n AS two
+  FROM t CROSS JOIN total JOIN c1 ON c1.w = t.w JOIN o1 ON o1.rid = t.rid AND o1.w = t.w
+  LEFT JOIN c1 AS cp ON cp.w = t.p LEFT JOIN o1 AS op ON op.rid = t.rid AND op.w = t.p
+  LEFT JOIN c2 ON c2.p = t.p AND c2.w = t.w LEFT JOIN o2 ON o2.rid = t.rid AND o2.p = t.p AND o2.w = t.w),
+r AS (
+  SELECT rid, sum(CASE WHEN two > 0 THEN ln(two::DOUBLE / ctx)
+                       WHEN one > 0 THEN ln(CASE WHEN p IS NULL THEN 1 ELSE 0.4 END * one::DOUBLE / rest)
+                       ELSE ln(CASE WHEN p IS NULL THEN 0.4 ELSE 0.4 * 0.4 END / (rest + 1)::DOUBLE) END) AS score
+  FROM s GROUP BY rid)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_tokens, round(coalesce(r.score, 0.0), 3) + 0.0 AS score
+FROM d LEFT JOIN r USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_lm_scoring": _LM_SQL}
