@@ -8,6 +8,7 @@ scan and the join that feed it.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,23 +108,48 @@ def keyword_pattern(keyword: str | None, escape: bool = False) -> str | None:
     kw = keyword.strip(" ").lower()
     if not kw:
         return None
+    kw = kw.replace("\\", "\\\\")       # a backslash is a plain character in the shop's search
     if escape:
-        kw = kw.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+        kw = kw.replace("%", "\\%").replace("_", "\\_")
     return f"%{kw}%"
 
 
+def like_regex(keyword: str) -> str:
+    """Regular expression of a 'contains' search whose keyword may hold
+    ``%``, ``_`` and character classes (``[abc]``, ``[a-f]``, ``[^x]``).  A
+    class that is not closed matches nothing, as in the shop's search."""
+    out, i = [], 0
+    while i < len(keyword):
+        c = keyword[i]
+        if c == "[":
+            end = keyword.find("]", i + 1)
+            if end < 0:
+                return "(?!)"
+            body = keyword[i + 1:end]
+            negated = body.startswith("^")
+            members = re.sub(r"([\\\[\]^&~|])", r"\\\1", body[negated:])
+            out.append(f"[{'^' if negated else ''}{members}]" if members else ("(?s:.)" if negated else "(?!)"))
+            i = end
+        else:
+            out.append("(?s:.*)" if c == "%" else "(?s:.)" if c == "_" else re.escape(c))
+        i += 1
+    return "".join(out)
+
+
 def keyword_match(cols, keyword: str | None, escape: bool = False) -> Column:
     """Case-insensitive 'contains' over several columns (null-tolerant OR).
 
-    Without ``escape`` the keyword's own ``%`` and ``_`` act as wildcards,
-    as in the shop's search; a blank keyword matches nothing.
+    Without ``escape`` the keyword's own ``%``, ``_`` and ``[...]`` act as
+    wildcards, as in the shop's search; a blank keyword matches nothing.
     """
     pattern = keyword_pattern(keyword, escape)
     if pattern is None:
         return F.lit(False)
+    classes = not escape and "[" in keyword
     cond = None
     for c in cols:
-        m = F.lower(_col(c)).like(pattern)
+        low = F.lower(_col(c))
+        m = low.rlike(like_regex(keyword.strip(" ").lower())) if classes else low.like(pattern)
         cond = m if cond is None else (cond | m)
     return cond
 
@@ -159,9 +185,11 @@ def display_price(discounted, price) -> Column:
 
 # F12 ------------------------------------------------------------------------
 def to_number(value, fallback=None) -> Column:
-    """Lenient number parse: null, empty, non-numeric or non-finite -> fallback."""
+    """Lenient number parse: null, empty, non-numeric or non-finite -> fallback.
+    Only plain decimal notation counts (no type suffixes such as "1.5d")."""
     raw = F.trim(_col(value).cast("string"))
-    parsed = F.when(raw == "", F.lit(None).cast("double")).otherwise(raw.try_cast("double"))
+    plain = raw.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    parsed = F.when(plain, raw.try_cast("double"))
     finite = F.when(F.isnan(parsed) | (F.abs(parsed) == F.lit(float("inf"))), F.lit(None)).otherwise(parsed)
     fb = F.lit(fallback).cast("double") if fallback is not None else F.lit(None).cast("double")
     return F.coalesce(finite, fb)

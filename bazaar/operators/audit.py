@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from bazaar.functions.exprs import as_timestamp, product_audit_text, promo_audit_text
 from bazaar.operators.ids import max_id, next_ids
+from bazaar.operators.users import users_with_role
+from bazaar.operators.writes import _gate_actor
 
 # The audit log's action prefixes.
 INSERT_PRODUCT = "Insert product: "
@@ -76,6 +78,17 @@ def append_logs(logs: DataFrame | None, entries: DataFrame, order: list[str] | N
     return numbered if logs is None else logs.select("LogID", "UserID", "Action", "Timestamp").unionByName(numbered)
 
 
-def logs(log_table: DataFrame) -> DataFrame:
-    """Every log row."""
-    return log_table.select("LogID", "UserID", "Action", "Timestamp")
+def logs(log_table: DataFrame, user_roles: DataFrame | None = None, roles: DataFrame | None = None,
+         actor_id: int | None = None) -> DataFrame:
+    """Every log row.  With the role tables the log is for admins:
+    for any other ``actor_id`` the result is empty."""
+    out = log_table.select("LogID", "UserID", "Action", "Timestamp")
+    if user_roles is None or roles is None:
+        return out
+    admins = users_with_role(user_roles, roles, "Admin")
+    return out if not admins.filter(F.col("UserID") == F.lit(actor_id)).isEmpty() else out.limit(0)
+
+
+def log_requests(actors: DataFrame, user_roles: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who may read the log: (requests of admins, the others with a reason)."""
+    return _gate_actor(actors, user_roles, roles, "Admin")

@@ -6,14 +6,14 @@ reason.  Per-user verdicts are aggregates over the cart lines (partial
 aggregation per map task), never a window over a user's lines; stock is
 decremented by the sold quantity per product, an aggregate as well.
 
-Stock rules.  ``stock="snapshot"`` (default): every cart is tested
-against the same stock, as a single call would be; ``oversold`` lists the
-products whose accepted demand exceeds it.  ``stock="prefix"``: a line
-passes only if the running demand for its product -- all eligible carts'
-lines up to this request in (request_ts, UserID) order, rejected carts
-included -- fits the stock; this never oversells and needs no sequence.
-The shop's one-by-one order (a later cart sees only the accepted earlier
-decrements) is sequential by nature and not offered.
+Stock rules.  ``stock="serial"`` (default) is the shop's: requests are taken
+one after the other in (request_ts, UserID) order, and a cart sees the
+decrements of the carts accepted before it.  ``stock="snapshot"``: every
+cart is tested against the same stock, as a single call would be;
+``oversold`` lists the products whose accepted demand exceeds it.
+``stock="prefix"``: a line passes only if the running demand for its
+product -- all eligible carts' lines up to this request, rejected carts
+included -- fits the stock.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.functions.exprs import MONEY, discounted_price, promo_active, promo_applies
-from bazaar.operators.ids import max_id, next_ids
-from bazaar.operators.scan import running_total
+from bazaar.operators.ids import max_id, next_ids, write_checkpoint
+from bazaar.operators.scan import running_total, running_totals
 from bazaar.operators.users import users_with_role
+from bazaar.operators.writes import first_per_key
 from bazaar.sources.tables import Shop
 
 # Reject reasons of the checkout.
@@ -57,25 +58,62 @@ class Checkout:
 
 
 def _first_request_per_user(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One request per user (the earliest); later ones are rejected.
-    ``min_by`` aggregate, so a user with many requests is combined
-    partially instead of sorted whole in one task."""
-    reqs = requests.select("UserID", "PromoID", "request_ts")
-    first = (reqs.groupBy("UserID")
-             .agg(F.min_by(F.struct("PromoID", "request_ts"), F.struct("request_ts", "PromoID")).alias("r"))
-             .select("UserID", "r.PromoID", "r.request_ts"))
-    dup = (reqs.join(first.select("UserID", F.col("request_ts").alias("__ts"),
-                                  F.col("PromoID").alias("__pid")), "UserID", "inner")
-           .filter(~((F.col("request_ts") == F.col("__ts"))
-                     & F.col("PromoID").eqNullSafe(F.col("__pid"))))
-           .select("UserID", "PromoID", "request_ts",
-                   F.lit(DUPLICATE_REQUEST).alias("reason"), F.lit(None).cast("string").alias("detail")))
+    """One request per user (the earliest); every other one, identical
+    repeats included, is rejected."""
+    first, later = first_per_key(requests.select("UserID", "PromoID", "request_ts"), ["UserID"], ["request_ts", "PromoID"])
+    dup = later.select("UserID", "PromoID", "request_ts",
+                       F.lit(DUPLICATE_REQUEST).alias("reason"), F.lit(None).cast("string").alias("detail"))
     return first, dup
 
 
+def _serial_accepted(lines: DataFrame, strict: bool) -> DataFrame:
+    """UserID of the carts accepted when ``lines`` (UserID, request_ts,
+    ProductID, Quantity, StockQuantity) are checked out one after the other.
+
+    Rounds: of what accepted carts before a line took of its product, and the
+    most and the least that undecided carts before it could take, a cart is
+    accepted when all its lines fit the stock less the taken and the most,
+    and refused when one does not even fit it less the taken and the least.
+    The first undecided cart has none before it, so every round decides at least one
+    cart and the result is that of the one-by-one loop.  The three sums are
+    skew-safe running totals; every round is written under the checkpoint
+    folder."""
+    order = ["request_ts", "UserID"]
+    base = lines.select("UserID", "request_ts", "ProductID", F.col("Quantity").cast("long").alias("q"),
+                        F.col("StockQuantity").cast("long").alias("stock"))
+    # no earlier cart can help a line without stock unless lines may be negative
+    hopeless = base.filter((F.col("q") <= 0) if strict else F.lit(False))
+    if strict:
+        hopeless = hopeless.unionByName(base.filter(F.col("q") > F.col("stock")))
+    state = write_checkpoint(base.join(hopeless.select("UserID").distinct(), "UserID", "left_anti")
+                             .select(*base.columns, F.lit(False).alias("taken")), "serial")
+    accepted = state.select("UserID").limit(0)
+    while True:
+        nothing = F.lit(0).cast("long")
+        ranked = running_totals(state.withColumns({
+            "took": F.when(F.col("taken"), F.col("q")).otherwise(nothing),
+            "most": F.when(F.col("taken"), nothing).otherwise(F.greatest("q", nothing)),
+            "least": F.when(F.col("taken"), nothing).otherwise(F.least("q", nothing))}), ["ProductID"], order,
+            {"sum_took": "took", "sum_most": "most", "sum_least": "least"}).filter(~F.col("taken"))
+        left = F.col("stock") - F.col("sum_took")     # an undecided line's own share of it is 0
+        verdict = write_checkpoint(ranked.groupBy("UserID").agg(
+            F.min(left - (F.col("sum_most") - F.col("most")) >= F.col("q")).alias("fits"),
+            F.max(left - (F.col("sum_least") - F.col("least")) < F.col("q")).alias("fails")), "serial")
+        accepted = accepted.unionByName(verdict.filter("fits").select("UserID"))
+        open_carts = verdict.filter("not fits and not fails").select("UserID")
+        if open_carts.isEmpty():
+            return accepted
+        still = state.filter(~F.col("taken")).join(open_carts, "UserID", "left_semi")
+        # of the accepted lines only those of products that are still asked for
+        won = (state.join(verdict.filter("fits").select("UserID", F.lit(True).alias("__won")), "UserID", "left")
+               .filter(F.col("taken") | F.col("__won")).withColumn("taken", F.lit(True))
+               .join(still.select("ProductID").distinct(), "ProductID", "left_semi"))
+        state = write_checkpoint(still.unionByName(won.select(*state.columns)), "serial")
+
+
 def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
              strict: bool = True, cart: DataFrame | None = None, start_id: int | None = None,
-             stock: str = "snapshot") -> Checkout:
+             stock: str = "serial") -> Checkout:
     """Per request (UserID, PromoID nullable, request_ts).
 
     * not role User -> reject; a cart line above stock rejects the whole
@@ -94,37 +132,49 @@ def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
     not_user = first.join(shop_users, "UserID", "left_anti")
     eligible = first.join(shop_users, "UserID", "left_semi")
 
-    products = shop.products.select("ProductID", "ProductName", "CategoryID", "Price", "StockQuantity")
-    lines = (carts.join(eligible.select("UserID"), "UserID", "left_semi")
+    products = shop.products.select("ProductID", "CategoryID", "Price", "StockQuantity")
+    lines = (carts.join(eligible.select("UserID", "request_ts"), "UserID", "inner")
              .join(products, "ProductID", "inner")).persist(StorageLevel.MEMORY_AND_DISK)
 
+    order = ["request_ts", "UserID"]
     if stock == "snapshot":
         judged_lines = lines
         short = F.col("StockQuantity") < F.col("Quantity")
     elif stock == "prefix":
         # Running demand per product in request order (skew-safe scan).
-        ordered = (lines.join(eligible.select("UserID", "request_ts"), "UserID", "inner")
-                   .withColumn("__demand_qty", F.greatest(F.col("Quantity"), F.lit(0))))
-        judged_lines = running_total(ordered, ["ProductID"], ["request_ts", "UserID"], "__demand_qty", "Demand")
+        ordered = lines.withColumn("__demand_qty", F.greatest(F.col("Quantity"), F.lit(0)))
+        judged_lines = running_total(ordered, ["ProductID"], order, "__demand_qty", "Demand")
         short = F.col("StockQuantity") < F.col("Demand")
+    elif stock == "serial":
+        # What the accepted carts before a line took, its own cart left out.
+        won = _serial_accepted(lines, strict).withColumn("__won", F.lit(True))
+        ordered = (lines.join(won, "UserID", "left")
+                   .withColumn("__took", F.when(F.col("__won"), F.col("Quantity").cast("long")).otherwise(F.lit(0))))
+        judged_lines = running_total(ordered, ["ProductID"], order, "__took", "Taken")
+        short = F.col("StockQuantity") - (F.col("Taken") - F.col("__took")) < F.col("Quantity")
     else:
         raise ValueError(f"unknown stock rule {stock!r}")
-    verdict = (judged_lines.groupBy("UserID")
-               .agg(F.count(F.lit(1)).alias("n_lines"),
-                    F.min(F.when(short, F.col("ProductName"))).alias("short_name"),
-                    F.max(short.cast("int")).alias("any_short"),
-                    F.min("Quantity").alias("min_qty")))
-    judged = eligible.join(verdict, "UserID", "left")
+    judged_lines = judged_lines.withColumn("__short", short)
+    per_cart = (judged_lines.groupBy("UserID")
+                .agg(F.count(F.lit(1)).alias("n_lines"),
+                     F.max(F.col("__short").cast("int")).alias("any_short"),
+                     F.min("Quantity").alias("min_qty")))
     reason = (F.when(F.col("n_lines").isNull() & F.lit(not allow_empty), F.lit(EMPTY_CART))
               .when(F.col("any_short") == 1, F.lit(OUT_OF_STOCK))
               .when(F.lit(strict) & (F.col("min_qty") <= 0), F.lit(NON_POSITIVE)))
-    judged = judged.withColumn("reason", reason).withColumn(
-        "detail", F.when(F.col("reason") == OUT_OF_STOCK, F.col("short_name")))
+    # The verdict feeds every output: written once.
+    judged = write_checkpoint(eligible.join(per_cart, "UserID", "left").withColumn("reason", reason)
+                              .select("UserID", "PromoID", "request_ts", "reason"), "verdict")
+    # The names of missing products are looked up for the refused carts only.
+    short_names = (judged_lines.filter("__short")
+                   .join(judged.filter(F.col("reason") == OUT_OF_STOCK).select("UserID"), "UserID", "left_semi")
+                   .select("UserID", "ProductID").join(shop.products.select("ProductID", "ProductName"), "ProductID", "inner")
+                   .groupBy("UserID").agg(F.min("ProductName").alias("detail")))
 
     rejects = (not_user.select("UserID", "PromoID", "request_ts",
                                F.lit(NOT_A_SHOP_USER).alias("reason"), F.lit(None).cast("string").alias("detail"))
                .unionByName(dup)
-               .unionByName(judged.filter(F.col("reason").isNotNull())
+               .unionByName(judged.filter(F.col("reason").isNotNull()).join(short_names, "UserID", "left")
                             .select("UserID", "PromoID", "request_ts", "reason", "detail")))
 
     accepted = judged.filter(F.col("reason").isNull()).select("UserID", "PromoID", "request_ts")

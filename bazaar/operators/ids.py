@@ -22,6 +22,14 @@ from pyspark.sql import functions as F
 from bazaar.session import ensure_checkpoint_dir
 
 
+def write_checkpoint(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written as a parquet table under the reliable checkpoint folder and read back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def max_id(df: DataFrame, col: str) -> int:
     """Largest existing id (0 for an empty table): one scalar to the driver."""
     row = df.agg(F.max(col).alias("m")).first()
@@ -42,11 +50,8 @@ def next_ids(df: DataFrame, order_by: list[str], start: int, id_col: str,
     tagged = (ranked.withColumn("__pid", F.spark_partition_id())
               .withColumn("__row", F.monotonically_increasing_id()))
     if checkpoint:
-        spark = df.sparkSession
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
-        tagged.write.parquet(path)
+        tagged = write_checkpoint(tagged, "ids")
         src.unpersist()
-        tagged = spark.read.schema(tagged.schema).parquet(path)
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", "__first",

@@ -19,7 +19,6 @@ skewed partitions (``spark.sql.adaptive.skewJoin.enabled``).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,44 +26,21 @@ from pyspark.sql import functions as F
 # for the narrow dimension rows used here).
 DIM_MAX_ROWS = 100_000
 
-_SMALL = "_bazaar_small"
-_VERDICTS: dict[tuple, bool] = {}
-
 
 def checked_broadcast(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
     """Broadcast hint behind a bounded row count; unchanged df otherwise.
 
-    The side is persisted while it is counted, so the broadcast reads the
-    rows the check computed instead of recomputing the side (and Spark's
-    cache manager hands the same entry to later plans of the same side).
-    A side over the bound is unpersisted and left to a shuffle join.
+    The count runs where the hint is given and reads at most
+    ``max_rows + 1`` rows past the side's own plan.  Nothing is persisted
+    and no verdict is remembered, so a later call of the same side counts
+    what is stored then, and results never come from an earlier read.
     """
-    verdict = getattr(df, _SMALL, None)
-    if verdict is not None:
-        return df
-    # The verdict of an identical plan is remembered for the session: its
-    # rows come from the same cache entry, so they cannot have changed
-    # unless the cache is refreshed (when Spark itself re-reads them).
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    small = _VERDICTS.get(key)
-    if small is None:
-        small = kept.limit(max_rows + 1).count() <= max_rows
-        _VERDICTS[key] = small
-    if small:
-        out = F.broadcast(kept)
-    else:
-        kept.unpersist()
-        out = df
-    setattr(out, _SMALL, small)
-    return out
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def literal_dimension(df: DataFrame) -> DataFrame:
     """Broadcast a frame built from literal rows (its size is its source)."""
-    out = F.broadcast(df)
-    setattr(out, _SMALL, True)
-    return out
+    return F.broadcast(df)
 
 
 def lookup(left: DataFrame, right: DataFrame, local_field: str, foreign_field: str,

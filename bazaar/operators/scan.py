@@ -19,29 +19,28 @@ both steps see the same cut even if a task is re-run.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.session import ensure_checkpoint_dir
+from bazaar.operators.ids import write_checkpoint
 
 
 def running_total(df: DataFrame, key: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """``out`` = sum of ``value`` over the rows of the same ``key`` with an
     ``order`` position up to this row's (``order`` must be a total order
     within a key)."""
-    spark = df.sparkSession
-    sliced = df.repartitionByRange(*key, *order).withColumn("__slice", F.spark_partition_id())
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scan-{uuid.uuid4().hex}"
-    sliced.write.parquet(path)
-    sliced = spark.read.schema(sliced.schema).parquet(path)
+    return running_totals(df, key, order, {out: value})
+
 
+def running_totals(df: DataFrame, key: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``running_total`` of several columns over the same slices (``sums``: result -> summed column)."""
+    sliced = write_checkpoint(df.repartitionByRange(*key, *order).withColumn("__slice", F.spark_partition_id()), "scan")
     upto = Window.partitionBy("__slice", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumn("__local", F.sum(value).over(upto))
-    totals = sliced.groupBy("__slice", *key).agg(F.sum(value).alias("__total"))
+    local = sliced.select("*", *[F.sum(v).over(upto).alias(f"__local_{o}") for o, v in sums.items()])
+    totals = sliced.groupBy("__slice", *key).agg(*[F.sum(v).alias(f"__total_{o}") for o, v in sums.items()])
     before = Window.partitionBy(*key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__slice", *key, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
-    return (local.join(offsets, ["__slice", *key], "inner")
-            .withColumn(out, F.col("__offset") + F.col("__local"))
-            .drop("__slice", "__local", "__offset"))
+    offsets = totals.select("__slice", *key, *[F.coalesce(F.sum(f"__total_{o}").over(before), F.lit(0)).alias(f"__offset_{o}")
+                                               for o in sums])
+    joined = local.join(offsets, ["__slice", *key], "inner")
+    return (joined.withColumns({o: F.col(f"__offset_{o}") + F.col(f"__local_{o}") for o in sums})
+            .drop("__slice", *[f"__local_{o}" for o in sums], *[f"__offset_{o}" for o in sums]))

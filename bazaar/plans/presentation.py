@@ -1,8 +1,9 @@
 """How registered queries hand out values: the columns listed here leave
 as DOUBLE on both the Spark and the SQL side -- money (exact decimal
-until this point, a JSON number in the shop's API) and integer columns
-that are null for some rows by design (an order without promo, an order
-without lines after an outer unwind)."""
+until this point, a JSON number in the shop's API) and a quantity that is
+null after an outer unwind.  Ids are bigint, and those that are null for
+some rows by design (an order without promo) leave as text, so that no
+client turns them into floating point.  Operators return bigint throughout."""
 
 from __future__ import annotations
 
@@ -16,21 +17,27 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "search_products": PRICE2, "catalog_page": PRICE2, "search_page": PRICE2, "category_page": PRICE2,
     "catalog_plain": ["Price"], "products_by_category": ["Price"], "search_products_regex": ["Price"],
     "products_by_category_order": ["Price"],
-    "orders_nested": ["PromoID"], "order_document": ["PromoID"],
-    "orders_unwound": ["ProductID", "Quantity", "UnitPrice"],
-    "checkout_orders": ["PromoID"], "checkout_order_items": ["UnitPrice"],
-    "checkout_rejects": ["PromoID"], "checkout_simple_orders": ["PromoID"],
-    "checkout_simple_order_items": ["UnitPrice"], "checkout_simple_rejects": ["PromoID"],
-    "delete_promocodes_orders": ["PromoID"], "delete_promocodes_doc_orders": ["PromoID"],
+    "orders_unwound": ["Quantity", "UnitPrice"],
+    "checkout_order_items": ["UnitPrice"],
+    "checkout_simple_order_items": ["UnitPrice"],
     "delete_products_products": ["Price"], "delete_products_cascade_order_items": ["UnitPrice"],
-    "delete_users_orders": ["PromoID"], "delete_users_order_items": ["UnitPrice"],
+    "delete_users_order_items": ["UnitPrice"],
     "upsert_products_products": ["Price"], "patch_products_products": ["Price"],
-    "add_promocodes_added": ["CategoryID"], "add_promocodes_doc_added": ["CategoryID"],
     "export_products": ["Price"], "import_products_added": ["Price"],
     "product_cards": ["ShownPrice"], "catalog_page_after": PRICE2, "delete_products_plain": ["Price"],
     "add_products_doc_added": ["Price"],
-    "promocodes_doc": ["CategoryID"],
     "cart_quote_lines": ["Price", "ItemPrice"],
-    "checkout_prefix_orders": ["PromoID"], "checkout_prefix_rejects": ["PromoID"],
     "orders_nested_split_lines": ["UnitPrice"],
+    "delete_products_gate_products": ["Price"],
+    "patch_products_series": ["Price"],
+}
+
+TEXT_COLS: dict[str, list[str]] = {
+    **{name: ["PromoID"] for name in (
+        "orders_nested", "order_document", "checkout_orders", "checkout_rejects", "checkout_simple_orders", "checkout_simple_rejects",
+        "checkout_prefix_orders", "checkout_prefix_rejects", "checkout_snapshot_orders", "checkout_snapshot_rejects",
+        "checkout_repeat_rejects", "delete_promocodes_orders", "delete_promocodes_doc_orders", "delete_users_orders")},
+    "orders_unwound": ["ProductID"], "delete_promocodes_gate_rejects": ["ActorID"],
+    **{name: ["CategoryID"] for name in ("add_promocodes_added", "add_promocodes_doc_added", "promocodes_doc",
+                                         "delete_promocodes_promos", "delete_promocodes_doc_promos")},
 }

@@ -4,6 +4,7 @@ DuckDB SQL twin of each one under the same name and column names."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,22 +13,24 @@ from pyspark.sql import types as T
 
 from bazaar.functions.exprs import as_timestamp
 from bazaar.operators import orders as O
-from bazaar.plans.presentation import DOUBLE_COLS
-from bazaar.sources.tables import load_shop, read_table
+from bazaar.plans.presentation import DOUBLE_COLS, TEXT_COLS
+from bazaar.sources.tables import load_shop, read_table, shop_from_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def present(name: str, df: DataFrame) -> DataFrame:
     """Presentation step of a registered query: the columns listed in
-    ``presentation.DOUBLE_COLS`` leave as double (the SQL twin does the
-    same).  All money arithmetic before this point is exact decimal."""
+    ``presentation.DOUBLE_COLS`` leave as double and those in ``TEXT_COLS``
+    as text (the SQL twin does the same).  All money arithmetic before this point is exact decimal."""
     wanted = set(DOUBLE_COLS.get(name, []))
     undeclared = [f.name for f in df.schema.fields
                   if isinstance(f.dataType, T.DecimalType) and f.name not in wanted]
     if undeclared:
         raise ValueError(f"{name}: decimal columns {undeclared} missing from DOUBLE_COLS")
-    return df.select(*[F.col(c).cast("double").alias(c) if c in wanted else F.col(c) for c in df.columns])
+    text = set(TEXT_COLS.get(name, []))
+    return df.select(*[F.col(c).cast("double" if c in wanted else "string").alias(c) if c in wanted | text else F.col(c)
+                       for c in df.columns])
 
 
 def presented(queries: dict[str, Query]) -> dict[str, Query]:
@@ -310,14 +313,32 @@ def checkout_requests(shop) -> DataFrame:
     return users.select("UserID", promo_id.cast("long").alias("PromoID"), ts.alias("request_ts"))
 
 
-def _checkout(spark, d):
+def _outputs(res):
+    """A checkout whose outputs recompute the shared lines instead of leaving them persisted."""
+    res.release()
+    return res
+
+
+def _positive_carts(shop) -> DataFrame:
+    """Carts without lines of zero or less, so that stock decides."""
+    return shop.cart_items.filter(F.col("Quantity") > 0)
+
+
+def _checkout(spark, d, **how):
+    shop = load_shop(spark, d)
+    return _outputs(K.checkout(shop, checkout_requests(shop), AS_OF, cart=_positive_carts(shop), **how))
+
+
+def _checkout_whole_carts(spark, d):
     shop = load_shop(spark, d)
-    return K.checkout(shop, checkout_requests(shop), AS_OF)
+    return _outputs(K.checkout(shop, checkout_requests(shop), AS_OF, stock="snapshot"))
 
 
-def _checkout_prefix(spark, d):
+def _checkout_repeats(spark, d):
+    """One request per cart event: all but the first of a user are repeats."""
     shop = load_shop(spark, d)
-    return K.checkout(shop, checkout_requests(shop), AS_OF, stock="prefix")
+    req = shop.cart_events.select("UserID", (F.col("event_id") % 3).alias("PromoID"), F.date_trunc("day", "ts").alias("request_ts"))
+    return _outputs(K.checkout(shop, req, AS_OF, cart=_positive_carts(shop)))
 
 
 def _checkout_simple(spark, d):
@@ -331,9 +352,12 @@ QUERIES.update({
     "checkout_stock": lambda spark, d: _checkout(spark, d).stock,
     "checkout_carts": lambda spark, d: _checkout(spark, d).carts,
     "checkout_rejects": lambda spark, d: _checkout(spark, d).rejects,
-    "checkout_oversold": lambda spark, d: _checkout(spark, d).oversold,
-    "checkout_prefix_orders": lambda spark, d: _checkout_prefix(spark, d).orders,
-    "checkout_prefix_rejects": lambda spark, d: _checkout_prefix(spark, d).rejects,
+    "checkout_repeat_rejects": lambda spark, d: _checkout_repeats(spark, d).rejects.filter(F.col("reason") == K.DUPLICATE_REQUEST),
+    "checkout_snapshot_orders": lambda spark, d: _checkout(spark, d, stock="snapshot").orders,
+    "checkout_snapshot_rejects": lambda spark, d: _checkout_whole_carts(spark, d).rejects,
+    "checkout_oversold": lambda spark, d: _checkout(spark, d, stock="snapshot").oversold,
+    "checkout_prefix_orders": lambda spark, d: _checkout(spark, d, stock="prefix").orders,
+    "checkout_prefix_rejects": lambda spark, d: _checkout(spark, d, stock="prefix").rejects,
     "checkout_simple_orders": lambda spark, d: _checkout_simple(spark, d).orders,
     "checkout_simple_order_items": lambda spark, d: _checkout_simple(spark, d).order_items,
     "checkout_simple_rejects": lambda spark, d: _checkout_simple(spark, d).rejects,
@@ -375,21 +399,39 @@ def _add_promos_doc(spark, d):
                              rules="document", order=["ts", "event_id"])
 
 
-def _delete_promos(spark, d, rules="sql"):
+def _delete_promos(spark, d, rules="sql", gated=False):
+    """Promos 1, 4 and 7 and the unknown 10, one request per order."""
     shop = load_shop(spark, d)
-    ids = read_table(spark, d, "orders").select(
-        (F.col("o_orderkey") % 10 + 1).cast("long").alias("PromoID"))
-    return Wr.delete_promocodes(shop.promocodes, shop.orders, ids, rules=rules)
+    ids = read_table(spark, d, "orders").select(F.col("o_custkey").alias("ActorID"),
+                                                (F.col("o_orderkey") % 4 * 3 + 1).cast("long").alias("PromoID"))
+    if not gated:
+        ids = ids.drop("ActorID")
+    return Wr.delete_promocodes(shop.promocodes, shop.orders, ids, rules=rules, user_roles=shop.user_roles, roles=shop.roles)
+
+
+def _actor(key) -> "F.Column":
+    """Actors 0, 5, 10 and 15 in turn; customer 0 alone is an admin."""
+    return (F.col(key) % 4 * 5).cast("long").alias("ActorID")
 
 
 def _delete_products(spark, d, mode):
+    """restrict: every product is asked for, and order lines of the largest
+    quantity keep theirs; cascade_all: one category."""
     shop = load_shop(spark, d)
+    lines = shop.order_items
     if mode == "restrict":
-        ids = shop.products.select("ProductID")
+        ids, lines = shop.products.select("ProductID"), lines.filter(F.col("Quantity") == 50)
     else:
         promo_line = shop.categories.filter(F.col("CategoryName") == "PROMO").select("CategoryID")
         ids = shop.products.join(promo_line, "CategoryID", "left_semi").select("ProductID")
-    return Wr.delete_products(shop.products, ids, shop.favorites, shop.cart_items, shop.order_items, mode=mode)
+    return Wr.delete_products(shop.products, ids, shop.favorites, shop.cart_items, lines, mode=mode)
+
+
+def _delete_products_gated(spark, d):
+    shop = load_shop(spark, d)
+    ids = shop.products.select("ProductID", _actor("ProductID"))
+    return Wr.delete_products(shop.products, ids, shop.favorites, shop.cart_items, shop.order_items, mode="plain",
+                              user_roles=shop.user_roles, roles=shop.roles)
 
 
 def _delete_users(spark, d):
@@ -421,6 +463,12 @@ def _upsert(spark, d):
     return Wr.upsert_products(shop.products, product_rows(shop), order=["src_id"])
 
 
+def _upsert_gated(spark, d):
+    shop = load_shop(spark, d)
+    return Wr.upsert_products(shop.products, product_rows(shop).withColumn("ActorID", _actor("src_id")), order=["src_id"],
+                              user_roles=shop.user_roles, roles=shop.roles)
+
+
 def product_patches(shop) -> DataFrame:
     p = shop.products
     k = F.col("StockQuantity") % 3
@@ -439,13 +487,28 @@ def _patch(spark, d):
     return Wr.patch_products(shop.products, product_patches(shop), AS_OF)
 
 
+def _patch_series(spark, d):
+    """Every event patches the product it names, in (ts, event_id) order: many patches of one product."""
+    shop = load_shop(spark, d)
+    ev = read_table(spark, d, "events")
+    patch = (F.when(F.col("event_type") == "click", F.create_map(F.lit("StockQuantity"), (F.col("event_id") % 50).cast("string")))
+             .when(F.col("event_type") == "view", F.create_map(F.lit("ImageURL"), F.lit(None).cast("string")))
+             .when(F.col("event_type") == "error", F.create_map(F.lit("ProductName"), F.concat(F.lit("e"), F.col("event_id").cast("string")),
+                                                                F.lit("ImageURL"), F.lit("x.jpg")))
+             .otherwise(F.create_map(F.lit("Description"), F.col("event_type"))))
+    patches = ev.select("ts", "event_id", (F.col("user_id") % 4 * 5).cast("long").alias("ActorID"),
+                        F.regexp_extract("props", "[0-9]+", 0).cast("long").alias("ProductID"), patch.alias("patch"))
+    return Wr.patch_products(shop.products, patches, AS_OF, order=["ts", "event_id"], user_roles=shop.user_roles, roles=shop.roles)
+
+
 def _favorites_edit(spark, d):
     shop = load_shop(spark, d)
     ev = read_table(spark, d, "events")
     key = F.regexp_extract("props", "[0-9]+", 0).cast("long")
-    adds = ev.filter(F.col("event_type") == "purchase").select(F.col("user_id").alias("UserID"), key.alias("ProductID"))
-    removes = ev.filter(F.col("event_type") == "click").select(F.col("user_id").alias("UserID"), key.alias("ProductID"))
-    return Wr.edit_favorites(shop.favorites, adds, removes, shop.user_roles, shop.roles)
+
+    def of(kind):
+        return ev.filter(F.col("event_type") == kind).select(F.col("user_id").alias("UserID"), key.alias("ProductID"), "ts", "event_id")
+    return Wr.edit_favorites(shop.favorites, of("purchase"), of("click"), shop.user_roles, shop.roles, order=["ts", "event_id"])
 
 
 def _favorites_edit_doc(spark, d):
@@ -484,10 +547,29 @@ def user_rows(spark, d) -> DataFrame:
                     email.alias("Email"), role.alias("RoleName"))
 
 
-def _register(spark, d, rules="sql"):
+def _register(spark, d, rules="sql", gated=False):
+    shop = load_shop(spark, d)
+    rows = user_rows(spark, d)
+    if gated:    # a third registers itself, the others are registered by actor 0 or 5
+        rows = rows.withColumn("ActorID", F.when(F.col("src_id") % 3 > 0, (F.col("src_id") % 3 - 1) * 5).cast("long"))
+    return Wr.register_users(shop.users, shop.user_roles, shop.roles, rows, rules=rules, order=["src_id"])
+
+
+def _fold_rejects(spark, d):
+    shop = load_shop(spark, d)
+    return Wr.fold_cart_events(shop.cart_events, user_roles=shop.user_roles, roles=shop.roles).rejects.select("event_id", "reason")
+
+
+def _integrity(spark, d):
+    """The shop after products and accounts were removed without their rows elsewhere."""
     shop = load_shop(spark, d)
-    return Wr.register_users(shop.users, shop.user_roles, shop.roles, user_rows(spark, d),
-                             rules=rules, order=["src_id"])
+    segment = read_table(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("UserID"))
+    tables = {name: getattr(shop, name) for name in ("categories", "promocodes", "roles", "user_roles", "favorites", "orders",
+                                                     "order_statuses", "order_items")}
+    tables["products"] = shop.products.filter(F.col("StockQuantity") != 5)
+    tables["users"] = shop.users.join(segment, "UserID", "left_anti")
+    tables["cart_items"] = shop.cart_items
+    return Wr.integrity_report(shop_from_tables(spark, tables))
 
 
 QUERIES.update({
@@ -517,7 +599,19 @@ QUERIES.update({
     "register_users_roles": lambda spark, d: _register(spark, d).tables["added_roles"],
     "register_users_rejects": lambda spark, d: _register(spark, d).rejects.select("src_id", "reason"),
     "register_users_doc_added": lambda spark, d: _register(spark, d, "document").tables["added_users"],
-    "integrity_report": lambda spark, d: Wr.integrity_report(load_shop(spark, d)),
+    "integrity_report": _integrity,
+    "delete_promocodes_doc_promos": lambda spark, d: _delete_promos(spark, d, "document").tables["promocodes"],
+    "delete_promocodes_gate_rejects":
+        lambda spark, d: _delete_promos(spark, d, gated=True).rejects.select("ActorID", "PromoID", "reason"),
+    "delete_products_gate_products": lambda spark, d: _delete_products_gated(spark, d).tables["products"],
+    "delete_products_gate_rejects":
+        lambda spark, d: _delete_products_gated(spark, d).rejects.select("ActorID", "ProductID", "reason"),
+    "upsert_products_gate_rejects": lambda spark, d: _upsert_gated(spark, d).rejects.select("src_id", "ActorID", "reason"),
+    "patch_products_series": lambda spark, d: _patch_series(spark, d).tables["products"],
+    "patch_products_series_rejects": lambda spark, d: _patch_series(spark, d).rejects.select("event_id", "reason"),
+    "register_users_gate_added": lambda spark, d: _register(spark, d, gated=True).tables["added_users"],
+    "register_users_gate_rejects": lambda spark, d: _register(spark, d, gated=True).rejects.select("src_id", "reason"),
+    "fold_cart_events_rejects": lambda spark, d: _fold_rejects(spark, d),
 })
 
 
@@ -527,6 +621,7 @@ from bazaar.sources import json_io as J  # noqa: E402
 from bazaar.streaming import audit_stream as AS  # noqa: E402
 from bazaar.streaming import cart_stream as CS  # noqa: E402
 
+LATENESS_DAYS = 10
 ADMIN_ACTOR = 0    # customer 0 holds the Admin role
 
 
@@ -568,11 +663,27 @@ def _logs_json_roundtrip(spark, d):
     return J.read_logs_json(spark, path, multi_line=False)
 
 
-def _import_logs_dedup(spark, d):
-    existing = _audit_log(spark, d)
+def _imported_logs(spark, d, dedup):
+    """The product log takes in a file of the whole log: with ``dedup`` only
+    the promo entries are new, without every row is appended."""
+    existing = Au.append_logs(None, _audit_products(spark, d))
     path = AS.stream_root(spark, "logs-json")
-    J.export_logs(existing, path)
-    return J.import_logs(existing, J.read_logs_json(spark, path, multi_line=False), dedup=True)
+    J.export_logs(_audit_log(spark, d), path)
+    return J.import_logs(existing, J.read_logs_json(spark, path, multi_line=False), dedup=dedup)
+
+
+def _import_logs_dedup(spark, d):
+    return _imported_logs(spark, d, True)
+
+
+def _import_logs_append(spark, d):
+    return _imported_logs(spark, d, False)
+
+
+def _log_rejects(spark, d):
+    """Every account asks for the log."""
+    shop = load_shop(spark, d)
+    return Au.log_requests(shop.users.select(F.col("UserID").alias("ActorID")), shop.user_roles, shop.roles)[1]
 
 
 def _export_products(spark, d):
@@ -605,22 +716,41 @@ def _audit_promo_stream(spark, d):
     return spark.read.parquet(f"{root}/sink").select("UserID", "Action", "Timestamp", "Key")
 
 
-def _cart_stream(spark, d):
-    """Cart events written as four time slices, one micro-batch each."""
+def _cart_stream_run(spark, d):
+    """Cart events cut into eight time slices, two files per micro-batch."""
     shop = load_shop(spark, d)
-    events = shop.cart_events
     root = AS.stream_root(spark, "cart-stream")
-    bounds = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / 4
-    for i in range(4):
-        cond = F.lit(True)
-        if i > 0:
-            cond = cond & (F.col("ts") >= F.lit(lo + step * i))
-        if i < 3:
-            cond = cond & (F.col("ts") < F.lit(lo + step * (i + 1)))
-        events.filter(cond).coalesce(1).write.mode("append").parquet(f"{root}/source")
-    return CS.run_cart_stream(spark, f"{root}/source", root, shop.user_roles, shop.roles, buckets=8)
+    shop.cart_events.repartitionByRange(8, "ts").write.parquet(f"{root}/source")
+    return root, CS.run_cart_stream(spark, f"{root}/source", root, shop.user_roles, shop.roles, max_files_per_trigger=2)
+
+
+def _cart_stream(spark, d):
+    return _cart_stream_run(spark, d)[1]
+
+
+def _cart_stream_rejects(spark, d):
+    root, _ = _cart_stream_run(spark, d)
+    return CS.read_side(spark, root, "rejects").select("event_id", "reason")
+
+
+def _cart_stream_out_of_order(spark, d, lateness=None):
+    """Set events arrive first, all others after a restart."""
+    shop = load_shop(spark, d)
+    root = AS.stream_root(spark, "cart-late")
+    for part in (F.col("op") == "set", F.col("op") != "set"):
+        shop.cart_events.filter(part).write.mode("append").parquet(f"{root}/source")
+        carts = CS.run_cart_stream(spark, f"{root}/source", root, shop.user_roles, shop.roles, max_files_per_trigger=None,
+                                   lateness=lateness)
+    return root, carts
+
+
+def _cart_stream_mixed(spark, d):
+    return _cart_stream_out_of_order(spark, d)[1]
+
+
+def _cart_stream_late(spark, d):
+    root, _ = _cart_stream_out_of_order(spark, d, dt.timedelta(days=LATENESS_DAYS))
+    return CS.read_side(spark, root, "late").select("event_id", "reason")
 
 
 QUERIES.update({
@@ -629,11 +759,16 @@ QUERIES.update({
     "audit_log": _audit_log,
     "logs_json_roundtrip": _logs_json_roundtrip,
     "import_logs_dedup": _import_logs_dedup,
+    "import_logs_append": _import_logs_append,
+    "log_request_rejects": _log_rejects,
     "export_products": _export_products,
     "import_products_added": _import_products_added,
     "audit_stream": _audit_stream,
     "audit_promo_stream": _audit_promo_stream,
     "cart_stream": _cart_stream,
+    "cart_stream_rejects": _cart_stream_rejects,
+    "cart_stream_out_of_order": _cart_stream_mixed,
+    "cart_stream_late": _cart_stream_late,
 })
 
 
@@ -673,7 +808,7 @@ QUERIES.update({
 
 def _q_add_products_doc(spark, d):
     shop = load_shop(spark, d)
-    rows = product_rows(shop).filter(F.col("ProductID").isNull())
+    rows = product_rows(shop)
     return Wr.add_products_document(shop.products, rows.drop("ProductID"), AS_OF, order=["src_id"]).tables["added"]
 
 

@@ -95,4 +95,4 @@ def with_shop(select_sql: str, extra: dict[str, str] | None = None) -> str:
     ctes = dict(CTES)
     ctes.update(extra or {})
     body = ",\n".join(f"{name} AS (\n    {sql}\n)" for name, sql in ctes.items())
-    return f"WITH {body}\n{select_sql}"
+    return f"WITH RECURSIVE {body}\n{select_sql}"

@@ -47,17 +47,20 @@ def import_logs(existing: DataFrame, incoming: DataFrame, dedup: bool = False) -
     keys = ["UserID", "Action", "Timestamp"]
     inc = incoming.select(F.col("LogID").alias("SourceLogID"), *keys)
     if dedup:
-        inc = (inc.groupBy(*keys).agg(F.min("SourceLogID").alias("SourceLogID"))
-               .join(existing.select(*keys), keys, "left_anti"))
+        have = existing.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        same = F.lit(True)
+        for k in keys:      # an audit text may be null: null equals null here
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        inc = inc.groupBy(*keys).agg(F.min("SourceLogID").alias("SourceLogID")).join(have, same, "left_anti")
     numbered = next_ids(inc, ["Timestamp", "SourceLogID", "Action"], max_id(existing, "LogID"), "LogID")
     return existing.select("LogID", *keys).unionByName(numbered.select("LogID", *keys))
 
 
 # S4 -------------------------------------------------------------------------
 def export_logs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Logs as JSON lines, ISO timestamps with milliseconds."""
+    """Logs as JSON lines, ISO timestamps with microseconds (nothing is cut off)."""
     (df.select("LogID", "UserID", "Action", "Timestamp")
-     .write.mode(mode).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS").json(path))
+     .write.mode(mode).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path))
 
 
 # S5 -------------------------------------------------------------------------

@@ -1,33 +1,46 @@
 """T4: the cart fold (D2) run incrementally with Structured Streaming.
 
-Each micro-batch of cart events is folded onto the cart state left by
-the previous batch with the same aggregate fold as the batch operator
-(``foreachBatch``).
-
-State layout: the cart lines are split into ``buckets`` by a hash of
-(UserID, ProductID).  Batch n rewrites only the buckets its events
-touch, under ``state/v=<n>/__b=<bucket>``, and writes a manifest
-``manifest/v=<n>`` that names, for every bucket, the version holding its
-latest lines.  Batch n always starts from manifest n-1, so a batch
-replayed after a failure rewrites the same version from the same input
-(idempotent); untouched buckets are never copied, so the cost of a batch
-follows the buckets it touches rather than the whole state.  The
+State.  What later events can still change is kept, not only the
+quantities: per (user, product) the last reset (set / remove / starting
+line) and the deltas after it, as event rows.  Folding the state gives the
+carts, and a new event meets every event it could concern, so the result
+does not depend on the order in which files arrive: it is that of the batch
+fold over all events.  ``lateness`` bounds the state: events older than the
+newest event seen less ``lateness`` are folded into one row per key, and
+such events that arrive after that go to the ``late`` table instead.
+Events of users without the User role go to ``rejects``.
+
+Layout.  State rows are split into ``buckets`` by a hash of (UserID,
+ProductID).  Batch n rewrites only the buckets its events touch, under
+``state/v=<n>/__b=<bucket>``, in as many tasks as the shuffle has partitions,
+and writes a manifest ``manifest/v=<n>`` that names, for every
+bucket, the version holding its latest rows.  Batch n always starts from
+manifest n-1, so a batch replayed after a failure rewrites the same version
+from the same input (idempotent).  The last manifest is found on storage,
+so a restart without new files returns the carts as they were left.  The
 manifest has one row per bucket, so reading it on the driver is bounded.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaar.operators.writes import KEYS, fold_cart_events
-from bazaar.sources.tables import CART_EVENTS, CART_ITEMS
+from bazaar.operators.writes import KEYS, NOT_A_SHOP_USER, event_position, fold_cart_events
+from bazaar.operators.users import users_with_role
+from bazaar.sources.tables import CART_EVENTS
 
-MANIFEST = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("path", T.StringType())])
+MANIFEST = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("path", T.StringType()),
+                         T.StructField("newest", T.TimestampType())])
+REASONED = T.StructType([*CART_EVENTS.fields, T.StructField("reason", T.StringType())])
+LATE = "late event"
 _BUCKET_DIR = re.compile(r"/__b=(\d+)/")
+_VERSION = re.compile(r"/v=(\d+)/?$")
 
 
 def _bucket(buckets: int):
@@ -38,78 +51,137 @@ def _version(root: str, kind: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/{kind}/v={batch_id:012d}"
 
 
-def read_manifest(spark: SparkSession, root: str, batch_id: int) -> dict[int, str]:
+def last_version(spark: SparkSession, root: str) -> int | None:
+    """Number of the last complete manifest on storage; None before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/manifest/v=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    names = [_VERSION.search(f.getPath().getParent().toString()) for f in (found or [])]
+    return max((int(m.group(1)) for m in names if m), default=None)
+
+
+def read_manifest(spark: SparkSession, root: str, batch_id: int) -> tuple[dict[int, str], dt.datetime | None]:
     rows = spark.read.schema(MANIFEST).parquet(_version(root, "manifest", batch_id)).collect()
-    return {r["bucket"]: r["path"] for r in rows}
+    return ({r["bucket"]: r["path"] for r in rows if r["bucket"] >= 0}, next((r["newest"] for r in rows if r["bucket"] < 0), None))
 
 
 def read_state(spark: SparkSession, manifest: dict[int, str], buckets: list[int] | None = None) -> DataFrame:
+    """State rows (events) of the given buckets."""
     paths = sorted({p for b, p in manifest.items() if p and (buckets is None or b in buckets)})
     if not paths:
-        return spark.createDataFrame([], CART_ITEMS)
-    return spark.read.schema(CART_ITEMS).parquet(*paths)
+        return spark.createDataFrame([], CART_EVENTS)
+    return spark.read.schema(CART_EVENTS).parquet(*paths)
+
+
+def read_carts(spark: SparkSession, root: str) -> DataFrame:
+    """The carts as the last complete batch left them."""
+    last = last_version(spark, root)
+    state = read_state(spark, {} if last is None else read_manifest(spark, root, last)[0])
+    return fold_cart_events(state).items
+
+
+def read_side(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """The ``rejects`` or ``late`` events of all complete batches."""
+    last = last_version(spark, root)
+    if last is None:
+        return spark.createDataFrame([], REASONED)
+    return spark.read.schema(REASONED).parquet(*[_version(root, kind, v) for v in range(last + 1)])
+
+
+def _prune(events: DataFrame) -> DataFrame:
+    """The last reset of every key and the events after it."""
+    ev = events.withColumn("__pos", event_position(F.col("ts"), F.col("event_id")))
+    reset = ev.filter(F.col("op") != "delta").groupBy(*KEYS).agg(F.max("__pos").alias("__reset"))
+    return (ev.join(reset, KEYS, "left").filter(F.col("__reset").isNull() | (F.col("__pos") >= F.col("__reset")))
+            .select(*[f.name for f in CART_EVENTS]))
+
+
+def _compact(events: DataFrame, before: dt.datetime) -> DataFrame:
+    """Events older than ``before`` as one ``base`` row per key, the others as they are."""
+    old = events.filter(F.col("ts") < F.lit(before))
+    last = old.groupBy(*KEYS).agg(F.max(F.struct("ts", "event_id")).alias("p"))
+    base = (fold_cart_events(old).items.join(last, KEYS, "inner")
+            .select("p.event_id", "p.ts", *KEYS, F.lit("base").alias("op"), F.col("Quantity").alias("qty")))
+    # a key whose old events leave no line still needs its place in time only for newer events, which come later anyway
+    return base.unionByName(events.filter(F.col("ts").isNull() | (F.col("ts") >= F.lit(before))))
 
 
 def make_batch_folder(root: str, user_roles: DataFrame | None = None, roles: DataFrame | None = None,
-                      initial: DataFrame | None = None, done: list | None = None, buckets: int = 16):
-    """The ``foreachBatch`` function: fold one micro-batch onto the state
-    (``done`` collects the batch ids written, on the driver)."""
+                      initial: DataFrame | None = None, buckets: int = 16, lateness: dt.timedelta | None = None):
+    """The ``foreachBatch`` function: fold one micro-batch onto the state."""
 
     def fold_batch(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
-        if batch_id == 0:
-            manifest: dict[int, str] = {}
-            start = initial
-        else:
-            manifest = read_manifest(spark, root, batch_id - 1)
-            start = None
-        ev = events.withColumn("__b", _bucket(buckets))
-        touched = sorted(r["__b"] for r in ev.select("__b").distinct().collect())   # at most `buckets`
-        if start is not None:
-            touched = sorted(set(touched) | {r["__b"] for r in start.select(_bucket(buckets).alias("__b"))
-                                             .distinct().collect()})
-        base = start if start is not None else read_state(spark, manifest, touched)
-        base = base.filter(_bucket(buckets).isin(touched))
-        folded = fold_cart_events(ev.drop("__b"), base=base, user_roles=user_roles, roles=roles).items
+        manifest, newest = ({}, None) if batch_id == 0 else read_manifest(spark, root, batch_id - 1)
+        ev = events.select(*[f.name for f in CART_EVENTS]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _fold(spark, ev, batch_id, manifest, newest)
+        finally:
+            ev.unpersist()
+
+    def _fold(spark: SparkSession, ev: DataFrame, batch_id: int, manifest: dict[int, str], newest: dt.datetime | None) -> None:
+        reasoned = [f.name for f in REASONED]
+        rejects = ev.limit(0).withColumn("reason", F.lit(None).cast("string"))
+        good = ev
+        if user_roles is not None and roles is not None:
+            shop_users = users_with_role(user_roles, roles, "User")
+            rejects = ev.join(shop_users, "UserID", "left_anti").withColumn("reason", F.lit(NOT_A_SHOP_USER))
+            good = ev.join(shop_users, "UserID", "left_semi").select(*ev.columns)
+        late = good.limit(0).withColumn("reason", F.lit(None).cast("string"))
+        closed = None if lateness is None or newest is None else newest - lateness
+        if closed is not None:
+            late = good.filter(F.col("ts") < F.lit(closed)).withColumn("reason", F.lit(LATE))
+            good = good.filter(F.col("ts").isNull() | (F.col("ts") >= F.lit(closed)))
+        rejects.select(*reasoned).write.mode("overwrite").parquet(_version(root, "rejects", batch_id))
+        late.select(*reasoned).write.mode("overwrite").parquet(_version(root, "late", batch_id))
+
+        if batch_id == 0 and initial is not None:
+            good = good.unionByName(initial.select(
+                F.lit(-(2 ** 63)).cast("long").alias("event_id"), F.lit(dt.datetime(1, 1, 1)).cast("timestamp").alias("ts"), *KEYS,
+                F.lit("base").alias("op"), F.col("Quantity").cast("int").alias("qty")))
+        touched = sorted(r["__b"] for r in good.select(_bucket(buckets).alias("__b")).distinct().collect())   # at most `buckets`
+        # only a bounded lateness needs the newest time: one scalar
+        top = good.agg(F.max("ts").alias("m")).first()["m"]
+        newest = max((t for t in (newest, top) if t is not None), default=None)
+        state = _prune(good.unionByName(read_state(spark, manifest, touched)))
+        if lateness is not None and newest is not None:
+            state = _compact(state, newest - lateness)
         out = _version(root, "state", batch_id)
-        # One file per touched bucket: state has one row per key, so a
-        # bucket cannot be skewed by a hot key.
-        (folded.withColumn("__b", _bucket(buckets)).repartition(len(touched) or 1, "__b")
+        # As many tasks as the shuffle has partitions: a bucket is split over several files when there are fewer buckets.
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(touched) or 1)
+        split = F.pmod(F.hash(*KEYS), F.lit(-(-tasks // (len(touched) or 1))))
+        (state.withColumn("__b", _bucket(buckets)).repartition(tasks, "__b", split)
          .write.mode("overwrite").partitionBy("__b").parquet(out))
         written = {}
-        for f in spark.read.schema(CART_ITEMS).parquet(out).inputFiles():
+        for f in spark.read.schema(CART_EVENTS).parquet(out).inputFiles():
             m = _BUCKET_DIR.search(f)
             if m:
                 written[int(m.group(1))] = f"{out}/__b={m.group(1)}"
         for b in touched:
             manifest[b] = written.get(b)          # None: the bucket became empty
-        rows = [(b, p) for b, p in sorted(manifest.items())]
+        rows = [(b, p, None) for b, p in sorted(manifest.items())] + [(-1, None, newest)]
         spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(
             _version(root, "manifest", batch_id))
-        if done is not None:
-            done.append(batch_id)
 
     return fold_batch
 
 
 def run_cart_stream(spark: SparkSession, source_dir: str, root: str, user_roles: DataFrame | None = None,
                     roles: DataFrame | None = None, max_files_per_trigger: int | None = 1,
-                    initial: DataFrame | None = None, buckets: int = 16) -> DataFrame:
-    """Fold every cart-event parquet file under ``source_dir`` (in file
-    order, ``max_files_per_trigger`` files per micro-batch) and return
-    the final cart state."""
+                    initial: DataFrame | None = None, buckets: int = 16, lateness: dt.timedelta | None = None) -> DataFrame:
+    """Fold every new cart-event parquet file under ``source_dir``
+    (``max_files_per_trigger`` files per micro-batch) and return the carts.
+    Run again later, it goes on where it stopped."""
     reader = spark.readStream.schema(CART_EVENTS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    done: list[int] = []
     q = (reader.parquet(source_dir).writeStream
-         .foreachBatch(make_batch_folder(root, user_roles, roles, initial, done, buckets))
+         .foreachBatch(make_batch_folder(root, user_roles, roles, initial, buckets, lateness))
          .option("checkpointLocation", f"{root.rstrip('/')}/checkpoint")
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    if not done:
-        return initial if initial is not None else spark.createDataFrame([], CART_ITEMS)
-    return read_state(spark, read_manifest(spark, root, max(done)))
+    if last_version(spark, root) is None and initial is not None:
+        return initial.select(*KEYS, "Quantity")
+    return read_carts(spark, root)

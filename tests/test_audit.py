@@ -111,8 +111,85 @@ def test_cart_stream_rewrites_only_touched_buckets(spark):
     spark.createDataFrame(first, Tb.CART_EVENTS).coalesce(1).write.mode("append").parquet(f"{root}/src")
     spark.createDataFrame(second, Tb.CART_EVENTS).coalesce(1).write.mode("append").parquet(f"{root}/src")
     state = CS.run_cart_stream(spark, f"{root}/src", root, buckets=8)
-    m0, m1 = CS.read_manifest(spark, root, 0), CS.read_manifest(spark, root, 1)
+    m0, m1 = CS.read_manifest(spark, root, 0)[0], CS.read_manifest(spark, root, 1)[0]
     changed = [b for b in m1 if m1[b] != m0.get(b)]
     assert len(changed) == 1 and "/v=000000000001/" in m1[changed[0]]
     batch = W.fold_cart_events(spark.createDataFrame(first + second, Tb.CART_EVENTS)).items
     assert rows(state) == rows(batch) and (1, 1, 6) in rows(state)
+
+
+def cart_events(n, seed):
+    import random
+    rnd = random.Random(seed)
+    t0 = dt.datetime(2024, 1, 1)
+    return [(i, t0 + dt.timedelta(minutes=i), rnd.randint(1, 4), rnd.randint(1, 5), op, rnd.randint(-1, 3) if op != "remove" else None)
+            for i, op in ((i, rnd.choice(["delta", "delta", "set", "remove"])) for i in range(n))]
+
+
+def put(spark, root, events):
+    spark.createDataFrame(events, Tb.CART_EVENTS).coalesce(1).write.mode("append").parquet(f"{root}/src")
+
+
+def test_cart_stream_in_any_order_and_after_a_restart_equals_batch(spark):
+    import random
+    ev = cart_events(400, 11)
+    mixed = list(ev)
+    random.Random(1).shuffle(mixed)
+    root = AS.stream_root(spark, "test-cart-mixed")
+    put(spark, root, mixed[:100])
+    put(spark, root, mixed[100:250])
+    first = rows(CS.run_cart_stream(spark, f"{root}/src", root, buckets=4))
+    assert first == rows(W.fold_cart_events(spark.createDataFrame(mixed[:250], Tb.CART_EVENTS)).items)
+    assert rows(CS.run_cart_stream(spark, f"{root}/src", root, buckets=4)) == first      # restart without new files
+    put(spark, root, mixed[250:])
+    last = rows(CS.run_cart_stream(spark, f"{root}/src", root, buckets=4))
+    assert last == rows(W.fold_cart_events(spark.createDataFrame(ev, Tb.CART_EVENTS)).items)
+
+
+def test_cart_stream_late_and_rejected_events(spark):
+    from shopfix import small_shop
+    shop = small_shop(spark)
+    ev = [(i, t, u if u < 4 else 12, p, op, q) for i, t, u, p, op, q in cart_events(300, 5)]
+    ev = [(i, t, 10 if u < 3 else 11 if u == 3 else 12, p, op, q) for i, t, u, p, op, q in ev]
+    root = AS.stream_root(spark, "test-cart-late")
+    newer, older = ev[150:], ev[:150]
+    slack = dt.timedelta(minutes=200)
+    gate = dict(user_roles=shop.user_roles, roles=shop.roles, lateness=slack, buckets=4)
+    put(spark, root, newer)
+    CS.run_cart_stream(spark, f"{root}/src", root, **gate)
+    put(spark, root, older)
+    got = rows(CS.run_cart_stream(spark, f"{root}/src", root, **gate))
+    closed = max(t for _, t, u, *_ in newer if u != 12) - slack
+    late = [e for e in older if e[1] < closed and e[2] != 12]
+    assert late and rows(CS.read_side(spark, root, "late"), "event_id") == [(e[0],) for e in late]
+    assert rows(CS.read_side(spark, root, "rejects"), "event_id") == [(e[0],) for e in ev if e[2] == 12]
+    kept = [e for e in ev if e[2] != 12 and e not in late]
+    assert got == rows(W.fold_cart_events(spark.createDataFrame(kept, Tb.CART_EVENTS)).items)
+
+
+def test_cart_stream_starts_from_initial_carts(spark):
+    root = AS.stream_root(spark, "test-cart-initial")
+    start = spark.createDataFrame([(1, 1, 4), (2, 1, -1)], Tb.CART_ITEMS)
+    spark.createDataFrame([], Tb.CART_EVENTS).write.parquet(f"{root}/src")
+    put(spark, root, [(1, dt.datetime(2024, 1, 1), 1, 1, "delta", 2)])
+    assert rows(CS.run_cart_stream(spark, f"{root}/src", root, initial=start, max_files_per_trigger=None)) == [(1, 1, 6), (2, 1, -1)]
+    assert rows(CS.run_cart_stream(spark, f"{root}/src", root, initial=start)) == [(1, 1, 6), (2, 1, -1)]
+
+
+def test_log_import_knows_null_texts_and_keeps_microseconds(spark):
+    at = dt.datetime(2024, 1, 1, 1, 2, 3, 123456)
+    log = spark.createDataFrame([(1, 7, None, at), (2, 7, "x", at)], Tb.LOGS)
+    path = AS.stream_root(spark, "test-log") + "/logs"
+    J.export_logs(log, path)
+    back = J.read_logs_json(spark, path, multi_line=False)
+    assert rows(back, "Timestamp") == [(at,), (at,)]
+    assert J.import_logs(log, back, dedup=True).count() == 2
+    assert rows(J.import_logs(log, back), "LogID") == [(1,), (2,), (3,), (4,)]
+
+
+def test_the_log_is_for_admins(spark):
+    from shopfix import small_shop
+    shop = small_shop(spark)
+    log = spark.createDataFrame([(1, 7, "x", AS_OF)], Tb.LOGS)
+    assert A.logs(log, shop.user_roles, shop.roles, 11).count() == 1 and A.logs(log).count() == 1
+    assert A.logs(log, shop.user_roles, shop.roles, 10).count() == 0 == A.logs(log, shop.user_roles, shop.roles, None).count()

@@ -99,3 +99,23 @@ def test_sum_line_totals_equals_decimal_sum(spark):
     for k, q, p in data:
         want[k] = want.get(k, D(0)) + q * p
     assert got == want and all(v.as_tuple().exponent == -2 for v in got.values())
+
+
+def test_search_backslash_and_character_classes(spark):
+    from bazaar.functions.exprs import keyword_match
+    names = ["a\\b", "xa\\", "cat", "cot", "cut", "c[t", "100% wool", "snake_case"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+
+    def hits(kw, **how):
+        return sorted(r.name for r in df.filter(keyword_match(["name"], kw, **how)).collect())
+    assert hits("a\\b") == ["a\\b"] and hits("a\\") == ["a\\b", "xa\\"]
+    assert hits("C[ao]T") == ["cat", "cot"] and hits("c[a-o]t") == ["cat", "cot"] and hits("c[^a]t") == ["c[t", "cot", "cut"]
+    assert hits("c[t") == [] and hits("c[[]t") == ["c[t"] and hits("c[ou]%") == ["cot", "cut"]
+    assert hits("c[t", escape=True) == ["c[t"] and hits("100%", escape=True) == ["100% wool"] and hits("e_c", escape=True) == ["snake_case"]
+    assert hits("c_t") == ["c[t", "cat", "cot", "cut"]
+
+
+def test_numbers_without_type_suffixes(spark):
+    from bazaar.functions.exprs import to_number
+    df = spark.createDataFrame([("1.5d",), ("1.5",), (" 2e3 ",), ("0x10",), ("7f",), (".5",), ("5.",), ("-1",), ("NaN",), ("",), (None,)], "v string")
+    assert [r.n for r in df.select(to_number("v").alias("n")).collect()] == [None, 1.5, 2000.0, None, None, 0.5, 5.0, -1.0, None, None, None]

@@ -219,7 +219,7 @@ def test_checkout_prefix_never_oversells(spark):
                       user_roles=[(10, 2), (11, 2)])
     req = spark.createDataFrame([(10, None, AS_OF), (11, None, AS_OF + dt.timedelta(seconds=1))],
                                 "UserID long, PromoID long, request_ts timestamp")
-    snap = K.checkout(shop, req, AS_OF)
+    snap = K.checkout(shop, req, AS_OF, stock="snapshot")
     assert snap.orders.count() == 2 and rows(snap.oversold, "ProductID", "Sold") == [(1, 6)]
     pre = K.checkout(shop, req, AS_OF, stock="prefix")
     assert rows(pre.orders, "UserID") == [(10,)]
