@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bazaar.operators.orders import lines_of
 from bazaar.operators.joins import lookup, unwind
 from bazaar.sources.tables import Shop
 
@@ -31,17 +32,22 @@ def _orders(shop: Shop, user_id=None, order_id=None) -> DataFrame:
 
 # N1 -------------------------------------------------------------------------
 def orders_nested(shop: Shop, user_id=None, split_docs: int | None = None) -> DataFrame:
-    """Each order with its ``items`` array; an order with no line keeps []."""
-    return lookup(_orders(shop, user_id), shop.order_items, "OrderID", "OrderID", "items",
-                  fields=ITEM_FIELDS, split_docs=split_docs)
+    """Each order with its ``items`` array; an order with no line keeps [].
+    For one user only the lines of the user's orders are grouped."""
+    orders = _orders(shop, user_id)
+    lines = shop.order_items if user_id is None else lines_of(shop.order_items, orders)
+    return lookup(orders, lines, "OrderID", "OrderID", "items", fields=ITEM_FIELDS, split_docs=split_docs)
 
 
 # N2 -------------------------------------------------------------------------
 def order_document(shop: Shop, user_id=None, order_id=None) -> DataFrame:
-    """N1 plus ``products``: each product named by any item, once."""
+    """N1 plus ``products``: each product named by any item, once.  For one
+    user or order only the lines of those orders are grouped."""
     orders = _orders(shop, user_id, order_id)
-    with_items = lookup(orders, shop.order_items, "OrderID", "OrderID", "items", fields=ITEM_FIELDS)
-    lines = shop.order_items.join(orders.select("OrderID"), "OrderID", "left_semi")
+    lines = lines_of(shop.order_items, orders) if user_id is not None or order_id is not None else \
+        shop.order_items.join(orders.select("OrderID"), "OrderID", "left_semi")
+    items = shop.order_items if user_id is None and order_id is None else lines
+    with_items = lookup(orders, items, "OrderID", "OrderID", "items", fields=ITEM_FIELDS)
     named = (lines.select("OrderID", "ProductID").distinct()
              .join(shop.products.select(*PRODUCT_FIELDS), "ProductID", "inner"))
     return lookup(with_items, named, "OrderID", "OrderID", "products", fields=PRODUCT_FIELDS)

@@ -22,6 +22,13 @@ def _user_filter(df: DataFrame, user_id) -> DataFrame:
     return df if user_id is None else df.filter(F.col("UserID") == F.lit(user_id))
 
 
+def lines_of(order_items: DataFrame, orders: DataFrame) -> DataFrame:
+    """The lines of the given orders: a semi join with their ids, broadcast
+    when a count proves them few, so the lines are filtered where they are read."""
+    ids = checked_broadcast(orders.select("OrderID"))
+    return order_items.join(ids, "OrderID", "left_semi").select(*order_items.columns)
+
+
 # A1 -------------------------------------------------------------------------
 def top_products(shop: Shop, n: int = 100) -> DataFrame:
     """Best sellers: quantity and revenue per product, top ``n`` by quantity.
@@ -67,13 +74,14 @@ def order_totals(shop: Shop, user_id=None, gate: bool = True) -> DataFrame:
     """TotalPrice and status per order; orders without lines drop out.
 
     Lines are summed per OrderID before the join to Orders (a unique
-    key), so the join never multiplies rows.
+    key), so the join never multiplies rows.  For one user the lines are
+    cut down to the user's orders first, so only those are aggregated.
     """
     orders = _user_filter(shop.orders.select("OrderID", "UserID", "StatusID"), user_id)
     if gate:
         orders = role_gate(orders, shop.user_roles, shop.roles, "User")
-    totals = (shop.order_items.groupBy("OrderID")
-              .agg(sum_line_totals("Quantity", "UnitPrice").alias("TotalPrice")))
+    lines = shop.order_items if user_id is None else lines_of(shop.order_items, orders)
+    totals = lines.groupBy("OrderID").agg(sum_line_totals("Quantity", "UnitPrice").alias("TotalPrice"))
     return (orders.join(totals, "OrderID", "inner")
             .join(shop.order_statuses.select("StatusID", "DisplayName"), "StatusID")
             .select("UserID", "OrderID", "TotalPrice", "DisplayName"))

@@ -72,3 +72,44 @@ def test_fold_exact_with_one_hot_key(spark):
     from test_writes import brute_fold
     got = rows(W.fold_cart_events(spark.createDataFrame(ev, Tb.CART_EVENTS)).items)
     assert got == brute_fold(ev)
+
+
+def test_fold_is_a_hash_aggregate(plans):
+    assert "SortAggregate" not in plans["fold_cart_events"]
+
+
+def test_a_users_orders_filter_the_lines_before_they_are_grouped(spark):
+    from bazaar.operators.orders import order_totals
+    plan = executed_plan(order_totals(Tb.load_shop(spark, SF), user_id=7))
+    assert "LeftSemi" in plan and "BroadcastHashJoin [OrderID" in plan or "BroadcastHashJoin [l_orderkey" in plan
+
+
+def test_deletes_do_not_shuffle_raw_rows_on_hot_keys(spark):
+    shop = Tb.load_shop(spark, SF)
+    ids = shop.products.select("ProductID")
+    rejects = executed_plan(W.delete_products(shop.products, ids, shop.favorites, shop.favorites, shop.order_items).rejects)
+    # the order lines reach their exchange as a partial aggregate
+    assert rejects.count("HashAggregate(keys=[l_partkey") >= 2 or rejects.count("HashAggregate(keys=[ProductID") >= 2
+    promos = shop.promocodes.select("PromoID").filter("PromoID < 4")
+    orders = executed_plan(W.delete_promocodes(shop.promocodes, shop.orders, promos).tables["orders"])
+    assert "LeftOuter, BuildRight" in orders and "SortMergeJoin" not in orders
+
+
+def test_categories_are_read_again_after_another_writer(spark, tmp_path):
+    from bazaar.operators.joins import checked_broadcast
+    path = str(tmp_path / "categories")
+    spark.createDataFrame([(1, "a")], Tb.CATEGORIES).coalesce(1).write.parquet(path)
+    assert checked_broadcast(spark.read.parquet(path)).count() == 1
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    pq.write_table(pa.table({"CategoryID": [2, 3], "CategoryName": ["b", "c"]}), f"{path}/other-writer.parquet")
+    assert checked_broadcast(spark.read.parquet(path)).count() == 3
+
+
+def test_a_side_over_the_bound_is_neither_cached_nor_hinted(spark):
+    from bazaar.operators.joins import checked_broadcast
+    df = spark.range(50)
+    out = checked_broadcast(df, max_rows=10)
+    assert out is df and not df.is_cached and not df.storageLevel.useMemory
+    small = checked_broadcast(df, max_rows=50)
+    assert not df.is_cached and not small.is_cached
