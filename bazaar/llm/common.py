@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,9 +66,17 @@ def free_shuffles(spark: SparkSession) -> None:
 
     Its cleaner works on garbage-collected references, which on an idle
     driver may take long; called between phases that each move the corpus.
+    Two rounds: the first frees the gateway's references (which it lets go
+    of in the background), the second what they held.  Not needed in local
+    mode, where one machine holds everything anyway.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if spark.sparkContext.master.startswith("local["):
+        return
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def crc_bucket(key: Column, n: int) -> Column:
