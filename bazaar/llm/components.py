@@ -25,11 +25,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     spark = edges.sparkSession
     e = (edges.select(F.greatest(F.col(src), F.col(dst)).alias("u"), F.least(F.col(src), F.col(dst)).alias("v"))
          .where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct())
-    before = scratch_mark(spark)
-    loops = None
     cur = cut(e, "cc")
     loops = cur.where("u = v")
-    first = scratch_since(spark, before)
     star = cur.where("u != v")
     state = _signature(star)
     previous: list[str] = []
@@ -46,7 +43,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     linked = star.select(F.col("u").alias("node"), F.col("v").alias("component"))
     nodes = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
     alone = loops.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    del first  # kept: the self loops are read from it
     return nodes.unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
 
 

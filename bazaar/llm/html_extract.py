@@ -23,8 +23,9 @@ NEVER_TEXT = frozenset("script style noscript template head title iframe object
 BOILERPLATE = frozenset("nav footer aside form menu dialog search".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 BOILERPLATE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies disqus footer foot header masthead menu modal nav navbar navigation newsletter notice notices notification popup "
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent "
+    "cookie cookies disqus footer foot gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification "
+    "pager pagination popup topbar "
     "promo promotion promoted related recommended reply replies respond share sharing sidebar sidebars social sponsor sponsored "
     "subscribe subscription toolbar widget".split())
 IMPLIED_END = {  # start tag -> open elements that it ends, within the element named last
@@ -114,7 +115,7 @@ def parse(html: str) -> Node:
 
 
 def _named_boilerplate(node: Node) -> bool:
-    if node.tag in ("html", "body", "article", "main"):
+    if node.tag in ("html", "body", "article", "main") or node.tag in HEADINGS:
         return False
     if node.attrs.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in node.attrs:
         return True
@@ -127,6 +128,12 @@ def _named_boilerplate(node: Node) -> bool:
     return False
 
 
+def _header_like(node: Node) -> bool:
+    """A header element or class: inside an article it may hold the title."""
+    names = (node.attrs.get("class", "") + " " + node.attrs.get("id", "")).lower()
+    return node.tag == "header" or "header" in re.findall("[a-z]+", names)
+
+
 def _order(root: Node) -> list[Node]:
     """Nodes with parents before children (no recursion: pages can nest deeply)."""
     out, stack = [], [root]
@@ -149,7 +156,7 @@ def measure(root: Node) -> list[Node]:
         parent = node.parent
         inside = parent is not None and parent.skip
         heading = node.tag in HEADINGS
-        node.skip = inside and not (heading and parent.tag == "header" and _in_article(parent)) or (
+        node.skip = inside and not (heading and _header_like(parent) and _in_article(parent)) or (
             node.tag in NEVER_TEXT or node.tag in BOILERPLATE or node.tag == "header" or _named_boilerplate(node))
         node.chars = node.tags = node.link_chars = node.link_tags = 0
     for node in reversed(nodes):
@@ -254,7 +261,7 @@ def blocks(node: Node) -> list[str]:
             flush()
             continue
         if x.skip:
-            if x.tag == "header":
+            if _header_like(x) and _in_article(x):
                 kept = [c for c in _order(x) if c.tag in HEADINGS and not c.skip]
                 stack.extend(("open", c) for c in reversed(kept))
             continue

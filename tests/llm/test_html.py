@@ -39,3 +39,11 @@ def test_query_shape(spark):
                                "page_id long, url string, html string")
     rows = {r.page_id: r for r in df.select("page_id", H.main_text(df.html).alias("text")).collect()}
     assert rows[1].text == WANT and rows[2].text == "" and rows[None].text == ""
+
+
+def test_titles_in_article_headers_and_unnamed_layouts():
+    body = "<p>" + "plain words of the article go on and on " * 6 + "</p>"
+    want = "Title\n" + ("plain words of the article go on and on " * 6).strip()
+    for head in ("<header><h1>Title</h1><span>By me, today</span></header>", "<div class='post-header'><h1>Title</h1><i>today</i></div>",
+                 "<h1 class=header>Title</h1>"):
+        assert H.extract(f"<body><article>{head}{body}<ul class=commentlist><li>a comment</li></ul></article></body>") == want, head
