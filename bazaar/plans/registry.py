@@ -319,14 +319,14 @@ def _outputs(res):
     return res
 
 
-def _positive_carts(shop) -> DataFrame:
+def positive_carts(shop) -> DataFrame:
     """Carts without lines of zero or less, so that stock decides."""
     return shop.cart_items.filter(F.col("Quantity") > 0)
 
 
 def _checkout(spark, d, **how):
     shop = load_shop(spark, d)
-    return _outputs(K.checkout(shop, checkout_requests(shop), AS_OF, cart=_positive_carts(shop), **how))
+    return _outputs(K.checkout(shop, checkout_requests(shop), AS_OF, cart=positive_carts(shop), **how))
 
 
 def _checkout_whole_carts(spark, d):
@@ -338,7 +338,7 @@ def _checkout_repeats(spark, d):
     """One request per cart event: all but the first of a user are repeats."""
     shop = load_shop(spark, d)
     req = shop.cart_events.select("UserID", (F.col("event_id") % 3).alias("PromoID"), F.date_trunc("day", "ts").alias("request_ts"))
-    return _outputs(K.checkout(shop, req, AS_OF, cart=_positive_carts(shop)))
+    return _outputs(K.checkout(shop, req, AS_OF, cart=positive_carts(shop)))
 
 
 def _checkout_simple(spark, d):

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from bazaar.operators import checkout as K
 from bazaar.operators import writes as W
-from bazaar.sources import tables as Tb
 from conftest import AS_OF, rows
 from shopfix import small_shop
 
