@@ -38,9 +38,8 @@ def main() -> None:
     spark = build_session(shuffle_partitions=16)
     print(f"# Executed plans at {os.path.basename(args.sf_dir)} (local[8], 16 shuffle partitions, AQE)\n")
     print("AQE final plans as recorded after each query ran; `python tools/show_plans.py` regenerates "
-          "this file.  Below an `InMemoryRelation` (the Categories dimension, persisted by its size "
-          "check) the cached plan is elided; it is a distinct over `part.p_type` (partial aggregate, "
-          "one shuffle) numbered by a window over the distinct names.\n")
+          "this file.  Categories are a distinct over `part.p_type` (partial aggregate, one shuffle) "
+          "numbered by a window over the distinct names.\n")
     for name in HEADLINE:
         df = QUERIES[name](spark, args.sf_dir)
         df.collect()  # runs this DataFrame's own plan, so AQE's final plan is recorded
