@@ -69,3 +69,46 @@ def test_odd_rows_and_clashing_names(spark):
                           (6, "é\nab", 4, 2)], key=str)
     assert out.columns == df.columns[:-1] + ["n_lines", "n_kept"]
     assert L.dedup_lines(docs(spark, [])).count() == 0
+
+
+def edited(rng, line, where):
+    at = {"first": 0, "any": rng.randrange(len(line))}.get(where)
+    return "* " + line if where == "front" else line[:at] + rng.choice("qrstuvwxyz") + line[at + 1:]
+
+
+def test_edited_short_lines_and_lines_without_spaces_are_found(spark):
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    pairs = []
+    for where in ("first", "any", "front"):
+        for spaces in (True, False):
+            while len(pairs) % 250 or not pairs or pairs[-1][2:] != (where, spaces):
+                n = rng.randrange(13, 61)
+                a = letters(n)
+                if spaces:
+                    a = "".join(" " if i % 7 == 6 and i < n - 1 else c for i, c in enumerate(a))
+                b = edited(rng, a, where)
+                if a != b and len(sh(a) & sh(b)) >= 0.8 * len(sh(a) | sh(b)):
+                    pairs.append((a, b, where, spaces))
+    rows = [(2 * i + j, ln) for i, p in enumerate(pairs) for j, ln in enumerate(p[:2])]
+    kept = {r.doc_id for r in L.dedup_lines(docs(spark, rows)).collect() if r.n_kept}
+    found = [2 * i + 1 not in kept for i in range(len(pairs))]
+    assert all(2 * i in kept for i in range(len(pairs)))
+    for lo in range(0, len(pairs), 250):
+        assert sum(found[lo:lo + 250]) >= 247, (pairs[lo][2:], sum(found[lo:lo + 250]))
+
+
+def test_pairs_at_the_threshold_are_found_at_any_length(spark):
+    rng = random.Random(9)
+    pairs = []
+    while len(pairs) < 400:
+        a = list("".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randrange(60, 900))).strip())
+        b = list(a)
+        for _ in range(max(1, len(a) // 50)):
+            b[rng.randrange(len(b))] = rng.choice("qrstuvwxyz")
+        a, b = "".join(a), "".join(b)
+        if a != b and 0.8 <= len(sh(a) & sh(b)) / len(sh(a) | sh(b)) < 0.9:
+            pairs.append((a, b))
+    rows = [(2 * i + j, ln) for i, p in enumerate(pairs) for j, ln in enumerate(p)]
+    kept = {r.doc_id for r in L.dedup_lines(docs(spark, rows)).collect() if r.n_kept}
+    assert sum(2 * i + 1 not in kept for i in range(len(pairs))) >= 390
