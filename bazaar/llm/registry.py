@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, lm_score, packing, quality, simhash, toxicity
+from bazaar.llm import (
+    decontam,
+    embed_dedup,
+    html_extract,
+    license_scan,
+    line_dedup,
+    lm_score,
+    packing,
+    quality,
+    resample,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from bazaar.llm.common import table
 from bazaar.session import ensure_checkpoint_dir
 
@@ -56,6 +69,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards ``benchmark`` by word gains and Gumbel noise; every row with its score."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Rules of ``op13_url_filters`` (fixed by its contract): (verdict, host/path).
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+#: Registrants of the page tables sit under these.
+URL_SUFFIXES = (*url_filter.SUFFIXES, "example.com", "example.net", "example.org")
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, else host reputation; a page is bad where the label of its id says low quality or toxic."""
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES, suffixes=URL_SUFFIXES)
+
+
 def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
@@ -67,7 +99,9 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _prepared(f) for f in (op1_toxicity, op2_html_extraction, op3_lm_scoring, op4_simhash, op5_line_dedup, op6_quality, op7_best_fit_packing, op8_license_scan, op9_embedding_dedup, op10_decontamination)
+    f.__name__: _prepared(f) for f in (
+        op1_toxicity, op2_html_extraction, op3_lm_scoring, op4_simhash, op5_line_dedup, op6_quality, op7_best_fit_packing,
+        op8_license_scan, op9_embedding_dedup, op10_decontamination, op11_importance_resampling, op13_url_filters)
 }
 
 _LM_SQL = r"""
@@ -95,4 +129,67 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_tokens, round(coalesce(r.score, 0.0), 3)
 FROM d LEFT JOIN r USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_lm_scoring": _LM_SQL}
+#: crc32 in SQL: the 256-entry table by its rule, then a fold over the bytes of ``{text}`` (``crc`` holds the table).
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"""
+_CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, 1 + octet_length(encode({text}))),
+         lambda i: ('0x' || substr(hex(encode({text})), (2 * i - 1)::INT, 2))::BIGINT),
+         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+_RESAMPLE_SQL = r"""
+WITH crc AS MATERIALIZED (""" + _CRC_TABLE + r"""),
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+             list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+o AS MATERIALIZED (SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest(ws) AS w FROM d) GROUP BY rid, w),
+x AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY w),
+k AS MATERIALIZED (SELECT w, (""" + _CRC.format(text="w") + r""" % 10000) AS bucket FROM (SELECT w FROM o UNION SELECT w FROM x), crc),
+sb AS (SELECT bucket, sum(n) AS n FROM o JOIN k USING (w) GROUP BY bucket),
+tb AS (SELECT bucket, sum(n) AS n FROM x JOIN k USING (w) GROUP BY bucket),
+g AS (SELECT r.bucket, floor(1000 * ln(((coalesce(tb.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM sb)::DOUBLE + 10000))
+                                       / ((coalesce(sb.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM tb)::DOUBLE + 10000))))::BIGINT AS gain
+      FROM (SELECT unnest(range(10000)) AS bucket) r LEFT JOIN sb USING (bucket) LEFT JOIN tb USING (bucket)),
+w AS (SELECT rid, sum(o.n * gain)::BIGINT AS weight FROM o JOIN k USING (w) JOIN g USING (bucket) GROUP BY rid),
+s AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)::DOUBLE
+                                                        / 4294967296)))::BIGINT AS score
+      FROM d LEFT JOIN w USING (rid)),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS place,
+             (SELECT count(*) FROM s WHERE n_features >= 20) * 10 // 100 AS drawn FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM p
+"""
+
+_URL_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT row_number() OVER () AS rid, page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+             translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+named AS (SELECT *, CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') THEN host ELSE regexp_extract(host, '(?:^|\.)(__S__)$', 1) END AS suffix,
+                 CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') OR regexp_extract(host, '(?:^|\.)([^.]*\.(?:__S__))$', 1) = '' THEN host
+                      ELSE regexp_extract(host, '(?:^|\.)([^.]*\.(?:__S__))$', 1) END AS domain FROM p),
+o AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM named JOIN o ON doc_id = page_id
+      WHERE host <> '' AND bad IS NOT NULL GROUP BY ALL),
+a AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS p FROM h),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(a.p) AS p FROM h, a GROUP BY suffix),
+sm AS (SELECT 1 / least(greatest(coalesce(sum((bad - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 0.5), 0.0001::DOUBLE), 0.5::DOUBLE) - 1 AS m FROM s),
+sp AS (SELECT suffix, (bad + m * p) / (n + m) AS mean FROM s, sm),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS p FROM h JOIN sp USING (suffix) GROUP BY domain, suffix),
+dm AS (SELECT 1 / least(greatest(coalesce(sum((bad - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 0.5), 0.0001::DOUBLE), 0.5::DOUBLE) - 1 AS m FROM d),
+dp AS (SELECT domain, (bad + m * p) / (n + m) AS mean FROM d, dm),
+hh AS (SELECT host, n, bad, mean AS p FROM h JOIN dp USING (domain)),
+hm AS (SELECT 1 / least(greatest(coalesce(sum((bad - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 0.5), 0.0001::DOUBLE), 0.5::DOUBLE) - 1 AS m FROM hh),
+hp AS (SELECT host, n, (bad + m * p) / (n + m) AS mean FROM hh, hm),
+j AS (SELECT named.*, hm.m, coalesce(hp.n, 0.0) AS n, coalesce(hp.mean, dp.mean, sp.mean, a.p) AS mean
+      FROM named CROSS JOIN hm CROSS JOIN a LEFT JOIN hp USING (host) LEFT JOIN dp USING (domain) LEFT JOIN sp USING (suffix)),
+rules(verdict, host, path) AS (VALUES __R__),
+r AS (SELECT rid, arg_max(rules.host || rules.path, length(rules.host || rules.path)) AS rule,
+             arg_max(verdict, length(rules.host || rules.path)) AS verdict
+      FROM p JOIN rules ON (p.host = rules.host OR suffix(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path) GROUP BY rid)
+SELECT page_id, host, path, r.rule, coalesce(r.verdict, CASE WHEN host <> '' AND mean - 1.645 * sqrt(mean * (1 - mean) / (n + m + 1)) > 0.2
+       THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN r USING (rid)
+""".replace("__S__", "|".join(s.replace(".", r"\.") for s in URL_SUFFIXES) + "|[^.]*").replace(
+    "__R__", ", ".join(f"('{v}', '{r[:r.index('/')]}', '{r[r.index('/'):]}')" for v, r in URL_RULES))
+
+ORACLE_SQL: dict[str, str] = {"op3_lm_scoring": _LM_SQL, "op11_importance_resampling": _RESAMPLE_SQL, "op13_url_filters": _URL_SQL}
