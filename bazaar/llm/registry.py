@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.llm import (
+    conv_repair,
     decontam,
     embed_dedup,
     html_extract,
@@ -74,6 +75,19 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations: counts of faults, cheapest edits (audit) and the hash of the repaired text, per conv_id."""
+    conversations = table(spark, sf_dir, "conversations")
+    fixed = conv_repair.repair(conv_repair.damage(conversations))
+    hashes = conv_repair.repaired_hashes(fixed.rows).withColumnRenamed("conv", "h")
+    ids = conversations.select("conv_id").distinct()
+    out = (ids.join(fixed.summary, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+           .join(hashes, F.col("conv_id").eqNullSafe(F.col("h")) & F.col("audit").isNotNull(), "left"))
+    longs = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in longs], F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 #: Rules of ``op13_url_filters`` (fixed by its contract): (verdict, host/path).
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -101,7 +115,8 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _prepared(f) for f in (
         op1_toxicity, op2_html_extraction, op3_lm_scoring, op4_simhash, op5_line_dedup, op6_quality, op7_best_fit_packing,
-        op8_license_scan, op9_embedding_dedup, op10_decontamination, op11_importance_resampling, op13_url_filters)
+        op8_license_scan, op9_embedding_dedup, op10_decontamination, op11_importance_resampling, op12_conversation_repair,
+        op13_url_filters)
 }
 
 _LM_SQL = r"""
@@ -192,4 +207,65 @@ SELECT page_id, host, path, r.rule, coalesce(r.verdict, CASE WHEN host <> '' AND
 """.replace("__S__", "|".join(s.replace(".", r"\.") for s in URL_SUFFIXES) + "|[^.]*").replace(
     "__R__", ", ".join(f"('{v}', '{r[:r.index('/')]}', '{r[r.index('/'):]}')" for v, r in URL_RULES))
 
-ORACLE_SQL: dict[str, str] = {"op3_lm_scoring": _LM_SQL, "op11_importance_resampling": _RESAMPLE_SQL, "op13_url_filters": _URL_SQL}
+#: Repair in SQL: each conversation is walked from its last row to its first, carrying for each of the four states of the
+#: pattern (nothing yet, after s, after u, after a) the cheapest rest as (cost, letters, text); structs compare in that order.
+_REPAIR_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (""" + _CRC_TABLE + r"""),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+c AS (SELECT k.*, """ + _CRC.format(text="key") + r""" % 20 AS kind FROM k, crc),
+m AS (SELECT conv_id AS conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER w AS pos, substr(role, 1, 1) AS z, lag(substr(role, 1, 1)) OVER w AS zb,
+             row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) AS seen
+      FROM m WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+f AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+s AS MATERIALIZED (
+  SELECT conv, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (zb IS NOT NULL AND zb || z NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv),
+walk AS (
+  SELECT conv, n AS pos, {'c': 0::BIGINT, 'a': '', 't': ''} AS b0, {'c': 10::BIGINT, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'} AS b1,
+         {'c': 5::BIGINT, 'a': 'I', 't': 'assistant:'} AS b2, {'c': 0::BIGINT, 'a': '', 't': ''} AS b3 FROM s
+  UNION ALL
+  SELECT conv, pos,
+    list_sort([e0, {'c': e2.c + 5, 'a': 'I' || e2.a, 't': __U2__}, {'c': e3.c + 10, 'a': 'II' || e3.a, 't': __UA3__}])[1],
+    list_sort([e1, {'c': e2.c + 5, 'a': 'I' || e2.a, 't': __U2__}, {'c': e3.c + 10, 'a': 'II' || e3.a, 't': __UA3__}])[1],
+    list_sort([e2, {'c': e3.c + 5, 'a': 'I' || e3.a, 't': __A3__}])[1],
+    list_sort([e3, {'c': e2.c + 5, 'a': 'I' || e2.a, 't': __U2__}])[1]
+  FROM (
+    SELECT w.conv, w.pos - 1 AS pos, __E__
+    FROM walk w JOIN f ON f.conv IS NOT DISTINCT FROM w.conv AND f.pos = w.pos)),
+done AS (SELECT conv, b0 FROM walk WHERE pos = 0)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b0.c, 0)::BIGINT AS cost,
+       coalesce(b0.a, '') AS audit, sha256(coalesce(b0.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN s ON s.conv IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN done d ON d.conv IS NOT DISTINCT FROM s.conv AND s.n IS NOT NULL
+"""
+
+
+def _repair_sql() -> str:
+    def led(line: str, rest: str) -> str:
+        return f"{line} || CASE WHEN {rest} = '' THEN '' ELSE chr(10) || {rest} END"
+
+    def option(state: int, cost: str, letter: str, line: str | None) -> str:
+        rest = f"w.b{state}.t"
+        return f"{{'c': w.b{state}.c + {cost}, 'a': '{letter}' || w.b{state}.a, 't': {led(line, rest) if line else rest}}}"
+
+    def edits(state: int, call: str, to: int, keeps: dict[str, int]) -> str:
+        more = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+        keep = " ".join(f"WHEN z = '{z}' THEN [{option(q, more, 'K', 'role || chr(58) || text')}]" for z, q in keeps.items())
+        renamed = option(to, f"1 + {more}", "R", f"'{call}:' || text")
+        return (f"list_sort([{option(state, '2', 'D', None)}] || CASE WHEN fault IN ('blank', 'duplicate') THEN [] "
+                f"ELSE [{renamed}] || CASE {keep} ELSE [] END END)[1] AS e{state}")
+
+    rows = [edits(0, "user", 2, {"s": 1, "u": 2}), edits(1, "user", 2, {"u": 2}), edits(2, "assistant", 3, {"a": 3}), edits(3, "user", 2, {"u": 2})]
+    return (_REPAIR_SQL.replace("__E__", ",\n           ".join(rows)).replace("__U2__", led("'user:'", "e2.t"))
+            .replace("__A3__", led("'assistant:'", "e3.t")).replace("__UA3__", led("'user:' || chr(10) || 'assistant:'", "e3.t")))
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_lm_scoring": _LM_SQL, "op11_importance_resampling": _RESAMPLE_SQL, "op12_conversation_repair": _repair_sql(), "op13_url_filters": _URL_SQL}
