@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from bazaar.functions.exprs import (discounted_price, discounted_price_raw, display_price, keyword_match,
                                     keyword_pattern, promo_active, promo_active_open, regex_match,
                                     stock_label)
-from bazaar.operators.joins import checked_broadcast
+from bazaar.operators.interval import interval_join
 from bazaar.sources.tables import Shop
 
 DEFAULT_PAGE_SIZE = 52
@@ -49,16 +49,15 @@ def priced_products(shop: Shop, as_of, policy: str = "all", products: DataFrame
                     raw: bool = False) -> DataFrame:
     """Products with category name, promo id and discounted price.
 
-    Inner join to Categories (a product without category drops out),
-    left join to the active promos of its category.
+    A product without category drops out; left join to the active promos
+    of its category.  ``products``: some of ``shop.named_products``.
     """
-    prods = products if products is not None else shop.products
+    prods = products if products is not None else shop.named_products
     # Promo tables are small and file- or literal-backed, so Spark's own
     # size estimate (autoBroadcastJoinThreshold) decides the broadcast.
     promos = active_promos(shop.promocodes, as_of, policy)
     price = (discounted_price_raw if raw else discounted_price)("Price", "DiscountPercent")
-    return (prods.join(checked_broadcast(shop.categories), "CategoryID", "inner")
-            .join(promos, "CategoryID", "left")
+    return (prods.join(promos, "CategoryID", "left")
             .withColumn("DiscountedPrice", price))
 
 
@@ -67,6 +66,23 @@ def catalog(shop: Shop, as_of, policy: str = "all") -> DataFrame:
     return priced_products(shop, as_of, policy).select(*_CATALOG_COLS)
 
 
+def catalog_at(shop: Shop, views: DataFrame, at: str = "ts", raw: bool = False) -> DataFrame:
+    """Each row of ``views`` (a ``ProductID`` and a moment ``at``) with the product as the catalog showed it then.
+
+    The rule of J1 at the row's own time: one row per category promo active
+    at that moment, or the list price without a promo.  Products without
+    category and unknown products give no row.  The promos are met by (category, moment) once
+    however many rows ask for it.
+    """
+    named = shop.named_products.select("ProductID", "ProductName", "CategoryID", "CategoryName", "Price")
+    seen = views.join(named, "ProductID")
+    moments = seen.select("CategoryID", at).distinct()
+    spans = shop.promocodes.where("CategoryID is not null").select("CategoryID", "PromoID", "DiscountPercent", "ValidFrom", "ValidTo")
+    active = interval_join(moments, spans, ["CategoryID"], at, "ValidFrom", "ValidTo").drop("ValidFrom", "ValidTo")
+    price = (discounted_price_raw if raw else discounted_price)("Price", "DiscountPercent")
+    return seen.join(active, ["CategoryID", at], "left").withColumn("DiscountedPrice", price)
+
+
 # J2 -------------------------------------------------------------------------
 def product_details(shop: Shop, product_ids: DataFrame, as_of, first_only: bool = True) -> DataFrame:
     """Details of the requested products (a ProductID frame).
@@ -75,7 +91,7 @@ def product_details(shop: Shop, product_ids: DataFrame, as_of, first_only: bool
     ``first_only`` that is the row of the lowest promo id (no promo
     first), picked by a ``min_by`` aggregate rather than a window.
     """
-    wanted = shop.products.join(product_ids.select("ProductID"), "ProductID", "left_semi")
+    wanted = shop.named_products.join(product_ids.select("ProductID"), "ProductID", "left_semi")
     rows = priced_products(shop, as_of, products=wanted)
     if not first_only:
         return rows.select(*_DETAIL_COLS)
@@ -90,8 +106,7 @@ def product_details(shop: Shop, product_ids: DataFrame, as_of, first_only: bool
 def catalog_by_category(shop: Shop, category_ids: DataFrame, as_of) -> DataFrame:
     """Priced products of the requested categories (CategoryID frame);
     the category filter is applied to products before any join."""
-    wanted = shop.products.join(checked_broadcast(category_ids.select("CategoryID").distinct()),
-                                "CategoryID", "left_semi")
+    wanted = shop.named_products.join(category_ids.select("CategoryID").distinct(), "CategoryID", "left_semi")
     return priced_products(shop, as_of, products=wanted).select(
         "CategoryID", *_CATALOG_COLS)
 
@@ -110,7 +125,7 @@ def search_products(shop: Shop, keyword: str | None, as_of, escape: bool = False
 # J8 -------------------------------------------------------------------------
 def promocodes(shop: Shop) -> DataFrame:
     """All promos with their category name (global ones: null name)."""
-    return (shop.promocodes.join(checked_broadcast(shop.categories), "CategoryID", "left")
+    return (shop.promocodes.join(shop.categories, "CategoryID", "left")
             .select("PromoID", "Code", "DiscountPercent", "IsGlobal", "CategoryName",
                     "ValidFrom", "ValidTo"))
 
@@ -134,7 +149,12 @@ def product_cards(shop: Shop, as_of, policy: str = "all") -> DataFrame:
 def promo_by_code(shop: Shop, requests: DataFrame, as_of) -> DataFrame:
     """Each request row (with a ``Code`` column) that names a promo active
     at ``as_of``, with its PromoID and percent; exact, case-sensitive
-    match.  Unknown or inactive codes give no row, as the shop's lookup."""
+    match.  Unknown or inactive codes give no row, as the shop's lookup.
+    With ``as_of=None`` a promo must be active at the request's own
+    ``request_ts``."""
+    if as_of is None:
+        promos = shop.promocodes.select("Code", "PromoID", "DiscountPercent", "ValidFrom", "ValidTo")
+        return interval_join(requests, promos, ["Code"], "request_ts", "ValidFrom", "ValidTo").drop("ValidFrom", "ValidTo")
     act = (shop.promocodes.filter(promo_active("ValidFrom", "ValidTo", as_of))
            .select("Code", "PromoID", "DiscountPercent"))
     return requests.join(act, "Code", "inner")
@@ -149,16 +169,14 @@ def category_id_by_name(shop: Shop, names: DataFrame) -> DataFrame:
 # J14 ------------------------------------------------------------------------
 def catalog_plain(shop: Shop) -> DataFrame:
     """Products with their category name, no price rule."""
-    return (shop.products.join(checked_broadcast(shop.categories), "CategoryID", "inner")
-            .select("ProductID", "ProductName", "Description", "CategoryName", "Price",
-                    "StockQuantity", "ImageURL"))
+    return shop.named_products.select("ProductID", "ProductName", "Description", "CategoryName", "Price",
+                                      "StockQuantity", "ImageURL")
 
 
 # J15 ------------------------------------------------------------------------
 def products_by_category(shop: Shop, category_ids: DataFrame) -> DataFrame:
     """Scan + filter, no join to Categories (document form)."""
-    return shop.products.join(checked_broadcast(category_ids.select("CategoryID").distinct()),
-                              "CategoryID", "left_semi")
+    return shop.products.join(category_ids.select("CategoryID").distinct(), "CategoryID", "left_semi")
 
 
 # J16 ------------------------------------------------------------------------
@@ -196,7 +214,7 @@ def catalog_page_after(shop: Shop, last_product_id, size, as_of) -> DataFrame:
     """Keyset paging: the next ``size`` rows after ``last_product_id``;
     the filter is pushed into the parquet scan, so depth costs nothing."""
     _, n = page_bounds(1, size)
-    prods = shop.products if last_product_id is None else shop.products.filter(
+    prods = shop.named_products if last_product_id is None else shop.named_products.filter(
         F.col("ProductID") > F.lit(last_product_id))
     return (priced_products(shop, as_of, products=prods).orderBy(*_page_order())
             .limit(n).select(*_DETAIL_COLS))
@@ -223,7 +241,7 @@ def category_page(shop: Shop, category_ids: DataFrame, page, size, as_of) -> Dat
     """
     start, n = page_bounds(page, size)
     ids = category_ids.select("CategoryID").filter(F.col("CategoryID") > 0).distinct()
-    wanted = shop.products.join(checked_broadcast(ids), "CategoryID", "left_semi")
+    wanted = shop.named_products.join(ids, "CategoryID", "left_semi")
     rows = priced_products(shop, as_of, products=wanted)
     rn = F.row_number().over(Window.partitionBy("CategoryID").orderBy(*_page_order()))
     return (rows.withColumn("rn", rn)

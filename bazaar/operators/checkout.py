@@ -18,16 +18,19 @@ included -- fits the stock.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.functions.exprs import MONEY, discounted_price, promo_active, promo_applies
-from bazaar.operators.ids import max_id, next_ids, write_checkpoint
-from bazaar.operators.scan import running_total, running_totals
+from bazaar.operators.components import connected_components
+from bazaar.operators.ids import drop_checkpoint, max_id, next_ids, write_checkpoint
+from bazaar.operators.scan import running_total
 from bazaar.operators.users import users_with_role
 from bazaar.operators.writes import first_per_key
 from bazaar.sources.tables import Shop
@@ -40,6 +43,9 @@ OUT_OF_STOCK = "out of stock"
 NON_POSITIVE = "non-positive quantity"
 PENDING = "pending"
 
+#: Lines of one conflict group that a task passes over at a time (about 100 MB of Python objects at most).
+GROUP_LINES = 1_000_000
+
 
 @dataclass
 class Checkout:
@@ -66,49 +72,119 @@ def _first_request_per_user(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first, dup
 
 
+def _taken_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one-by-one loop over lines sorted by (group, request_ts, UserID): (UserID, taken) per cart.
+
+    Holds one cart and what is left of the products of one group.
+    """
+    group, left, cart, lines = None, {}, None, []
+    out: tuple[list, list] = ([], [])
+
+    def close() -> None:
+        fits = all(stock is None or left.get(p, stock) >= q for p, q, stock in lines)
+        if fits:
+            for p, q, stock in lines:
+                if stock is not None:
+                    left[p] = left.get(p, stock) - q
+        out[0].append(cart)
+        out[1].append(fits)
+
+    def emit() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_())], names=["UserID", "won"])
+        out[0].clear()
+        out[1].clear()
+        return done
+
+    for batch in batches:
+        for g, user, product, q, stock in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            if lines and (user != cart or g != group):
+                close()
+                lines = []
+            if g != group:
+                group, left = g, {}
+            cart = user
+            lines.append((product, q, stock))
+        yield emit()
+    if lines:
+        close()
+        yield emit()
+
+
 def _serial_accepted(lines: DataFrame, strict: bool) -> DataFrame:
-    """UserID of the carts accepted when ``lines`` (UserID, request_ts,
+    """(UserID, won) of every cart when ``lines`` (UserID, request_ts,
     ProductID, Quantity, StockQuantity) are checked out one after the other.
 
-    Rounds: of what accepted carts before a line took of its product, and the
-    most and the least that undecided carts before it could take, a cart is
-    accepted when all its lines fit the stock less the taken and the most,
-    and refused when one does not even fit it less the taken and the least.
-    The first undecided cart has none before it, so every round decides at least one
-    cart and the result is that of the one-by-one loop.  The three sums are
-    skew-safe running totals; every round is written under the checkpoint
-    folder."""
+    Only carts that share a product whose demand exceeds its stock can be in
+    each other's way.  The others are accepted at once; the rest falls into
+    conflict groups (components of carts and contested products), and each
+    group is decided by one pass over its carts in request order.  Of a
+    group with more than GROUP_LINES lines the earliest carts up to that
+    many lines are decided (they depend on no later one), then demand, stock
+    and groups are taken anew without them.  Up to GROUP_LINES contested
+    lines in all are one group, without looking for components.  So the number of
+    jobs depends on the largest group's lines over GROUP_LINES only, and no
+    task passes over more than that of one group.
+    """
     order = ["request_ts", "UserID"]
     base = lines.select("UserID", "request_ts", "ProductID", F.col("Quantity").cast("long").alias("q"),
                         F.col("StockQuantity").cast("long").alias("stock"))
-    # no earlier cart can help a line without stock unless lines may be negative
-    hopeless = base.filter((F.col("q") <= 0) if strict else F.lit(False))
-    if strict:
-        hopeless = hopeless.unionByName(base.filter(F.col("q") > F.col("stock")))
-    state = write_checkpoint(base.join(hopeless.select("UserID").distinct(), "UserID", "left_anti")
-                             .select(*base.columns, F.lit(False).alias("taken")), "serial")
-    accepted = state.select("UserID").limit(0)
+    out, state, stale = None, base, []
     while True:
-        nothing = F.lit(0).cast("long")
-        ranked = running_totals(state.withColumns({
-            "took": F.when(F.col("taken"), F.col("q")).otherwise(nothing),
-            "most": F.when(F.col("taken"), nothing).otherwise(F.greatest("q", nothing)),
-            "least": F.when(F.col("taken"), nothing).otherwise(F.least("q", nothing))}), ["ProductID"], order,
-            {"sum_took": "took", "sum_most": "most", "sum_least": "least"}).filter(~F.col("taken"))
-        left = F.col("stock") - F.col("sum_took")     # an undecided line's own share of it is 0
-        verdict = write_checkpoint(ranked.groupBy("UserID").agg(
-            F.min(left - (F.col("sum_most") - F.col("most")) >= F.col("q")).alias("fits"),
-            F.max(left - (F.col("sum_least") - F.col("least")) < F.col("q")).alias("fails")), "serial")
-        accepted = accepted.unionByName(verdict.filter("fits").select("UserID"))
-        open_carts = verdict.filter("not fits and not fails").select("UserID")
-        if open_carts.isEmpty():
-            return accepted
-        still = state.filter(~F.col("taken")).join(open_carts, "UserID", "left_semi")
-        # of the accepted lines only those of products that are still asked for
-        won = (state.join(verdict.filter("fits").select("UserID", F.lit(True).alias("__won")), "UserID", "left")
-               .filter(F.col("taken") | F.col("__won")).withColumn("taken", F.lit(True))
-               .join(still.select("ProductID").distinct(), "ProductID", "left_semi"))
-        state = write_checkpoint(still.unionByName(won.select(*state.columns)), "serial")
+        # A cart that cannot be accepted whatever the others do takes nothing.
+        lost = state.filter((F.col("q") <= 0) | (F.col("q") > F.col("stock")) if strict else F.lit(False)).select("UserID").distinct()
+        able = state.join(lost, "UserID", "left_anti") if strict else state
+        wanted = able.groupBy("ProductID").agg(F.sum(F.greatest("q", F.lit(0))).alias("wanted"), F.max("stock").alias("most"))
+        short = wanted.filter("wanted > most").select("ProductID")
+        contested = write_checkpoint(able.join(short, "ProductID", "left_semi").select(*base.columns), "contested")
+        busy = contested.select("UserID").distinct()
+        free = able.select("UserID").distinct().join(busy, "UserID", "left_anti").withColumn("won", F.lit(True))
+        refused = lost.withColumn("won", F.lit(False)) if strict else free.limit(0)
+        n = contested.count()
+        stale.append(contested)
+        if n <= GROUP_LINES:
+            grouped, whole = contested.withColumn("grp", F.lit(0).cast("long")), True
+        else:
+            named = _conflict_groups(contested)
+            stale.append(named)
+            grouped, whole = _earliest_carts(named, order)
+        # a group's carts go to one task, sorted; a task takes many groups
+        dealt = (grouped.repartition("grp").sortWithinPartitions("grp", *order, "ProductID")
+                 .select("grp", "UserID", "ProductID", "q", "stock"))
+        decided = write_checkpoint(free.unionByName(refused).unionByName(dealt.mapInArrow(_taken_in_order, "UserID long, won boolean")), "decided")
+        out = decided if out is None else out.unionByName(decided)
+        if whole:
+            break
+        left = contested.join(decided.select("UserID"), "UserID", "left_anti")
+        took = (contested.join(decided.filter("won").select("UserID"), "UserID", "left_semi").groupBy("ProductID").agg(F.sum("q").alias("took")))
+        state = write_checkpoint(left.join(took, "ProductID", "left").select(
+            "UserID", "request_ts", "ProductID", "q", (F.col("stock") - F.coalesce("took", F.lit(0))).alias("stock")), "serial")
+        for table in stale:
+            drop_checkpoint(table)
+        stale = [state]
+    for table in stale:
+        drop_checkpoint(table)
+    return out
+
+
+def _conflict_groups(contested: DataFrame) -> DataFrame:
+    """Lines with ``grp``: the component of their cart among carts and contested products (written)."""
+    pivot = contested.groupBy("UserID").agg(F.min("ProductID").alias("pivot"))
+    comp = connected_components(contested.join(pivot, "UserID").select(F.col("ProductID").alias("src"), F.col("pivot").alias("dst")))
+    named = write_checkpoint(contested.join(comp.select(F.col("node").alias("ProductID"), F.col("component").alias("grp")), "ProductID"), "groups")
+    drop_checkpoint(comp)
+    return named
+
+
+def _earliest_carts(named: DataFrame, order: list[str]) -> tuple[DataFrame, bool]:
+    """(lines, whether all): of groups above GROUP_LINES only the earliest whole carts up to it, at least one."""
+    large = named.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > GROUP_LINES).select("grp")
+    if large.isEmpty():
+        return named, True
+    carts = named.join(large, "grp", "left_semi").groupBy("grp", *order).agg(F.count(F.lit(1)).alias("n"))
+    upto = running_total(carts, ["grp"], order, "n", "upto")
+    early = upto.filter((F.col("upto") <= GROUP_LINES) | (F.col("upto") == F.col("n"))).select("UserID")
+    small = named.join(large, "grp", "left_anti")
+    return small.unionByName(named.join(large, "grp", "left_semi").join(early, "UserID", "left_semi").select(*small.columns)), False
 
 
 def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
@@ -119,7 +195,9 @@ def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
     * not role User -> reject; a cart line above stock rejects the whole
       cart; with ``strict`` a line <= 0 rejects it too; an empty cart is
       rejected unless ``allow_empty``.
-    * the promo counts only when active at ``as_of``; it prices a line
+    * the promo counts only when active at ``as_of`` -- with ``as_of=None``
+      at the request's own ``request_ts``, as a call at that time would see
+      it; it prices a line
       when global or of the line's category (F5 + F1); the order keeps
       the requested PromoID even when the promo did not count.
     """
@@ -147,8 +225,8 @@ def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
         short = F.col("StockQuantity") < F.col("Demand")
     elif stock == "serial":
         # What the accepted carts before a line took, its own cart left out.
-        won = _serial_accepted(lines, strict).withColumn("__won", F.lit(True))
-        ordered = (lines.join(won, "UserID", "left")
+        won = _serial_accepted(lines, strict).select("UserID", F.col("won").alias("__won"))
+        ordered = (lines.join(won, "UserID")
                    .withColumn("__took", F.when(F.col("__won"), F.col("Quantity").cast("long")).otherwise(F.lit(0))))
         judged_lines = running_total(ordered, ["ProductID"], order, "__took", "Taken")
         short = F.col("StockQuantity") - (F.col("Taken") - F.col("__took")) < F.col("Quantity")
@@ -183,13 +261,12 @@ def checkout(shop: Shop, requests: DataFrame, as_of, allow_empty: bool = False,
 
     orders = _with_status(numbered, shop.order_statuses)
 
-    promos = (
-        shop.promocodes.filter(promo_active("ValidFrom", "ValidTo", as_of))
-        .select("PromoID", F.col("DiscountPercent").alias("pct"), "IsGlobal",
-                F.col("CategoryID").alias("PromoCategoryID"), F.lit(True).alias("promo_counts")))
-    priced = (lines.join(numbered.select("UserID", "OrderID", "PromoID"), "UserID", "inner")
+    moment = F.col("request_ts") if as_of is None else as_of
+    promos = shop.promocodes.select("PromoID", F.col("DiscountPercent").alias("pct"), "IsGlobal", "ValidFrom", "ValidTo",
+                                    F.col("CategoryID").alias("PromoCategoryID"))
+    priced = (lines.drop("request_ts").join(numbered.select("UserID", "OrderID", "PromoID", "request_ts"), "UserID", "inner")
               .join(promos, "PromoID", "left"))
-    counts = F.coalesce(F.col("promo_counts"), F.lit(False))
+    counts = F.coalesce(promo_active("ValidFrom", "ValidTo", moment), F.lit(False))
     unit = F.when(counts & promo_applies("IsGlobal", "PromoCategoryID", "CategoryID"),
                   discounted_price("Price", "pct")).otherwise(F.col("Price").cast(MONEY))
     order_items = priced.select("OrderID", "ProductID", "Quantity", unit.alias("UnitPrice"))

@@ -27,7 +27,16 @@ def write_checkpoint(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.checkpoint_path = path
+    return back
+
+
+def drop_checkpoint(table: DataFrame) -> None:
+    """Delete the folder behind a frame as ``write_checkpoint`` returned it (nothing may read it any more)."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.checkpoint_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def max_id(df: DataFrame, col: str) -> int:

@@ -1,20 +1,10 @@
-"""Join helpers: size-checked broadcast, and the document-style
-``lookup`` / ``unwind`` pair (N6).
+"""Join helpers: the document-style ``lookup`` / ``unwind`` pair.
 
-Broadcast policy, in order of preference:
-
-* sides whose size Spark can bound itself -- parquet scans, literal
-  rows, and filters/projections of them -- are joined plainly: Spark's
-  ``autoBroadcastJoinThreshold`` compares its size estimate (an upper
-  bound for these plans) and broadcasts only below it;
-* sides that come out of an aggregate over a large table (Spark's
-  estimate is then the whole input) or from a caller's key list are
-  hinted only after a bounded count proves them small
-  (``checked_broadcast``: ``limit(max_rows + 1).count()`` never reads
-  more than ``max_rows + 1`` rows past the side's own plan).
-
-Beyond either bound Catalyst/AQE choose a shuffle join, and AQE splits
-skewed partitions (``spark.sql.adaptive.skewJoin.enabled``).
+Broadcast policy: joins are written plainly.  Spark broadcasts a side by its own size
+bound (``autoBroadcastJoinThreshold``; for parquet scans, literal rows and
+filters of them an upper bound), and AQE by real sizes once a stage has run,
+otherwise it shuffles and splits skewed partitions
+(``spark.sql.adaptive.skewJoin.enabled``).  No job runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -22,21 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension with at most this many rows is broadcast (a few MB at most
-# for the narrow dimension rows used here).
-DIM_MAX_ROWS = 100_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind a bounded row count; unchanged df otherwise.
-
-    The count runs where the hint is given and reads at most
-    ``max_rows + 1`` rows past the side's own plan.  Nothing is persisted
-    and no verdict is remembered, so a later call of the same side counts
-    what is stored then, and results never come from an earlier read.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
 
 def literal_dimension(df: DataFrame) -> DataFrame:
     """Broadcast a frame built from literal rows (its size is its source)."""

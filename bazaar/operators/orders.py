@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.functions.exprs import SUM_MONEY, discounted_price_raw, line_total, promo_applies, sum_line_totals
-from bazaar.operators.joins import checked_broadcast
 from bazaar.operators.users import role_gate
 from bazaar.sources.tables import Shop
 
@@ -23,10 +22,9 @@ def _user_filter(df: DataFrame, user_id) -> DataFrame:
 
 
 def lines_of(order_items: DataFrame, orders: DataFrame) -> DataFrame:
-    """The lines of the given orders: a semi join with their ids, broadcast
-    when a count proves them few, so the lines are filtered where they are read."""
-    ids = checked_broadcast(orders.select("OrderID"))
-    return order_items.join(ids, "OrderID", "left_semi").select(*order_items.columns)
+    """The lines of the given orders: a semi join with their ids (broadcast
+    when they turn out few, so the lines are filtered where they are read)."""
+    return order_items.join(orders.select("OrderID"), "OrderID", "left_semi").select(*order_items.columns)
 
 
 # A1 -------------------------------------------------------------------------
@@ -42,10 +40,9 @@ def top_products(shop: Shop, n: int = 100) -> DataFrame:
             .groupBy("ProductID")
             .agg(F.sum("Quantity").cast("long").alias("TotalSold"),
                  sum_line_totals("Quantity", "UnitPrice").alias("TotalRevenue")))
-    products = shop.products.select("ProductID", "ProductName", "Description", "ImageURL",
-                                    "Price", "StockQuantity", "CategoryID")
+    products = shop.named_products.select("ProductID", "ProductName", "Description", "ImageURL",
+                                          "Price", "StockQuantity", "CategoryName")
     return (sold.join(products, "ProductID", "inner")
-            .join(checked_broadcast(shop.categories), "CategoryID", "inner")
             .select("ProductID", "ProductName", "Description", "ImageURL", "Price",
                     "StockQuantity", "CategoryName", "TotalSold", "TotalRevenue")
             .orderBy(F.col("TotalSold").desc(), F.col("ProductID"))
@@ -91,10 +88,9 @@ def order_totals(shop: Shop, user_id=None, gate: bool = True) -> DataFrame:
 def favorites(shop: Shop, user_id=None) -> DataFrame:
     """Favorite products of role-User users; duplicate favorites are kept."""
     fav = role_gate(_user_filter(shop.favorites, user_id), shop.user_roles, shop.roles, "User")
-    products = shop.products.select("ProductID", "ProductName", "Description", "CategoryID",
-                                    "Price", "StockQuantity", "ImageURL")
+    products = shop.named_products.select("ProductID", "ProductName", "Description", "CategoryName",
+                                          "Price", "StockQuantity", "ImageURL")
     return (fav.join(products, "ProductID", "inner")
-            .join(checked_broadcast(shop.categories), "CategoryID", "inner")
             .select("UserID", "ProductID", "ProductName", "Description", "CategoryName",
                     "Price", "StockQuantity", "ImageURL"))
 
@@ -105,10 +101,9 @@ def cart_items(shop: Shop, user_id=None, cart: DataFrame | None = None) -> DataF
     lines = cart if cart is not None else shop.cart_items
     lines = role_gate(_user_filter(lines.select("UserID", "ProductID", "Quantity"), user_id),
                       shop.user_roles, shop.roles, "User")
-    products = shop.products.select("ProductID", "ProductName", "Description", "CategoryID",
-                                    "Price", "StockQuantity", "ImageURL")
+    products = shop.named_products.select("ProductID", "ProductName", "Description", "CategoryID", "CategoryName",
+                                          "Price", "StockQuantity", "ImageURL")
     return (lines.join(products, "ProductID", "inner")
-            .join(checked_broadcast(shop.categories), "CategoryID", "inner")
             .select("UserID", "ProductID", "ProductName", "Description", "CategoryID",
                     "CategoryName", "Quantity", "Price", "StockQuantity", "ImageURL"))
 
@@ -132,30 +127,32 @@ def order_details(shop: Shop, user_id=None, order_id=None) -> DataFrame:
 def cart_quote_lines(shop: Shop, requests: DataFrame, cart: DataFrame | None = None) -> DataFrame:
     """Per cart line: the price after the chosen promo code (client rule).
 
-    ``requests`` has (UserID, Code).  The promo is found by exact code
+    ``requests`` has (UserID, Code): each is a quote of its own over the
+    user's whole cart; repeated requests count once, and a user without a
+    request is quoted without a code.  The promo is found by exact code
     with no validity test; it applies when global or when its category
     name equals the line's category name.
     """
     lines = cart_items(shop, cart=cart).select("UserID", "ProductID", "ProductName", "CategoryName",
                                               "Quantity", "Price")
-    promos = (shop.promocodes.join(checked_broadcast(shop.categories), "CategoryID", "left")
+    promos = (shop.promocodes.join(shop.categories, "CategoryID", "left")
               .select("Code", "DiscountPercent", "IsGlobal",
                       F.col("CategoryName").alias("PromoCategoryName")))
-    chosen = requests.select("UserID", "Code").join(promos, "Code", "left")
+    chosen = requests.select("UserID", "Code").distinct().join(promos, "Code", "left")
     applies = F.col("DiscountPercent").isNotNull() & promo_applies(
         "IsGlobal", "PromoCategoryName", "CategoryName")
     unit = F.when(applies, discounted_price_raw("Price", "DiscountPercent")).otherwise(
         F.col("Price").cast(T.DecimalType(14, 4)))
     return (lines.join(chosen, "UserID", "left")
-            .select("UserID", "ProductID", "ProductName", "Quantity", "Price",
+            .select("UserID", "Code", "ProductID", "ProductName", "Quantity", "Price",
                     unit.alias("ItemPrice"), applies.alias("hasDiscount")))
 
 
 def cart_quote(shop: Shop, requests: DataFrame, cart: DataFrame | None = None) -> DataFrame:
-    """Cart total per user after the promo, rounded to cents at the end."""
+    """Cart total per user and chosen code after the promo, rounded to cents at the end."""
     lines = cart_quote_lines(shop, requests, cart)
     amount = (F.col("ItemPrice") * F.col("Quantity").cast(T.DecimalType(10, 0)))
-    return (lines.groupBy("UserID")
+    return (lines.groupBy("UserID", "Code")
             .agg(F.round(F.sum(amount), 2).cast(SUM_MONEY).alias("Total"),
                  F.count(F.lit(1)).alias("Lines"),
                  F.sum(F.col("hasDiscount").cast("int")).cast("long").alias("DiscountedLines")))

@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 
 from bazaar.functions.exprs import as_timestamp
 from bazaar.operators.ids import max_id, next_ids, write_checkpoint
-from bazaar.operators.joins import checked_broadcast
 from bazaar.operators.users import users_with_role
 
 KEYS = ["UserID", "ProductID"]
@@ -27,6 +26,7 @@ KEYS = ["UserID", "ProductID"]
 # Reject reasons.
 NOT_A_SHOP_USER = "not a shop user"
 NOT_AN_ADMIN = "not an admin"
+MALFORMED_VALUE = "malformed value"
 NO_DOCUMENT_FORM = "no document form"
 
 
@@ -231,10 +231,11 @@ def add_promocodes(existing: DataFrame, requests: DataFrame, as_of, rules: str =
     1-100; category nulled when global; defaults from = as_of, to =
     as_of + 1 year; code already taken or used earlier in the batch ->
     reject; from or to before as_of -> reject.  document rules: only the
-    duplicate-code test.
+    duplicate-code test.  With ``as_of=None`` "now" is each request's own
+    ``request_ts``.
     """
     order = order or ["Code"]
-    now = as_timestamp(as_of)
+    now = as_timestamp(as_of) if as_of is not None else F.col("request_ts")
     req, rej_actor = _gate_actor(requests, user_roles, roles, "Admin")
     rejects = [rej_actor]
     if rules == "sql":
@@ -298,7 +299,7 @@ def delete_promocodes(promocodes: DataFrame, orders: DataFrame, ids: DataFrame,
         unknown = unknown.limit(0)
     new_promos = _minus(promocodes, known, "PromoID")
     if rules == "sql":
-        gone = checked_broadcast(known.select(F.col("PromoID").alias("__gone")))
+        gone = known.select(F.col("PromoID").alias("__gone"))
         new_orders = (orders.join(gone, orders["PromoID"] == gone["__gone"], "left")
                       .withColumn("PromoID", F.when(F.col("__gone").isNotNull(), F.lit(None).cast("long"))
                                   .otherwise(F.col("PromoID")))
@@ -423,9 +424,17 @@ def patch_products(existing: DataFrame, patches: DataFrame, as_of, order: list[s
     as if they were applied one after the other.  The merge is an aggregate
     per (product, field), never a list of a product's patches.  With an
     ``ActorID`` column and the role tables, patches of actors that are no
-    admin are rejected."""
+    admin are rejected.  A patch with a value that its column cannot hold is
+    rejected whole (as the call that carries it would be) and changes
+    nothing; the other patches go on."""
     order = order or []
     patches, not_admin = _gate_actor(patches, user_roles, roles, "Admin")
+    given = F.col("patch")
+    malformed = F.lit(False)
+    for c in PRODUCT_COLS:
+        value = given.getItem(c)
+        malformed = malformed | (value.isNotNull() & value.try_cast(existing.schema[c].dataType).isNull())
+    patches, unfit = _reject(patches, malformed, MALFORMED_VALUE)
     fields = (patches.select("ProductID", *order, F.explode("patch").alias("field", "value"))
               .filter(F.col("field").isin(PRODUCT_COLS)))
     last = fields.groupBy("ProductID", "field").agg(
@@ -438,13 +447,13 @@ def patch_products(existing: DataFrame, patches: DataFrame, as_of, order: list[s
     cols = []
     for c in PRODUCT_COLS:
         present = F.coalesce(F.map_contains_key(F.col("__patch"), F.lit(c)), F.lit(False))
-        new = F.col("__patch").getItem(c).cast(existing.schema[c].dataType)
+        new = F.col("__patch").getItem(c).try_cast(existing.schema[c].dataType)
         cols.append(F.when(present, new).otherwise(F.col(c)).alias(c))
     updated_at = F.when(F.col("__patched"), as_timestamp(as_of)).cast("timestamp").alias("updated_at")
     out = merged.select("ProductID", *cols, updated_at)
     unknown = (patches.join(existing.select("ProductID"), "ProductID", "left_anti").select(*patches.columns)
                .withColumn("reason", F.lit(NOT_FOUND)))
-    return WriteResult(tables={"products": out}, rejects=_union_rejects([unknown, not_admin]))
+    return WriteResult(tables={"products": out}, rejects=_union_rejects([unknown, not_admin, unfit]))
 
 
 # D9 -----------------------------------------------------------------------------

@@ -29,15 +29,15 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "cart_quote_lines": ["Price", "ItemPrice"],
     "orders_nested_split_lines": ["UnitPrice"],
     "delete_products_gate_products": ["Price"],
-    "patch_products_series": ["Price"],
+    "patch_products_series": ["Price"], "checkout_at_request_order_items": ["UnitPrice"], "catalog_at_view": PRICE2,
 }
 
 TEXT_COLS: dict[str, list[str]] = {
     **{name: ["PromoID"] for name in (
         "orders_nested", "order_document", "checkout_orders", "checkout_rejects", "checkout_simple_orders", "checkout_simple_rejects",
         "checkout_prefix_orders", "checkout_prefix_rejects", "checkout_snapshot_orders", "checkout_snapshot_rejects",
-        "checkout_repeat_rejects", "delete_promocodes_orders", "delete_promocodes_doc_orders", "delete_users_orders")},
+        "checkout_repeat_rejects", "checkout_strict_orders", "checkout_strict_rejects", "delete_promocodes_orders", "delete_promocodes_doc_orders", "delete_users_orders")},
     "orders_unwound": ["ProductID"], "delete_promocodes_gate_rejects": ["ActorID"],
-    **{name: ["CategoryID"] for name in ("add_promocodes_added", "add_promocodes_doc_added", "promocodes_doc",
+    **{name: ["CategoryID"] for name in ("add_promocodes_added", "add_promocodes_at_request_added", "add_promocodes_doc_added", "promocodes_doc",
                                          "delete_promocodes_promos", "delete_promocodes_doc_promos")},
 }

@@ -81,12 +81,14 @@ def _q_cart_items(spark, d):
 
 def quote_requests(shop) -> DataFrame:
     """One quote request per cart owner: the code of promo UserID % 9
-    (0 means no code), the same pick as the checkout requests."""
+    (0 means no code), the same pick as the checkout requests; every fifth
+    user tries the code ALL20 as well."""
     users = shop.cart_items.select("UserID").distinct()
     promo_id = F.when(F.col("UserID") % 9 == 0, F.lit(None)).otherwise(F.col("UserID") % 9)
-    return (users.withColumn("PromoID", promo_id.cast("long"))
-            .join(shop.promocodes.select("PromoID", "Code"), "PromoID", "left")
-            .select("UserID", "Code"))
+    first = (users.withColumn("PromoID", promo_id.cast("long"))
+             .join(shop.promocodes.select("PromoID", "Code"), "PromoID", "left")
+             .select("UserID", "Code"))
+    return first.unionByName(users.filter("UserID % 5 = 0").select("UserID", F.lit("ALL20").alias("Code")))
 
 
 def _q_cart_quote(spark, d):
@@ -171,11 +173,24 @@ def code_requests(spark, d) -> DataFrame:
     ev = read_table(spark, d, "events")
     code = F.element_at(F.array(*[F.lit(c) for c in REQUESTED_CODES]),
                         (F.col("event_id") % len(REQUESTED_CODES) + 1).cast("int"))
-    return ev.select("event_id", code.alias("Code"))
+    return ev.select("event_id", code.alias("Code"), F.col("ts").alias("request_ts"))
 
 
 def _q_promo_by_code(spark, d):
-    return C.promo_by_code(_batch_shop(spark, d), code_requests(spark, d), AS_OF)
+    return C.promo_by_code(_batch_shop(spark, d), code_requests(spark, d).drop("request_ts"), AS_OF)
+
+
+def _q_promo_by_code_at_request(spark, d):
+    """The lookups of ``promo_by_code``, each at the time of its event."""
+    return C.promo_by_code(_batch_shop(spark, d), code_requests(spark, d), None).select("event_id", "Code", "PromoID", "DiscountPercent")
+
+
+def _q_catalog_at_view(spark, d):
+    """Every viewed product with its price at the time of the view."""
+    ev = read_table(spark, d, "events").filter(F.col("event_type") == "view")
+    views = ev.select("event_id", "ts", F.regexp_extract("props", "[0-9]+", 0).cast("long").alias("ProductID"))
+    return C.catalog_at(load_shop(spark, d), views).select("event_id", "ProductID", "CategoryName", "Price",
+                                                           F.col("PromoID").cast("string").alias("PromoID"), "DiscountedPrice")
 
 
 def _q_category_id_by_name(spark, d):
@@ -240,6 +255,8 @@ QUERIES.update({
     "search_products": _q_search_products,
     "promocodes": _q_promocodes,
     "promo_by_code": _q_promo_by_code,
+    "promo_by_code_at_request": _q_promo_by_code_at_request,
+    "catalog_at_view": _q_catalog_at_view,
     "category_id_by_name": _q_category_id_by_name,
     "catalog_plain": _q_catalog_plain,
     "products_by_category": _q_products_by_category,
@@ -319,26 +336,25 @@ def _outputs(res):
     return res
 
 
-def positive_carts(shop) -> DataFrame:
-    """Carts without lines of zero or less, so that stock decides."""
-    return shop.cart_items.filter(F.col("Quantity") > 0)
-
-
 def _checkout(spark, d, **how):
+    """Whole carts by the shop's own rule: lines of zero or less pass, and raise the stock."""
     shop = load_shop(spark, d)
-    return _outputs(K.checkout(shop, checkout_requests(shop), AS_OF, cart=positive_carts(shop), **how))
+    return _outputs(K.checkout(shop, checkout_requests(shop), AS_OF, **({"strict": False} | how)))
 
 
-def _checkout_whole_carts(spark, d):
+def _checkout_at_request(spark, d):
+    """The checkout requests spread over the 30 days around AS_OF, each under the promos of its own time."""
     shop = load_shop(spark, d)
-    return _outputs(K.checkout(shop, checkout_requests(shop), AS_OF, stock="snapshot"))
+    day = F.expr("make_dt_interval(cast(UserID % 30 as int) - 15)")
+    req = checkout_requests(shop).withColumn("request_ts", F.col("request_ts") + day)
+    return _outputs(K.checkout(shop, req, None, strict=False))
 
 
 def _checkout_repeats(spark, d):
     """One request per cart event: all but the first of a user are repeats."""
     shop = load_shop(spark, d)
     req = shop.cart_events.select("UserID", (F.col("event_id") % 3).alias("PromoID"), F.date_trunc("day", "ts").alias("request_ts"))
-    return _outputs(K.checkout(shop, req, AS_OF, cart=positive_carts(shop)))
+    return _outputs(K.checkout(shop, req, AS_OF))
 
 
 def _checkout_simple(spark, d):
@@ -354,10 +370,13 @@ QUERIES.update({
     "checkout_rejects": lambda spark, d: _checkout(spark, d).rejects,
     "checkout_repeat_rejects": lambda spark, d: _checkout_repeats(spark, d).rejects.filter(F.col("reason") == K.DUPLICATE_REQUEST),
     "checkout_snapshot_orders": lambda spark, d: _checkout(spark, d, stock="snapshot").orders,
-    "checkout_snapshot_rejects": lambda spark, d: _checkout_whole_carts(spark, d).rejects,
+    "checkout_snapshot_rejects": lambda spark, d: _checkout(spark, d, stock="snapshot", strict=True).rejects,
+    "checkout_strict_orders": lambda spark, d: _checkout(spark, d, strict=True).orders,
+    "checkout_strict_rejects": lambda spark, d: _checkout(spark, d, strict=True).rejects,
     "checkout_oversold": lambda spark, d: _checkout(spark, d, stock="snapshot").oversold,
     "checkout_prefix_orders": lambda spark, d: _checkout(spark, d, stock="prefix").orders,
     "checkout_prefix_rejects": lambda spark, d: _checkout(spark, d, stock="prefix").rejects,
+    "checkout_at_request_order_items": lambda spark, d: _checkout_at_request(spark, d).order_items,
     "checkout_simple_orders": lambda spark, d: _checkout_simple(spark, d).orders,
     "checkout_simple_order_items": lambda spark, d: _checkout_simple(spark, d).order_items,
     "checkout_simple_rejects": lambda spark, d: _checkout_simple(spark, d).rejects,
@@ -393,6 +412,14 @@ def _add_promos(spark, d):
                              user_roles=shop.user_roles, roles=shop.roles, order=["ts", "event_id"])
 
 
+def _add_promos_at_request(spark, d):
+    """Each request at the time of its event: dates at AS_OF are in the past for the later ones only."""
+    shop = load_shop(spark, d)
+    req = promo_requests(spark, d).withColumn("request_ts", F.col("ts")).withColumn(
+        "ValidFrom", F.when(F.col("event_id") % 2 == 0, as_timestamp(AS_OF)).otherwise(F.col("ValidFrom")))
+    return Wr.add_promocodes(shop.promocodes, req, None, rules="sql", user_roles=shop.user_roles, roles=shop.roles, order=["ts", "event_id"])
+
+
 def _add_promos_doc(spark, d):
     shop = load_shop(spark, d)
     return Wr.add_promocodes(shop.promocodes, promo_requests(spark, d).drop("ActorID"), AS_OF,
@@ -415,12 +442,15 @@ def _actor(key) -> "F.Column":
 
 
 def _delete_products(spark, d, mode):
-    """restrict: every product is asked for, and order lines of the largest
-    quantity keep theirs; cascade_all: one category."""
+    """restrict: every product after the registered upsert is asked for; those it added have no order
+    lines and one favorite each.  cascade_all: one category."""
     shop = load_shop(spark, d)
     lines = shop.order_items
     if mode == "restrict":
-        ids, lines = shop.products.select("ProductID"), lines.filter(F.col("Quantity") == 50)
+        res = _upsert(spark, d)
+        liked = res.tables["added"].select((F.col("ProductID") % 7).alias("UserID"), "ProductID")
+        products = res.tables["products"].select(*shop.products.columns)
+        return Wr.delete_products(products, products.select("ProductID"), shop.favorites.unionByName(liked), shop.cart_items, lines)
     else:
         promo_line = shop.categories.filter(F.col("CategoryName") == "PROMO").select("CategoryID")
         ids = shop.products.join(promo_line, "CategoryID", "left_semi").select("ProductID")
@@ -477,7 +507,7 @@ def product_patches(shop) -> DataFrame:
                                          .cast("decimal(10,2)").cast("string")))
              .when(k == 1, F.create_map(F.lit("ProductName"), F.upper("ProductName"),
                                         F.lit("ImageURL"), F.lit(None).cast("string")))
-             .otherwise(F.create_map(F.lit("StockQuantity"), F.lit("0"))))
+             .otherwise(F.create_map(F.lit("StockQuantity"), F.when(F.col("ProductID") % 5 == 0, F.lit("many")).otherwise(F.lit("0")))))
     pid = F.when(F.col("StockQuantity") == 0, F.col("ProductID") + F.lit(1_000_000_000)).otherwise(F.col("ProductID"))
     return p.select(pid.alias("ProductID"), patch.alias("patch"))
 
@@ -575,6 +605,8 @@ def _integrity(spark, d):
 QUERIES.update({
     "add_promocodes_added": lambda spark, d: _add_promos(spark, d).tables["added"],
     "add_promocodes_rejects": lambda spark, d: _add_promos(spark, d).rejects.select("event_id", "reason"),
+    "add_promocodes_at_request_added": lambda spark, d: _add_promos_at_request(spark, d).tables["added"],
+    "add_promocodes_at_request_rejects": lambda spark, d: _add_promos_at_request(spark, d).rejects.select("event_id", "reason"),
     "add_promocodes_doc_added": lambda spark, d: _add_promos_doc(spark, d).tables["added"],
     "delete_promocodes_promos": lambda spark, d: _delete_promos(spark, d).tables["promocodes"],
     "delete_promocodes_orders": lambda spark, d: _delete_promos(spark, d).tables["orders"],

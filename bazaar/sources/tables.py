@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.functions.exprs import MONEY
-from bazaar.operators.joins import checked_broadcast, literal_dimension
+from bazaar.operators.joins import literal_dimension
 
 L, I, S, B, TS = T.LongType(), T.IntegerType(), T.StringType(), T.BooleanType(), T.TimestampType()
 
@@ -83,7 +83,7 @@ class Shop:
     """
 
     TABLES = ("products", "categories", "promocodes", "users", "roles", "user_roles", "favorites",
-              "orders", "order_statuses", "order_items", "cart_events", "logs")
+              "orders", "order_statuses", "order_items", "cart_events", "logs", "named_products")
 
     def __init__(self, **tables):
         self._made: dict[str, DataFrame | None] = {}
@@ -103,6 +103,8 @@ class Shop:
             raise AttributeError(name)
         if name not in self._made:
             self._made[name] = self._factories[name]()
+        if name == "named_products" and self._made[name] is None:
+            self._made[name] = self.products.join(self.categories, "CategoryID", "inner")
         return self._made[name]
 
     @property
@@ -181,13 +183,15 @@ def load_shop(spark: SparkSession, sf_dir: str, promocodes: DataFrame | None = N
 
     def categories():
         if "categories" not in made:
-            made["categories"] = checked_broadcast(categories_from_part(rd("part")))
+            made["categories"] = categories_from_part(rd("part"))
         return made["categories"]
 
-    def products():
+    def named_products():
+        """Products with their category's name: id and name come with one join."""
         part, cats = rd("part"), categories()
         return (part.join(cats, part["p_type"] == cats["CategoryName"], "inner")
                 .select(
+                    "CategoryName",
                     F.col("p_partkey").alias("ProductID"),
                     F.col("p_name").alias("ProductName"),
                     F.concat(F.col("p_brand"), F.lit(" "), F.col("p_type"), F.lit(" size "),
@@ -199,6 +203,9 @@ def load_shop(spark: SparkSession, sf_dir: str, promocodes: DataFrame | None = N
                            F.concat(F.lit("C:/shop/images/"), F.col("p_partkey").cast("string"),
                                     F.lit(".jpg"))).alias("ImageURL")))
 
+    def products():
+        return named_products().drop("CategoryName")
+
     def users():
         return rd("customer").select(
             F.col("c_custkey").alias("UserID"),
@@ -249,7 +256,7 @@ def load_shop(spark: SparkSession, sf_dir: str, promocodes: DataFrame | None = N
                 .select(F.col("user_id").alias("UserID"), product_key.alias("ProductID")))
 
     return Shop(
-        products=products, categories=categories,
+        products=products, named_products=named_products, categories=categories,
         promocodes=(lambda: promocodes) if promocodes is not None else (lambda: promo_fixture(spark)),
         users=users, roles=lambda: roles_frame(spark), user_roles=user_roles, favorites=favorites,
         orders=orders, order_statuses=lambda: statuses_frame(spark), order_items=order_items,

@@ -7,10 +7,11 @@ import random
 
 import pytest
 
+from bazaar.operators import catalog as C
 from bazaar.operators import writes as W
 from bazaar.plans.registry import QUERIES
 from bazaar.sources import tables as Tb
-from conftest import rows
+from conftest import AS_OF, rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,21 +96,13 @@ def test_deletes_do_not_shuffle_raw_rows_on_hot_keys(spark):
     assert "LeftOuter, BuildRight" in orders and "SortMergeJoin" not in orders
 
 
-def test_categories_are_read_again_after_another_writer(spark, tmp_path):
-    from bazaar.operators.joins import checked_broadcast
-    path = str(tmp_path / "categories")
-    spark.createDataFrame([(1, "a")], Tb.CATEGORIES).coalesce(1).write.parquet(path)
-    assert checked_broadcast(spark.read.parquet(path)).count() == 1
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    pq.write_table(pa.table({"CategoryID": [2, 3], "CategoryName": ["b", "c"]}), f"{path}/other-writer.parquet")
-    assert checked_broadcast(spark.read.parquet(path)).count() == 3
-
-
-def test_a_side_over_the_bound_is_neither_cached_nor_hinted(spark):
-    from bazaar.operators.joins import checked_broadcast
-    df = spark.range(50)
-    out = checked_broadcast(df, max_rows=10)
-    assert out is df and not df.is_cached and not df.storageLevel.useMemory
-    small = checked_broadcast(df, max_rows=50)
-    assert not df.is_cached and not small.is_cached
+def test_no_job_runs_while_a_catalog_plan_is_built(spark, tmp_path):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans")
+    try:
+        shop = Tb.load_shop(spark, SF)
+        built = [C.catalog(shop, AS_OF), C.search_products(shop, "small", AS_OF), C.catalog_page(shop, 1, 52, AS_OF), C.promocodes(shop)]
+        assert tracker.getJobIdsForGroup("building") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert executed_plan(built[0]).count("FileScan parquet") + executed_plan(built[0]).count("Scan parquet") >= 2
