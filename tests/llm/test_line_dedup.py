@@ -112,3 +112,12 @@ def test_pairs_at_the_threshold_are_found_at_any_length(spark):
     rows = [(2 * i + j, ln) for i, p in enumerate(pairs) for j, ln in enumerate(p)]
     kept = {r.doc_id for r in L.dedup_lines(docs(spark, rows)).collect() if r.n_kept}
     assert sum(2 * i + 1 not in kept for i in range(len(pairs))) >= 390
+
+
+def test_open_buckets_meet_all_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 4)
+    rng = random.Random(3)
+    members = [(k, i, rng.randrange(5)) for k, n in ((1, 30), (2, 3), (3, 9)) for i in rng.sample(range(40), n)]
+    got = [(r.a, r.b) for r in L._open_pairs(spark.createDataFrame(members, "key long, id long, c long")).collect()]
+    want = {(min(i, j), max(i, j)) for k, i, c in members for q, j, d in members if k == q and c != d}
+    assert set(got) == want and len(got) == len(want)
