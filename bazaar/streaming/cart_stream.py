@@ -1,187 +1,202 @@
-"""T4: the cart fold (D2) run incrementally with Structured Streaming.
-
-State.  What later events can still change is kept, not only the
-quantities: per (user, product) the last reset (set / remove / starting
-line) and the deltas after it, as event rows.  Folding the state gives the
-carts, and a new event meets every event it could concern, so the result
-does not depend on the order in which files arrive: it is that of the batch
-fold over all events.  ``lateness`` bounds the state: events older than the
-newest event seen less ``lateness`` are folded into one row per key, and
-such events that arrive after that go to the ``late`` table instead.
-Events of users without the User role go to ``rejects``.
-
-Layout.  State rows are split into ``buckets`` by a hash of (UserID,
-ProductID).  Batch n rewrites only the buckets its events touch, under
-``state/v=<n>/__b=<bucket>``, in as many tasks as the shuffle has partitions,
-and writes a manifest ``manifest/v=<n>`` that names, for every
-bucket, the version holding its latest rows.  Batch n always starts from
-manifest n-1, so a batch replayed after a failure rewrites the same version
-from the same input (idempotent).  The last manifest is found on storage,
-so a restart without new files returns the carts as they were left.  The
-manifest has one row per bucket, so reading it on the driver is bounded.
+"""T4: the cart fold (D2) run incrementally on Spark's own streaming state.
+
+``transformWithState`` keeps, per (UserID, ProductID), what later events can still
+change: the events since the last reset (set / remove / starting line) as a
+list state, and the folded line as a value state, so a new event meets every event it could
+concern and the result does not depend on the order in which files arrive:
+it is that of the batch fold over all events.  The state schema is declared
+in ``CartProcessor.init``; the carts are read from the state store with the
+``statestore`` source, so nothing else is written for them.
+
+``lateness`` bounds the state by Spark's watermark: an event-time timer per
+key folds events behind the watermark into one base row, and events that
+arrive behind it go to the ``late`` table.  Events of users without the User
+role go to ``rejects``.  Both are parquet sinks, written exactly once.
+
+State is partitioned by the key and stored by RocksDB with changelogs under
+the query's checkpoint folder; a replayed micro-batch starts from the last
+committed version, and the number of state partitions is the session's
+``spark.sql.shuffle.partitions`` at the first start.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from bazaar.operators.writes import KEYS, NOT_A_SHOP_USER, event_position, fold_cart_events
 from bazaar.operators.users import users_with_role
-from bazaar.sources.tables import CART_EVENTS
+from bazaar.operators.writes import KEYS, NOT_A_SHOP_USER
+from bazaar.sources.tables import CART_EVENTS, CART_ITEMS
 
-MANIFEST = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("path", T.StringType()),
-                         T.StructField("newest", T.TimestampType())])
 REASONED = T.StructType([*CART_EVENTS.fields, T.StructField("reason", T.StringType())])
 LATE = "late event"
-_BUCKET_DIR = re.compile(r"/__b=(\d+)/")
-_VERSION = re.compile(r"/v=(\d+)/?$")
 
-
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64(*[F.col(k) for k in KEYS]), F.lit(buckets)).cast("int")
-
-
-def _version(root: str, kind: str, batch_id: int) -> str:
-    return f"{root.rstrip('/')}/{kind}/v={batch_id:012d}"
-
-
-def last_version(spark: SparkSession, root: str) -> int | None:
-    """Number of the last complete manifest on storage; None before the first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/manifest/v=*/_SUCCESS")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    names = [_VERSION.search(f.getPath().getParent().toString()) for f in (found or [])]
-    return max((int(m.group(1)) for m in names if m), default=None)
-
-
-def read_manifest(spark: SparkSession, root: str, batch_id: int) -> tuple[dict[int, str], dt.datetime | None]:
-    rows = spark.read.schema(MANIFEST).parquet(_version(root, "manifest", batch_id)).collect()
-    return ({r["bucket"]: r["path"] for r in rows if r["bucket"] >= 0}, next((r["newest"] for r in rows if r["bucket"] < 0), None))
-
-
-def read_state(spark: SparkSession, manifest: dict[int, str], buckets: list[int] | None = None) -> DataFrame:
-    """State rows (events) of the given buckets."""
-    paths = sorted({p for b, p in manifest.items() if p and (buckets is None or b in buckets)})
-    if not paths:
-        return spark.createDataFrame([], CART_EVENTS)
-    return spark.read.schema(CART_EVENTS).parquet(*paths)
+#: State of a key: the events that are not closed yet, and the line they and the closed ones fold to.
+OPEN = "event_id long, at long, op string, qty int"
+LINE = "quantity int, present boolean"
+
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass",
+             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Place of a starting line: before every time; events without a time stand before it.
+_FIRST = -(2 ** 62)
+_UNTIMED = _FIRST - 1
+
+
+def _since_reset(events: list[tuple]) -> list[tuple]:
+    """(at, event_id, op, qty) in time order from the last reset on."""
+    events = sorted(events, key=lambda e: e[:2])
+    last = max((i for i, e in enumerate(events) if e[2] != "delta"), default=0)
+    return events[last:]
+
+
+def _line(events: list[tuple]) -> tuple[int, bool]:
+    """(quantity, whether there is a line) after events from ``_since_reset``."""
+    quantity, present = 0, False
+    for _, _, op, qty in events:
+        if op == "delta":
+            quantity, present = quantity + (qty or 0), True
+        elif op == "base" or (op == "set" and qty is not None and qty > 0):
+            quantity, present = qty, True
+        else:
+            quantity, present = 0, False
+    return quantity, present
+
+
+class CartProcessor(StatefulProcessor):
+    """Folds the events of one (UserID, ProductID); emits the events that came too late."""
+
+    def __init__(self, closing: bool):
+        self.closing = closing
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", OPEN)
+        self.line = handle.getValueState("line", LINE)
+
+    def _held(self) -> list[tuple]:
+        return [(r[1], r[0], r[2], r[3]) for r in self.open.get()] if self.open.exists() else []
+
+    def _keep(self, events: list[tuple]) -> None:
+        events = _since_reset(events)
+        self.line.update(_line(events))
+        self.open.put([(i, at, op, q) for at, i, op, q in events])
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self._keep([(_FIRST, -(2 ** 63), "base", initialState["Quantity"])])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        closed = timerValues.getCurrentWatermarkInMs() * 1000 if self.closing else None
+        events = self._held()
+        before = len(events)
+        for r in rows:
+            at = _UNTIMED if r["at"] is None else r["at"]
+            if closed is not None and _FIRST < at < closed:
+                yield Row(event_id=r["event_id"], at=r["at"], UserID=key[0], ProductID=key[1], op=r["op"], qty=r["qty"])
+            else:
+                events.append((at, r["event_id"], r["op"], r["qty"]))
+        if len(events) > before:
+            self._keep(events)
+            if self.closing:
+                # the first moment at which an event of this key can be closed
+                self.handle.registerTimer(max(min(e[0] for e in events) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Fold the events behind the watermark into one base row at the place of the last of them."""
+        closed = timerValues.getCurrentWatermarkInMs() * 1000
+        events = _since_reset(self._held())
+        old = [e for e in events if e[0] < closed]
+        rest = events[len(old):]
+        quantity, present = _line(old)
+        if old and present:
+            rest = [(old[-1][0], old[-1][1], "base", quantity), *rest]
+        if rest or not old:
+            self._keep(rest)
+        else:                     # closed without a line: nothing later can bring it back but a new event
+            self.open.clear()
+            self.line.clear()
+        if any(e[0] >= closed for e in rest):
+            self.handle.registerTimer(min(e[0] for e in rest if e[0] >= closed) // 1000 + 1)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """The state store provider that transformWithState needs, for queries started inside."""
+    name, value = _PROVIDER
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def fold_stream(events: DataFrame, lateness: dt.timedelta | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """The late events of a stream of cart events, folding the others into the state of the query."""
+    timed = events
+    if lateness is not None:
+        timed = timed.withWatermark("ts", f"{int(lateness.total_seconds() * 1000)} milliseconds")
+    # the time goes on as a number: Spark would drop late rows by a time column, here they are answered
+    rows = timed.select("event_id", F.unix_micros("ts").alias("at"), *KEYS, "op", "qty")
+    start = None if initial is None else initial.select(*KEYS, "Quantity").groupBy(*KEYS)
+    out = rows.groupBy(*KEYS).transformWithState(
+        CartProcessor(lateness is not None), "event_id long, at long, UserID long, ProductID long, op string, qty int", "Append",
+        "EventTime" if lateness is not None else "None", initialState=start)
+    return out.select("event_id", F.timestamp_micros("at").alias("ts"), *KEYS, "op", "qty", F.lit(LATE).alias("reason"))
+
+
+def _state(root: str) -> str:
+    return f"{root.rstrip('/')}/checkpoint/carts"
 
 
 def read_carts(spark: SparkSession, root: str) -> DataFrame:
-    """The carts as the last complete batch left them."""
-    last = last_version(spark, root)
-    state = read_state(spark, {} if last is None else read_manifest(spark, root, last)[0])
-    return fold_cart_events(state).items
+    """The carts as the last committed batch left them, read from the state store."""
+    with _rocksdb(spark):
+        state = spark.read.format("statestore").option("path", _state(root)).option("stateVarName", "line").load()
+    return (state.where("value.present").select(F.col("key.UserID").alias("UserID"), F.col("key.ProductID").alias("ProductID"),
+                                                F.col("value.quantity").alias("Quantity")))
 
 
 def read_side(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """The ``rejects`` or ``late`` events of all complete batches."""
-    last = last_version(spark, root)
-    if last is None:
-        return spark.createDataFrame([], REASONED)
-    return spark.read.schema(REASONED).parquet(*[_version(root, kind, v) for v in range(last + 1)])
-
-
-def _prune(events: DataFrame) -> DataFrame:
-    """The last reset of every key and the events after it."""
-    ev = events.withColumn("__pos", event_position(F.col("ts"), F.col("event_id")))
-    reset = ev.filter(F.col("op") != "delta").groupBy(*KEYS).agg(F.max("__pos").alias("__reset"))
-    return (ev.join(reset, KEYS, "left").filter(F.col("__reset").isNull() | (F.col("__pos") >= F.col("__reset")))
-            .select(*[f.name for f in CART_EVENTS]))
-
-
-def _compact(events: DataFrame, before: dt.datetime) -> DataFrame:
-    """Events older than ``before`` as one ``base`` row per key, the others as they are."""
-    old = events.filter(F.col("ts") < F.lit(before))
-    last = old.groupBy(*KEYS).agg(F.max(F.struct("ts", "event_id")).alias("p"))
-    base = (fold_cart_events(old).items.join(last, KEYS, "inner")
-            .select("p.event_id", "p.ts", *KEYS, F.lit("base").alias("op"), F.col("Quantity").alias("qty")))
-    # a key whose old events leave no line still needs its place in time only for newer events, which come later anyway
-    return base.unionByName(events.filter(F.col("ts").isNull() | (F.col("ts") >= F.lit(before))))
-
-
-def make_batch_folder(root: str, user_roles: DataFrame | None = None, roles: DataFrame | None = None,
-                      initial: DataFrame | None = None, buckets: int = 16, lateness: dt.timedelta | None = None):
-    """The ``foreachBatch`` function: fold one micro-batch onto the state."""
-
-    def fold_batch(events: DataFrame, batch_id: int) -> None:
-        spark = events.sparkSession
-        manifest, newest = ({}, None) if batch_id == 0 else read_manifest(spark, root, batch_id - 1)
-        ev = events.select(*[f.name for f in CART_EVENTS]).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            _fold(spark, ev, batch_id, manifest, newest)
-        finally:
-            ev.unpersist()
-
-    def _fold(spark: SparkSession, ev: DataFrame, batch_id: int, manifest: dict[int, str], newest: dt.datetime | None) -> None:
-        reasoned = [f.name for f in REASONED]
-        rejects = ev.limit(0).withColumn("reason", F.lit(None).cast("string"))
-        good = ev
-        if user_roles is not None and roles is not None:
-            shop_users = users_with_role(user_roles, roles, "User")
-            rejects = ev.join(shop_users, "UserID", "left_anti").withColumn("reason", F.lit(NOT_A_SHOP_USER))
-            good = ev.join(shop_users, "UserID", "left_semi").select(*ev.columns)
-        late = good.limit(0).withColumn("reason", F.lit(None).cast("string"))
-        closed = None if lateness is None or newest is None else newest - lateness
-        if closed is not None:
-            late = good.filter(F.col("ts") < F.lit(closed)).withColumn("reason", F.lit(LATE))
-            good = good.filter(F.col("ts").isNull() | (F.col("ts") >= F.lit(closed)))
-        rejects.select(*reasoned).write.mode("overwrite").parquet(_version(root, "rejects", batch_id))
-        late.select(*reasoned).write.mode("overwrite").parquet(_version(root, "late", batch_id))
-
-        if batch_id == 0 and initial is not None:
-            good = good.unionByName(initial.select(
-                F.lit(-(2 ** 63)).cast("long").alias("event_id"), F.lit(dt.datetime(1, 1, 1)).cast("timestamp").alias("ts"), *KEYS,
-                F.lit("base").alias("op"), F.col("Quantity").cast("int").alias("qty")))
-        touched = sorted(r["__b"] for r in good.select(_bucket(buckets).alias("__b")).distinct().collect())   # at most `buckets`
-        # only a bounded lateness needs the newest time: one scalar
-        top = good.agg(F.max("ts").alias("m")).first()["m"]
-        newest = max((t for t in (newest, top) if t is not None), default=None)
-        state = _prune(good.unionByName(read_state(spark, manifest, touched)))
-        if lateness is not None and newest is not None:
-            state = _compact(state, newest - lateness)
-        out = _version(root, "state", batch_id)
-        # As many tasks as the shuffle has partitions: a bucket is split over several files when there are fewer buckets.
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(touched) or 1)
-        split = F.pmod(F.hash(*KEYS), F.lit(-(-tasks // (len(touched) or 1))))
-        (state.withColumn("__b", _bucket(buckets)).repartition(tasks, "__b", split)
-         .write.mode("overwrite").partitionBy("__b").parquet(out))
-        written = {}
-        for f in spark.read.schema(CART_EVENTS).parquet(out).inputFiles():
-            m = _BUCKET_DIR.search(f)
-            if m:
-                written[int(m.group(1))] = f"{out}/__b={m.group(1)}"
-        for b in touched:
-            manifest[b] = written.get(b)          # None: the bucket became empty
-        rows = [(b, p, None) for b, p in sorted(manifest.items())] + [(-1, None, newest)]
-        spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(
-            _version(root, "manifest", batch_id))
-
-    return fold_batch
+    return spark.read.schema(REASONED).parquet(f"{root.rstrip('/')}/{kind}")
+
+
+def _run(stream: DataFrame, root: str, kind: str, name: str) -> None:
+    q = (stream.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{root.rstrip('/')}/checkpoint/{name}")
+         .trigger(availableNow=True).start(f"{root.rstrip('/')}/{kind}"))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
 
 
 def run_cart_stream(spark: SparkSession, source_dir: str, root: str, user_roles: DataFrame | None = None,
                     roles: DataFrame | None = None, max_files_per_trigger: int | None = 1,
-                    initial: DataFrame | None = None, buckets: int = 16, lateness: dt.timedelta | None = None) -> DataFrame:
+                    initial: DataFrame | None = None, lateness: dt.timedelta | None = None) -> DataFrame:
     """Fold every new cart-event parquet file under ``source_dir``
     (``max_files_per_trigger`` files per micro-batch) and return the carts.
-    Run again later, it goes on where it stopped."""
+    Run again later, it goes on where it stopped.  ``initial``: starting
+    carts, taken up by the first run."""
     reader = spark.readStream.schema(CART_EVENTS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    q = (reader.parquet(source_dir).writeStream
-         .foreachBatch(make_batch_folder(root, user_roles, roles, initial, buckets, lateness))
-         .option("checkpointLocation", f"{root.rstrip('/')}/checkpoint")
-         .trigger(availableNow=True)
-         .start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    if last_version(spark, root) is None and initial is not None:
-        return initial.select(*KEYS, "Quantity")
+    names = [f.name for f in CART_EVENTS]
+    good = reader.parquet(source_dir).select(*names)
+    if user_roles is not None and roles is not None:
+        shop_users = users_with_role(user_roles, roles, "User").select("UserID").distinct()
+        refused = good.join(shop_users.withColumn("__user", F.lit(True)), "UserID", "left").where("__user is null")
+        _run(refused.select(*names, F.lit(NOT_A_SHOP_USER).alias("reason")), root, "rejects", "rejects")
+        good = good.join(shop_users, "UserID").select(*names)
+    with _rocksdb(spark):
+        _run(fold_stream(good, lateness, initial), root, "late", "carts")
     return read_carts(spark, root)

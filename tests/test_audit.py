@@ -103,21 +103,6 @@ def test_cart_stream_equals_batch(spark):
     assert rows(state) == rows(batch)
 
 
-def test_cart_stream_rewrites_only_touched_buckets(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    first = [(i, t0, u, p, "delta", 1) for i, (u, p) in enumerate((u, p) for u in range(1, 9) for p in range(1, 9))]
-    second = [(1000, t0 + dt.timedelta(1), 1, 1, "delta", 5)]
-    root = AS.stream_root(spark, "test-cart-buckets")
-    spark.createDataFrame(first, Tb.CART_EVENTS).coalesce(1).write.mode("append").parquet(f"{root}/src")
-    spark.createDataFrame(second, Tb.CART_EVENTS).coalesce(1).write.mode("append").parquet(f"{root}/src")
-    state = CS.run_cart_stream(spark, f"{root}/src", root, buckets=8)
-    m0, m1 = CS.read_manifest(spark, root, 0)[0], CS.read_manifest(spark, root, 1)[0]
-    changed = [b for b in m1 if m1[b] != m0.get(b)]
-    assert len(changed) == 1 and "/v=000000000001/" in m1[changed[0]]
-    batch = W.fold_cart_events(spark.createDataFrame(first + second, Tb.CART_EVENTS)).items
-    assert rows(state) == rows(batch) and (1, 1, 6) in rows(state)
-
-
 def cart_events(n, seed):
     import random
     rnd = random.Random(seed)
@@ -138,11 +123,11 @@ def test_cart_stream_in_any_order_and_after_a_restart_equals_batch(spark):
     root = AS.stream_root(spark, "test-cart-mixed")
     put(spark, root, mixed[:100])
     put(spark, root, mixed[100:250])
-    first = rows(CS.run_cart_stream(spark, f"{root}/src", root, buckets=4))
+    first = rows(CS.run_cart_stream(spark, f"{root}/src", root))
     assert first == rows(W.fold_cart_events(spark.createDataFrame(mixed[:250], Tb.CART_EVENTS)).items)
-    assert rows(CS.run_cart_stream(spark, f"{root}/src", root, buckets=4)) == first      # restart without new files
+    assert rows(CS.run_cart_stream(spark, f"{root}/src", root)) == first      # restart without new files
     put(spark, root, mixed[250:])
-    last = rows(CS.run_cart_stream(spark, f"{root}/src", root, buckets=4))
+    last = rows(CS.run_cart_stream(spark, f"{root}/src", root))
     assert last == rows(W.fold_cart_events(spark.createDataFrame(ev, Tb.CART_EVENTS)).items)
 
 
@@ -154,7 +139,7 @@ def test_cart_stream_late_and_rejected_events(spark):
     root = AS.stream_root(spark, "test-cart-late")
     newer, older = ev[150:], ev[:150]
     slack = dt.timedelta(minutes=200)
-    gate = dict(user_roles=shop.user_roles, roles=shop.roles, lateness=slack, buckets=4)
+    gate = dict(user_roles=shop.user_roles, roles=shop.roles, lateness=slack)
     put(spark, root, newer)
     CS.run_cart_stream(spark, f"{root}/src", root, **gate)
     put(spark, root, older)
@@ -167,6 +152,22 @@ def test_cart_stream_late_and_rejected_events(spark):
     assert got == rows(W.fold_cart_events(spark.createDataFrame(kept, Tb.CART_EVENTS)).items)
 
 
+def test_cart_stream_closes_events_behind_the_watermark(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    root = AS.stream_root(spark, "test-cart-closing")
+    old = [(i, t0 + dt.timedelta(minutes=i), 1, 1, "delta", 1) for i in range(50)] + [(60, t0, 2, 2, "remove", None), (61, None, 3, 3, "delta", 2)]
+    put(spark, root, old)
+    put(spark, root, [(100, t0 + dt.timedelta(days=2), 9, 9, "set", 1)])
+    slack = dt.timedelta(hours=1)
+    assert rows(CS.run_cart_stream(spark, f"{root}/src", root, lateness=slack)) == [(1, 1, 50), (3, 3, 2), (9, 9, 1)]
+    put(spark, root, [(101, t0 + dt.timedelta(days=2), 1, 1, "delta", 5), (102, t0, 1, 1, "set", 7)])
+    assert rows(CS.run_cart_stream(spark, f"{root}/src", root, lateness=slack)) == [(1, 1, 55), (3, 3, 2), (9, 9, 1)]
+    assert rows(CS.read_side(spark, root, "late"), "event_id", "ts") == [(102, t0)]
+    with CS._rocksdb(spark):
+        held = spark.read.format("statestore").option("path", f"{root}/checkpoint/carts").option("stateVarName", "open").load()
+    assert held.count() <= 4      # a base row and the new event of key 1, one row of keys 3 and 9
+
+
 def test_cart_stream_starts_from_initial_carts(spark):
     root = AS.stream_root(spark, "test-cart-initial")
     start = spark.createDataFrame([(1, 1, 4), (2, 1, -1)], Tb.CART_ITEMS)
