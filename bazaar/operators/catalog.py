@@ -25,7 +25,7 @@ from bazaar.sources.tables import Shop
 
 DEFAULT_PAGE_SIZE = 52
 
-_CATALOG_COLS = ["ProductID", "ProductName", "Description", "CategoryName", "Price",
+CATALOG_COLS = ["ProductID", "ProductName", "Description", "CategoryName", "Price",
                  "DiscountedPrice", "StockQuantity", "ImageURL"]
 _DETAIL_COLS = ["ProductID", "ProductName", "Description", "CategoryID", "CategoryName", "Price",
                 "DiscountedPrice", "StockQuantity", "ImageURL"]
@@ -63,7 +63,7 @@ def priced_products(shop: Shop, as_of, policy: str = "all", products: DataFrame
 
 # J1 -------------------------------------------------------------------------
 def catalog(shop: Shop, as_of, policy: str = "all") -> DataFrame:
-    return priced_products(shop, as_of, policy).select(*_CATALOG_COLS)
+    return priced_products(shop, as_of, policy).select(*CATALOG_COLS)
 
 
 def catalog_at(shop: Shop, views: DataFrame, at: str = "ts", raw: bool = False) -> DataFrame:
@@ -108,7 +108,7 @@ def catalog_by_category(shop: Shop, category_ids: DataFrame, as_of) -> DataFrame
     the category filter is applied to products before any join."""
     wanted = shop.named_products.join(category_ids.select("CategoryID").distinct(), "CategoryID", "left_semi")
     return priced_products(shop, as_of, products=wanted).select(
-        "CategoryID", *_CATALOG_COLS)
+        "CategoryID", *CATALOG_COLS)
 
 
 # J4 -------------------------------------------------------------------------
@@ -116,10 +116,10 @@ def search_products(shop: Shop, keyword: str | None, as_of, escape: bool = False
     """Keyword search over name, description and category name, with the
     unrounded promo price.  A blank keyword gives an empty result."""
     if keyword_pattern(keyword, escape) is None:
-        return priced_products(shop, as_of, raw=True).select(*_CATALOG_COLS).limit(0)
+        return priced_products(shop, as_of, raw=True).select(*CATALOG_COLS).limit(0)
     rows = priced_products(shop, as_of, raw=True)
     return (rows.filter(keyword_match(["ProductName", "Description", "CategoryName"], keyword, escape))
-            .select(*_CATALOG_COLS))
+            .select(*CATALOG_COLS))
 
 
 # J8 -------------------------------------------------------------------------
@@ -224,10 +224,10 @@ def catalog_page_after(shop: Shop, last_product_id, size, as_of) -> DataFrame:
 def search_page(shop: Shop, keyword: str | None, page, size, as_of) -> DataFrame:
     start, n = page_bounds(page, size)
     if keyword_pattern(keyword) is None:
-        return priced_products(shop, as_of, raw=True).select(*_CATALOG_COLS).limit(0)
+        return priced_products(shop, as_of, raw=True).select(*CATALOG_COLS).limit(0)
     rows = priced_products(shop, as_of, raw=True).filter(
         keyword_match(["ProductName", "Description", "CategoryName"], keyword))
-    return rows.orderBy(*_page_order()).offset(start).limit(n).select(*_CATALOG_COLS)
+    return rows.orderBy(*_page_order()).offset(start).limit(n).select(*CATALOG_COLS)
 
 
 # L3 -------------------------------------------------------------------------
@@ -247,7 +247,7 @@ def category_page(shop: Shop, category_ids: DataFrame, page, size, as_of) -> Dat
     return (rows.withColumn("rn", rn)
             .filter(F.col("rn") <= start + n)
             .filter(F.col("rn") > start)
-            .select("CategoryID", *_CATALOG_COLS, F.col("rn").cast("long").alias("RowInCategory")))
+            .select("CategoryID", *CATALOG_COLS, F.col("rn").cast("long").alias("RowInCategory")))
 
 
 # L4 -------------------------------------------------------------------------

@@ -122,6 +122,7 @@ QUERIES: dict[str, Query] = {
 
 # Catalog ----------------------------------------------------------------------
 from bazaar.operators import catalog as C  # noqa: E402
+from bazaar.operators import search as S  # noqa: E402
 from bazaar.operators import users as U  # noqa: E402
 from bazaar.sources.tables import AS_OF  # noqa: E402
 
@@ -154,6 +155,22 @@ def _q_search_products(spark, d):
     return C.search_products(load_shop(spark, d), SEARCH_KEYWORD, AS_OF)
 
 
+#: Keywords with wildcards, classes, no match and nothing but blanks (fixed values).
+SEARCH_PATTERNS = ["sm_ll", "%tin", "no such thing", "  ", "x", "[a-c]rass", "pol%steel", "_", " SIZE 1[0-2] ", "zz", "[oops", "a"]
+
+
+def search_keywords(spark, d) -> DataFrame:
+    """Every word of the category names, every nation's name, and the fixed patterns."""
+    words = load_shop(spark, d).categories.select(F.explode(F.split("CategoryName", " ")).alias("Keyword"))
+    names = read_table(spark, d, "nation").select(F.col("n_name").alias("Keyword"))
+    fixed = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in SEARCH_PATTERNS])).alias("Keyword"))
+    return words.unionByName(names).unionByName(fixed)
+
+
+def _q_search_many(spark, d):
+    return S.search_many(load_shop(spark, d), search_keywords(spark, d), AS_OF)
+
+
 def _batch_shop(spark, d):
     """The shop with its promo table after the events-driven promo batch."""
     shop = load_shop(spark, d)
@@ -253,6 +270,7 @@ QUERIES.update({
     "product_details": _q_product_details,
     "catalog_by_category": _q_catalog_by_category,
     "search_products": _q_search_products,
+    "search_many": _q_search_many,
     "promocodes": _q_promocodes,
     "promo_by_code": _q_promo_by_code,
     "promo_by_code_at_request": _q_promo_by_code_at_request,

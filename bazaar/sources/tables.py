@@ -43,6 +43,7 @@ LOGS = _schema(("LogID", L), ("UserID", L), ("Action", S), ("Timestamp", TS))
 
 # Schemas of the driver tables read here (explicit: no footer inference).
 DRIVER_SCHEMAS = {
+    "nation": _schema(("n_nationkey", I), ("n_name", S), ("n_regionkey", I)),
     "part": _schema(("p_partkey", L), ("p_name", S), ("p_brand", S), ("p_type", S), ("p_size", I),
                     ("p_retailprice", T.DoubleType())),
     "customer": _schema(("c_custkey", L), ("c_name", S), ("c_nationkey", I), ("c_acctbal", T.DoubleType()),
