@@ -16,6 +16,9 @@ SHINGLE = 5
 #: 0.993), 99.9 % at 0.85, all at 0.9.
 ROWS = 5
 SIDE = 5
+#: Signatures of a pair may differ in so many of their MinHashes, told by four bits of each: of pairs at similarity 0.8 one in
+#: ten thousand is beyond it, of unlike lines (0.1) all but a few in ten thousand.
+DIFFERING = 13
 #: Rows of one side of a bucket that are compared in one task (a bound on work, not a cap: larger buckets go block by block).
 BLOCK = 512
 
@@ -36,103 +39,142 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, pos, n, k1, k2) per line that is not blank; n is the normalised line, k1 and k2 a 128-bit hash of it."""
+    """(doc, pos, n, node) per line that is not blank; n is the normalised line, node a 64-bit hash of it.
+
+    Lines are named by their hash: two different lines among n share one
+    with a probability of n * n / 2 ** 65 (two in ten million for a million lines).
+    """
     lines = (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
              .select("doc", "pos", normal_line(F.col("line")).alias("n")).where("n != ''"))
-    return lines.select("doc", "pos", "n", F.xxhash64("n").alias("k1"), F.xxhash64(F.lit(1), F.col("n")).alias("k2"))
+    return lines.select("doc", "pos", "n", F.xxhash64("n").alias("node"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, bands) of (id, line): the band keys of every line's MinHash signature.
+    """(node, bands, s0, s1) per node of (node, n): the band keys of its MinHash signature, and four bits of every MinHash.
 
     The signature covers all character shingles of the line, those of the
     exact test, so a MinHash is equal in two lines with their Jaccard
     similarity as probability, whatever the length of the lines and wherever
     they were edited.  Shingles are exploded and the MinHashes are ``min``
-    aggregates over them, all in generated code; a line's rows never leave
-    its task before they are reduced to one.
+    aggregates over them, all in generated code; a line's shingles are
+    reduced to one row before they leave their task, and copies of a line to
+    one row per task.
     """
-    coded = lines.select("id", F.encode("line", "UTF-32").alias("b"))         # four bytes a character
-    spots = coded.select("id", "b", F.explode(F.expr(f"sequence(0, greatest(octet_length(b) div 4 - {SHINGLE}, 0))")).alias("at"))
-    hashed = spots.select("id", F.expr(f"xxhash64(substring(b, 4 * at + 1, {4 * SHINGLE}))").alias("h"))
-    rows = hashed.select("id", *[F.xxhash64("h", F.lit(i)).alias(f"h{i}") for i in range(ROWS)])
+    coded = lines.select("node", F.encode("n", "UTF-32").alias("b"))         # four bytes a character
+    spots = coded.select("node", "b", F.explode(F.expr(f"sequence(0, greatest(octet_length(b) div 4 - {SHINGLE}, 0))")).alias("at"))
+    hashed = spots.select("node", F.expr(f"xxhash64(substring(b, 4 * at + 1, {4 * SHINGLE}))").alias("h"))
+    rows = hashed.select("node", *[F.xxhash64("h", F.lit(i)).alias(f"h{i}") for i in range(ROWS)])
 
     def turned(row: int, column: int) -> Column:
         k = 64 * column // SIDE
         h = F.col(f"h{row}")
         return h if not k else F.shiftleft(h, k).bitwiseOR(F.shiftrightunsigned(h, 64 - k))
 
-    mins = rows.groupBy("id").agg(*[F.min(turned(i, j)).alias(f"m{i}_{j}") for i in range(ROWS) for j in range(SIDE)])
+    mins = rows.groupBy("node").agg(*[F.min(turned(i, j)).alias(f"m{i}_{j}") for i in range(ROWS) for j in range(SIDE)])
     bands = [F.xxhash64(F.lit(SIDE * slope + first), *[F.col(f"m{i}_{(first + slope * i) % SIDE}") for i in range(ROWS)])
              for slope in range(SIDE) for first in range(SIDE)]
-    return mins.select("id", F.array(*bands).alias("bands"))
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) whose lines reach the threshold, by the exact sets of their shingles."""
-    la, lb = (lines.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
+    cells = [F.col(f"m{i}_{j}").bitwiseAND(F.lit(15)) for i in range(ROWS) for j in range(SIDE)]
+
+    def packed(some: list[Column]) -> Column:
+        out = some[0]
+        for i, c in enumerate(some[1:], 1):
+            out = out.bitwiseOR(F.shiftleft(c, 4 * i))
+        return out
+
+    return mins.select("node", F.array(*bands).alias("bands"), packed(cells[:16]).alias("s0"), packed(cells[16:]).alias("s1"))
+
+
+def differing(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+    """How many of the four-bit cells of two packed signatures differ."""
+    total = None
+    for x in (a0.bitwiseXOR(b0), a1.bitwiseXOR(b1)):
+        any_bit = x
+        for k in (1, 2, 3):
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, k))
+        n = F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+        total = n if total is None else total + n
+    return total
+
+
+def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, n) of the (node, first) of ``places``, read again from the documents of their first occurrence."""
+    want = places.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_set("first.pos").alias("want"))
+    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).join(want, "doc")
+    picked = d.select(F.split("t", "\n").alias("lines"), F.explode("want").alias("pos"))
+    line = normal_line(F.element_at("lines", F.col("pos") + 1))
+    # rows that repeat an id hold the same line: one is taken
+    return picked.select(line.alias("n")).select(F.xxhash64("n").alias("node"), "n").groupBy("node").agg(F.min("n").alias("n"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """The (a, b) whose lines reach the threshold, by the exact sets of their shingles (written)."""
+    pairs = cut(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    lines = cut(_texts(docs, places.join(nodes, "node", "left_semi"), id_col, text_col), "texts")
+    la, lb = (lines.select(F.col("node").alias(x), F.col("n").alias(f"line_{x}")) for x in "ab")
     both = pairs.join(la, "a").join(lb, "b")
-    return both.where(jaccard(shingles(F.col("line_a")), shingles(F.col("line_b"))) >= threshold).select("a", "b")
+    return cut(both.where(jaccard(shingles(F.col("line_a")), shingles(F.col("line_b"))) >= threshold).select("a", "b"), "links")
 
 
 def _open_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components, from (key, id, c), each once.
+    """Pairs (a, b) of one bucket and different components with near signatures, from (key, node, c, s0, s1), each once.
 
-    A bucket of n members is cut into n / BLOCK blocks by a hash of the id,
+    A bucket of n members is cut into n / BLOCK blocks by a hash of the node,
     and every two blocks meet in a task of their own.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "id", "c", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        "key", "node", "c", "s0", "s1", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
         (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
     x, y = dealt.where("left").alias("x"), dealt.where("right").alias("y")
+    near = differing(F.col("x.s0"), F.col("x.s1"), F.col("y.s0"), F.col("y.s1")) <= DIFFERING
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
-                 & (F.col("x.c") != F.col("y.c")) & ((F.col("x.lo") != F.col("x.hi")) | (F.col("x.id") < F.col("y.id"))))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+                 & (F.col("x.c") != F.col("y.c")) & ((F.col("x.lo") != F.col("x.hi")) | (F.col("x.node") < F.col("y.node"))) & near)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, groups): all lines, and (k1, k2, keep_doc, keep_pos) of the lines that stand more than once.
-
-    Exact copies of a line are one class (an aggregate with partial sums),
-    and only classes are signed.  Classes that share a band are candidates.
-    In each bucket all classes are first compared with its smallest one,
-    which joins a group of near copies without pairing its members; then,
-    within buckets where classes of different components remain, every pair
-    of different components is compared, block by block.  No candidate pair
-    of different components is left out, and pairs inside a component cannot
-    change it.
+    """(occurrences, groups): all lines, and (node, keep_doc, keep_pos) of the lines that stand more than once.
+
+    Exact copies of a line are one node.  Nodes that share a band, and whose
+    signatures do not differ too much as a whole, are candidates.  In each
+    bucket all nodes are first compared with its smallest one, which joins a
+    group of near copies without pairing its members; then, within buckets
+    where nodes of different components remain, every pair of different
+    components is compared, block by block.  No candidate pair of different
+    components is left out, and pairs inside a component cannot change it.
+    Texts are not shuffled: those of candidates are read again.
     """
     spark = docs.sparkSession
     mark = scratch_mark(spark)
     found = occurrences(docs, id_col, text_col)
     occ = cut(found.drop("n"), "lines")
     kept = scratch_since(spark, mark)
-    by_line = found.groupBy("k1", "k2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"), F.any_value("n").alias("line"))
-    classes = cut(by_line.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
-    lines = classes.select("id", "line")
-    spots = signatures(lines).select("id", F.explode("bands").alias("key"))
-    full = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    members = cut(spots.join(full, "key").select("key", "id", "pivot", "n"), "members")
-
-    star = members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = cut(_verified(star, lines, threshold), "links")
+    sketched = signatures(found.select("node", "n"))
+    spots = sketched.select("node", F.explode("bands").alias("key"))
+    full = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    members = cut(spots.join(full, "key").join(sketched.select("node", "s0", "s1"), "node"), "members")
+    places = cut(occ.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first")), "places")
+
+    sketch = members.select("node", "s0", "s1").distinct()
+    star = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    sa, sb = (sketch.select(F.col("node").alias(x), F.col("s0").alias(f"{x}0"), F.col("s1").alias(f"{x}1")) for x in "ab")
+    near = star.join(sa, "a").join(sb, "b").where(differing(*[F.col(c) for c in ("a0", "a1", "b0", "b1")]) <= DIFFERING).select("a", "b")
+    links = _verified(near, docs, places, id_col, text_col, threshold)
     comp = connected_components(links, "a", "b")
 
-    placed = members.where("n > 2").join(comp.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", "pivot", F.coalesce("component", "id").alias("c"))
+    placed = members.where("n > 2").join(comp, "node", "left").select("key", "node", "pivot", "s0", "s1", F.coalesce("component", "node").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    others = placed.join(split, "key").where("id != pivot").select("key", "id", "c")      # pairs with the pivot are done
-    more = cut(_verified(_open_pairs(cut(others, "open")), lines, threshold), "links")
+    others = placed.join(split, "key").where("node != pivot").drop("pivot")      # pairs with the pivot are done
+    more = _verified(_open_pairs(cut(others, "open")), docs, places, id_col, text_col, threshold)
     if not more.isEmpty():
         comp = connected_components(links.unionByName(more), "a", "b")
 
-    named = (classes.select("id", "k1", "k2", "first", "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
-             .where("n > 1 or component is not null")
-             .select("k1", "k2", "first", F.coalesce("component", "id").alias("c")))
+    alike = occ.groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    named = alike.join(comp, "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("c"))
     keep = named.groupBy("c").agg(F.min("first").alias("keep"))
-    groups = cut(named.join(keep, "c").select("k1", "k2", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "groups")
+    groups = cut(named.join(keep, "c").select("node", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "groups")
     drop_scratch(spark, [p for p in scratch_since(spark, mark)[:-1] if p not in kept])
     return occ, groups
 
@@ -149,7 +191,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result.
     """
     occ, groups = line_components(docs, id_col, text_col, threshold)
-    gone = (occ.select("doc", "pos", "k1", "k2").join(groups, ["k1", "k2"])
+    gone = (occ.join(groups, "node")
             .where("doc != keep_doc or pos != keep_pos").groupBy("doc").agg(F.collect_set("pos").alias("gone")))
     gone = gone.select(F.col("doc").alias("__bazaar_doc"), F.col("gone").alias("__bazaar_gone"))
     joined = docs.join(gone, docs[id_col] == gone["__bazaar_doc"], "left").withColumn("__bazaar_lines", F.split(docs[text_col], "\n"))

@@ -61,7 +61,7 @@ def test_a_large_group_of_near_copies_with_outliers_is_one_component(spark):
 def test_odd_rows_and_clashing_names(spark):
     rows = [(1, None), (2, ""), (3, "\n\n"), (None, "same line here"), (4, "same line here\n \nSame Line Here \nx"), (5, "x\nsame line here"),
             (7, "l " * 100000), (8, "l " * 100000 + "\ny"), (9, "twice row"), (9, "twice row"), (6, "é\nÉ\nab\nAB")]
-    df = docs(spark, rows).selectExpr("*", "1 as doc", "2 as pos", "3 as k1", "4 as gone", "5 as first", "6 as n_kept")
+    df = docs(spark, rows).selectExpr("*", "1 as doc", "2 as pos", "3 as node", "4 as gone", "5 as first", "6 as n_kept")
     out = L.dedup_lines(df)
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_kept) for r in out.collect()), key=str)
     assert got == sorted([(1, None, 0, 0), (2, "", 1, 1), (3, "\n\n", 3, 3), (None, "same line here", 1, 1), (4, "same line here\n \nx", 4, 3),
@@ -117,7 +117,20 @@ def test_pairs_at_the_threshold_are_found_at_any_length(spark):
 def test_open_buckets_meet_all_pairs_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 4)
     rng = random.Random(3)
-    members = [(k, i, rng.randrange(5)) for k, n in ((1, 30), (2, 3), (3, 9)) for i in rng.sample(range(40), n)]
-    got = [(r.a, r.b) for r in L._open_pairs(spark.createDataFrame(members, "key long, id long, c long")).collect()]
-    want = {(min(i, j), max(i, j)) for k, i, c in members for q, j, d in members if k == q and c != d}
+    members = [(k, i, rng.randrange(5), i % 3, -1) for k, n in ((1, 30), (2, 3), (3, 9)) for i in rng.sample(range(40), n)]
+    got = [(r.a, r.b) for r in L._open_pairs(spark.createDataFrame(members, "key long, node long, c long, s0 long, s1 long")).collect()]
+    want = {(min(i, j), max(i, j)) for k, i, c, *_ in members for q, j, d, *_ in members if k == q and c != d}
     assert set(got) == want and len(got) == len(want)
+
+
+def test_packed_signatures_count_differing_cells(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(200):
+        a, b = [rng.randrange(16) for _ in range(25)], [rng.randrange(16) for _ in range(25)]
+        b = [x if rng.random() < 0.6 else y for x, y in zip(a, b)]
+        signed = [v - 2 ** 64 if v >> 63 else v for cells in (a, b) for v in (sum(c << 4 * i for i, c in enumerate(cells[:16])), sum(c << 4 * i for i, c in enumerate(cells[16:])))]
+        rows.append((*signed, sum(x != y for x, y in zip(a, b))))
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame(rows, "a0 long, a1 long, b0 long, b1 long, want int")
+    assert df.where(L.differing(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) != F.col("want")).count() == 0
