@@ -27,7 +27,7 @@ DEFAULT_PAGE_SIZE = 52
 
 CATALOG_COLS = ["ProductID", "ProductName", "Description", "CategoryName", "Price",
                  "DiscountedPrice", "StockQuantity", "ImageURL"]
-_DETAIL_COLS = ["ProductID", "ProductName", "Description", "CategoryID", "CategoryName", "Price",
+DETAIL_COLS = ["ProductID", "ProductName", "Description", "CategoryID", "CategoryName", "Price",
                 "DiscountedPrice", "StockQuantity", "ImageURL"]
 
 
@@ -94,9 +94,9 @@ def product_details(shop: Shop, product_ids: DataFrame, as_of, first_only: bool
     wanted = shop.named_products.join(product_ids.select("ProductID"), "ProductID", "left_semi")
     rows = priced_products(shop, as_of, products=wanted)
     if not first_only:
-        return rows.select(*_DETAIL_COLS)
+        return rows.select(*DETAIL_COLS)
     order = F.struct(F.col("PromoID").isNotNull().alias("has_promo"), F.col("PromoID"))
-    rest = [c for c in _DETAIL_COLS if c != "ProductID"]
+    rest = [c for c in DETAIL_COLS if c != "ProductID"]
     return (rows.groupBy("ProductID")
             .agg(F.min_by(F.struct(*rest), order).alias("d"))
             .select("ProductID", *[F.col(f"d.{c}").alias(c) for c in rest]))
@@ -207,7 +207,7 @@ def catalog_page(shop: Shop, page, size, as_of) -> DataFrame:
     """
     start, n = page_bounds(page, size)
     return (priced_products(shop, as_of).orderBy(*_page_order())
-            .offset(start).limit(n).select(*_DETAIL_COLS))
+            .offset(start).limit(n).select(*DETAIL_COLS))
 
 
 def catalog_page_after(shop: Shop, last_product_id, size, as_of) -> DataFrame:
@@ -217,7 +217,7 @@ def catalog_page_after(shop: Shop, last_product_id, size, as_of) -> DataFrame:
     prods = shop.named_products if last_product_id is None else shop.named_products.filter(
         F.col("ProductID") > F.lit(last_product_id))
     return (priced_products(shop, as_of, products=prods).orderBy(*_page_order())
-            .limit(n).select(*_DETAIL_COLS))
+            .limit(n).select(*DETAIL_COLS))
 
 
 # L2 -------------------------------------------------------------------------

@@ -122,6 +122,7 @@ QUERIES: dict[str, Query] = {
 
 # Catalog ----------------------------------------------------------------------
 from bazaar.operators import catalog as C  # noqa: E402
+from bazaar.operators import pages as P  # noqa: E402
 from bazaar.operators import search as S  # noqa: E402
 from bazaar.operators import users as U  # noqa: E402
 from bazaar.sources.tables import AS_OF  # noqa: E402
@@ -232,6 +233,12 @@ def _q_catalog_page(spark, d):
     return C.catalog_page(load_shop(spark, d), CATALOG_PAGE, 52, AS_OF)
 
 
+def _q_catalog_page_directory(spark, d, page):
+    """A page of the catalog from its page directory; 0 means the last page."""
+    book = P.write_pages(C.priced_products(load_shop(spark, d), AS_OF), ["ProductID", "PromoID"], AS.stream_root(spark, "pages"))
+    return P.read_page(book, page if page else P.last_page(book, 52), 52).select(*C.DETAIL_COLS)
+
+
 def _q_search_page(spark, d):
     return C.search_page(load_shop(spark, d), SEARCH_KEYWORD, SEARCH_PAGE, 52, AS_OF)
 
@@ -280,6 +287,8 @@ QUERIES.update({
     "products_by_category": _q_products_by_category,
     "search_products_regex": _q_search_products_regex,
     "catalog_page": _q_catalog_page,
+    "catalog_page_directory": lambda spark, d: _q_catalog_page_directory(spark, d, 10),
+    "catalog_page_directory_last": lambda spark, d: _q_catalog_page_directory(spark, d, 0),
     "search_page": _q_search_page,
     "category_page": _q_category_page,
     "categories": _q_categories,
@@ -744,9 +753,28 @@ def _import_products_added(spark, d):
     shop = load_shop(spark, d)
     path = AS.stream_root(spark, "products-json")
     J.export_products(shop.products, path)
+    return J.import_products(spark, shop.products, path, multi_line=False)[1]
+
+
+def _import_products_array_added(spark, d):
+    """The products as array files, read again by byte ranges."""
+    shop = load_shop(spark, d)
+    path = AS.stream_root(spark, "products-array")
+    J.export_products_array(shop.products, path)
     return J.import_products(spark, shop.products, path)[1]
 
 
+def _audit_stream_replayed(spark, d):
+    """The change feed delivered twice, the second time after a restart."""
+    shop = load_shop(spark, d)
+    feed = AS.product_change_feed(shop.products, new_products(shop), ADMIN_ACTOR, AS_OF)
+    root = AS.stream_root(spark, "audit-replayed")
+    for parts in (3, 2):
+        feed.repartitionByRange(parts, "Key").write.mode("append").parquet(f"{root}/source")
+        AS.run_audit_stream(spark, f"{root}/source", f"{root}/sink", f"{root}/checkpoint", replayed_within="1 day")
+    return spark.read.parquet(f"{root}/sink").select("UserID", "Action", "Timestamp", "Key")
+
+
 def _audit_stream(spark, d):
     shop = load_shop(spark, d)
     feed = AS.product_change_feed(shop.products, new_products(shop), ADMIN_ACTOR, AS_OF)
@@ -813,6 +841,8 @@ QUERIES.update({
     "log_request_rejects": _log_rejects,
     "export_products": _export_products,
     "import_products_added": _import_products_added,
+    "import_products_array_added": _import_products_array_added,
+    "audit_stream_replayed": _audit_stream_replayed,
     "audit_stream": _audit_stream,
     "audit_promo_stream": _audit_promo_stream,
     "cart_stream": _cart_stream,

@@ -1,10 +1,10 @@
 """JSON sources and sinks: S2 read_logs_json, S3 import_logs, S4
 export_logs, S5 export_products, S6 import_products.
 
-Large feeds are JSON lines (one object per line), which Spark splits
-across tasks.  The shop's own files are one JSON array per file; those
-are read with ``multiLine`` (one task per file), so an array feed
-should be many files, not one big one.  Schemas are always explicit.
+The shop's own files are one JSON array per file; those are read by byte
+ranges over many tasks (``json_array``).  Large feeds may also be JSON lines
+(one object per line), which Spark splits itself.  Schemas are always
+explicit.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from bazaar.functions.exprs import MONEY, to_number
 from bazaar.operators.ids import max_id, next_ids
+from bazaar.sources.json_array import read_json_array, write_json_array
 
 LOG_JSON_SCHEMA = T.StructType([
     T.StructField("LogID", T.LongType()), T.StructField("UserID", T.LongType()),
@@ -31,11 +32,11 @@ PRODUCT_JSON_SCHEMA = T.StructType([
 
 # S2 -------------------------------------------------------------------------
 def read_logs_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Audit-log JSON: an array per file (``multi_line``) or JSON lines.
+    """Audit-log JSON: an array per file (``multi_line``, read over many tasks) or JSON lines.
     A leading byte-order mark is tolerated; Timestamp strings with or
     without fraction digits become timestamps."""
-    raw = (spark.read.schema(LOG_JSON_SCHEMA).option("multiLine", multi_line)
-           .option("mode", "PERMISSIVE").json(path))
+    raw = (read_json_array(spark, path, LOG_JSON_SCHEMA) if multi_line
+           else spark.read.schema(LOG_JSON_SCHEMA).option("mode", "PERMISSIVE").json(path))
     return raw.select("LogID", "UserID", "Action", F.to_timestamp("Timestamp").alias("Timestamp"))
 
 
@@ -83,17 +84,23 @@ def export_products(products: DataFrame, path: str, mode: str = "overwrite") ->
     export_frame(products).write.mode(mode).json(path)
 
 
+def export_products_array(products: DataFrame, path: str) -> None:
+    """Products as JSON array files, the form that the client sends back."""
+    write_json_array(export_frame(products), path, ["ProductID"])
+
+
 # S6 -------------------------------------------------------------------------
-def import_products(spark: SparkSession, existing: DataFrame, path: str, multi_line: bool = False,
+def import_products(spark: SparkSession, existing: DataFrame, path: str, multi_line: bool = True,
                     order: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Load product JSON and append it with new ProductIDs.
+    """Load product JSON (an array per file, as the client sends it, or JSON lines) and append it with new ProductIDs.
 
     Returns (new products table, added rows, rejects).  A row is rejected
     when it is not valid JSON, or a required field is missing or not a
     number where one is expected.
     """
-    raw = (spark.read.schema(PRODUCT_JSON_SCHEMA).option("multiLine", multi_line)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    raw = (read_json_array(spark, path, PRODUCT_JSON_SCHEMA) if multi_line
+           else spark.read.schema(PRODUCT_JSON_SCHEMA).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     # Lenient numbers, as the shop's API parses them (F12): blank or
     # non-numeric -> null (then rejected below); "12.0" is a valid 12.
     price = to_number("Price").try_cast(MONEY)

@@ -94,12 +94,24 @@ def stream_root(spark: SparkSession, name: str) -> str:
 
 
 def run_audit_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                     max_files_per_trigger: int | None = None, kind: str = "product") -> None:
-    """Parquet change files -> audit rows appended to a parquet sink."""
+                     max_files_per_trigger: int | None = None, kind: str = "product", replayed_within: str | None = None) -> None:
+    """Parquet change files -> audit rows appended to a parquet sink.
+
+    ``replayed_within``: a feed may deliver a change again, no later than this
+    after the newest change seen (an interval, e.g. "1 day"); it is then
+    logged once.  A change is known by all its fields, so two equal changes of
+    one moment are one.  Spark keeps the changes of that span as state,
+    across restarts; changes older than that are left out as late.
+    """
     reader = spark.readStream.schema(CHANGE_SCHEMA if kind == "product" else PROMO_CHANGE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    q = (audit_changes(reader.parquet(source_dir), kind)
+    changes = reader.parquet(source_dir)
+    if replayed_within is not None:
+        identity = F.sha2(F.to_json(F.struct(*changes.columns)), 256)
+        changes = (changes.withColumn("change", identity).withWatermark("ts", replayed_within)
+                   .dropDuplicatesWithinWatermark(["change"]).drop("change"))
+    q = (audit_changes(changes, kind)
          .writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True)

@@ -65,7 +65,7 @@ def test_products_json_roundtrip_and_rejects(spark):
     J.export_products(existing, os.path.join(d, "ok"))
     with open(os.path.join(d, "ok", "extra.json"), "w") as fh:
         fh.write('{"ProductName": "B", "CategoryID": 1, "Price": "abc", "StockQuantity": 1}\n{broken\n')
-    table, added, rejects = J.import_products(spark, existing, os.path.join(d, "ok"))
+    table, added, rejects = J.import_products(spark, existing, os.path.join(d, "ok"), multi_line=False)
     assert rows(added, "ProductID", "ImageURL") == [(6, "/images/a.jpg")]
     assert sorted(r.reason for r in rejects.collect()) == ["malformed JSON", "missing or invalid field"]
     assert table.count() == 2
