@@ -152,7 +152,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     occ = cut(found.drop("n"), "lines")
     kept = scratch_since(spark, mark)
     sketched = signatures(found.select("node", "n"))
-    spots = sketched.select("node", F.explode("bands").alias("key"))
+    spots = sketched.select("node", F.explode("bands").alias("key")).repartition("key")      # dealt once, for the counts and the join
     full = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = cut(spots.join(full, "key").join(sketched.select("node", "s0", "s1"), "node"), "members")
     places = cut(occ.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first")), "places")
