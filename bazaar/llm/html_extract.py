@@ -28,6 +28,7 @@ BOILERPLATE_NAMES = frozenset(
     "pager pagination popup topbar "
     "promo promotion promoted related recommended reply replies respond share sharing sidebar sidebars social sponsor sponsored "
     "subscribe subscription toolbar widget".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template".split())
 IMPLIED_END = {  # start tag -> open elements that it ends, within the element named last
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",)),
@@ -63,9 +64,11 @@ class _Tree(HTMLParser):
         return None
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body", "head") and tag == "html":
+        if tag == "html":
             self.root.attrs.update((k, v or "") for k, v in attrs)
             return
+        if tag not in IN_HEAD:
+            self._leave_head()
         if tag in CLOSES_P:
             p = self._open(("p",), ("table", "button", "td", "th"))
             if p is not None:
@@ -81,6 +84,11 @@ class _Tree(HTMLParser):
         if tag not in VOID:
             self.at = node
 
+    def _leave_head(self):
+        """The end tag of a head is optional: what a head cannot hold ends it."""
+        if self.at.tag == "head":
+            self.at = self.at.parent
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag and tag in ("svg", "path", "use", "circle", "rect", "g"):
@@ -97,6 +105,8 @@ class _Tree(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data):
+        if data.strip():
+            self._leave_head()
         self.at.items.append(data)
 
     def unknown_decl(self, data):
@@ -135,12 +145,12 @@ def _header_like(node: Node) -> bool:
 
 
 def _order(root: Node) -> list[Node]:
-    """Nodes with parents before children (no recursion: pages can nest deeply)."""
+    """Nodes in page order, parents before children (no recursion: pages can nest deeply)."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack.extend(c for c in node.items if not isinstance(c, str))
+        stack.extend(c for c in reversed(node.items) if not isinstance(c, str))
     return out
 
 
@@ -195,10 +205,11 @@ def _in_article(node: Node | None) -> bool:
 def main_nodes(root: Node) -> list[Node]:
     """The selected subtrees, in page order.
 
-    The node of the largest density sum is sought; the least density on its
-    path to the body is the threshold.  From the body down, a node at the
-    threshold or above gives its subtree's node of the largest density sum
-    (the first of equal ones).
+    The node of the largest density sum is sought (the first of equal ones);
+    the least density on its path to the body is the threshold.  Nodes beside
+    that path at the threshold or above give their own subtree's node of the
+    largest density sum, headings and paragraphs themselves.  A selected node inside an <article> or <main>
+    is widened to it, the unit that the page itself names.
     """
     nodes = measure(root)
     alive = [n for n in nodes if not n.skip and n.chars]
@@ -208,28 +219,32 @@ def main_nodes(root: Node) -> list[Node]:
     best = max(alive, key=lambda n: n.total)
     if best.total <= 0:
         return [body]
-    # an enclosing <article> or <main> is the unit that the page itself names
-    threshold, node = math.inf, best
+    threshold, path, node = math.inf, [], best
     while node is not None:
         threshold = min(threshold, node.density)
+        path.append(node)
         if node is body:
             break
         node = node.parent
-    named = [n for n in alive if n.tag in ("article", "main") and n.density >= threshold and n.chars * 2 >= best.chars]
-    if named:
-        outer = [n for n in named if not _in_article(n.parent)]
-        return sorted(outer, key=nodes.index)
-    found: list[Node] = []
-    stack = [best]
-    node = best
-    while node.parent is not None and node is not body:  # the path to the body, and what stands beside it
-        node = node.parent
-        stack.extend(c for c in node.items if not isinstance(c, str) and not c.skip and c.chars
-                     and c.density >= threshold and not _holds(c, best))
-    for n in stack:
-        inner = max((x for x in _order(n) if not x.skip and x.chars), key=lambda x: x.total)
-        found.append(n if inner.total <= n.total or n is best else inner)
-    return sorted(set(found), key=nodes.index)
+    found = [best]
+    for above, below in zip(path[1:], path):
+        for c in above.items:
+            if not isinstance(c, str) and c is not below and not c.skip and c.chars and c.density >= threshold:
+                inner = max((x for x in _order(c) if not x.skip and x.chars), key=lambda x: x.total)
+                found.append(inner if inner.total > c.total else c)
+    place = {n: i for i, n in enumerate(nodes)}
+    wide = sorted({_widened(n) for n in found}, key=place.__getitem__)
+    return [n for i, n in enumerate(wide) if not any(_holds(o, n) for o in wide[:i])]
+
+
+def _widened(node: Node) -> Node:
+    """The outermost article or main around a node, else the node."""
+    out, at = node, node
+    while at is not None:
+        if at.tag in ("article", "main"):
+            out = at
+        at = at.parent
+    return out
 
 
 def _holds(node: Node, inner: Node | None) -> bool:
@@ -281,7 +296,12 @@ def extract(html: str | None) -> str:
 
 
 def main_text(html: Column) -> Column:
-    """Main text of a column of pages (null: empty).  Whole pages, nothing capped."""
+    """Main text of a column of pages (null, empty and text-free pages: empty).
+
+    Whole pages, nothing capped, row by row: repeated rows give the same
+    text, an empty table gives no rows, other columns are not read.  Of
+    nodes with equal density sums the first in page order is taken.
+    """
     @F.pandas_udf("string")
     def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
