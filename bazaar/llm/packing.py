@@ -16,7 +16,7 @@ SHARD_TOKENS = 1_000_000
 
 def word_count(text: Column) -> Column:
     """Tokens of a text for packing: runs of non-white-space."""
-    return F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.coalesce(F.array_size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
@@ -56,7 +56,8 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
 
 
 def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", tokens: Column | None = None,
-         source: Column | None = None, cluster: Column | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+         source: Column | None = None, cluster: Column | None = None, shard_tokens: int = SHARD_TOKENS,
+         clusters: DataFrame | None = None) -> DataFrame:
     """(doc_id, piece, tokens, bin, position): where every token of every document goes.
 
     No bin holds more than ``capacity`` tokens, two documents of one
@@ -70,15 +71,22 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", tokens:
     hash of id, so a source with a third of all rows spreads over all of
     them; each shard is packed on its own, larger items first (ties by id).
     Bins are numbered shard * 2^32 + bin.  Defaults: words as tokens, the
-    columns ``source`` and, as cluster, the text without case and white
-    space runs (exact copies).
+    columns ``source`` and, as cluster, the trimmed text without case and
+    white space runs (exact copies).  ``clusters`` (id_col, cluster) names
+    clusters by id, such as the components of a near-duplicate search;
+    documents it leaves out keep the default.  An empty table gives an empty result.
     """
     text = F.col("text")
     tokens = word_count(text) if tokens is None else tokens
     source = F.col("source") if source is None else source
-    cluster = F.xxhash64(F.regexp_replace(F.lower(text), r"\s+", " ")) if cluster is None else cluster
-    small = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.cast("long").alias("n"),
-                            source.cast("string").alias("source"), cluster.cast("string").alias("cluster")), "pack")
+    cluster = F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))) if cluster is None else cluster
+    small = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.cast("long").alias("n"),
+                        source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
+    if clusters is not None:
+        named = clusters.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(F.col("cluster").cast("string")).alias("__named"))
+        small = small.join(named, small.doc_id == named["__id"], "left").select(
+            "doc_id", "n", "source", F.coalesce(F.concat(F.lit("c"), "__named"), "cluster").alias("cluster"))
+    small = cut(small, "pack")
     total = small.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     items = (small.where("n > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("long"))

@@ -54,7 +54,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Bins of 2,048 words; near copies (SimHash components) never share one."""
+    docs = table(spark, sf_dir, "documents")
+    g = simhash.simhash_groups(docs)
+    return packing.pack(docs, clusters=g.select(g.id.alias("doc_id"), g.component.alias("cluster")))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,35 @@ def test_empty_table_null_ids_and_repeats(spark):
     rows = P.pack(d, 10).collect()
     assert sorted((r.doc_id or 0, r.tokens) for r in rows if r.doc_id != 8) == [(0, 3), (0, 3), (7, 2), (7, 2)]
     assert len({r.bin for r in rows if r.doc_id == 7}) == 2 and len({r.bin for r in rows if r.doc_id == 8}) == 10000
+
+
+def test_null_texts_stay_without_ansi_and_near_copies_never_share_a_bin(spark, tmp_path):
+    from bazaar.llm.registry import op7_best_fit_packing
+    rng = random.Random(8)
+    base = [f"word{rng.randrange(999)}" for _ in range(200)]
+    truth = {0: (None, "a"), 1: ("", "b"), 2: (" alpha beta gamma ", "c"), 3: ("ALPHA  beta\ngamma", "d")}
+    for i in range(4, 10):
+        w = list(base)
+        if i > 4:
+            w[199] = w[199] + "!" * (i - 4)
+        truth[i] = (" ".join(w), f"s{i}")
+    df = spark.createDataFrame([(k, t, "en", s, 0) for k, (t, s) in truth.items()], DOCS)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            rows = op7_best_fit_packing(spark, str(tmp_path)).collect()
+            check(rows, truth, 2048)
+            assert {r.doc_id for r in rows} == set(truth)
+            bins = {r.doc_id: r.bin for r in rows}
+            near = {}
+            from bazaar.llm import simhash
+            for g in simhash.simhash_groups(df).collect():
+                near.setdefault(g.component, []).append(g.id)
+            assert max(map(len, near.values())) >= 3
+            for ids in near.values():
+                held = [bins[i] for i in ids if bins[i] is not None]
+                assert len(held) == len(set(held))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
