@@ -74,6 +74,8 @@ NOT_LICENCES = [
     "The new version 2.0 of the program.", "Version 3 of the file was released.", "The author has rights.", "Attribution is hard.",
 ]
 UNKNOWN = "unknown"
+#: Lines that a wrapped notice may have (standard notices wrapped at 40 columns have fewer).
+WINDOW = 24
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 
 
@@ -123,30 +125,76 @@ class Model:
         similarity = max(len(g & t) / len(t) for t in known[self.families[k]])
         return (self.families[k] if p >= 0.5 else UNKNOWN), p, similarity
 
-    def scan(self, text: str | None) -> list[tuple[int, str, float, float]]:
-        """(line number, family, probability, similarity) of the lines that are no unknowns.
+    def _anchored(self, low: str) -> list[int]:
+        """Numbers of the lines that hold an anchor as a word (as ``words`` cuts them)."""
+        out, done, number, counted = [], -1, 0, 0
+        for end, k in self._built()[0].iter(low):
+            a = end - k + 1
+            if a <= done or _joined(low, a - 1, a) or _joined(low, end, end + 1):
+                continue
+            start = low.rfind("\n", 0, a) + 1
+            stop = low.find("\n", end)
+            done = len(low) if stop < 0 else stop
+            number += low.count("\n", counted, start)
+            counted = start
+            out.append(number)
+        return out
+
+    def scan(self, text: str | None) -> list[tuple[int, int, str, float, float]]:
+        """(first line, last line, family, probability, similarity) of the licence notices of a text.
 
         Every feature holds an anchor word, so a line without one has the
-        score of an empty line, which is unknown: only lines with anchors
-        are looked at.
+        score of an empty line, which is unknown: only paragraphs (runs of
+        lines that are not blank) with anchors are looked at.  Inside a
+        paragraph, lines with anchors that stand together, a line between
+        them and one at either end allowed, may be one wrapped notice: of all windows
+        of them the one nearest to a template is taken first, then the
+        nearest that overlaps none taken (ties: fewer lines, then the earlier).
         """
         if not text:
             return []
-        auto = self._built()[0]
         low = text.lower()
-        out, done = [], -1
-        for end, k in auto.iter(low):
-            a = end - k + 1
-            if a <= done or a and low[a - 1].isalnum() or end + 1 < len(low) and low[end + 1].isalnum():
-                continue
-            start = low.rfind("\n", 0, a) + 1
-            stop = low.find("\n", end)
-            stop = len(low) if stop < 0 else stop
-            done = stop
-            family, p, s = self.classify(low[start:stop])
-            if family != UNKNOWN:
-                out.append((low.count("\n", 0, start), family, p, s))
-        return out
+        marked = self._anchored(low)
+        if not marked:
+            return []
+        lines = low.split("\n")
+        filled = [bool(x.strip()) for x in lines]
+        groups: list[list[int]] = []
+        for n in marked:
+            if groups and n - groups[-1][-1] <= 2 and all(filled[groups[-1][-1]:n]):
+                groups[-1].append(n)
+            else:
+                groups.append([n])
+        out = []
+        for g in groups:
+            lo, hi = g[0], g[-1] + 1
+            if len(g) > 1:
+                lo -= lo > 0 and filled[lo - 1]
+                hi += hi < len(lines) and filled[hi]
+            windows = []
+            for i in range(lo, hi):
+                for j in range(i + 1, min(hi, i + WINDOW) + 1):
+                    family, p, s = self.classify(" ".join(lines[i:j]))
+                    if family != UNKNOWN:
+                        windows.append((-round(s, 9), j - i, i, family, p, s))
+            taken: set[int] = set()
+            for _, n, i, family, p, s in sorted(windows):
+                if taken.isdisjoint(range(i, i + n)):
+                    taken.update(range(i, i + n))
+                    out.append((i, i + n - 1, family, p, s))
+        return sorted(out)
+
+
+def _joined(low: str, a: int, b: int) -> bool:
+    """Whether ``words`` would keep the signs at a and b (a < b) in one word."""
+    if a < 0 or b >= len(low):
+        return False
+    x, y = low[a], low[b]
+    if "a" <= x <= "z" and "a" <= y <= "z":
+        return True
+    if x == "." and y.isdecimal():
+        return a > 0 and low[a - 1].isdecimal()
+    return x.isdecimal() and (y.isdecimal() or y == "." and b + 1 < len(low) and low[b + 1].isdecimal())
 
 
 def _log_sum(z: np.ndarray) -> float:
@@ -256,25 +304,26 @@ def learn(docs: DataFrame, sample_docs: int = 2_000, sample_lines: int = 4_000)
 
 
 def scan(docs: DataFrame, model: Model | None = None, min_similarity: float = 0.5) -> DataFrame:
-    """(doc_id, line, family, probability, similarity, confirmed) of every licence paragraph.
+    """(doc_id, line, last_line, family, probability, similarity, confirmed) of every licence notice.
 
-    A paragraph is a line of the text (numbered from 0).  ``probability`` is
+    A notice is a line or some lines of one paragraph (numbered from 0; see
+    ``Model.scan``).  ``probability`` is
     the calibrated chance of being a licence at all (0.5 or more here);
     ``similarity`` the share of the n-grams of the family's nearest template
     that the line holds, ``confirmed`` whether it reaches ``min_similarity``.
     Null and empty texts have none; rows without an id are scanned too;
-    repeated rows give repeated results.
+    repeated rows give repeated results; an empty table gives none.
     """
     model = learn(docs) if model is None else model
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("line", T.LongType()),
-                           T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()),
+                           T.StructField("last_line", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()),
                            T.StructField("similarity", T.DoubleType()), T.StructField("confirmed", T.BooleanType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, n, f, p, s, s >= min_similarity) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for n, f, p, s in model.scan(t)]
+            rows = [(d, n, m, f, p, s, s >= min_similarity) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                    for n, m, f, p, s in model.scan(t)]
             cols = list(zip(*rows)) or [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], names=arrow.names)
 

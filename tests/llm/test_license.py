@@ -34,7 +34,7 @@ def test_scan_looks_at_every_line_that_could_count(model):
         lines = [rng.choice(pool) for _ in range(rng.randrange(0, 8))]
         want = [(i, *model.classify(ln.lower())) for i, ln in enumerate(lines)]
         got = model.scan("\n".join(lines))
-        assert [g[:2] for g in got] == [w[:2] for w in want if w[1] != S.UNKNOWN]
+        assert [(a, f) for a, b, f, *_ in got if a == b] == [w[:2] for w in want if w[1] != S.UNKNOWN] and all(a == b for a, b, *_ in got)
 
 
 def test_frames(spark):
@@ -46,3 +46,32 @@ def test_frames(spark):
         [(1, 1, "MIT"), (4, 1, "GPL-3.0"), (None, 0, "MIT"), (2 ** 60 + 1, 0, "GPL-3.0"), (2 ** 60 + 1, 0, "GPL-3.0")], key=str)
     assert all(r.confirmed and r.probability >= 0.5 for r in got)
     assert S.scan(docs(spark, [])).count() == 0
+
+
+HEADER = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+          "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+
+
+def test_wrapped_notices_are_one_notice(model):
+    import textwrap
+    for width in (40, 70, 100, 400):
+        wrapped = textwrap.wrap(HEADER, width)
+        got = model.scan("some prose before\n\n# tool\n" + "\n".join(wrapped) + "\n\nafter it")
+        assert [g[2] for g in got] == ["GPL-3.0"] and got[0][4] >= 0.9, (width, got)
+        assert 3 <= got[0][0] <= got[0][1] <= 2 + len(wrapped)
+    two = "\n".join(textwrap.wrap(HEADER, 70)) + "\nReleased under the MIT License.\n"
+    assert [g[2] for g in model.scan(two)] == ["GPL-3.0", "MIT"]
+    apart = "Licensed under the Apache\n\nLicense, Version 2.0."
+    assert all(g[0] == g[1] for g in model.scan(apart))
+
+
+def test_anchors_end_where_words_do(model):
+    for text in ("Distributed under the GPLv3+.", "Distributed under the GPLv3", "released under the Apache2.0 license"):
+        assert model.scan(text), text
+    import re
+    rng = random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choice(["license", "gpl", "3", "2.0", ".", " ", "\n", "x", "é", "mit"]) for _ in range(12))
+        anchors = set(model.anchors)
+        want = [i for i, ln in enumerate(text.lower().split("\n")) if anchors & set(re.findall(r"[a-z]+|\d+(?:\.\d+)*", ln))]
+        assert model._anchored(text.lower()) == want, text
