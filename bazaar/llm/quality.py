@@ -9,10 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import crc_bucket
+from bazaar.llm.common import crc_bucket, cut, drop_scratch, scratch_mark, scratch_since
 from bazaar.llm.linear import fit_logistic, fit_platt, sigmoid
 
 # Byte classes of the text view: letters, capitals, digits, blanks, line ends, each ASCII punctuation mark, bytes beyond ASCII.
@@ -81,20 +82,114 @@ class Model:
         return sigmoid(self.views(xt, xm) @ self.mix)
 
 
-def _scale(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mean, sd = x.mean(axis=0), x.std(axis=0)
-    constant = sd < 1e-9
+class ArrayPool:
+    """Unlabelled rows in memory: what ``co_train`` asks of a pool."""
+
+    def __init__(self, xt: np.ndarray, xm: np.ndarray):
+        self.views, self.size = (xt, xm), len(xt)
+
+    def moments(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(x.sum(axis=0), (x * x).sum(axis=0)) for x in self.views]
+
+    def surest(self, asks: list[Ask]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Per ask the ids and both feature rows of the surest rows."""
+        out = []
+        for ask in asks:
+            best = ask.best(np.arange(self.size), self.views[ask.view])[0]
+            out.append((best.tolist(), self.views[0][best], self.views[1][best]))
+        return out
+
+
+class FramePool:
+    """Unlabelled rows as a written table (id, t, m): every row is scored in every round, only the surest come to the driver."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.size = rows, rows.count()
+
+    def moments(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = [[np.zeros(n), np.zeros(n)] for n in (N_TEXT, N_META)]
+            for batch in batches:
+                for x, s in zip(_arrays(batch), sums):
+                    s[0] += x.sum(axis=0)
+                    s[1] += (x * x).sum(axis=0)
+            flat = np.concatenate([v for s in sums for v in s])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["at", "v"])
+
+        got = self.rows.select("t", "m").mapInArrow(add_up, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        flat = np.zeros(2 * (N_TEXT + N_META))      # one row per feature
+        for r in got:
+            flat[r["at"]] = r["v"]
+        parts = np.split(flat, np.cumsum([N_TEXT, N_TEXT, N_META]))
+        return [(parts[0], parts[1]), (parts[2], parts[3])]
+
+    def surest(self, asks: list[Ask]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, views = batch.column("id").to_numpy(), _arrays(batch)
+                for i, ask in enumerate(asks):
+                    best, q = ask.best(ids, views[ask.view])
+                    if len(best):
+                        take = pa.array(best)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([i] * len(best), pa.int32()), pa.array(q), *(batch.column(c).take(take) for c in ("id", "t", "m"))],
+                            names=["ask", "q", "id", "t", "m"])
+
+        found = self.rows.select("id", "t", "m").mapInArrow(look, "ask int, q double, id long, t array<float>, m array<float>")
+        place = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("q"), "id"))
+        most = F.element_at(F.array(*[F.lit(a.most) for a in asks]), F.col("ask") + 1)
+        rows = found.withColumn("place", place).where(F.col("place") <= most).orderBy("ask", "place").collect()
+        out = []
+        for i in range(len(asks)):
+            mine = [r for r in rows if r["ask"] == i]
+            out.append(([r["id"] for r in mine], np.array([r["t"] for r in mine], dtype=float).reshape(len(mine), N_TEXT),
+                        np.array([r["m"] for r in mine], dtype=float).reshape(len(mine), N_META)))
+        return out
+
+
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(c).flatten().to_numpy().astype(float).reshape(batch.num_rows, n) for c, n in (("t", N_TEXT), ("m", N_META))]
+
+
+@dataclass
+class Ask:
+    """The rows that a fitted view is surest to have a label: ``most`` of them, none of ``taken``."""
+
+    view: int
+    label: float
+    most: int
+    sure: float
+    scale: tuple[np.ndarray, np.ndarray]
+    beta: np.ndarray
+    cal: tuple[float, float]
+    taken: np.ndarray
+
+    def best(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and certainties, the surest first (ties: smaller id)."""
+        p = sigmoid((x - self.scale[0]) / self.scale[1] @ self.beta * self.cal[0] + self.cal[1])
+        q = p if self.label else 1 - p
+        able = np.flatnonzero((q >= self.sure) & ~np.isin(ids, self.taken))
+        best = able[np.lexsort((ids[able], -q[able]))][:self.most]
+        return best, q[best]
+
+
+def _scale(x: np.ndarray, pool: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of every feature over the training rows and the whole pool."""
+    n = len(x) + size
+    mean = (x.sum(axis=0) + pool[0]) / n
+    sd = np.sqrt(np.maximum(((x * x).sum(axis=0) + pool[1]) / n - mean * mean, 0.0))
+    constant = sd < 1e-6 * np.maximum(1.0, np.abs(mean))
     return np.where(constant, 0.0, mean), np.where(constant, 1.0, sd)
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = 5,
-             share: float = 0.1, sure: float = 0.95, seed: int = 3) -> Model:
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool: ArrayPool | FramePool, rounds: int = 5,
+             share: float = 0.1, sure: float = 0.95, seed: int = 3, pseudo_rows: int = 2_000) -> Model:
     """Co-train on labelled rows (y 0/1) and an unlabelled pool.
 
     A quarter of the labelled rows is kept aside to calibrate and combine
-    the views.  Each round both views are fitted; each names the pool rows
-    it is surest of (probability at least ``sure`` either way after
-    calibration, at most ``share`` of the pool, in the label proportions),
+    the views.  Each round both views are fitted; each names the rows of the whole pool
+    that it is surest of (probability at least ``sure`` either way after
+    calibration, at most ``share`` of the pool and ``pseudo_rows``, in the label proportions),
     and these join the *other* view's training set as pseudo-labels.
     """
     rng = np.random.default_rng(seed)
@@ -104,31 +199,31 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray,
         train = np.ones(len(y), dtype=bool)
     else:
         train = ~aside
-    scales = _scale(np.vstack([xt[train], pool_t])), _scale(np.vstack([xm[train], pool_m]))
-    full = [(x - s[0]) / s[1] for x, s in ((xt, scales[0]), (xm, scales[1]))]
-    pool = [(x - s[0]) / s[1] for x, s in ((pool_t, scales[0]), (pool_m, scales[1]))]
-    pseudo: list[dict[int, float]] = [{}, {}]
+    scales = [_scale(x[train], m, pool.size) for x, m in zip((xt, xm), pool.moments())]
+    full = [(x - s[0]) / s[1] for x, s in zip((xt, xm), scales)]
+    more: list[list[np.ndarray]] = [[], []]        # rows and labels that each view got from the other
+    told: list[list[float]] = [[], []]
+    taken: list[list[int]] = [[], []]
     rate = y[train].mean()
 
     def fit(view: int):
-        rows = list(pseudo[view])
-        x = np.vstack([full[view][train], pool[view][rows]]) if rows else full[view][train]
-        t = np.concatenate([y[train], [pseudo[view][r] for r in rows]])
-        w = np.concatenate([np.ones(int(train.sum())), np.full(len(rows), 0.5)])
+        x = np.vstack([full[view][train], *more[view]])
+        t = np.concatenate([y[train], told[view]])
+        w = np.concatenate([np.ones(int(train.sum())), np.full(len(told[view]), 0.5)])
         beta = fit_logistic(x, t, w, ridge=0.1)
         return beta, fit_platt(full[view][aside] @ beta, y[aside])
 
     fitted = [fit(0), fit(1)]
-    for _ in range(rounds):
-        for view in (0, 1):
-            if not len(pool[view]):
-                continue
-            beta, (a, b) = fitted[view]
-            p = sigmoid(pool[view] @ beta * a + b)
-            most = share * len(p)
-            for label, q, n in ((1.0, p, most * rate), (0.0, 1 - p, most * (1 - rate))):
-                best = np.argsort(-q, kind="stable")[:max(1, int(n))]
-                pseudo[1 - view].update({int(r): label for r in best if q[r] >= sure and r not in pseudo[1 - view]})
+    for _ in range(rounds if pool.size else 0):
+        most = min(share * pool.size, pseudo_rows)
+        asks = [Ask(view, label, max(1, int(most * part)), sure, scales[view], *fitted[view], np.array(taken[1 - view], dtype=np.int64))
+                for view in (0, 1) for label, part in ((1.0, rate), (0.0, 1 - rate))]
+        for ask, (ids, t, m) in zip(asks, pool.surest(asks)):
+            other = 1 - ask.view
+            new = [i for i, k in enumerate(ids) if k not in set(taken[other])]
+            taken[other] += [ids[i] for i in new]
+            told[other] += [ask.label] * len(new)
+            more[other].append(((t, m)[other][new] - scales[other][0]) / scales[other][1])
         fitted = [fit(0), fit(1)]
     model = Model(fitted[0][0], fitted[1][0], scales[0], scales[1], fitted[0][1], fitted[1][1], np.array([1.0, 0.0, 0.0]))
     z = model.views(xt[aside], xm[aside])
@@ -165,11 +260,14 @@ def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, sample_rows: int = 8_000,
-          pool_rows: int = 8_000, rounds: int = 5) -> Model | None:
-    """Model from at most ``sample_rows`` labelled and ``pool_rows`` unlabelled documents (smallest key hashes).
+          rounds: int = 5, pseudo_rows: int = 2_000) -> Model | None:
+    """Model from at most ``sample_rows`` labelled documents (smallest key hashes) and all unlabelled ones.
 
     Labelled rows with crc32(doc_id as text) mod ``folds`` = 0 are never
-    read.  None without labelled rows of both kinds.
+    read.  The features of the unlabelled rows are written once; every round scores all of them on
+    Spark, and at most ``pseudo_rows`` a view become pseudo-labels.  Of rows that repeat a labelled id any one is learnt
+    from; conflicting labels of an id count as the smallest.  None without
+    labelled rows of both kinds.
     """
     seen = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
     train = (seen.where(crc_bucket(F.col("doc_id"), folds) != 0).groupBy("doc_id")
@@ -177,26 +275,31 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     docs = docs.select(*[c for c in ("doc_id", *_PARTS[:4]) if c in docs.columns])
     ins = _inputs(docs)
-    both = "array<double>"
 
-    @F.pandas_udf(f"struct<t:{both},m:{both}>")
-    def views(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            xt, xm = _matrices(pdf)
-            yield pd.DataFrame({"t": list(xt), "m": list(xm)})
+    def views(kind: str):
+        @F.pandas_udf(f"struct<t:array<{kind}>,m:array<{kind}>>")
+        def made(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                xt, xm = _matrices(pdf)
+                yield pd.DataFrame({"t": list(xt), "m": list(xm)})
+
+        return made("__bazaar_in").alias("x")
 
-    # broadcast: at most sample_rows (pool_rows) rows of two numbers
-    known = (ins.join(F.broadcast(train), "doc_id").select("doc_id", "__y", views("__bazaar_in").alias("x"))
+    # broadcast: at most sample_rows rows of two numbers
+    known = (ins.join(F.broadcast(train), "doc_id").select("doc_id", "__y", views("double"))
              .dropDuplicates(["doc_id"]).orderBy("doc_id").collect())
     y = np.array([float(r["__y"] > 0.5) for r in known])
     if len(set(y.tolist())) < 2:
         return None
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(seen.select("doc_id").distinct(), "doc_id", "left_anti")
-    pool_ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows)
-    pool = (ins.join(F.broadcast(pool_ids), "doc_id", "left_semi").select("doc_id", views("__bazaar_in").alias("x"))
-            .dropDuplicates(["doc_id"]).orderBy("doc_id").collect())
-    arr = lambda rows, k, n: np.array([r["x"][k] for r in rows], dtype=float).reshape(len(rows), n)
-    return co_train(arr(known, "t", N_TEXT), arr(known, "m", N_META), y, arr(pool, "t", N_TEXT), arr(pool, "m", N_META), rounds)
+    spark = docs.sparkSession
+    mark = scratch_mark(spark)
+    # features first, so that the join with the labels moves no texts
+    narrow = ins.select("doc_id", views("float")).join(seen.select("doc_id").distinct(), "doc_id", "left_anti")
+    pool = FramePool(cut(narrow.select(F.monotonically_increasing_id().alias("id"), "x.t", "x.m"), "pool"))
+    arr = lambda k, n: np.array([r["x"][k] for r in known], dtype=float).reshape(len(known), n)
+    model = co_train(arr("t", N_TEXT), arr("m", N_META), y, pool, rounds, pseudo_rows=pseudo_rows)
+    drop_scratch(spark, scratch_since(spark, mark))
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:

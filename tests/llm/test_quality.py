@@ -43,8 +43,8 @@ def test_co_training_passes_labels_between_views():
     xm = np.column_stack([y * 2 + rng.normal(size=n) for _ in range(6)] + [rng.normal(size=(n, 30)), np.ones(n)])
     lab, pool, test = slice(0, 60), slice(60, 2000), slice(2000, n)
     acc = lambda m: ((m.score(xt[test], xm[test]) > 0.5) == y[test]).mean()
-    with_pool = acc(Q.co_train(xt[lab], xm[lab], y[lab], xt[pool], xm[pool], rounds=5))
-    without = acc(Q.co_train(xt[lab], xm[lab], y[lab], xt[pool], xm[pool], rounds=0))
+    with_pool = acc(Q.co_train(xt[lab], xm[lab], y[lab], Q.ArrayPool(xt[pool], xm[pool]), rounds=5))
+    without = acc(Q.co_train(xt[lab], xm[lab], y[lab], Q.ArrayPool(xt[pool], xm[pool]), rounds=0))
     assert with_pool >= max(0.93, without - 0.005)
 
 
@@ -60,3 +60,21 @@ def test_odd_rows_and_empty_tables(spark):
     none = Q.classify(df, lab.limit(0)).collect()
     assert len(none) == 206 and all(r.keep and r.score == 1.0 for r in none)
     assert Q.keep_good(docs(spark, ["a"]).select("doc_id", "text"), lab.limit(0)).count() == 1
+
+
+def test_a_pool_on_spark_gives_what_one_in_memory_gives(spark):
+    rng = np.random.default_rng(3)
+    n = 700
+    xt, xm = rng.normal(size=(n, Q.N_TEXT)).astype(np.float32), rng.normal(size=(n, Q.N_META)).astype(np.float32)
+    xt[5] = xt[6] = xt[7]
+    df = spark.createDataFrame([(i, xt[i].tolist(), xm[i].tolist()) for i in range(n)], "id long, t array<float>, m array<float>")
+    here, there = Q.ArrayPool(xt.astype(float), xm.astype(float)), Q.FramePool(df.repartition(5))
+    assert here.size == there.size == n
+    for a, b in zip(here.moments(), there.moments()):
+        assert np.allclose(a[0], b[0]) and np.allclose(a[1], b[1])
+    one = lambda k: (np.zeros(k), np.ones(k))
+    asks = [Q.Ask(v, lab, most, 0.6, one((Q.N_TEXT, Q.N_META)[v]), rng.normal(size=(Q.N_TEXT, Q.N_META)[v]), (1.0, 0.1), np.array([1, 2, 3]))
+            for v in (0, 1) for lab, most in ((1.0, 20), (0.0, 7))]
+    for x, z in zip(here.surest(asks), there.surest(asks)):
+        assert x[0] == z[0] and np.allclose(x[1], z[1]) and np.allclose(x[2], z[2]) and len(x[0]) in (7, 20)
+    assert Q.FramePool(df.limit(0)).size == 0
