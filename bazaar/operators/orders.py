@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.functions.exprs import SUM_MONEY, discounted_price_raw, line_total, promo_applies, sum_line_totals
+from bazaar.operators.ids import next_ids
 from bazaar.operators.users import role_gate
 from bazaar.sources.tables import Shop
 
@@ -108,6 +109,13 @@ def cart_items(shop: Shop, user_id=None, cart: DataFrame | None = None) -> DataF
                     "CategoryName", "Quantity", "Price", "StockQuantity", "ImageURL"))
 
 
+def numbered_cart(shop: Shop, cart: DataFrame | None = None, start: int = 0) -> DataFrame:
+    """(CartItemID, UserID, ProductID, Quantity): cart lines with an identity of their own (D11), in (user, product) order after ``start``."""
+    lines = cart if cart is not None else shop.cart_items
+    return next_ids(lines.select("UserID", "ProductID", "Quantity"), ["UserID", "ProductID"], start, "CartItemID").select(
+        "CartItemID", "UserID", "ProductID", "Quantity")
+
+
 # J7 -------------------------------------------------------------------------
 def order_details(shop: Shop, user_id=None, order_id=None) -> DataFrame:
     """One row per order line with status, product name and LineTotal."""

@@ -29,7 +29,7 @@ DOUBLE_COLS: dict[str, list[str]] = {
     "cart_quote_lines": ["Price", "ItemPrice"],
     "orders_nested_split_lines": ["UnitPrice"],
     "delete_products_gate_products": ["Price"],
-    "patch_products_series": ["Price"], "checkout_at_request_order_items": ["UnitPrice"], "catalog_at_view": PRICE2, "search_many": PRICE2,
+    "patch_products_series": ["Price"], "checkout_at_request_order_items": ["UnitPrice"], "catalog_at_view": PRICE2, "search_many": PRICE2, "top_products_stream": ["Price", "TotalRevenue"],
     "import_products_array_added": ["Price"], "catalog_page_directory": PRICE2, "catalog_page_directory_last": PRICE2,
 }
 

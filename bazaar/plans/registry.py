@@ -117,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "cart_quote": _q_cart_quote,
     "cart_quote_lines": _q_cart_quote_lines,
     "cart_shortages": _q_cart_shortages,
+    "cart_items_numbered": lambda spark, d: O.numbered_cart(load_shop(spark, d)),
 }
 
 
@@ -124,6 +125,7 @@ QUERIES: dict[str, Query] = {
 from bazaar.operators import catalog as C  # noqa: E402
 from bazaar.operators import pages as P  # noqa: E402
 from bazaar.operators import search as S  # noqa: E402
+from bazaar.operators import snapshots as Sn  # noqa: E402
 from bazaar.operators import users as U  # noqa: E402
 from bazaar.sources.tables import AS_OF  # noqa: E402
 
@@ -679,6 +681,7 @@ from bazaar.operators import audit as Au  # noqa: E402
 from bazaar.sources import json_io as J  # noqa: E402
 from bazaar.streaming import audit_stream as AS  # noqa: E402
 from bazaar.streaming import cart_stream as CS  # noqa: E402
+from bazaar.streaming import top_stream as TS  # noqa: E402
 
 LATENESS_DAYS = 10
 ADMIN_ACTOR = 0    # customer 0 holds the Admin role
@@ -707,6 +710,15 @@ def _audit_products(spark, d):
     return Au.audit_products(shop.products, new_products(shop), ADMIN_ACTOR, AS_OF)
 
 
+def _audit_products_by_range(spark, d):
+    """The product audit over the key ranges whose digests differ; the products below 5/8 of the ids are left unchanged."""
+    shop = load_shop(spark, d)
+    top = shop.products.agg(F.max("ProductID")).first()[0]
+    new = shop.products.filter(F.col("ProductID") < top * 5 // 8).unionByName(
+        new_products(shop).filter(F.col("ProductID") >= top * 5 // 8).select(*shop.products.columns))
+    return Sn.audit_by_range(Au.audit_products, shop.products, new, "ProductID", Au.PRODUCT_VALUE_COLS, ADMIN_ACTOR, AS_OF, width=64)
+
+
 def _audit_promocodes(spark, d):
     shop = load_shop(spark, d)
     return Au.audit_promocodes(shop.promocodes, new_promocodes(spark, d, shop), ADMIN_ACTOR, AS_OF)
@@ -794,6 +806,17 @@ def _audit_promo_stream(spark, d):
     return spark.read.parquet(f"{root}/sink").select("UserID", "Action", "Timestamp", "Key")
 
 
+def _top_products_stream(spark, d):
+    """All order lines as a feed in four files, then every tenth order's lines taken back."""
+    shop = load_shop(spark, d)
+    root = AS.stream_root(spark, "top-stream")
+    lines = shop.order_items.select(F.lit("insert").alias("op"), "*")
+    gone = lines.filter(F.col("OrderID") % 10 == 0).withColumn("op", F.lit("delete"))
+    lines.repartition(4, "OrderID").write.parquet(f"{root}/source")
+    gone.coalesce(1).write.mode("append").parquet(f"{root}/source")
+    return spark.read.parquet(TS.run_top_stream(spark, f"{root}/source", root, shop, max_files_per_trigger=2)[-1])
+
+
 def _cart_stream_run(spark, d):
     """Cart events cut into eight time slices, two files per micro-batch."""
     shop = load_shop(spark, d)
@@ -833,6 +856,7 @@ def _cart_stream_late(spark, d):
 
 QUERIES.update({
     "audit_products": _audit_products,
+    "audit_products_by_range": _audit_products_by_range,
     "audit_promocodes": _audit_promocodes,
     "audit_log": _audit_log,
     "logs_json_roundtrip": _logs_json_roundtrip,
@@ -845,6 +869,7 @@ QUERIES.update({
     "audit_stream_replayed": _audit_stream_replayed,
     "audit_stream": _audit_stream,
     "audit_promo_stream": _audit_promo_stream,
+    "top_products_stream": _top_products_stream,
     "cart_stream": _cart_stream,
     "cart_stream_rejects": _cart_stream_rejects,
     "cart_stream_out_of_order": _cart_stream_mixed,
