@@ -120,18 +120,22 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of one bucket and different components with near signatures, from (key, node, c, s0, s1), each once.
 
     A bucket of n members is cut into n / BLOCK blocks by a hash of the node,
-    and every two blocks meet in a task of their own.
+    and every two blocks meet in a task of their own.  A pair that shares
+    several buckets comes out of one of them only.
     """
+    held = members.groupBy("node").agg(F.collect_set("key").alias("keys"))      # one key per band at most
+    members = members.join(held, "node")
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "node", "c", "s0", "s1", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        "key", "node", "c", "s0", "s1", "keys", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
         (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
     x, y = dealt.where("left").alias("x"), dealt.where("right").alias("y")
     near = differing(F.col("x.s0"), F.col("x.s1"), F.col("y.s0"), F.col("y.s1")) <= DIFFERING
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
-                 & (F.col("x.c") != F.col("y.c")) & ((F.col("x.lo") != F.col("x.hi")) | (F.col("x.node") < F.col("y.node"))) & near)
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+                 & (F.col("x.c") != F.col("y.c")) & ((F.col("x.lo") != F.col("x.hi")) | (F.col("x.node") < F.col("y.node"))) & near
+                 & (F.col("x.key") == F.array_min(F.array_intersect(F.col("x.keys"), F.col("y.keys")))))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
