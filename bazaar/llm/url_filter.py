@@ -22,6 +22,9 @@ SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "or
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Parts that a host's pages are dealt to where they meet the blocked hosts: no host has to fit a task.
+PARTS = 32
+
 #: Least and greatest overdispersion a level may get: prior strengths from 1 to 9,999 pages.
 RHO = (0.0001, 0.5)
 
@@ -159,8 +162,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     null ids are judged row by row; an empty table gives an empty result.
     Only the two named columns are read, so other columns may have any name.
 
-    The pages meet only the blocked hosts (a part of the hosts), as a plain
-    equi-join that Spark broadcasts or splits by real sizes.
+    The pages meet only the blocked hosts (a part of the hosts), by host and
+    one of PARTS parts, so the pages of one host spread over as many tasks.
     """
     counts = cut(host_outcomes(pages, outcomes, id_col, url_col, suffixes), "hosts")
     parts = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
@@ -169,7 +172,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
                          url_suffix(F.col("host"), suffixes).alias("suffix"))
     blocked = host_reputation(names, counts, z).where(F.col("bound") > F.lit(max_bad)).select(F.col("host").alias("__blocked"))
     hit = matched_rule(F.col("host"), F.col("path"), rules)
-    judged = parts.withColumn("__hit", hit).join(blocked, F.col("host") == F.col("__blocked"), "left")
+    spread = parts.withColumn("__hit", hit).withColumn("__part", F.pmod(F.xxhash64(F.col(id_col), "path"), F.lit(PARTS)).cast("int"))
+    many = blocked.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    judged = spread.join(many, (F.col("host") == F.col("__blocked")) & (F.col("__part") == F.col("__of")), "left")
     method = F.when(F.col("__blocked").isNotNull(), "block").otherwise("allow")
     return judged.select(id_col, "host", "path", F.col("__hit.rule").alias("rule"),
                          F.coalesce(F.col("__hit.verdict"), method).alias("verdict"))
