@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from bazaar.functions.exprs import like_regex
 from bazaar.operators import catalog as C
 from bazaar.operators import search as S
+from bazaar.plans.registry import QUERIES
+from bazaar.sources import tables as Tb
 from conftest import AS_OF, rows
 from shopfix import small_shop
 
@@ -48,3 +50,14 @@ def test_no_keywords_and_no_products(spark):
     none = spark.createDataFrame([], "Keyword string")
     assert S.search_many(shop, none, AS_OF).count() == 0
     assert S.search_many(shop, spark.createDataFrame([("a",)], "Keyword string"), AS_OF, S.postings(shop.named_products.limit(0))).count() == 0
+
+
+def test_postings_are_not_broadcast(spark, tmp_path):
+    """The product file is far under the broadcast bound, the postings made of it are not."""
+    spark.createDataFrame([(i, f"thing {i}", "Brand#1", "LARGE BRASS", 5, 10.0) for i in range(50)], Tb.DRIVER_SCHEMAS["part"]).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "thing 1", 1)], Tb.DRIVER_SCHEMAS["nation"]).coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    got = QUERIES["search_many"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sent = re.findall(r"\) BroadcastExchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert sent and not [s for s in sent if "gram#" in s and "ProductID#" in s]
+    assert got.where("Keyword = 'thing 1'").count() == 11
