@@ -44,13 +44,24 @@ def order_document(shop: Shop, user_id=None, order_id=None) -> DataFrame:
     """N1 plus ``products``: each product named by any item, once.  For one
     user or order only the lines of those orders are grouped."""
     orders = _orders(shop, user_id, order_id)
-    lines = lines_of(shop.order_items, orders) if user_id is not None or order_id is not None else \
-        shop.order_items.join(orders.select("OrderID"), "OrderID", "left_semi")
-    items = shop.order_items if user_id is None and order_id is None else lines
-    with_items = lookup(orders, items, "OrderID", "OrderID", "items", fields=ITEM_FIELDS)
+    lines = lines_of(shop.order_items, orders) if user_id is not None or order_id is not None else shop.order_items
     named = (lines.select("OrderID", "ProductID").distinct()
              .join(shop.products.select(*PRODUCT_FIELDS), "ProductID", "inner"))
-    return lookup(with_items, named, "OrderID", "OrderID", "products", fields=PRODUCT_FIELDS)
+    order_cols = [c for c in orders.columns if c != "OrderID"]
+    parts = {"order": (orders, order_cols), "items": (lines, ITEM_FIELDS), "products": (named, PRODUCT_FIELDS)}
+    types = {k: df.select(F.struct(*cols).alias(k)).schema[k].dataType for k, (df, cols) in parts.items()}
+    rows = None
+    for name, (df, cols) in parts.items():
+        one = df.where("OrderID is not null").select("OrderID", *[
+            F.struct(*cols).alias(k) if k == name else F.lit(None).cast(types[k]).alias(k) for k in parts])
+        rows = one if rows is None else rows.unionByName(one)
+    # one grouping for all three: arrays that are joined on instead are sorted and held a second and third time in a task
+    docs = rows.groupBy("OrderID").agg(F.collect_list("order").alias("orders"), F.sort_array(F.collect_list("items")).alias("items"),
+                                       F.sort_array(F.collect_list("products")).alias("products"))
+    found = docs.select("OrderID", F.explode("orders").alias("order"), "items", "products")
+    keyless = orders.where("OrderID is null").select("OrderID", *order_cols, *[
+        F.array().cast(docs.schema[k].dataType).alias(k) for k in ("items", "products")])
+    return found.select("OrderID", "order.*", "items", "products").unionByName(keyless)
 
 
 # N3 -------------------------------------------------------------------------

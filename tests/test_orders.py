@@ -75,3 +75,16 @@ def test_lookup_null_keys(spark):
     nulls = {r.name: [x.v for x in r.docs] for r in lookup(left, right, "k", "fk", "docs",
                                                             null_matches_null=True).collect()}
     assert nulls == {"a": [10], "b": [20, 21]}
+
+
+def test_order_documents_are_grouped_once(spark):
+    """Repeated and missing order ids, repeated lines, an orphan line; no grouped array is joined on again."""
+    shop = small_shop(spark, orders=[(100, 10, None, 1), (100, 11, 1, 1), (None, 12, None, 2), (103, 10, None, 1)],
+                      order_items=[(100, 1, 2, D("10.00")), (100, 1, 2, D("10.00")), (100, 4, 1, D("1.00")), (100, 77, 1, D("5.00")),
+                                   (104, 2, 1, D("2.00")), (None, 2, 1, D("2.00"))])
+    df = N.order_document(shop)
+    assert "LeftOuter" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [(r.OrderID, r.UserID, r.PromoID, r.StatusID, [i.ProductID for i in r["items"]], [p.ProductID for p in r.products]) for r in df.collect()]
+    assert sorted(got, key=str) == sorted([(100, 10, None, 1, [1, 1, 4, 77], [1, 4]), (100, 11, 1, 1, [1, 1, 4, 77], [1, 4]),
+                                           (None, 12, None, 2, [], []), (103, 10, None, 1, [], [])], key=str)
+    assert [r.OrderID for r in N.order_document(shop, user_id=11).collect()] == [100]
