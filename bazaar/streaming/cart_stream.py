@@ -1,19 +1,20 @@
 """T4: the cart fold (D2) run incrementally on Spark's own streaming state.
 
-``transformWithState`` keeps, per (UserID, ProductID), what later events can still
-change: the events since the last reset (set / remove / starting line) as a
-list state, and the folded line as a value state, so a new event meets every event it could
+``transformWithState`` keeps a cart per user, one value state: of every product
+the folded line and what later events can still change, the events since the
+last reset (set / remove / starting line), so a new event meets every event it could
 concern and the result does not depend on the order in which files arrive:
-it is that of the batch fold over all events.  The state schema is declared
+it is that of the batch fold over all events.  A user's new events cost one
+read and one write of the cart, not several calls to the state per line.  The state schema is declared
 in ``CartProcessor.init``; the carts are read from the state store with the
 ``statestore`` source, so nothing else is written for them.
 
 ``lateness`` bounds the state by Spark's watermark: an event-time timer per
-key folds events behind the watermark into one base row, and events that
+user folds events behind the watermark into one base row a product, and events that
 arrive behind it go to the ``late`` table.  Events of users without the User
 role go to ``rejects``.  Both are parquet sinks, written exactly once.
 
-State is partitioned by the key and stored by RocksDB with changelogs under
+State is partitioned by the user and stored by RocksDB with changelogs under
 the query's checkpoint folder; a replayed micro-batch starts from the last
 committed version, and the number of state partitions is the session's
 ``spark.sql.shuffle.partitions`` at the first start.
@@ -37,9 +38,9 @@ from bazaar.sources.tables import CART_EVENTS
 REASONED = T.StructType([*CART_EVENTS.fields, T.StructField("reason", T.StringType())])
 LATE = "late event"
 
-#: State of a key: the events that are not closed yet, and the line they and the closed ones fold to.
-OPEN = "event_id long, at long, op string, qty int"
-LINE = "quantity int, present boolean"
+#: State of a user: by product the events that are not closed yet, and the line they and the closed ones fold to.
+CART = ("lines array<struct<ProductID: bigint, quantity: int, present: boolean, "
+        "open: array<struct<event_id: bigint, at: bigint, op: string, qty: int>>>>")
 
 _PROVIDER = ("spark.sql.streaming.stateStore.providerClass",
              "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -69,59 +70,66 @@ def _line(events: list[tuple]) -> tuple[int, bool]:
 
 
 class CartProcessor(StatefulProcessor):
-    """Folds the events of one (UserID, ProductID); emits the events that came too late."""
+    """Folds the events of one user; emits the events that came too late."""
 
     def __init__(self, closing: bool):
         self.closing = closing
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", OPEN)
-        self.line = handle.getValueState("line", LINE)
+        self.cart = handle.getValueState("open", CART)
 
-    def _held(self) -> list[tuple]:
-        return [(r[1], r[0], r[2], r[3]) for r in self.open.get()] if self.open.exists() else []
+    def _held(self) -> dict:
+        """Open events by product."""
+        cart = self.cart.get()
+        return {} if cart is None else {p: [(e[1], e[0], e[2], e[3]) for e in events] for p, _, _, events in cart[0]}
 
-    def _keep(self, events: list[tuple]) -> None:
-        events = _since_reset(events)
-        self.line.update(_line(events))
-        self.open.put([(i, at, op, q) for at, i, op, q in events])
+    def _keep(self, cart: dict) -> None:
+        if cart:
+            self.cart.update(([(p, *_line(events), [(i, at, op, q) for at, i, op, q in events]) for p, events in cart.items()],))
+        else:                     # nothing later can bring a line back but a new event
+            self.cart.clear()
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self._keep([(_FIRST, -(2 ** 63), "base", initialState["Quantity"])])
+        self._keep(self._held() | {initialState["ProductID"]: [(_FIRST, -(2 ** 63), "base", initialState["Quantity"])]})
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        closed = timerValues.getCurrentWatermarkInMs() * 1000 if self.closing else None
-        events = self._held()
-        before = len(events)
+        now = timerValues.getCurrentWatermarkInMs() if self.closing else None
+        new = {}
         for r in rows:
             at = _UNTIMED if r["at"] is None else r["at"]
-            if closed is not None and _FIRST < at < closed:
-                yield Row(event_id=r["event_id"], at=r["at"], UserID=key[0], ProductID=key[1], op=r["op"], qty=r["qty"])
+            if now is not None and _FIRST < at < now * 1000:
+                yield Row(event_id=r["event_id"], at=r["at"], UserID=key[0], ProductID=r["ProductID"], op=r["op"], qty=r["qty"])
             else:
-                events.append((at, r["event_id"], r["op"], r["qty"]))
-        if len(events) > before:
-            self._keep(events)
+                new.setdefault(r["ProductID"], []).append((at, r["event_id"], r["op"], r["qty"]))
+        if new:
+            cart, times = self._held(), []
+            for product, events in new.items():
+                events = cart.get(product, []) + events
+                times.append(min(e[0] for e in events))
+                cart[product] = _since_reset(events)
+            self._keep(cart)
             if self.closing:
-                # the first moment at which an event of this key can be closed
-                self.handle.registerTimer(max(min(e[0] for e in events) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+                # the first moment at which an event of these products can be closed
+                self.handle.registerTimer(max(min(times) // 1000 + 1, now + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """Fold the events behind the watermark into one base row at the place of the last of them."""
+        """Fold the events of a product behind the watermark into one base row at the place of the last of them."""
         closed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = _since_reset(self._held())
-        old = [e for e in events if e[0] < closed]
-        rest = events[len(old):]
-        quantity, present = _line(old)
-        if old and present:
-            rest = [(old[-1][0], old[-1][1], "base", quantity), *rest]
-        if rest or not old:
-            self._keep(rest)
-        else:                     # closed without a line: nothing later can bring it back but a new event
-            self.open.clear()
-            self.line.clear()
-        if any(e[0] >= closed for e in rest):
-            self.handle.registerTimer(min(e[0] for e in rest if e[0] >= closed) // 1000 + 1)
+        cart, later = {}, []
+        for product, events in self._held().items():
+            events = _since_reset(events)
+            old = [e for e in events if e[0] < closed]
+            rest = events[len(old):]
+            later += [e[0] for e in rest[:1]]
+            quantity, present = _line(old)
+            if old and present:
+                rest = [(old[-1][0], old[-1][1], "base", quantity), *rest]
+            if rest:              # closed without a line: the product goes
+                cart[product] = rest
+        self._keep(cart)
+        if later:
+            self.handle.registerTimer(min(later) // 1000 + 1)
         return iter(())
 
     def close(self) -> None:
@@ -147,8 +155,8 @@ def fold_stream(events: DataFrame, lateness: dt.timedelta | None = None, initial
         timed = timed.withWatermark("ts", f"{int(lateness.total_seconds() * 1000)} milliseconds")
     # the time goes on as a number: Spark would drop late rows by a time column, here they are answered
     rows = timed.select("event_id", F.unix_micros("ts").alias("at"), *KEYS, "op", "qty")
-    start = None if initial is None else initial.select(*KEYS, "Quantity").groupBy(*KEYS)
-    out = rows.groupBy(*KEYS).transformWithState(
+    start = None if initial is None else initial.select(*KEYS, "Quantity").groupBy("UserID")
+    out = rows.groupBy("UserID").transformWithState(
         CartProcessor(lateness is not None), "event_id long, at long, UserID long, ProductID long, op string, qty int", "Append",
         "EventTime" if lateness is not None else "None", initialState=start)
     return out.select("event_id", F.timestamp_micros("at").alias("ts"), *KEYS, "op", "qty", F.lit(LATE).alias("reason"))
@@ -161,9 +169,9 @@ def _state(root: str) -> str:
 def read_carts(spark: SparkSession, root: str) -> DataFrame:
     """The carts as the last committed batch left them, read from the state store."""
     with _rocksdb(spark):
-        state = spark.read.format("statestore").option("path", _state(root)).option("stateVarName", "line").load()
-    return (state.where("value.present").select(F.col("key.UserID").alias("UserID"), F.col("key.ProductID").alias("ProductID"),
-                                                F.col("value.quantity").alias("Quantity")))
+        state = spark.read.format("statestore").option("path", _state(root)).option("stateVarName", "open").load()
+    lines = state.select(F.col("key.UserID").alias("UserID"), F.explode("value.lines").alias("line")).where("line.present")
+    return lines.select("UserID", "line.ProductID", F.col("line.quantity").alias("Quantity"))
 
 
 def read_side(spark: SparkSession, root: str, kind: str) -> DataFrame:

@@ -194,3 +194,17 @@ def test_the_log_is_for_admins(spark):
     log = spark.createDataFrame([(1, 7, "x", AS_OF)], Tb.LOGS)
     assert A.logs(log, shop.user_roles, shop.roles, 11).count() == 1 and A.logs(log).count() == 1
     assert A.logs(log, shop.user_roles, shop.roles, 10).count() == 0 == A.logs(log, shop.user_roles, shop.roles, None).count()
+
+
+def test_cart_stream_keeps_one_state_row_a_user(spark):
+    """Thirty lines of one user are read and written as one cart, not line by line."""
+    root = AS.stream_root(spark, "test-cart-user")
+    t0 = dt.datetime(2024, 1, 1)
+    ev = [(i, t0 + dt.timedelta(minutes=i), 1 + i // 60, i % 30, "set" if i % 3 else "delta", i % 5) for i in range(120)] + [(200, None, 1, None, "delta", 3)]
+    put(spark, root, ev[::2])
+    put(spark, root, ev[1::2])
+    got = rows(CS.run_cart_stream(spark, f"{root}/src", root))
+    assert got == rows(W.fold_cart_events(spark.createDataFrame(ev, Tb.CART_EVENTS)).items) and (1, None, 3) in got
+    with CS._rocksdb(spark):
+        held = spark.read.format("statestore").option("path", f"{root}/checkpoint/carts").option("stateVarName", "open").load()
+    assert held.count() == 2
