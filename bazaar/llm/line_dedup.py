@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import cut, drop_scratch, scratch_mark, scratch_since
+from bazaar.llm.common import cut, drop_scratch, free_shuffles, scratch_mark, scratch_since
 from bazaar.operators.components import connected_components
 
 #: Characters of a shingle, of the exact Jaccard test and of the signature.
@@ -21,6 +21,8 @@ SIDE = 5
 DIFFERING = 13
 #: Rows of one side of a bucket that are compared in one task (a bound on work, not a cap: larger buckets go block by block).
 BLOCK = 512
+#: 64-bit words of the shingle bitmap that bounds a pair's similarity before the exact test.
+WORDS = 16
 
 
 def normal_line(line: Column) -> Column:
@@ -38,6 +40,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def reaches(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the exact similarity of two lines reaches the threshold; each line's shingles are made once.
+
+    A filter would make them again at every mention, so the sets, and then
+    their sizes, go through lambdas of one-element arrays.
+    """
+    sets = F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s.a, s.b)).alias("both"), (F.size(s.a) + F.size(s.b)).alias("all")))
+    return F.transform(sizes, lambda n: n.both / (n["all"] - n.both))[0] >= threshold
+
+
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, pos, n, node) per line that is not blank; n is the normalised line, node a 64-bit hash of it.
 
@@ -49,6 +62,34 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lines.select("doc", "pos", "n", F.xxhash64("n").alias("node"))
 
 
+def _hashed_shingles(lines: DataFrame) -> DataFrame:
+    """(node, h) per character shingle of (node, n), repeats included."""
+    coded = lines.select("node", F.encode("n", "UTF-32").alias("b"))         # four bytes a character
+    spots = coded.select("node", "b", F.explode(F.expr(f"sequence(0, greatest(octet_length(b) div 4 - {SHINGLE}, 0))")).alias("at"))
+    return spots.select("node", F.expr(f"xxhash64(substring(b, 4 * at + 1, {4 * SHINGLE}))").alias("h"))
+
+
+def bitmaps(lines: DataFrame) -> DataFrame:
+    """(node, w0, w1, ...): the bits that the shingles of (node, n) set in a bitmap of ``WORDS`` words."""
+    at = _hashed_shingles(lines).select("node", F.pmod("h", F.lit(WORDS)).cast("int").alias("word"),
+                                        F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))").alias("bit"))
+    return at.groupBy("node").agg(*[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}")
+                                    for i in range(WORDS)])
+
+
+def within_bound(a: str, b: str, threshold: float) -> Column:
+    """False only for pairs that cannot reach the threshold, from the struct columns ``a`` and ``b`` of (n, w0, w1, ...).
+
+    Every bit that two bitmaps differ in stands for a shingle that one line
+    has alone.  Lines of similarity t share all but (1 - t) / (1 + t) of
+    their shingles taken together, and a line has no more than its spots.
+    """
+    apart = sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(1, WORDS)),
+                F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
+    spots = [F.greatest(F.char_length(f"{x}.n") - (SHINGLE - 1), F.lit(1)) for x in (a, b)]
+    return apart * F.lit(1 + threshold) <= (spots[0] + spots[1]) * F.lit(1 - threshold) + F.lit(1e-6)
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """(node, bands, s0, s1) per node of (node, n): the band keys of its MinHash signature, and four bits of every MinHash.
 
@@ -60,10 +101,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     reduced to one row before they leave their task, and copies of a line to
     one row per task.
     """
-    coded = lines.select("node", F.encode("n", "UTF-32").alias("b"))         # four bytes a character
-    spots = coded.select("node", "b", F.explode(F.expr(f"sequence(0, greatest(octet_length(b) div 4 - {SHINGLE}, 0))")).alias("at"))
-    hashed = spots.select("node", F.expr(f"xxhash64(substring(b, 4 * at + 1, {4 * SHINGLE}))").alias("h"))
-    rows = hashed.select("node", *[F.xxhash64("h", F.lit(i)).alias(f"h{i}") for i in range(ROWS)])
+    rows = _hashed_shingles(lines).select("node", *[F.xxhash64("h", F.lit(i)).alias(f"h{i}") for i in range(ROWS)])
 
     def turned(row: int, column: int) -> Column:
         k = 64 * column // SIDE
@@ -107,13 +145,20 @@ def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> Da
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """The (a, b) whose lines reach the threshold, by the exact sets of their shingles (written)."""
+    """The (a, b) whose lines reach the threshold, by the exact sets of their shingles (written).
+
+    Pairs whose bitmaps rule the threshold out are not tested.
+    """
     pairs = cut(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    lines = cut(_texts(docs, places.join(nodes, "node", "left_semi"), id_col, text_col), "texts")
-    la, lb = (lines.select(F.col("node").alias(x), F.col("n").alias(f"line_{x}")) for x in "ab")
-    both = pairs.join(la, "a").join(lb, "b")
-    return cut(both.where(jaccard(shingles(F.col("line_a")), shingles(F.col("line_b"))) >= threshold).select("a", "b"), "links")
+    mark = scratch_mark(docs.sparkSession)
+    lines = cut(_texts(docs, places.join(nodes.hint("merge"), "node", "left_semi"), id_col, text_col), "texts")
+    written = scratch_since(docs.sparkSession, mark)
+    lines = cut(lines.join(bitmaps(lines).hint("merge"), "node"), "bitmaps")
+    drop_scratch(docs.sparkSession, written)
+    la, lb = (lines.select(F.col("node").alias(x), F.struct("n", *[f"w{i}" for i in range(WORDS)]).alias(f"line_{x}")) for x in "ab")
+    both = pairs.join(la.hint("merge"), "a").join(lb.hint("merge"), "b").where(within_bound("line_a", "line_b", threshold))
+    return cut(both.where(reaches(F.col("line_a.n"), F.col("line_b.n"), threshold)).select("a", "b"), "links")
 
 
 def _open_pairs(members: DataFrame) -> DataFrame:
@@ -123,8 +168,7 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     and every two blocks meet in a task of their own.  A pair that shares
     several buckets comes out of one of them only.
     """
-    held = members.groupBy("node").agg(F.collect_set("key").alias("keys"))      # one key per band at most
-    members = members.join(held, "node")
+    members = members.withColumn("keys", F.collect_set("key").over(Window.partitionBy("node")))      # one key per band at most
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -156,29 +200,36 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     occ = cut(found.drop("n"), "lines")
     kept = scratch_since(spark, mark)
     sketched = signatures(found.select("node", "n"))
-    spots = sketched.select("node", F.explode("bands").alias("key")).repartition("key")      # dealt once, for the counts and the join
-    full = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    members = cut(spots.join(full, "key").join(sketched.select("node", "s0", "s1"), "node"), "members")
-    places = cut(occ.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first")), "places")
-
-    sketch = members.select("node", "s0", "s1").distinct()
-    star = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    sa, sb = (sketch.select(F.col("node").alias(x), F.col("s0").alias(f"{x}0"), F.col("s1").alias(f"{x}1")) for x in "ab")
-    near = star.join(sa, "a").join(sb, "b").where(differing(*[F.col(c) for c in ("a0", "a1", "b0", "b1")]) <= DIFFERING).select("a", "b")
+    key = Window.partitionBy("key")      # one pass over the sorted keys counts a bucket, finds its pivot and leaves those of one node
+    spots = sketched.select("node", F.explode("bands").alias("key")).withColumn("n", F.count(F.lit(1)).over(key)).withColumn("pivot", F.min("node").over(key))
+    held = spots.where("n > 1").groupBy("node").agg(F.collect_list(F.struct("key", "n", "pivot")).alias("buckets"))      # one per band at most
+    members = cut(held.join(sketched.select("node", "s0", "s1").hint("merge"), "node"), "members")
+    places = cut(occ.join(members.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first")), "places")
+    del sketched, spots, held
+    free_shuffles(spark)
+
+    star = (members.select("node", "s0", "s1", F.explode(F.array_distinct(F.transform("buckets", lambda b: b.pivot))).alias("pivot"))
+            .where("node != pivot"))
+    pivots = members.select(F.col("node").alias("pivot"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
+    near = (star.join(pivots.hint("merge"), "pivot").where(differing(*[F.col(c) for c in ("s0", "s1", "p0", "p1")]) <= DIFFERING)
+            .select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     links = _verified(near, docs, places, id_col, text_col, threshold)
     comp = connected_components(links, "a", "b")
 
-    placed = members.where("n > 2").join(comp, "node", "left").select("key", "node", "pivot", "s0", "s1", F.coalesce("component", "node").alias("c"))
+    crowded = members.withColumn("buckets", F.filter("buckets", lambda b: b.n > 2)).where(F.size("buckets") > 0)
+    named = crowded.join(comp.hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))      # a row per node, not per bucket
+    placed = cut(named.select("node", "s0", "s1", "c", F.explode("buckets").alias("b")).select("b.key", "node", "b.pivot", "s0", "s1", "c"), "placed")
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    others = placed.join(split, "key").where("node != pivot").drop("pivot")      # pairs with the pivot are done
+    others = placed.join(split.hint("merge"), "key", "left_semi").where("node != pivot").drop("pivot")      # pairs with the pivot are done
     more = _verified(_open_pairs(cut(others, "open")), docs, places, id_col, text_col, threshold)
     if not more.isEmpty():
-        comp = connected_components(links.unionByName(more), "a", "b")
+        comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
+    free_shuffles(spark)
 
     alike = occ.groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    named = alike.join(comp, "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("c"))
+    named = alike.join(comp.hint("merge"), "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("c"))
     keep = named.groupBy("c").agg(F.min("first").alias("keep"))
-    groups = cut(named.join(keep, "c").select("node", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "groups")
+    groups = cut(named.join(keep.hint("merge"), "c").select("node", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "groups")
     drop_scratch(spark, [p for p in scratch_since(spark, mark)[:-1] if p not in kept])
     return occ, groups
 

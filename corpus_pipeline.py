@@ -3,7 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the
 stage before it kept; all but the last return the columns of ``documents``.
 ``run`` writes each stage's result under the shared checkpoint folder and
-reads it again as the next one's input.
+reads it again as the next one's input; shuffles and driver objects of a
+finished stage are let go first.
 
 1. quality: documents that the co-trained classifier rejects go.
 2. line_dedup: of every group of equal or near-equal lines one stays;
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from bazaar.llm import decontam, line_dedup, packing, quality
 from bazaar.llm import simhash as simhash_op
-from bazaar.llm.common import cut, table
+from bazaar.llm.common import cut, free_shuffles, table
 from bazaar.session import ensure_checkpoint_dir
 
 CAPACITY = 2048
@@ -74,4 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        free_shuffles(spark)
     return docs

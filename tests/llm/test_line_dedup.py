@@ -134,3 +134,40 @@ def test_packed_signatures_count_differing_cells(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame(rows, "a0 long, a1 long, b0 long, b1 long, want int")
     assert df.where(L.differing(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) != F.col("want")).count() == 0
+
+
+def test_the_bound_keeps_every_pair_that_reaches_the_threshold(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        a = [rng.choice("abcdefghij é") for _ in range(rng.choice((3, 12, 60, 300, 4000)))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 1 + max(1, len(a) // 10))):
+            b[rng.randrange(len(b))] = rng.choice("xyz")
+        rows.append((i, "".join(a), "".join(b)))
+    rows += [(300, "l " * 5000, "l " * 4000), (301, "abc", "abd")]
+    pairs = spark.createDataFrame(rows, "i long, a string, b string")
+    maps = [L.bitmaps(pairs.select(F.col("i").alias("node"), F.col(c).alias("n"))).join(pairs.selectExpr("i as node", f"{c} as n"), "node")
+            .select(F.col("node").alias("i"), F.struct("n", *[f"w{i}" for i in range(L.WORDS)]).alias(f"line_{c}")) for c in "ab"]
+    got = maps[0].join(maps[1], "i").select("i", L.within_bound("line_a", "line_b", 0.8).alias("may"),
+                                            L.reaches(F.col("line_a.n"), F.col("line_b.n"), 0.8).alias("does")).collect()
+    want = {i: len(sh(a) & sh(b)) / len(sh(a) | sh(b)) for i, a, b in rows}
+    assert len(got) == len(rows) and all(r.does == (want[r.i] >= 0.8) and (r.may or not r.does) for r in got)
+    assert sum(not r.may for r in got) > 20
+
+
+def test_components_are_joined_a_row_per_line_not_per_bucket(spark, monkeypatch):
+    sizes = []
+    kept = L.cut
+
+    def counted(df, tag="cut"):
+        out = kept(df, tag)
+        if tag == "members":
+            sizes.append((out.count(), out.select("node").distinct().count()))
+        return out
+
+    monkeypatch.setattr(L, "cut", counted)
+    rows = [(i, "one two three four five six seven eight nine ten eleven twelve " + "x" * i) for i in range(40)]
+    assert L.dedup_lines(docs(spark, rows)).count() == 40
+    assert sizes and all(n == nodes for n, nodes in sizes)
