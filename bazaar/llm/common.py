@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from bazaar.session import ensure_checkpoint_dir
 
+#: Results that a task of ``map_runs`` holds before it hands them on.
+EMIT_BYTES = 8_000_000
+
 _SCRATCH: dict[str, list[str]] = {}
 
 
@@ -101,21 +104,24 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable[[tuple, dict], dict |
     def to_cols(batch: pa.RecordBatch) -> dict:
         return {c: batch.column(i) for i, c in enumerate(names)}
 
-    def emit(parts: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(p[f.name], f.type) for p in parts]) for f in out_types], schema=out_types)
+    def emit(parts: list[list[pa.Array]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(list(column)) for column in zip(*parts)], schema=out_types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         held_key: tuple | None = None
-        out: list[dict] = []
+        out: list[list[pa.Array]] = []
+        size = 0
 
         def close() -> None:
+            nonlocal size
             if held:
                 cols = {c: (held[0][c] if len(held) == 1 else pa.concat_arrays([h[c] for h in held])) for c in names}
+                held.clear()
                 res = fn(held_key, cols)
                 if res is not None:
-                    out.append(res)
+                    out.append([pa.array(res[f.name], f.type) for f in out_types])
+                    size += sum(a.nbytes for a in out[-1])
 
         for batch in batches:
             if not batch.num_rows:
@@ -128,10 +134,10 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable[[tuple, dict], dict |
                 if key != held_key:
                     close()
                     held, held_key = [], key
+                    if len(out) >= 256 or size >= EMIT_BYTES:
+                        yield emit(out)
+                        out, size = [], 0
                 held.append({c: cols[c].slice(a, b - a) for c in names})
-            if len(out) >= 256:
-                yield emit(out)
-                out = []
         close()
         if out:
             yield emit(out)

@@ -16,6 +16,9 @@ from bazaar.llm.common import cut, free_shuffles, map_runs
 #: Text bytes per group of documents, and per hash slice of the count tables (memory bounds of a task).
 GROUP_BYTES = 8_000_000
 SLICE_BYTES = 16_000_000
+#: Words of one group that are scored at a time, and hashes of words remembered (memory bounds as well).
+BLOCK_WORDS = 100_000
+REMEMBERED = 50_000
 
 
 class _Hashes(dict):
@@ -26,12 +29,14 @@ class _Hashes(dict):
 
 def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all texts one after the other, number of words of each)."""
-    look = _Hashes().__getitem__
+    known = _Hashes()
     parts, sizes = [], []
     for t in texts:
         w = t.lower().split() if t else []
-        parts.append(np.fromiter(map(look, w), np.uint64, len(w)))
+        parts.append(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)))
         sizes.append(len(w))
+        if len(known) > REMEMBERED:
+            known.clear()
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(sizes, np.int64)
 
 
@@ -54,6 +59,11 @@ def _grams(words: np.ndarray, place: np.ndarray, order: int) -> list[tuple[np.nd
     return out
 
 
+def _distinct(words: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n = 1..order: the distinct hashes of the n-grams, in order."""
+    return [np.unique(h) for _, h in _grams(words, place, order)]
+
+
 def _place(sizes: np.ndarray) -> np.ndarray:
     """Position of each word inside its text."""
     starts = np.cumsum(sizes) - sizes
@@ -103,7 +113,7 @@ def _count_slice(key: tuple, cols: dict) -> dict:
 
 
 def _score_group(cols: dict, order: int, alpha: float, corpus: int) -> dict | None:
-    """Scores of one group of documents, given the corpus counts of its n-grams."""
+    """Scores of one group of documents, given the corpus counts of its n-grams; documents are scored in blocks of ``BLOCK_WORDS``."""
     kind = cols["slice"].to_numpy(zero_copy_only=False)
     is_doc = kind < 0
     docs = np.flatnonzero(is_doc)
@@ -111,15 +121,32 @@ def _score_group(cols: dict, order: int, alpha: float, corpus: int) -> dict | No
         return None
     take = pa.array(docs)
     words, sizes = _tokens(cols["text"].take(take).to_pylist())
-    place, doc = _place(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    total = len(words)
-    seen = []  # per n: others' count of the n-gram ending at each word (-1: reaches over the start)
     ns = cols["n"].to_numpy(zero_copy_only=False)
-    for n, (at, h) in enumerate(_grams(words, place, order), 1):
-        u, where = np.unique(h, return_inverse=True)
+    table = []  # per n: the group's n-grams in order, and their corpus counts
+    for n, h in enumerate(_distinct(words, _place(sizes), order), 1):
         rows = np.flatnonzero(~is_doc & (ns == n))
         rows = rows[np.argsort(kind[rows], kind="stable")]
-        counts = cols["totals"].take(pa.array(rows)).flatten().to_numpy()
+        table.append((h, cols["totals"].take(pa.array(rows)).flatten().to_numpy()))
+    ends = np.cumsum(sizes)
+    scores = np.zeros(len(sizes))
+    first = 0
+    while first < len(sizes):
+        start = ends[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(ends, start + BLOCK_WORDS, "right")))
+        scores[first:last] = _score_block(words[start:ends[last - 1]], sizes[first:last], table, order, alpha, corpus)
+        first = last
+    return {"doc_id": cols["doc_id"].take(take), "n_tokens": sizes, "score": scores}
+
+
+def _score_block(words: np.ndarray, sizes: np.ndarray, table: list, order: int, alpha: float, corpus: int) -> np.ndarray:
+    """Scores of a few documents of a group."""
+    total = len(words)
+    if not total:
+        return np.zeros(len(sizes))
+    place, doc = _place(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    seen = []  # per n: others' count of the n-gram ending at each word (-1: reaches over the start)
+    for (at, h), (known, counts) in zip(_grams(words, place, order), table):
+        u, where = np.unique(h, return_inverse=True)
         # the document's own occurrences do not count for it
         order_ = np.lexsort((where, doc[at]))
         dw = np.stack([doc[at][order_], where[order_]])
@@ -128,10 +155,10 @@ def _score_group(cols: dict, order: int, alpha: float, corpus: int) -> dict | No
         own = np.empty(len(at), np.int64)
         own[order_] = np.bincount(run, minlength=1)[run] if len(order_) else 0
         full = np.full(total, -1, np.int64)
-        full[at] = counts[where] - own
+        full[at] = counts[np.searchsorted(known, u)][where] - own
         seen.append(full)
     log = np.zeros(total)
-    left = (corpus - sizes)[doc] if total else np.empty(0)
+    left = (corpus - sizes)[doc]
     highest = np.minimum(order, place + 1)
     open_ = np.ones(total, bool)
     for n in range(order, 1, -1):
@@ -139,11 +166,11 @@ def _score_group(cols: dict, order: int, alpha: float, corpus: int) -> dict | No
         i = np.flatnonzero(hit)
         log[i] = np.log(seen[n - 1][i]) - np.log(seen[n - 2][i - 1]) + (highest[i] - n) * math.log(alpha)
         open_ &= ~hit
-    one = open_ & (seen[0] > 0) if total else open_
+    one = open_ & (seen[0] > 0)
     log[one] = np.log(seen[0][one]) - np.log(left[one]) + (highest[one] - 1) * math.log(alpha)
     none = open_ & ~one
     log[none] = highest[none] * math.log(alpha) - np.log(left[none] + 1)
-    return {"doc_id": cols["doc_id"].take(take), "n_tokens": sizes, "score": np.bincount(doc, log, len(sizes)) if total else np.zeros(len(sizes))}
+    return np.bincount(doc, log, len(sizes))
 
 
 def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,11 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from llmfix import docs
 
+from bazaar.llm import common
 from bazaar.llm import lm_score as M
 
 
@@ -51,3 +53,45 @@ def test_empty_table_null_ids_and_repeats(spark):
     s = round(math.log(2 / 4) + math.log(2 / 2), 6)
     assert got == [(0, 2, s), (5, 0, 0.0), (2 ** 60 + 1, 2, s), (2 ** 60 + 1, 2, s)]
     assert [r.score for r in M.score(docs(spark, ["x y x"])).collect()] == [pytest.approx(math.log(0.4) + 2 * math.log(0.16))]
+
+
+def test_a_group_is_scored_in_blocks_and_forgets_words(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 50))) for _ in range(80)] + ["", None, "w1 " * 500, "", "last one"]
+    words, sizes = M._tokens([(t or "").encode() for t in texts])
+    monkeypatch.setattr(M, "REMEMBERED", 5)
+    assert (M._tokens([(t or "").encode() for t in texts])[0] == words).all()
+    longest = []
+    block = M._score_block
+    monkeypatch.setattr(M, "_score_block", lambda w, s, *rest: longest.append((len(w), len(s))) or block(w, s, *rest))
+    monkeypatch.setattr(M, "BLOCK_WORDS", 100)
+    keys = {n: M._distinct(words, M._place(sizes), 2)[n - 1] for n in (1, 2)}
+    totals = {n: [sum((h == g).sum() for g in [M._grams(words, M._place(sizes), 2)[n - 1][1]]) for h in keys[n]] for n in (1, 2)}
+    cols = {"slice": pa.array([-1] * len(texts) + [0, 0]), "n": pa.array([0] * len(texts) + [1, 2]),
+            "text": pa.array([(t or "").encode() for t in texts] + [None, None], pa.binary()), "doc_id": pa.array([*range(len(texts)), None, None]),
+            "totals": pa.array([None] * len(texts) + [totals[1], totals[2]], pa.list_(pa.int64()))}
+    got = M._score_group(cols, 2, 0.4, len(words))
+    assert max(n for n, docs_ in longest if docs_ > 1) <= 100 and sum(n for n, _ in longest) == len(words)
+    for s, (n, want) in zip(got["score"], brute(texts, 2)):
+        assert s == pytest.approx(want, abs=1e-6)
+
+
+def test_large_results_leave_the_task_before_its_end(spark, monkeypatch):
+    monkeypatch.setattr(common, "EMIT_BYTES", 100)
+    seen = []
+
+    class Frame:
+        sparkSession, columns = spark, ["k"]
+
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(12))], ["k"])
+            seen.extend(b.num_rows for b in run(iter([batch])))
+
+    common.map_runs(Frame(), ["k"], lambda k, c: {"v": [k[0]] * 10}, "v long", pa.schema([("v", pa.int64())]))
+    assert sum(seen) == 120 and max(seen) <= 20
