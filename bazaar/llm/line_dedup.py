@@ -70,24 +70,31 @@ def _hashed_shingles(lines: DataFrame) -> DataFrame:
 
 
 def bitmaps(lines: DataFrame) -> DataFrame:
-    """(node, w0, w1, ...): the bits that the shingles of (node, n) set in a bitmap of ``WORDS`` words."""
-    at = _hashed_shingles(lines).select("node", F.pmod("h", F.lit(WORDS)).cast("int").alias("word"),
-                                        F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))").alias("bit"))
-    return at.groupBy("node").agg(*[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}")
-                                    for i in range(WORDS)])
+    """(node, size, w0, w1, ...): how many different shingles (node, n) has, and for each bit of ``WORDS`` words whether an odd number of them falls on it."""
+    hashed = lines.select("node", F.explode(shingles(F.col("n"))).alias("s")).select("node", F.xxhash64("s").alias("h"))
+    at = hashed.select("node", F.pmod("h", F.lit(WORDS)).cast("int").alias("word"),
+                       F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))").alias("bit"))
+    return at.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *[
+        F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
 
 
-def within_bound(a: str, b: str, threshold: float) -> Column:
-    """False only for pairs that cannot reach the threshold, from the struct columns ``a`` and ``b`` of (n, w0, w1, ...).
+def may_reach(a: str, b: str, sizes: Column, threshold: float) -> Column:
+    """False only for pairs that cannot reach the threshold, from the bitmaps ``a`` and ``b`` and the (bound on the) sum of their sizes.
 
-    Every bit that two bitmaps differ in stands for a shingle that one line
-    has alone.  Lines of similarity t share all but (1 - t) / (1 + t) of
-    their shingles taken together, and a line has no more than its spots.
+    Shingles that two lines share cancel out, so every bit that their bitmaps
+    differ in stands for a shingle that one line has alone.  Lines of
+    similarity t share all but (1 - t) / (1 + t) of their shingles taken
+    together.
     """
     apart = sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(1, WORDS)),
                 F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
+    return apart * F.lit(1 + threshold) <= sizes * F.lit(1 - threshold) + F.lit(1e-6)
+
+
+def within_bound(a: str, b: str, threshold: float) -> Column:
+    """``may_reach`` from the struct columns ``a`` and ``b`` of (n, w0, w1, ...): a line has no more shingles than spots."""
     spots = [F.greatest(F.char_length(f"{x}.n") - (SHINGLE - 1), F.lit(1)) for x in (a, b)]
-    return apart * F.lit(1 + threshold) <= (spots[0] + spots[1]) * F.lit(1 - threshold) + F.lit(1e-6)
+    return may_reach(a, b, spots[0] + spots[1], threshold)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -144,39 +151,36 @@ def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> Da
     return picked.select(line.alias("n")).select(F.xxhash64("n").alias("node"), "n").groupBy("node").agg(F.min("n").alias("n"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """The (a, b) whose lines reach the threshold, by the exact sets of their shingles (written).
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) whose lines reach the threshold, by the exact sets of their shingles (written)."""
+    na, nb = (texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    both = pairs.join(na.hint("merge"), "a").join(nb.hint("merge"), "b")
+    return cut(both.where(reaches(F.col("n_a"), F.col("n_b"), threshold)).select("a", "b"), "links")
 
-    Pairs whose bitmaps rule the threshold out are not tested.
-    """
-    pairs = cut(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    mark = scratch_mark(docs.sparkSession)
-    lines = cut(_texts(docs, places.join(nodes.hint("merge"), "node", "left_semi"), id_col, text_col), "texts")
-    written = scratch_since(docs.sparkSession, mark)
-    lines = cut(lines.join(bitmaps(lines).hint("merge"), "node"), "bitmaps")
-    drop_scratch(docs.sparkSession, written)
-    la, lb = (lines.select(F.col("node").alias(x), F.struct("n", *[f"w{i}" for i in range(WORDS)]).alias(f"line_{x}")) for x in "ab")
-    both = pairs.join(la.hint("merge"), "a").join(lb.hint("merge"), "b").where(within_bound("line_a", "line_b", threshold))
-    return cut(both.where(reaches(F.col("line_a.n"), F.col("line_b.n"), threshold)).select("a", "b"), "links")
-
-
-def _open_pairs(members: DataFrame) -> DataFrame:
+
+def _open_pairs(members: DataFrame, maps: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
     """Pairs (a, b) of one bucket and different components with near signatures, from (key, node, c, s0, s1), each once.
 
     A bucket of n members is cut into n / BLOCK blocks by a hash of the node,
     and every two blocks meet in a task of their own.  A pair that shares
-    several buckets comes out of one of them only.
+    several buckets comes out of one of them only.  With ``maps``, the
+    bitmaps of the nodes, pairs that these rule out do not come out at all.
     """
-    members = members.withColumn("keys", F.collect_set("key").over(Window.partitionBy("node")))      # one key per band at most
+    mine = members.groupBy("node").agg(F.collect_set("key").alias("keys"), F.first("c").alias("c"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    carried = ["c", "s0", "s1", "keys"]      # one key per band at most
+    if maps is not None:
+        mine = mine.join(maps.hint("merge"), "node")
+        carried += ["size", *[f"w{i}" for i in range(WORDS)]]
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = mine.withColumn("key", F.explode("keys")).join(sizes.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "node", "c", "s0", "s1", "keys", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        "key", "node", *carried, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
         (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
     x, y = dealt.where("left").alias("x"), dealt.where("right").alias("y")
     near = differing(F.col("x.s0"), F.col("x.s1"), F.col("y.s0"), F.col("y.s1")) <= DIFFERING
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    if maps is not None:
+        near = near & may_reach("x", "y", F.col("x.size") + F.col("y.size"), threshold)
+    met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
                  & (F.col("x.c") != F.col("y.c")) & ((F.col("x.lo") != F.col("x.hi")) | (F.col("x.node") < F.col("y.node"))) & near
                  & (F.col("x.key") == F.array_min(F.array_intersect(F.col("x.keys"), F.col("y.keys")))))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
@@ -208,12 +212,19 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     del sketched, spots, held
     free_shuffles(spark)
 
+    texts = cut(_texts(docs, places, id_col, text_col), "texts")
+    maps = cut(bitmaps(texts), "bitmaps")
+    free_shuffles(spark)
+
     star = (members.select("node", "s0", "s1", F.explode(F.array_distinct(F.transform("buckets", lambda b: b.pivot))).alias("pivot"))
             .where("node != pivot"))
     pivots = members.select(F.col("node").alias("pivot"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
     near = (star.join(pivots.hint("merge"), "pivot").where(differing(*[F.col(c) for c in ("s0", "s1", "p0", "p1")]) <= DIFFERING)
             .select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    links = _verified(near, docs, places, id_col, text_col, threshold)
+    ma, mb = (maps.select(F.col("node").alias(x), F.struct("size", *[f"w{i}" for i in range(WORDS)]).alias(f"map_{x}")) for x in "ab")
+    near = (near.join(ma.hint("merge"), "a").join(mb.hint("merge"), "b")
+            .where(may_reach("map_a", "map_b", F.col("map_a.size") + F.col("map_b.size"), threshold)).select("a", "b"))
+    links = _verified(near, texts, threshold)
     comp = connected_components(links, "a", "b")
 
     crowded = members.withColumn("buckets", F.filter("buckets", lambda b: b.n > 2)).where(F.size("buckets") > 0)
@@ -221,7 +232,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = cut(named.select("node", "s0", "s1", "c", F.explode("buckets").alias("b")).select("b.key", "node", "b.pivot", "s0", "s1", "c"), "placed")
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
     others = placed.join(split.hint("merge"), "key", "left_semi").where("node != pivot").drop("pivot")      # pairs with the pivot are done
-    more = _verified(_open_pairs(cut(others, "open")), docs, places, id_col, text_col, threshold)
+    more = _verified(cut(_open_pairs(cut(others, "open"), maps, threshold), "pairs"), texts, threshold)
     if not more.isEmpty():
         comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     free_shuffles(spark)

@@ -171,3 +171,39 @@ def test_components_are_joined_a_row_per_line_not_per_bucket(spark, monkeypatch)
     rows = [(i, "one two three four five six seven eight nine ten eleven twelve " + "x" * i) for i in range(40)]
     assert L.dedup_lines(docs(spark, rows)).count() == 40
     assert sizes and all(n == nodes for n, nodes in sizes)
+
+
+def test_unlike_lines_of_one_bucket_are_ruled_out_before_they_are_paired(spark, monkeypatch):
+    made = []
+    kept = L.cut
+
+    def counted(df, tag="cut"):
+        out = kept(df, tag)
+        if tag == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "cut", counted)
+    rng = random.Random(13)
+    base = [f"word{i:02d}" for i in range(60)]
+    rows = []
+    for d in range(60):       # all about 0.65 alike: their signatures are near, their lines are not
+        w = list(base)
+        for at in rng.sample(range(60), 4):
+            w[at] = f"e{rng.randrange(10 ** 5):05d}"
+        rows.append((d, " ".join(w)))
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs(spark, rows)).collect()} == brute(rows)
+    assert made and max(made) < 200
+
+
+def test_shared_shingles_cancel_out_of_the_bitmaps(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(17)
+    shared = "".join(rng.choice("abcdefghij") for _ in range(3000))
+    rows = [(1, shared + "x" * 40 + "tail one"), (2, shared + "y" * 40 + "tail two"), (3, "abab" * 500), (4, "abababa")]
+    maps = {r.node: r for r in L.bitmaps(spark.createDataFrame(rows, "node long, n string")).select("node", "size", F.array(*[f"w{i}" for i in range(L.WORDS)]).alias("w")).collect()}
+    for a, la in rows:
+        assert maps[a]["size"] == len(sh(la))
+        for b, lb in rows:
+            apart = sum(((x ^ y) & (2 ** 64 - 1)).bit_count() for x, y in zip(maps[a]["w"], maps[b]["w"]))
+            assert apart <= len(sh(la) ^ sh(lb)) and (len(sh(la) ^ sh(lb)) > 60 or len(sh(la) ^ sh(lb)) - apart <= 12)
