@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.llm.common import cut, drop_scratch, free_shuffles, scratch_mark, scratch_since
-from bazaar.operators.components import connected_components
+from bazaar.llm.components import connected_components
 
 #: Characters of a shingle, of the exact Jaccard test and of the signature.
 SHINGLE = 5
@@ -23,6 +23,8 @@ DIFFERING = 13
 BLOCK = 512
 #: 64-bit words of the shingle bitmap that bounds a pair's similarity before the exact test.
 WORDS = 16
+#: Bits of a band key that are shuffled: among 50 million keys a thousand pairs meet by chance alone, and their signatures part them.
+KEY_BITS = 40
 
 
 def normal_line(line: Column) -> Column:
@@ -152,14 +154,28 @@ def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> Da
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) whose lines reach the threshold, by the exact sets of their shingles (written)."""
+    """The ``pairs`` (a, b, ...) whose lines reach the threshold, by the exact sets of their shingles (written)."""
     na, nb = (texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     both = pairs.join(na.hint("merge"), "a").join(nb.hint("merge"), "b")
-    return cut(both.where(reaches(F.col("n_a"), F.col("n_b"), threshold)).select("a", "b"), "links")
+    return cut(both.where(reaches(F.col("n_a"), F.col("n_b"), threshold)).select(*pairs.columns), "links")
+
+
+def _hung(links: DataFrame) -> DataFrame:
+    """(node, c) of the nodes of (a, b), a linked with the smaller b: c is the same for all nodes of a component, and one of them (written).
+
+    A node of many links hangs on the smallest b of them, and its other b's
+    are tied to that one.  Only the different ties go through the components,
+    so their number follows the b's and not the links.
+    """
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("via")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("via")))
+    hung = cut(ends.groupBy("node").agg(F.min("via").alias("via"), F.collect_set("via").alias("all")), "hung")      # one per band at most
+    ties = hung.select(F.explode("all").alias("u"), F.col("via").alias("v")).where("u != v").distinct()
+    tied = connected_components(ties, "u", "v").withColumnRenamed("node", "via")
+    return cut(hung.join(tied.hint("merge"), "via", "left").select("node", F.coalesce("component", "via").alias("c")), "named")
 
 
 def _open_pairs(members: DataFrame, maps: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components with near signatures, from (key, node, c, s0, s1), each once.
+    """Pairs (a, b, ca, cb) of one bucket and different components ca and cb with near signatures, from (key, node, c, s0, s1), each once.
 
     A bucket of n members is cut into n / BLOCK blocks by a hash of the node,
     and every two blocks meet in a task of their own.  A pair that shares
@@ -183,7 +199,7 @@ def _open_pairs(members: DataFrame, maps: DataFrame | None = None, threshold: fl
     met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
                  & (F.col("x.c") != F.col("y.c")) & ((F.col("x.lo") != F.col("x.hi")) | (F.col("x.node") < F.col("y.node"))) & near
                  & (F.col("x.key") == F.array_min(F.array_intersect(F.col("x.keys"), F.col("y.keys")))))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +212,8 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where nodes of different components remain, every pair of different
     components is compared, block by block.  No candidate pair of different
     components is left out, and pairs inside a component cannot change it.
-    Texts are not shuffled: those of candidates are read again.
+    Texts do not go along with the signatures: only those of candidates and
+    of buckets of three or more are read again.
     """
     spark = docs.sparkSession
     mark = scratch_mark(spark)
@@ -205,43 +222,43 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = scratch_since(spark, mark)
     sketched = signatures(found.select("node", "n"))
     key = Window.partitionBy("key")      # one pass over the sorted keys counts a bucket, finds its pivot and leaves those of one node
-    spots = sketched.select("node", F.explode("bands").alias("key")).withColumn("n", F.count(F.lit(1)).over(key)).withColumn("pivot", F.min("node").over(key))
+    spots = (sketched.select("node", F.explode("bands").alias("key")).withColumn("key", F.shiftrightunsigned("key", 64 - KEY_BITS))
+             .withColumn("n", F.count(F.lit(1)).over(key)).withColumn("pivot", F.min("node").over(key)))
     held = spots.where("n > 1").groupBy("node").agg(F.collect_list(F.struct("key", "n", "pivot")).alias("buckets"))      # one per band at most
     members = cut(held.join(sketched.select("node", "s0", "s1").hint("merge"), "node"), "members")
-    places = cut(occ.join(members.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first")), "places")
     del sketched, spots, held
     free_shuffles(spark)
 
-    texts = cut(_texts(docs, places, id_col, text_col), "texts")
-    maps = cut(bitmaps(texts), "bitmaps")
-    free_shuffles(spark)
-
     star = (members.select("node", "s0", "s1", F.explode(F.array_distinct(F.transform("buckets", lambda b: b.pivot))).alias("pivot"))
             .where("node != pivot"))
     pivots = members.select(F.col("node").alias("pivot"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
-    near = (star.join(pivots.hint("merge"), "pivot").where(differing(*[F.col(c) for c in ("s0", "s1", "p0", "p1")]) <= DIFFERING)
-            .select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    ma, mb = (maps.select(F.col("node").alias(x), F.struct("size", *[f"w{i}" for i in range(WORDS)]).alias(f"map_{x}")) for x in "ab")
-    near = (near.join(ma.hint("merge"), "a").join(mb.hint("merge"), "b")
-            .where(may_reach("map_a", "map_b", F.col("map_a.size") + F.col("map_b.size"), threshold)).select("a", "b"))
-    links = _verified(near, texts, threshold)
-    comp = connected_components(links, "a", "b")
-
+    near = cut(star.join(pivots.hint("merge"), "pivot").where(differing(*[F.col(c) for c in ("s0", "s1", "p0", "p1")]) <= DIFFERING)
+               .select(F.col("node").alias("a"), F.col("pivot").alias("b")), "near")
     crowded = members.withColumn("buckets", F.filter("buckets", lambda b: b.n > 2)).where(F.size("buckets") > 0)
-    named = crowded.join(comp.hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))      # a row per node, not per bucket
-    placed = cut(named.select("node", "s0", "s1", "c", F.explode("buckets").alias("b")).select("b.key", "node", "b.pivot", "s0", "s1", "c"), "placed")
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    others = placed.join(split.hint("merge"), "key", "left_semi").where("node != pivot").drop("pivot")      # pairs with the pivot are done
-    more = _verified(cut(_open_pairs(cut(others, "open"), maps, threshold), "pairs"), texts, threshold)
-    if not more.isEmpty():
-        comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
+    asked = near.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("mapped")).unionByName(crowded.select("node", F.lit(True).alias("mapped")))
+    asked = asked.groupBy("node").agg(F.max("mapped").alias("mapped"))
+    alike = occ.groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    places = cut(alike.join(asked.hint("merge"), "node", "left").where("n > 1 or mapped is not null"), "places")
+    texts = cut(_texts(docs, places.where("mapped is not null"), id_col, text_col), "texts")
+    links = _verified(near, texts, threshold)
+    named = _hung(links)
     free_shuffles(spark)
 
-    alike = occ.groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    named = alike.join(comp.hint("merge"), "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("c"))
-    keep = named.groupBy("c").agg(F.min("first").alias("keep"))
-    groups = cut(named.join(keep.hint("merge"), "c").select("node", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "groups")
+    comp = crowded.join(named.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))      # a row per node, not per bucket
+    placed = cut(comp.select("node", "s0", "s1", "c", F.explode("buckets").alias("b")).select("b.key", "node", "b.pivot", "s0", "s1", "c"), "placed")
+    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    others = cut(placed.join(split.hint("merge"), "key", "left_semi").where("node != pivot").drop("pivot"), "open")      # pairs with the pivot are done
+    maps = cut(bitmaps(texts.join(others.select("node").distinct().hint("merge"), "node", "left_semi")), "bitmaps")
+    more = _verified(cut(_open_pairs(others, maps, threshold), "pairs"), texts, threshold)
+    joined = connected_components(more, "ca", "cb")      # of components, by their names
+    ends = named.unionByName(joined.select("node", F.col("node").alias("c"))).groupBy("node").agg(F.min("c").alias("c"))
+    comp = ends.join(joined.withColumnRenamed("node", "c").hint("merge"), "c", "left").select("node", F.coalesce("component", "c").alias("component"))
+
+    of = places.join(comp.hint("merge"), "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("c"))
+    keep = of.groupBy("c").agg(F.min("first").alias("keep"))
+    groups = cut(of.join(keep.hint("merge"), "c").select("node", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "groups")
     drop_scratch(spark, [p for p in scratch_since(spark, mark)[:-1] if p not in kept])
+    free_shuffles(spark)
     return occ, groups
 
 

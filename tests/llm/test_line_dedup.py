@@ -207,3 +207,51 @@ def test_shared_shingles_cancel_out_of_the_bitmaps(spark):
         for b, lb in rows:
             apart = sum(((x ^ y) & (2 ** 64 - 1)).bit_count() for x, y in zip(maps[a]["w"], maps[b]["w"]))
             assert apart <= len(sh(la) ^ sh(lb)) and (len(sh(la) ^ sh(lb)) > 60 or len(sh(la) ^ sh(lb)) - apart <= 12)
+
+
+def test_links_of_a_large_group_reach_the_components_as_ties_of_its_pivots(spark, monkeypatch):
+    seen = []
+    found = L.connected_components
+
+    def counted(edges, *ends):
+        seen.append(edges.count())
+        return found(edges, *ends)
+
+    monkeypatch.setattr(L, "connected_components", counted)
+    rng = random.Random(19)
+    base = [f"word{i:02d}" for i in range(60)]
+    rows = []
+    for d in range(400):
+        w = list(base)
+        w[rng.randrange(60)] = f"edit{rng.randrange(10 ** 6)}"
+        rows.append((d, " ".join(w)))
+    got = L.dedup_lines(docs(spark, rows)).collect()
+    assert {r.doc_id for r in got if r.n_kept} == {0}
+    assert seen and max(seen) < 200       # 400 lines, up to 25 pivots each
+
+
+def test_only_lines_with_a_near_signature_are_read_again(spark, monkeypatch):
+    rows_of = {}
+    kept = L.cut
+
+    def counted(df, tag="cut"):
+        out = kept(df, tag)
+        if tag in ("members", "texts"):
+            rows_of[tag] = out.count()
+        if tag == "members":
+            rows_of["key"] = out.selectExpr("max(array_max(transform(buckets, b -> b.key)))").first()[0]
+        return out
+
+    monkeypatch.setattr(L, "cut", counted)
+    rng = random.Random(23)
+    rows = []
+    for d in range(1500):      # pairs of about 0.25: some meet in a band, most of their signatures are apart
+        w = [f"w{rng.randrange(10 ** 7):07d}" for _ in range(60)]
+        other = list(w)
+        for at in rng.sample(range(60), 36):
+            other[at] = f"w{rng.randrange(10 ** 7):07d}"
+        rows += [(2 * d, " ".join(w)), (2 * d + 1, " ".join(other))]
+    rows += [(5000, "a line that stands twice " + "x" * 30), (5001, "a line that stands twice " + "x" * 31)]
+    assert {r.doc_id for r in L.dedup_lines(docs(spark, rows)).collect() if not r.n_kept} == {5001}
+    assert rows_of["members"] > 20 and rows_of["texts"] < 0.7 * rows_of["members"]
+    assert 0 <= rows_of["key"] < 2 ** L.KEY_BITS
