@@ -174,6 +174,21 @@ def _hung(links: DataFrame) -> DataFrame:
     return cut(hung.join(tied.hint("merge"), "via", "left").select("node", F.coalesce("component", "via").alias("c")), "named")
 
 
+def _crowded(members: DataFrame) -> DataFrame:
+    """The ``members`` with their buckets of three or more, less those that are near to no other signature there.
+
+    Buckets of more than BLOCK nodes are not looked through: their nodes all stay.
+    """
+    some = members.withColumn("buckets", F.filter("buckets", lambda b: b.n > 2)).where(F.size("buckets") > 0)
+    spots = some.select("node", "s0", "s1", F.explode("buckets").alias("b")).select("node", "s0", "s1", "b.key", "b.n")
+    small = spots.where(F.col("n") <= BLOCK)
+    x, y = small.alias("x"), small.alias("y")
+    near = differing(F.col("x.s0"), F.col("x.s1"), F.col("y.s0"), F.col("y.s1")) <= DIFFERING
+    met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & near, "left_semi").select("node")
+    stay = met.unionByName(spots.where(F.col("n") > BLOCK).select("node")).distinct()
+    return some.join(stay.hint("merge"), "node", "left_semi")
+
+
 def _open_pairs(members: DataFrame, maps: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
     """Pairs (a, b, ca, cb) of one bucket and different components ca and cb with near signatures, from (key, node, c, s0, s1), each once.
 
@@ -234,12 +249,18 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = members.select(F.col("node").alias("pivot"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
     near = cut(star.join(pivots.hint("merge"), "pivot").where(differing(*[F.col(c) for c in ("s0", "s1", "p0", "p1")]) <= DIFFERING)
                .select(F.col("node").alias("a"), F.col("pivot").alias("b")), "near")
-    crowded = members.withColumn("buckets", F.filter("buckets", lambda b: b.n > 2)).where(F.size("buckets") > 0)
+    crowded = cut(_crowded(members), "crowded")
     asked = near.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("mapped")).unionByName(crowded.select("node", F.lit(True).alias("mapped")))
     asked = asked.groupBy("node").agg(F.max("mapped").alias("mapped"))
     alike = occ.groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     places = cut(alike.join(asked.hint("merge"), "node", "left").where("n > 1 or mapped is not null"), "places")
     texts = cut(_texts(docs, places.where("mapped is not null"), id_col, text_col), "texts")
+    maps = cut(bitmaps(texts.join(crowded.select("node").hint("merge"), "node", "left_semi")), "bitmaps")
+    free_shuffles(spark)
+
+    ma, mb = (maps.select(F.col("node").alias(x), F.struct("size", *[f"w{i}" for i in range(WORDS)]).alias(f"map_{x}")) for x in "ab")
+    may = may_reach("map_a", "map_b", F.col("map_a.size") + F.col("map_b.size"), threshold)      # null where a line has no bitmap
+    near = near.join(ma.hint("merge"), "a", "left").join(mb.hint("merge"), "b", "left").where(F.coalesce(may, F.lit(True))).select("a", "b")
     links = _verified(near, texts, threshold)
     named = _hung(links)
     free_shuffles(spark)
@@ -248,7 +269,6 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = cut(comp.select("node", "s0", "s1", "c", F.explode("buckets").alias("b")).select("b.key", "node", "b.pivot", "s0", "s1", "c"), "placed")
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
     others = cut(placed.join(split.hint("merge"), "key", "left_semi").where("node != pivot").drop("pivot"), "open")      # pairs with the pivot are done
-    maps = cut(bitmaps(texts.join(others.select("node").distinct().hint("merge"), "node", "left_semi")), "bitmaps")
     more = _verified(cut(_open_pairs(others, maps, threshold), "pairs"), texts, threshold)
     joined = connected_components(more, "ca", "cb")      # of components, by their names
     ends = named.unionByName(joined.select("node", F.col("node").alias("c"))).groupBy("node").agg(F.min("c").alias("c"))

@@ -255,3 +255,14 @@ def test_only_lines_with_a_near_signature_are_read_again(spark, monkeypatch):
     assert {r.doc_id for r in L.dedup_lines(docs(spark, rows)).collect() if not r.n_kept} == {5001}
     assert rows_of["members"] > 20 and rows_of["texts"] < 0.7 * rows_of["members"]
     assert 0 <= rows_of["key"] < 2 ** L.KEY_BITS
+
+
+def test_lines_near_to_no_other_of_their_buckets_go_before_they_are_read(spark, monkeypatch):
+    far = 0x7777777777777777
+    rows = [(1, 0, 0, [(7, 3, 1)]), (2, 1, 0, [(7, 3, 1)]), (3, far, far, [(7, 3, 1)]),         # 3 is near to none of bucket 7
+            (4, 0, 0, [(8, 2, 4)]), (5, 0, 0, [(8, 2, 4)]),                                      # a bucket of two: its pair is the pivot's
+            (6, far, 0, [(9, 5, 6)]), (7, 0, far, [(9, 5, 6), (8, 2, 4)])]                       # a large bucket, not looked through
+    members = spark.createDataFrame(rows, "node long, s0 long, s1 long, buckets array<struct<key:long,n:long,pivot:long>>")
+    monkeypatch.setattr(L, "BLOCK", 4)
+    got = {r.node: [b.key for b in r.buckets] for r in L._crowded(members).collect()}
+    assert got == {1: [7], 2: [7], 6: [9], 7: [9]}
